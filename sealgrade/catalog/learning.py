@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sealgrade.catalog.common import LEARNING, NORMALIZED, first_words
+from sealgrade.catalog.common import LEARNING, NORMALIZED, SEGMENTS, first_words
 from sealgrade.operators import feedback as FB, learned as LN, patterns as P
 from sealgrade.sources import adapters as A
 
@@ -227,20 +227,17 @@ def _nested(spark, sf):
 def _context(df: DataFrame) -> DataFrame:
     c = F.col("document_context")
     counts = F.array_sort(F.transform(
-        F.map_entries(c["text_segments_summary.classifications"]),
+        F.map_entries(c["text_segments_summary"]["classifications"]),
         lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
     return df.select(
         "document_id", c["filename"].alias("filename"), c["page_count"].alias("page_count"),
         c["original_classification"].alias("original_classification"),
         F.array_join(F.transform(c["key_evidence"], lambda e: e["quote"]), "|").alias("quotes"),
-        c["text_segments_summary.total"].alias("segments"),
+        c["text_segments_summary"]["total"].alias("segments"),
         F.array_join(counts, ",").alias("segment_counts"),
         F.array_join(c["keywords"], ",").alias("keywords"),
     )
 
-
-from sealgrade.catalog.common import SEGMENTS  # noqa: E402
-
 _SEG_LEARNING = LEARNING + SEGMENTS[SEGMENTS.index(",\nSEG AS"):]
 _KEYS = first_words("substring(k.full_text, 1, 2000)", 25)
 

@@ -109,11 +109,10 @@ def pii_values(
     patterns: Mapping[str, str] = V.PII_PATTERNS,
 ) -> DataFrame:
     """One row per matched value, with the pattern's name."""
+    def named(pattern: str):
+        return lambda m: F.struct(F.lit(pattern).alias("pattern"), m.alias("value"))
+
     found = F.flatten(F.array(*[
-        F.transform(
-            D.pii_matches(F.col(text), rx),
-            lambda m, n=n: F.struct(F.lit(n).alias("pattern"), m.alias("value")),
-        )
-        for n, rx in patterns.items()
+        F.transform(D.pii_matches(F.col(text), rx), named(n)) for n, rx in patterns.items()
     ]))
     return df.select(*keys, F.inline(found))

@@ -154,15 +154,14 @@ def keyword_in_context(
     text: str = "text", radius: int = 50,
 ) -> DataFrame:
     """One row per hit of each keyword with its surrounding words."""
-    hits = F.flatten(F.array(*[
-        F.transform(
-            T.keyword_windows(F.col("_words"), k, radius),
-            lambda w, k=k: F.struct(
-                F.lit(k).alias("keyword"), w["position"].alias("position"),
-                w["context_window"].alias("context_window"),
-            ),
+    def named(keyword: str):
+        return lambda w: F.struct(
+            F.lit(keyword).alias("keyword"), w["position"].alias("position"),
+            w["context_window"].alias("context_window"),
         )
-        for k in keywords
+
+    hits = F.flatten(F.array(*[
+        F.transform(T.keyword_windows(F.col("_words"), k, radius), named(k)) for k in keywords
     ]))
     return (
         df.select(*keys, T.tokens(F.col(text)).alias("_words"))
