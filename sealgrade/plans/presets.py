@@ -50,8 +50,8 @@ def basic(
     df = read.withColumns({
         "classification": v["classification"], "confidence": v["confidence"],
         "summary": v["summary"], "reasoning": v["reasoning"], "evidence": v["evidence"],
-        "safety_check": v["safety_assessment"], "is_safe": v["safety_assessment.is_safe"],
-        "safety_confidence": v["safety_assessment.confidence"],
+        "safety_check": v["safety_assessment"], "is_safe": v["safety_assessment"]["is_safe"],
+        "safety_confidence": v["safety_assessment"]["confidence"],
         "additional_labels": v["additional_labels"],
         "learned_review": F.lit(False), "learned_reason": F.lit(None).cast("string"),
     })
