@@ -1 +1,271 @@
-QUERIES: dict = {}
+"""Source, sink and table queries. Tables are written to the shared scratch
+folder, whole, and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from sealgrade import schemas as S
+from sealgrade.catalog.common import K, LEARNING, SEGMENTS
+from sealgrade.operators import verdicts as M
+from sealgrade.plans.medallion import Lakehouse
+from sealgrade.session import scratch_dir
+from sealgrade.sources import adapters as A, files, tables
+from sealgrade.sources.tables import SnapshotTable
+
+FLAT = ("document_id", "filename", "classification", "confidence", "requires_review", "is_safe")
+
+
+def _flat(spark, sf) -> DataFrame:
+    return A.classifications(spark, sf).select(*FLAT)
+
+
+def _new(spark) -> SnapshotTable:
+    return SnapshotTable(spark, scratch_dir(spark))
+
+
+def _json_round_trip(spark, sf):
+    path = scratch_dir(spark)
+    A.verdicts(spark, sf).drop("full_text").withColumn(
+        "document_id", F.col("document_id").cast("string")).write.json(path)
+    back = files.read_verdicts(spark, path, one_per_file=False)
+    return back.select(
+        "document_id", "classification", "confidence", F.col("safety_check.is_safe").alias("is_safe"),
+        F.size("text_segments").alias("segments"), F.size("evidence").alias("evidence"))
+
+
+def _archive(spark, sf):
+    path = scratch_dir(spark)
+    A.learning_feedback(spark, sf).select(
+        F.col("document_id").cast("string").alias("document_id"), "reviewer_id", "approved",
+        "corrected_classification", "original_classification", "timestamp", "key_indicators",
+    ).write.json(path)
+    return files.read_feedback_archive(spark, path, one_per_file=False).select(
+        "document_id", "reviewer_id", "approved", "corrected_classification", "timestamp")
+
+
+def _valid(spark, sf):
+    """Every third summary is blank and every seventh missing."""
+    d = F.col("document_id")
+    v = _flat(spark, sf).withColumn(
+        "summary", F.when(d % 7 == 0, F.lit(None)).when(d % 3 == 0, F.lit("")).otherwise(F.lit("s")))
+    return files.valid_verdicts(v).select("document_id", "classification")
+
+
+def _time_travel(spark, sf):
+    t = _new(spark)
+    v = _flat(spark, sf)
+    t.overwrite(v)
+    t.overwrite(v.where("is_safe").drop("is_safe"))
+    return t.as_of(0)
+
+
+def _history(spark, sf):
+    t = _new(spark)
+    v = _flat(spark, sf)
+    t.overwrite(v)
+    t.delete(v.where("not is_safe"))
+    t.compact()
+    return t.history().drop("timestamp")
+
+
+def _deleted(spark, sf):
+    t = _new(spark)
+    v = _flat(spark, sf)
+    t.overwrite(v)
+    t.delete(v.where("not is_safe"))
+    return t.read()
+
+
+def _cleared(spark, sf):
+    t = _new(spark)
+    t.overwrite(_flat(spark, sf))
+    return t.clear().withColumn("left", F.lit(t.read().count()))
+
+
+def _compacted(spark, sf):
+    t = _new(spark)
+    t.overwrite(_flat(spark, sf).repartition(16))
+    t.compact()
+    return t.read()
+
+
+def _changes(spark, sf):
+    t = _new(spark)
+    v = _flat(spark, sf)
+    doc = F.col("document_id")
+    t.overwrite(v.where(doc % 5 != 0))
+    t.overwrite(v.where(doc % 7 != 0).withColumn(
+        "confidence", F.when(doc % 11 == 0, F.lit(0.0)).otherwise(F.col("confidence"))))
+    return t.changes(0, 1)
+
+
+def _merged(spark, sf):
+    """Two versions with different columns in one table."""
+    t = _new(spark)
+    v = _flat(spark, sf)
+    t.overwrite(v.select("document_id", "classification"))
+    t.overwrite(v.select("document_id", "confidence"))
+    return t.all_versions().select("v", "document_id", "classification", "confidence")
+
+
+def _report(spark, sf):
+    return tables.load_report({
+        "classifications": _flat(spark, sf), "learning": A.learning_feedback(spark, sf),
+    }).drop("sample")
+
+
+def _lakehouse(spark, sf) -> Lakehouse:
+    house = Lakehouse(spark, scratch_dir(spark))
+    house.bronze(A.verdicts(spark, sf).drop("full_text"), A.learning_feedback(spark, sf))
+    return house
+
+
+def _silver(spark, sf, table):
+    house = _lakehouse(spark, sf)
+    house.silver()
+    return house.table("silver", table).read()
+
+
+def _gold(spark, sf, table):
+    house = _lakehouse(spark, sf)
+    house.gold()
+    return house.table("gold", table).read()
+
+
+def _mined(spark, sf):
+    house = _lakehouse(spark, sf)
+    house.mine()
+    return house.table("silver", "training_examples").read()
+
+
+def _sql(spark, sf):
+    tables.register_views({"sealgrade_classifications": _flat(spark, sf)})
+    return spark.sql(
+        "SELECT classification, count(*) AS total_docs, round(avg(confidence), 3) AS avg_confidence "
+        "FROM sealgrade_classifications GROUP BY classification ORDER BY total_docs DESC")
+
+
+_SUFFIXES = ("txt", "PDF", "exe", "docx", "zip", "Jpeg")
+
+
+def _uploads(spark, sf):
+    d = A.documents(spark, sf)
+    kinds = F.array(*[F.lit(s) for s in _SUFFIXES])
+    stem = F.regexp_replace("filename", "txt$", "")
+    named = d.select(
+        "document_id", F.concat(stem, F.get(kinds, (F.col("document_id") % 6).cast("int"))).alias("filename"),
+        (F.col("file_size") * 10_000).alias("file_size"))
+    return files.validate_uploads(named)
+
+
+_HEADS = ("89504E470D0A1A0A", "FFD8FFE0", "474946383961", "52494646AABBCCDD57454250", "424D", "49492A00",
+          "4D4D002A", "00", "52494646AABBCCDD57415645")
+
+
+def _images(spark, sf):
+    """Documents' texts as file contents behind known leading bytes."""
+    d = A.documents(spark, sf)
+    heads = F.array(*[F.lit(h) for h in _HEADS])
+    head = F.unhex(F.get(heads, (F.col("document_id") % len(_HEADS)).cast("int")))
+    body = F.when(F.col("document_id") % 10 == 0, F.lit("")).otherwise(F.substring("text", 1, 20))
+    content = F.concat(head, F.encode(body, "UTF-8"))
+    return d.select("document_id", files.image_type(content).alias("mime"))
+
+
+def _named(spark, sf):
+    d = A.documents(spark, sf)
+    side = d.where(F.col("document_id") % 2 == 0).select(
+        "document_id", F.concat(F.lit("original "), "filename").alias("original_filename"))
+    return files.with_original_names(d.select("document_id", "filename"), side)
+
+
+_FLAT_SQL = "SELECT document_id, filename, classification, confidence, requires_review, is_safe FROM K"
+
+QUERIES = {
+    "s01_verdict_files": (
+        _json_round_trip,
+        f"""WITH {K} SELECT CAST(document_id AS VARCHAR) AS document_id, classification, confidence,
+        is_safe, segment_count AS segments, least(segment_count, 3) AS evidence FROM K"""),
+    "s03_feedback_archive": (
+        _archive,
+        f"""WITH {LEARNING} SELECT CAST(document_id AS VARCHAR) AS document_id, reviewer_id, approved,
+        corrected_classification, CAST(review_date AS VARCHAR) AS timestamp FROM L"""),
+    "s04_valid_verdicts": (
+        _valid,
+        f"""WITH {K} SELECT document_id, classification FROM K
+        WHERE document_id % 7 <> 0 AND document_id % 3 <> 0"""),
+    "s05_s10_time_travel": (_time_travel, f"WITH {K} {_FLAT_SQL}"),
+    "s07_load_report": (
+        _report,
+        f"""WITH {LEARNING} SELECT 'classifications' AS "table", count(*) AS rows FROM K
+        UNION ALL SELECT 'learning', count(*) FROM L"""),
+    "s08_compacted": (_compacted, f"WITH {K} {_FLAT_SQL}"),
+    "s09_history": (
+        _history,
+        f"""WITH {K} SELECT 0 AS version, 'WRITE' AS operation, count(*) AS num_rows FROM K
+        UNION ALL SELECT 1, 'DELETE', count(*) FROM K WHERE is_safe
+        UNION ALL SELECT 2, 'OPTIMIZE', count(*) FROM K WHERE is_safe"""),
+    "s11_silver_segments": (
+        lambda s, sf: _silver(s, sf, "segments").select(
+            "document_id", "pos", "classification", "confidence", "page"),
+        f"""WITH {SEGMENTS} SELECT document_id, i AS pos, classification, confidence, i + 1 AS page
+        FROM SEG"""),
+    "s11_silver_evidence": (
+        lambda s, sf: _silver(s, sf, "evidence").select("document_id", "pos", "page", "sensitivity_level"),
+        f"""WITH {SEGMENTS} SELECT document_id, i AS pos, i + 1 AS page,
+        CASE WHEN (document_id + i) % 3 = 0 THEN 'Confidential' ELSE 'Public' END AS sensitivity_level
+        FROM SEG WHERE i < 3"""),
+    "s12_silver_training_examples": (_mined, None),
+    "s13_gold_distribution": (
+        lambda s, sf: _gold(s, sf, "classification_distribution"),
+        f"""WITH {K} SELECT classification, count(*) AS total_documents,
+        round(avg(confidence), 4) AS avg_confidence,
+        count(*) FILTER (WHERE requires_review) AS review_needed,
+        count(*) FILTER (WHERE NOT is_safe) AS unsafe_count FROM K GROUP BY classification"""),
+    "s14_sql_views": (
+        _sql,
+        f"""WITH {K} SELECT classification, count(*) AS total_docs,
+        round(avg(confidence), 3) AS avg_confidence FROM K GROUP BY classification"""),
+    "s16_validated_uploads": (
+        _uploads,
+        f"""WITH U AS (SELECT doc_id, concat(source, '_', lang, '_', CAST(doc_id AS VARCHAR), '.') AS stem,
+          [{', '.join(f"'{s}'" for s in _SUFFIXES)}][doc_id % 6 + 1] AS sfx, n_chars * 10000 AS size FROM documents),
+        T AS (SELECT *, lower(sfx) NOT IN ('exe', 'zip') AS known, size <= 52428800 AS small FROM U)
+        SELECT CASE WHEN known AND small THEN CAST(doc_id AS VARCHAR) ELSE '' END AS document_id,
+        stem || sfx AS filename, CASE WHEN known THEN size ELSE 0 END AS file_size,
+        CASE WHEN known AND small THEN 'success' ELSE 'error' END AS status,
+        CASE WHEN NOT known THEN 'Unsupported file format: .' || lower(sfx)
+          WHEN NOT small THEN 'File too large: ' || size || ' bytes (max 52428800)'
+          ELSE 'File uploaded successfully' END AS message FROM T"""),
+    "s17_image_types": (
+        _images,
+        """SELECT doc_id AS document_id, CASE
+        WHEN octet_length(encode(CASE WHEN doc_id % 10 = 0 THEN '' ELSE substring(text, 1, 20) END))
+          + [8, 4, 6, 12, 2, 4, 4, 1, 12][doc_id % 9 + 1] < 12 THEN 'image/png'
+        ELSE ['image/png', 'image/jpeg', 'image/gif', 'image/webp', 'image/bmp', 'image/tiff', 'image/tiff',
+          'image/png', 'image/png'][doc_id % 9 + 1] END AS mime FROM documents"""),
+    "s18_fetch_verdict": (
+        lambda s, sf: files.fetch(_flat(s, sf), 7), f"WITH {K} {_FLAT_SQL} WHERE document_id = 7"),
+    "s19_all_verdicts": (_flat, f"WITH {K} {_FLAT_SQL}"),
+    "s20_deleted": (_deleted, f"WITH {K} {_FLAT_SQL} WHERE is_safe"),
+    "s21_cleared": (
+        _cleared, 'SELECT count(*) AS deleted_results, 0 AS "left" FROM documents'),
+    "c06_changes": (
+        _changes,
+        f"""WITH {K}, O AS (SELECT document_id, confidence FROM K WHERE document_id % 5 <> 0),
+        N AS (SELECT document_id, CASE WHEN document_id % 11 = 0 THEN 0.0 ELSE confidence END AS confidence
+              FROM K WHERE document_id % 7 <> 0)
+        SELECT coalesce(o.document_id, n.document_id) AS document_id,
+        CASE WHEN o.document_id IS NULL THEN 'insert' WHEN n.document_id IS NULL THEN 'delete'
+        ELSE 'update' END AS change FROM O o FULL JOIN N n USING (document_id)
+        WHERE o.document_id IS NULL OR n.document_id IS NULL OR o.confidence <> n.confidence"""),
+    "c06_merged_schema": (
+        _merged,
+        f"""WITH {K} SELECT 0 AS v, document_id, classification, NULL AS confidence FROM K
+        UNION ALL SELECT 1, document_id, NULL, confidence FROM K"""),
+    "j08_original_names": (
+        _named,
+        """SELECT doc_id AS document_id, CASE WHEN doc_id % 2 = 0 THEN 'original ' ELSE '' END
+        || concat(source, '_', lang, '_', CAST(doc_id AS VARCHAR), '.txt') AS filename FROM documents"""),
+}

@@ -12,10 +12,12 @@ LEARNING_FILE = "learning_database.json"
 FEEDBACK_FOLDER = "feedback"
 
 
-def _read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def _read_json(
+    spark: SparkSession, path: str, schema: StructType, one_per_file: bool = True
+) -> DataFrame:
     wide = StructType(schema.fields + [StructField(_CORRUPT, StringType(), True)])
     return (
-        spark.read.schema(wide).option("multiLine", True).option("mode", "PERMISSIVE")
+        spark.read.schema(wide).option("multiLine", one_per_file).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _CORRUPT).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json").json(path)
         .withColumn("source_file", F.col("_metadata.file_path"))
@@ -28,16 +30,19 @@ def _is_verdict_file() -> Column:
     return ~path.endswith("/" + LEARNING_FILE) & ~path.contains(f"/{FEEDBACK_FOLDER}/")
 
 
-def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
+def read_verdicts(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
     """Verdict files below ``path``, without the learning database and the
-    feedback folder. Unreadable files are left out (see ``quarantine``)."""
-    df = _read_json(spark, path, S.VERDICT)
+    feedback folder. Unreadable records are left out (see ``quarantine``).
+
+    ``one_per_file=False`` reads JSON lines, the form to keep large sets in.
+    """
+    df = _read_json(spark, path, S.VERDICT, one_per_file)
     return df.where(_is_verdict_file() & F.col(_CORRUPT).isNull()).drop(_CORRUPT)
 
 
-def quarantine(spark: SparkSession, path: str) -> DataFrame:
-    """The unreadable verdict files, with their text."""
-    df = _read_json(spark, path, S.VERDICT)
+def quarantine(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """The unreadable verdict records, with their text."""
+    df = _read_json(spark, path, S.VERDICT, one_per_file)
     # the record column alone would prune the parse away, so read a field too
     return df.where(_is_verdict_file() & F.col(_CORRUPT).isNotNull()).select(
         "source_file", F.col(_CORRUPT).alias("content"), "document_id"
@@ -88,13 +93,12 @@ def learning_info(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_feedback_archive(spark: SparkSession, path: str, document_id: str | None = None) -> DataFrame:
-    """One row per archived review, optionally of one document.
-
-    The first record of a document is the one with the lowest file name; ``seq``
-    orders by the digits of the time stamp in the name.
-    """
-    df = _read_json(spark, path, S.FEEDBACK).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+def read_feedback_archive(
+    spark: SparkSession, path: str, document_id: str | None = None, one_per_file: bool = True
+) -> DataFrame:
+    """One row per archived review, optionally of one document; ``seq`` orders by
+    the time stamp in the file name."""
+    df = _read_json(spark, path, S.FEEDBACK, one_per_file).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
     stamp = F.regexp_extract("source_file", r"_(\d{8})_(\d{6})\.json$", 1)
     clock = F.regexp_extract("source_file", r"_(\d{8})_(\d{6})\.json$", 2)
     df = df.withColumn("seq", F.coalesce(F.concat(stamp, clock).try_cast("bigint"), F.lit(0)))

@@ -169,9 +169,11 @@ def _open(spark: SparkSession, path: str, n: int) -> DataFrame:
     return spark.read.parquet(f"{path}/open/batch={n}")
 
 
-def streamed_operations(spark: SparkSession, path: str, last_batch: int) -> DataFrame:
+def streamed_operations(spark: SparkSession, path: str) -> DataFrame:
     """Closed operations of all batches and those still open after the last."""
     names = ["document_id", "started_at", "status", "completed_at", "error", "step_count"]
     closed = spark.read.parquet(f"{path}/closed").select(*names)
-    still = _open(spark, path, last_batch).where(F.col("document_id").isNotNull()).select(*names)
+    opened = spark.read.parquet(f"{path}/open")
+    last = opened.agg(F.max("batch")).scalar()
+    still = opened.where((F.col("batch") == last) & F.col("document_id").isNotNull()).select(*names)
     return closed.unionByName(still)

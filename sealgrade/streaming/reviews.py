@@ -26,10 +26,12 @@ def daily_accuracy(
     )
 
 
-def ingest_verdicts(spark: SparkSession, source: str, bronze: str, checkpoint: str) -> StreamingQuery:
+def ingest_verdicts(
+    spark: SparkSession, source: str, bronze: str, checkpoint: str, one_per_file: bool = True
+) -> StreamingQuery:
     """Append new verdict files below ``source`` to a bronze table, each once."""
     files = (
-        spark.readStream.schema(S.VERDICT).option("multiLine", True).option("mode", "DROPMALFORMED")
+        spark.readStream.schema(S.VERDICT).option("multiLine", one_per_file).option("mode", "DROPMALFORMED")
         .option("pathGlobFilter", "*.json").json(source)
         .withColumn("source_file", F.col("_metadata.file_path"))
         .where(~F.col("source_file").endswith("/learning_database.json"))
