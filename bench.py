@@ -34,7 +34,7 @@ def main() -> None:
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     spark = get_session(
         master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="12g",
-        spark__ui__showConsoleProgress="false",
+        spark__ui__showConsoleProgress="false", sealgrade__input__partitions=cpus,
     )
     spark.sparkContext.setLogLevel("ERROR")
     times = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sealgrade.catalog.common import LEARNING, NORMALIZED, SEGMENTS, first_words
 from sealgrade.operators import feedback as FB, learned as LN, patterns as P
+from sealgrade.session import stage
 from sealgrade.sources import adapters as A
 
 PAIR = "original_classification, human_classification"
@@ -17,7 +18,9 @@ def _learning(fn):
 
 
 def _normalized(fn):
-    return lambda spark, sf: fn(FB.normalize_feedback(A.learning_feedback(spark, sf)))
+    """Feedback is derived from texts here, so it is stored before several
+    aggregates read it."""
+    return lambda spark, sf: fn(stage(FB.normalize_feedback(A.learning_feedback(spark, sf))))
 
 
 def _rounded(df, *names):
@@ -103,7 +106,7 @@ def _rules_input(l: DataFrame) -> DataFrame:
 
 def _adjust(method):
     def run(spark, sf):
-        n = FB.normalize_feedback(_rules_input(A.learning_feedback(spark, sf)))
+        n = stage(FB.normalize_feedback(_rules_input(A.learning_feedback(spark, sf))))
         out = LN.adjust_confidence(
             _docs(spark, sf), P.accuracy_by_class(n), P.keyword_patterns(n), P.context_patterns(n),
             method=method)

@@ -113,6 +113,6 @@ def pii_values(
         return lambda m: F.struct(F.lit(pattern).alias("pattern"), m.alias("value"))
 
     found = F.flatten(F.array(*[
-        F.transform(D.pii_matches(F.col(text), rx), named(n)) for n, rx in patterns.items()
+        F.transform(D.pii_matches(F.col(text), n, rx), named(n)) for n, rx in patterns.items()
     ]))
     return df.select(*keys, F.inline(found))

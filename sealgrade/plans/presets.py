@@ -16,6 +16,7 @@ from sealgrade import vocab as V
 from sealgrade.functions import repair as R
 from sealgrade.operators import feedback as FB, learned as L, patterns as P, verdicts as M
 from sealgrade.operators.pagination import with_preview
+from sealgrade.session import stage
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,8 @@ class Learned:
 
 
 def learn(feedback: DataFrame) -> Learned:
-    normalized = FB.normalize_feedback(feedback)
+    """Patterns of all feedback, which is stored once: four aggregates read it."""
+    normalized = stage(FB.normalize_feedback(feedback))
     return Learned(
         feedback, P.accuracy_by_class(normalized), P.keyword_patterns(normalized),
         P.context_patterns(normalized),

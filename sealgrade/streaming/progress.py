@@ -15,17 +15,17 @@ from pyspark.sql.streaming import StreamingQuery
 from sealgrade import vocab as V
 from sealgrade.operators.running import running_sums
 
-OPERATION = (
-    "document_id", "status", "started_at", "completed_at", "error", "step_count", "last_message",
-)
-
-
 def _numbered(events: DataFrame) -> DataFrame:
-    """Events with the number of the operation of their document they fall into;
-    0 means before the first start. A document with very many events is split."""
-    start = F.when(F.col("kind") == "start", F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    """Events with ``op``, the number of the operation of their document they fall
+    into, and ``ended``, how often the document's operations were told to end up
+    to and including this event. Events before the first start are left out. A
+    document with very many events is split."""
+    def one(*kinds: str) -> Column:
+        return F.when(F.col("kind").isin(*kinds), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+
     return running_sums(
-        events, ["document_id"], ["event_ts", "seq"], {"op": start}
+        events, ["document_id"], ["event_ts", "seq"],
+        {"op": one("start"), "ended": one("complete", "error")},
     ).where(F.col("op") > 0)
 
 
@@ -38,34 +38,32 @@ def fold(events: DataFrame) -> DataFrame:
     if "steps_before" not in events.columns:
         events = events.withColumn("steps_before", F.lit(0).cast("bigint"))
     place = F.struct("event_ts", "seq")
-    is_end = F.col("kind").isin("complete", "error")
-    numbered = _numbered(events)
-    # where each operation ends, and the number of the document's last operation
-    ends = numbered.groupBy("document_id", "op").agg(
-        F.min_by(F.struct("event_ts", "seq"), F.when(F.col("kind") == "start", place)).alias("start"),
-        F.min(F.when(is_end, place)).alias("end"),
-        F.min_by(F.struct("kind", "message"), F.when(is_end, place)).alias("closing"),
+    kind = F.col("kind")
+    # the start and all steps before the end share the operation's lowest ``ended``
+    parts = _numbered(events).groupBy("document_id", "op", "ended").agg(
+        F.min(F.when(kind == "start", place)).alias("start"),
+        F.min(F.when(kind.isin("complete", "error"), F.struct("event_ts", "seq", "kind", "message")))
+        .alias("end"),
+        F.count_if(kind == "progress").alias("steps"),
+        F.max_by("message", F.when(kind == "progress", place)).alias("last_message"),
         F.sum("steps_before").alias("carried"),
     )
-    steps = numbered.where(F.col("kind") == "progress").select(
-        "document_id", "op", place.alias("at"), "message")
-    counted = steps.join(
-        ends.select("document_id", "op", "end"), ["document_id", "op"]
-    ).where(F.col("end").isNull() | (F.col("at") < F.col("end"))).groupBy("document_id", "op").agg(
-        F.count(F.lit(1)).alias("steps"), F.max_by("message", "at").alias("last_message"))
-    last = ends.groupBy("document_id").agg(F.max("op").alias("last_op"))
-    kept = ends.join(last, "document_id").where(
-        F.col("end").isNotNull() | (F.col("op") == F.col("last_op"))
-    ).join(counted, ["document_id", "op"], "left")
-    closed = F.col("end").isNotNull()
-    status = F.when(~closed, F.lit("active")).when(
-        F.col("closing.kind") == "error", F.lit("error")).otherwise(F.lit("completed"))
+    ops = parts.groupBy("document_id", "op").agg(
+        F.min("start").alias("start"), F.min("end").alias("end"),
+        F.min_by(F.struct("steps", "last_message"), "ended").alias("open"),
+        F.sum("carried").alias("carried"),
+    )
+    last = ops.groupBy("document_id").agg(F.max("op").alias("last_op"))
+    kept = ops.join(last, "document_id").where(
+        F.col("end").isNotNull() | (F.col("op") == F.col("last_op")))
+    status = F.when(F.col("end").isNull(), F.lit("active")).when(
+        F.col("end.kind") == "error", F.lit("error")).otherwise(F.lit("completed"))
     rows = kept.select(
         "document_id", "op", status.alias("status"), F.col("start.event_ts").alias("started_at"),
-        F.col("start.seq").alias("start_seq"),
-        F.col("end.event_ts").alias("completed_at"),
-        F.when(status == "error", F.col("closing.message")).alias("error"),
-        (F.coalesce("steps", F.lit(0)) + F.col("carried")).alias("step_count"), "last_message",
+        F.col("start.seq").alias("start_seq"), F.col("end.event_ts").alias("completed_at"),
+        F.when(status == "error", F.col("end.message")).alias("error"),
+        (F.col("open.steps") + F.col("carried")).alias("step_count"),
+        F.col("open.last_message").alias("last_message"),
     )
     # one entry per (document, start); the first to close wins, open ones come last
     return rows.groupBy("document_id", "started_at").agg(
@@ -77,15 +75,14 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def steps_table(events: DataFrame) -> DataFrame:
-    """The steps of operations, one row each, numbered within their document's
-    operation; kept as rows since one operation may have very many."""
+    """The steps of operations, one row each; kept as rows since one operation may
+    have very many."""
     numbered = _numbered(events)
-    ends = numbered.where(F.col("kind").isin("complete", "error")).groupBy("document_id", "op").agg(
-        F.min(F.struct("event_ts", "seq")).alias("end"))
-    at = F.struct("event_ts", "seq")
+    first = numbered.where(F.col("kind") == "start").select(
+        "document_id", "op", F.col("ended").alias("before"))
     return numbered.where(F.col("kind") == "progress").join(
-        ends, ["document_id", "op"], "left"
-    ).where(F.col("end").isNull() | (at < F.col("end"))).select(
+        first, ["document_id", "op"]
+    ).where(F.col("ended") == F.col("before")).select(
         "document_id", "op", "event_ts", "seq", "message", step_tag(F.col("message")).alias("tag"))
 
 
@@ -125,7 +122,8 @@ def step_tag(message: Column) -> Column:
 # --- stream -----------------------------------------------------------------
 
 def stream_operations(
-    events: DataFrame, path: str, checkpoint: str, minutes: int = V.STALE_MINUTES,
+    events: DataFrame, path: str, checkpoint: str, expire_each_batch: bool = False,
+    minutes: int = V.STALE_MINUTES,
 ) -> StreamingQuery:
     """Keep operations up to date from an event stream.
 
@@ -135,6 +133,11 @@ def stream_operations(
     and ``<path>/open/batch=<n>`` what it left open, with the clock. Both are
     overwritten when a batch is repeated, so results are exactly once. Events
     are expected in order across batches; within one they may come in any order.
+
+    Open operations are carried on, at most one per document, and shown as
+    interrupted when read late (``streamed_operations``). ``expire_each_batch``
+    closes stale ones for good after each batch, which bounds what is carried by
+    the documents active within ``minutes``.
     """
     spark = events.sparkSession
 
@@ -143,13 +146,15 @@ def stream_operations(
             "steps_before", F.lit(0).cast("bigint"))
         clock = batch.agg(F.max("event_ts").alias("t"))
         if n > 0:
-            carried = _open(spark, path, n - 1)
+            carried = spark.read.parquet(f"{path}/open/batch={n - 1}")
             batch = batch.unionByName(carried.where(F.col("document_id").isNotNull()).select(
                 "document_id", F.col("started_at").alias("event_ts"), F.col("start_seq").alias("seq"),
                 F.lit("start").alias("kind"), F.col("last_message").alias("message"),
                 F.col("step_count").alias("steps_before")))
             clock = clock.unionByName(carried.select(F.col("clock").alias("t"))).agg(F.max("t").alias("t"))
-        ops = expire(fold(batch), clock.scalar(), minutes)
+        ops = fold(batch)
+        if expire_each_batch:
+            ops = expire(ops, clock.scalar(), minutes)
         ops.where(F.col("status") != "active").write.mode("overwrite").parquet(
             f"{path}/closed/batch={n}")
         # a row without document keeps the clock when nothing is open
@@ -165,15 +170,14 @@ def stream_operations(
     )
 
 
-def _open(spark: SparkSession, path: str, n: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/open/batch={n}")
-
-
-def streamed_operations(spark: SparkSession, path: str) -> DataFrame:
-    """Closed operations of all batches and those still open after the last."""
+def streamed_operations(
+    spark: SparkSession, path: str, minutes: int = V.STALE_MINUTES
+) -> DataFrame:
+    """Closed operations of all batches and those open after the last; the stale
+    ones among these are shown as interrupted."""
     names = ["document_id", "started_at", "status", "completed_at", "error", "step_count"]
     closed = spark.read.parquet(f"{path}/closed").select(*names)
     opened = spark.read.parquet(f"{path}/open")
     last = opened.agg(F.max("batch")).scalar()
-    still = opened.where((F.col("batch") == last) & F.col("document_id").isNotNull()).select(*names)
-    return closed.unionByName(still)
+    still = opened.where((F.col("batch") == last) & F.col("document_id").isNotNull())
+    return closed.unionByName(expire(still, F.col("clock"), minutes).select(*names))
