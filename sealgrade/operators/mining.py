@@ -84,10 +84,20 @@ def cluster_pipeline(
     ])
 
 
-def cluster(features: DataFrame, **options) -> tuple[PipelineModel, DataFrame]:
+def cluster(
+    features: DataFrame, columns: Sequence[str] = CLUSTER_COLUMNS, k: int = V.CLUSTERS, **options
+) -> tuple[PipelineModel | None, DataFrame]:
     """Fit and assign. ``features`` is read once per iteration: pass a stored
-    table or the output of ``stage``."""
-    model = cluster_pipeline(**options).fit(features)
+    table or the output of ``stage``.
+
+    k-means cannot place more centres than there are different points, so ``k``
+    is lowered to their number; with fewer than two, all rows are cluster 0 and
+    there is no model.
+    """
+    different = features.select(*columns).na.drop().distinct().limit(k).count()
+    if different < 2:
+        return None, features.na.drop(subset=list(columns)).withColumn("cluster", F.lit(0))
+    model = cluster_pipeline(columns, min(k, different), **options).fit(features)
     return model, model.transform(features)
 
 
