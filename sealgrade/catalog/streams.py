@@ -70,19 +70,34 @@ def _ingested(spark, sf) -> DataFrame:
     return spark.read.parquet(bronze).select("document_id", "filename", "classification", "confidence")
 
 
-def _upserted(spark, sf) -> DataFrame:
-    l = A.learning_feedback(spark, sf)
-    columns = ["document_id", "seq", "reviewer_id", "approved", "corrected_classification",
-               "original_classification", "timestamp"]
-    learning = SnapshotTable(spark, scratch_dir(spark))
-    verdicts = SnapshotTable(spark, scratch_dir(spark))
-    learning.overwrite(l.select(*columns).limit(0))
-    verdicts.overwrite(A.classifications(spark, sf).select(
-        "document_id", "classification", "requires_review"))
-    stream = _stream_of(spark, l.select(*columns))
-    RV.upsert_reviews(stream, learning, verdicts, scratch_dir(spark)).awaitTermination()
-    return verdicts.read().select(
-        "document_id", "classification", "requires_review", "human_reviewed", "reviewed_by")
+def _reviewed(merge: bool):
+    """Reviews logged by the stream; half of them merged into the tables or all
+    applied when read."""
+    def run(spark, sf) -> DataFrame:
+        columns = ["document_id", "seq", "reviewer_id", "approved", "corrected_classification",
+                   "original_classification", "timestamp"]
+        reviews = A.learning_feedback(spark, sf).select(*columns)
+        verdicts = SnapshotTable(spark, scratch_dir(spark))
+        verdicts.overwrite(A.classifications(spark, sf).select(
+            "document_id", "classification", "requires_review"))
+        path = scratch_dir(spark)
+        RV.log_reviews(_stream_of(spark, reviews), path, scratch_dir(spark)).awaitTermination()
+        log = spark.read.schema(reviews.schema).parquet(path)
+        if merge:
+            learning = SnapshotTable(spark, scratch_dir(spark))
+            learning.overwrite(reviews.limit(0))
+            middle = log.approxQuantile("seq", [0.5], 0.01)[0]
+            RV.merge_reviews(learning, verdicts, log.where(F.col("seq") <= middle))
+        return RV.reviewed_verdicts(verdicts, log).select(
+            "document_id", "classification", "requires_review", "human_reviewed", "reviewed_by")
+    return run
+
+
+_REVIEWED = f"""WITH {LEARNING} SELECT k.document_id,
+  coalesce(l.corrected_classification, k.classification) AS classification,
+  CASE WHEN l.document_id IS NULL THEN k.requires_review ELSE false END AS requires_review,
+  l.document_id IS NOT NULL AS human_reviewed, l.reviewer_id AS reviewed_by
+  FROM K k LEFT JOIN L l USING (document_id)"""
 
 
 def _exported(spark, sf) -> DataFrame:
@@ -140,13 +155,8 @@ QUERIES = {
         _ingested,
         f"""WITH {LEARNING} SELECT CAST(document_id AS VARCHAR) AS document_id, filename, classification,
         confidence FROM K"""),
-    "w06_upserted_reviews": (
-        _upserted,
-        f"""WITH {LEARNING} SELECT k.document_id,
-        coalesce(l.corrected_classification, k.classification) AS classification,
-        CASE WHEN l.document_id IS NULL THEN k.requires_review ELSE false END AS requires_review,
-        l.document_id IS NOT NULL AS human_reviewed, l.reviewer_id AS reviewed_by
-        FROM K k LEFT JOIN L l USING (document_id)"""),
+    "w06_reviewed_verdicts": (_reviewed(merge=False), _REVIEWED),
+    "w06_merged_reviews": (_reviewed(merge=True), _REVIEWED),
     "w07_step_tags": (
         lambda s, sf: A.table(s, sf, "events").select(
             "event_id", PR.step_tag(F.concat(

@@ -24,21 +24,17 @@ ROLES = (
 def responses_by_role(responses: DataFrame, roles: Sequence[str] = ROLES, images: bool = True) -> DataFrame:
     """One row per document with a column per role and an ``images`` array.
 
-    Plain conditional aggregation: one shuffle, combined before it. Image answers
-    beyond the analysed number are left out before they are gathered.
+    Plain conditional aggregation: one shuffle, combined before it, and no list is
+    gathered. Answers about images beyond the analysed number are left out.
     """
     columns = [F.max(F.when(F.col("role") == r, F.col("response_text"))).alias(r) for r in roles]
     if images:
-        wanted = (F.col("role") == "images") & (F.col("item") < V.MAX_ANALYSED_IMAGES)
-        columns.append(
-            F.array_sort(F.collect_list(F.when(wanted, F.struct("item", "response_text")))).alias("_images")
-        )
-    pivoted = responses.groupBy("document_id").agg(*columns)
-    if not images:
-        return pivoted
-    return pivoted.withColumn(
-        "images", F.transform("_images", lambda x: x["response_text"])
-    ).drop("_images")
+        # one slot per analysed image: missing answers stay null in their place
+        columns.append(F.array(*[
+            F.max(F.when((F.col("role") == "images") & (F.col("item") == i), F.col("response_text")))
+            for i in range(V.MAX_ANALYSED_IMAGES)
+        ]).alias("images"))
+    return responses.groupBy("document_id").agg(*columns)
 
 
 def read_verdicts(

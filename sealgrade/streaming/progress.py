@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sealgrade import vocab as V
 from sealgrade.operators.running import running_sums
+from sealgrade.session import stage
 
 def _numbered(events: DataFrame) -> DataFrame:
     """Events with ``op``, the number of the operation of their document they fall
@@ -155,6 +156,7 @@ def stream_operations(
         ops = fold(batch)
         if expire_each_batch:
             ops = expire(ops, clock.scalar(), minutes)
+        ops = stage(ops)  # both writes below read it
         ops.where(F.col("status") != "active").write.mode("overwrite").parquet(
             f"{path}/closed/batch={n}")
         # a row without document keeps the clock when nothing is open

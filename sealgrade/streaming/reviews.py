@@ -43,24 +43,40 @@ def ingest_verdicts(
     )
 
 
-def upsert_reviews(
-    feedback: DataFrame, learning: SnapshotTable, verdicts: SnapshotTable, checkpoint: str
-) -> StreamingQuery:
-    """Per micro-batch: upsert the learning table, then apply the reviews to the
-    verdicts. The batch id is stored with each write, and a batch that is
-    repeated starts from the version before its own, so it changes nothing twice.
-    """
-    def step(batch: DataFrame, n: int) -> None:
-        for table, change in ((learning, upsert_learning), (verdicts, apply_feedback)):
-            table.overwrite(change(_before(table, n), batch), f"BATCH {n}")
-
+def log_reviews(feedback: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append incoming reviews to a log, each once. ``seq`` must increase over the
+    whole stream. A micro-batch costs its own size, however large the verdict
+    table is: reviews meet verdicts when read (``reviewed_verdicts``) and are
+    folded into the tables now and then (``merge_reviews``)."""
     return (
-        feedback.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        feedback.writeStream.format("parquet").option("path", path)
+        .option("checkpointLocation", checkpoint).outputMode("append")
         .trigger(availableNow=True).start()
     )
 
 
-def _before(table: SnapshotTable, n: int) -> DataFrame:
-    """The table as it was before batch ``n`` was first written."""
-    done = table.history().where(F.col("operation") == f"BATCH {n}").agg(F.min("version")).first()[0]
-    return table.read() if done is None else table.as_of(done - 1)
+def _merged_through(verdicts: SnapshotTable) -> int:
+    merges = verdicts.history().where(F.col("operation").startswith("MERGE "))
+    last = merges.agg(F.max(F.substring("operation", 7, 20).cast("bigint"))).first()[0]
+    return -1 if last is None else last
+
+
+def reviewed_verdicts(verdicts: SnapshotTable, log: DataFrame) -> DataFrame:
+    """Verdicts with all logged reviews applied."""
+    return apply_feedback(verdicts.read(), log.where(F.col("seq") > _merged_through(verdicts)))
+
+
+def merge_reviews(learning: SnapshotTable, verdicts: SnapshotTable, log: DataFrame) -> None:
+    """Fold logged reviews into both tables.
+
+    The verdict table's history records how far it has come, and the learning
+    table is written first and by upsert, so a merge that failed half-way can be
+    repeated, and one that is repeated changes nothing.
+    """
+    done = _merged_through(verdicts)
+    through = log.agg(F.max("seq")).first()[0]
+    if through is None or through <= done:
+        return
+    fresh = log.where((F.col("seq") > done) & (F.col("seq") <= through))
+    learning.overwrite(upsert_learning(learning.read(), fresh), f"MERGE {through}")
+    verdicts.overwrite(apply_feedback(verdicts.read(), fresh), f"MERGE {through}")

@@ -126,7 +126,7 @@ def test_daily_accuracy_window(spark, rows, tmp_path):
     assert got == {1: (8 / 24, 24), 2: (8 / 24, 24), 3: (4 / 12, 12)}
 
 
-def test_review_stream_is_repeatable(spark, rows, tmp_path):
+def test_reviews_are_logged_merged_and_repeatable(spark, rows, tmp_path):
     ddl = ("document_id string, seq bigint, reviewer_id string, approved boolean, "
            "corrected_classification string, original_classification string, timestamp string")
     learning = SnapshotTable(spark, str(tmp_path / "l"))
@@ -134,18 +134,25 @@ def test_review_stream_is_repeatable(spark, rows, tmp_path):
     learning.overwrite(rows([("a", 0, "r0", True, None, "Public", "t")], ddl))
     verdicts.overwrite(rows([("a", "Public", True), ("b", "Public", True)],
                             "document_id string, classification string, requires_review boolean"))
-    rows([("a", 0, "r1", False, "Unsafe", "Public", "t")], ddl).write.parquet(str(tmp_path / "in"))
+    log, mark = str(tmp_path / "log"), str(tmp_path / "m")
 
-    def run(mark):
+    def state():
+        got = {r["document_id"]: (r["classification"], r["original_classification"], r["requires_review"])
+               for r in RV.reviewed_verdicts(verdicts, spark.read.schema(ddl).parquet(log)).collect()}
+        return got
+
+    for n, to in ((1, "Unsafe"), (2, "Confidential")):
+        rows([("a", n, f"r{n}", False, to, "Public", "t")], ddl).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(rows([], ddl).schema).parquet(str(tmp_path / "in"))
-        RV.upsert_reviews(stream, learning, verdicts, str(tmp_path / mark)).awaitTermination()
-        got = {r["document_id"]: (r["classification"], r["requires_review"]) for r in verdicts.read().collect()}
-        return got, [(r["document_id"], r["reviewer_id"]) for r in learning.read().collect()]
-
-    first = run("m1")
-    assert first == ({"a": ("Unsafe", False), "b": ("Public", True)}, [("a", "r1")])
-    # the same batch again, as after a failure before its commit
-    assert run("m2") == first
+        RV.log_reviews(stream, log, mark).awaitTermination()
+        before = state()
+        for _ in range(2):
+            RV.merge_reviews(learning, verdicts, spark.read.schema(ddl).parquet(log))
+            assert state() == before
+        assert [(r["document_id"], r["reviewer_id"]) for r in learning.read().collect()] == [("a", f"r{n}")]
+    assert before == {"a": ("Confidential", "Unsafe", False), "b": ("Public", None, True)}
+    # the second call of each round found nothing to merge
+    assert verdicts.latest() == 2
 
 
 def test_ingest_takes_each_file_once(spark, tmp_path):
