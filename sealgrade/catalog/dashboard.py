@@ -180,7 +180,7 @@ QUERIES = {
         lambda s, sf: _clustered(s, sf).select(
             "document_id", "classification", "confidence", "segment_count", "cluster"), None),
     "k04_potential_errors": (
-        lambda s, sf: M.potential_errors(_features(s, sf)).select(
+        lambda s, sf: M.potential_errors(A.classifications(s, sf)).select(
             "document_id", "classification", "confidence", "segment_count"),
         f"""WITH {K} SELECT document_id, classification, confidence, segment_count FROM K
         WHERE confidence < 0.90 AND segment_count >= 2"""),
