@@ -35,6 +35,14 @@ def _clustered(spark, sf):
     return M.cluster(stage(features))[1]
 
 
+def _given(spark, sf):
+    """All documents in clusters known beforehand, so that the cluster reports can
+    be checked; every second one is in cluster 0."""
+    doc = F.col("document_id")
+    return _features(spark, sf).withColumn(
+        "cluster", F.when(doc % 2 == 0, 0).otherwise((doc % 9).cast("int")))
+
+
 def _rounded(df, *names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -47,7 +55,33 @@ A01 AS (
     CAST(NOT is_safe AS INTEGER) AS is_unsafe
   FROM K)"""
 
+_GIVEN = f"""{_A01},
+G AS (SELECT *, CASE WHEN document_id % 2 = 0 THEN 0 ELSE document_id % 9 END AS cluster FROM A01)"""
+
 QUERIES = {
+    "a03_cluster_summary_given_clusters": (
+        lambda s, sf: M.cluster_summary(_given(s, sf)),
+        f"""WITH {_GIVEN} SELECT cluster, count(*) AS doc_count,
+        round(avg(confidence), 4) AS avg_confidence, round(avg(segment_count), 2) AS avg_segments,
+        CAST(sum(is_unsafe) AS BIGINT) AS unsafe_count FROM G GROUP BY cluster"""),
+    "a04_class_patterns_given_clusters": (
+        lambda s, sf: M.class_patterns(_given(s, sf)),
+        f"""WITH {_GIVEN} SELECT classification, cluster, count(*) AS count,
+        round(avg(confidence), 4) AS avg_confidence FROM G GROUP BY classification, cluster"""),
+    "c08_top_patterns_given_clusters": (
+        lambda s, sf: M.top_patterns(
+            M.class_patterns(_given(s, sf)), 5, order=("classification", "cluster")),
+        f"""WITH {_GIVEN} SELECT classification, cluster, count(*) AS count,
+        round(avg(confidence), 4) AS avg_confidence FROM G GROUP BY classification, cluster
+        ORDER BY count DESC, classification, cluster LIMIT 5"""),
+    "a05_training_examples_given_clusters": (
+        lambda s, sf: M.training_examples(_given(s, sf)),
+        f"""WITH {_GIVEN} SELECT cluster, document_id, classification, confidence, segment_count,
+        count(*) OVER (PARTITION BY cluster) AS count FROM G"""),
+    "r01_representatives_given_clusters": (
+        lambda s, sf: M.representatives(_given(s, sf)),
+        f"""WITH {_GIVEN} SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY document_id)
+        AS rank, document_id, classification, confidence, segment_count FROM G QUALIFY rank <= 3"""),
     "a01_error_features": (_features, f"WITH {_A01} SELECT * FROM A01"),
     "a02_corrections": (
         _learning(M.corrected),

@@ -392,9 +392,11 @@ QUERIES = {
         ELSE 'Reclassified to ' || corrected_classification END AS feedback_notes FROM L"""),
     "l07_feedback_intake": (
         lambda s, sf: _nested(s, sf).select(
-            "document_id", "original_classification", "corrected_classification",
-            F.size("key_indicators").alias("n_indicators"),
-            F.length("learning_instruction").alias("n_instruction")), None),
+            "document_id", "original_classification", "corrected_classification", "feedback_notes",
+            F.col("learning_instruction").isNotNull().alias("has_instruction")),
+        f"""WITH {LEARNING} SELECT document_id, original_classification, corrected_classification,
+        'Reclassified to ' || corrected_classification AS feedback_notes,
+        true AS has_instruction FROM L WHERE NOT approved"""),
     "r02_learned_examples": (
         _normalized(lambda n: FB.learned_examples(n).drop("timestamp")),
         f"WITH {NORMALIZED}, E AS ({_EXAMPLES}) SELECT * FROM E WHERE rank <= 3"),
