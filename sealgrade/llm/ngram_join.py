@@ -9,7 +9,8 @@ reaches the target recall.
 Buckets compare fixed-size sketches (the smallest hash of each of 128 bins) and only give candidate
 links. Candidates' components then compare whole shingle sets, each pair of blocks once, so every
 reported link is exact, and pairs that no bucket brought together but that share a component
-are found as well. Equal sets are one class and are compared once.
+are found as well. Equal sets are one class and are compared once. Joins whose smaller side grows
+with the input are marked for merging, so the plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from sealgrade.llm.common import (
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Levels of splitting, size up to which a bucket is not split, and the splitting rate.
-DEPTH, LIMIT, SPLIT = 3, 64, 0.65
+DEPTH, LIMIT, SPLIT = 3, 4_096, 0.65
 #: Bins of a sketch; rows and tokens of a block.
 BINS, SKETCH_BLOCK, SET_BLOCK, TOKEN_BLOCK = 128, 1_024, 256, 2_000_000
 #: Products of a path and a token that are formed at once.
@@ -110,23 +111,25 @@ def _scan(k: int, runs: int):
     return run, f"d long, k long, doc_id long, q1 long, q2 long, n long, sketch binary, {paths}"
 
 
-def _buckets(scratch: Scratch, reps: DataFrame) -> DataFrame:
-    """``q1, bucket, size``: the buckets of two sets or more where the recursion ends."""
+def _buckets(scratch: Scratch, scanned: DataFrame) -> DataFrame:
+    """``q1, bucket, size``: the buckets of two classes or more where the recursion ends."""
     out, large = None, None
     for level in range(1, DEPTH + 1):
         pairs = F.explode(F.arrays_zip(F.col(f"up{level}").alias("up"), F.col(f"path{level}").alias("bucket")))
-        nodes = reps.select("q1", pairs.alias("p")).select("q1", "p.up", "p.bucket")
+        nodes = scanned.select("q1", pairs.alias("p")).select("q1", "p.up", "p.bucket")
         if large is not None:
             nodes = nodes.join(large.select(F.col("bucket").alias("up")), "up", "left_semi")
         nodes = nodes.select("q1", "bucket")
-        if large is not None:
-            nodes = scratch.keep(nodes)
-        sizes = scratch.keep(nodes.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+        # copies of a class raise the count, at worst a split too many
+        sizes = scratch.keep(
+            nodes.groupBy("bucket").agg(F.count("*").alias("size"), F.min("q1").alias("a"), F.max("q1").alias("b"))
+            .where("a < b").select("bucket", "size")
+        )
         ends = sizes if level == DEPTH else sizes.where(F.col("size") <= LIMIT)
-        found = nodes.join(ends, "bucket")
+        found = nodes.join(ends.hint("merge"), "bucket")
         out = found if out is None else out.unionByName(found)
         large = sizes.where(F.col("size") > LIMIT)
-    return out
+    return out.distinct()
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -281,24 +284,23 @@ def similar_documents(
     scanned = scratch.keep(docs.select("d", "k", "doc_id", "text").mapInArrow(run, schema))
     narrow = scanned.select("doc_id", "d", "k", "q1", "q2")
     classes = scratch.keep(
-        narrow.where("q1 is not null").groupBy("q1", "q2").agg(
-            F.min("d").alias("cls"), F.count("*").alias("copies"), F.min("k").alias("k")
+        scanned.where("q1 is not null").groupBy("q1", "q2").agg(
+            F.min("d").alias("cls"), F.count("*").alias("copies"), F.min("k").alias("k"),
+            F.max("n").alias("n"), F.any_value("sketch").alias("sketch"),
         )
     )
-    reps = scratch.keep(scanned.drop("doc_id", "d").join(classes.drop("cls"), ["q1", "q2", "k"]))
-    found = scratch.keep(_buckets(scratch, reps))
-    met = found.join(reps.select("q1", "n", "sketch"), "q1")
+    found = scratch.keep(_buckets(scratch, scanned))
+    met = found.join(classes.select("q1", "n", "sketch").hint("merge"), "q1")
     met = blocks(met, "bucket", F.ceil(F.col("size") / SKETCH_BLOCK), "q1")
     pairs = scratch.keep(by_sorted_groups(met, ["bucket", "a", "b"], _candidates(threshold), "u long, v long"))
     scratch.drop(found)
     groups = components(scratch, pairs)
     scratch.drop(pairs)
     wanted = scratch.keep(
-        reps.select("q1", "k", "n", "copies").join(groups.withColumnRenamed("node", "q1"), "q1")
+        classes.select("q1", "k", "n", "copies").join(groups.withColumnRenamed("node", "q1"), "q1")
         .dropDuplicates(["q1"])
     )
-    scratch.drop(reps)
-    texts = docs.select("k", "text").join(wanted, "k")
+    texts = docs.select("k", "text").join(wanted.hint("merge"), "k")
     sets = scratch.keep(
         texts.mapInArrow(_sets(shingle), "k long, q1 long, n long, copies long, component long, tokens array<long>")
         .dropDuplicates(["q1"])
@@ -312,9 +314,9 @@ def similar_documents(
     scratch.drop(sets, sizes, wanted)
     degree = scratch.keep(links.groupBy(F.col("u").alias("q1")).agg(F.sum("n_links").alias("linked")))
     groups = components(scratch, links.select("u", "v").where("u != v")).withColumnRenamed("node", "q1")
-    named = scratch.keep(classes.join(groups, "q1").groupBy("component").agg(F.min("cls").alias("least")))
+    named = scratch.keep(classes.drop("sketch").join(groups, "q1").groupBy("component").agg(F.min("cls").alias("least")))
     known = scratch.keep(
-        classes.join(degree, "q1", "left").join(groups, "q1", "left").join(named, "component", "left")
+        classes.drop("sketch").join(degree, "q1", "left").join(groups, "q1", "left").join(named, "component", "left")
         .select("q1", "q2", "cls", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
                 F.coalesce("least", "cls").alias("least"))
     )

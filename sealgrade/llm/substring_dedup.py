@@ -11,7 +11,8 @@ so a repeated window repeats that hash too. About a fifth of the windows bring a
 anchor, and only windows with an anchor seen in two documents become edges. Whole copies of a
 document are known by their digest, and all but the first are left out before. Anchors that very many
 documents share are known to repeat and never meet in one task; edges combine before the
-shuffle, and the join that marks path ends may be split.
+shuffle, and the join that marks path ends may be split. Joins whose smaller side grows with the
+input are marked for merging, so the plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, scanned: DataFrame, k: int
     """``d, k, spans``: first and last window of each passage to remove from a document."""
     found = _repeated_anchors(scratch, scanned)
     run, schema = _edges(k)
-    kept = scratch.keep(docs.join(found, "k").select("d", "k", "text", "found").mapInArrow(run, schema))
+    kept = scratch.keep(docs.join(found.hint("merge"), "k").select("d", "k", "text", "found").mapInArrow(run, schema))
     scratch.drop(found)
     pos, h1, h2 = F.col("pos"), F.col("h1"), F.col("h2")
     occ = kept.select("d", "k", F.explode(F.transform(pos, lambda p, i: F.struct(
@@ -181,7 +182,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, scanned: DataFrame, k: int
     )
     ends = scratch.keep(ends)
     scratch.drop(edges, links)
-    marked = scratch.keep(occ.select("d", "k", "pos", "h1", "h2").join(ends, ["h1", "h2"]))
+    marked = scratch.keep(occ.select("d", "k", "pos", "h1", "h2").join(ends.hint("merge"), ["h1", "h2"]))
     w = Window.partitionBy("k", "d").orderBy("pos")
     mate = F.lead(F.struct("pos", "h1", "h2", "tail")).over(w)
     paths = scratch.keep(
@@ -223,10 +224,10 @@ def remove_repeats(documents: DataFrame, k: int = K) -> DataFrame:
         .where("first < final").drop("final")
     )
     whole = scratch.keep(narrow.join(first, "sha").where("d > first").select("d", "k").distinct())
-    singles = scanned.where(F.size("anchors") > 0).select("d", "k", "anchors").join(whole, ["d", "k"], "left_anti")
+    singles = scanned.where(F.size("anchors") > 0).select("d", "k", "anchors").join(whole.hint("merge"), ["d", "k"], "left_anti")
     spans = repeated_spans(scratch, docs, singles, k)
     run, schema = _cut(k)
-    cut = scratch.keep(docs.join(spans, ["d", "k"]).select("d", "k", "text", "spans").mapInArrow(run, schema).distinct())
+    cut = scratch.keep(docs.join(spans.hint("merge"), ["d", "k"]).select("d", "k", "text", "spans").mapInArrow(run, schema).distinct())
     empty = hashlib.sha256(b"").hexdigest()
     return (
         narrow.join(whole.withColumn("copy", F.lit(True)), ["d", "k"], "left").join(cut, ["d", "k"], "left")
