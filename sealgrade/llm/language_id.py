@@ -76,10 +76,6 @@ class Model:
     temperature: float = 1.0
     reject_below: float = 0.0
 
-    def logits(self, text: str | None) -> np.ndarray | None:
-        low = self.embeddings @ self.weights if self.weights.shape[1] <= DIMENSIONS else self.embeddings
-        return self._logits(text, low)
-
     def _logits(self, text: str | None, by_bucket: np.ndarray) -> np.ndarray | None:
         total, n = 0.0, 0
         for idx in subwords(text):
@@ -221,6 +217,20 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
+def accepted_only(documents: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``documents``, all columns, whose language is recognised; nothing is shuffled."""
+    small_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            out = m.predict(b.column("text").to_pylist()) if m else [(UNKNOWN, 0.0)] * b.num_rows
+            yield b.filter(pa.array([p[0] != UNKNOWN and p[1] >= m.reject_below for p in out], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 

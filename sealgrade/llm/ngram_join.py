@@ -331,6 +331,13 @@ def similar_documents(
     )
 
 
+def one_of_each_group(documents: DataFrame, **options) -> DataFrame:
+    """The rows of ``documents``, all columns, that ``similar_documents`` keeps."""
+    kept = similar_documents(documents, **options).where("kept").select(F.col("k").alias("_k")).distinct()
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    return documents.withColumn("_k", key).join(kept.hint("merge"), "_k", "left_semi").drop("_k").select(*documents.columns)
+
+
 def op6_ngram_jaccard_join(spark, sf_dir):
     return similar_documents(table(spark, sf_dir, "documents")).drop("k")
 

@@ -171,6 +171,24 @@ def find_personal_data(documents: DataFrame, redacted: bool = True) -> DataFrame
     return rows.mapInArrow(run, schema)
 
 
+def without_personal_data(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents``, all columns, with redacted ``text`` and, if there, ``n_chars`` of that text."""
+    small_batches(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton()
+        for b in batches:
+            texts = [None if t is None else redact(t, find(t, automaton)) for t in b.column("text").to_pylist()]
+            out = b.set_column(b.schema.get_field_index("text"), b.schema.field("text"), pa.array(texts, pa.string()))
+            if "n_chars" in b.schema.names:
+                sizes = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                field = b.schema.field("n_chars")
+                out = out.set_column(b.schema.get_field_index("n_chars"), field, sizes.cast(field.type))
+            yield out
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op10_pii(spark, sf_dir):
     found = find_personal_data(table(spark, sf_dir, "documents"), redacted=False)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
