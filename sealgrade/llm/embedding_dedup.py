@@ -3,7 +3,8 @@
 Cells only say who meets whom. Two unit vectors of cosine ``t`` are at most ``sqrt(2 - 2 t)`` apart,
 so if they lie in two cells, one of them is within half of that of the plane between the two
 centres. A vector that close to another cell's plane is sent there too; every pair at or above the
-threshold then meets, whatever the centres, and the result is exact (recall 1).
+threshold then meets, whatever the centres, and the result is exact (recall 1). Guests of a cell are
+compared with its own vectors only.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealgrade.llm.common import Scratch, blocks, by_sorted_groups, components, local_components, small_batches, table
+from sealgrade.llm.common import Scratch, by_sorted_groups, components, local_components, small_batches, table
 
 #: Vectors a cell should hold, most centres, rows and bytes of the sample they are fitted on.
 CELL, MAX_CELLS, SAMPLE, SAMPLE_BYTES = 1_000, 4_096, 20_000, 64_000_000
-#: Vectors of a block; a task compares two blocks.
-BLOCK = 512
+#: Vectors of a block of a cell's own vectors and of its guests; a task compares two blocks.
+BLOCK, GUESTS = 1_024, 4_096
+#: Guests' blocks are numbered from here.
+FIRST_GUEST = 1 << 40
 THRESHOLD = 0.9
 
 
@@ -38,9 +41,13 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     return np.unique(centres, axis=0)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+def unit_rows(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    """Vectors of one length as unit rows in double precision."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten(), np.float64).reshape(n, -1)
+    x = np.asarray(column.flatten(), np.float64).reshape(n, -1)
+    # by the largest value first: no square overflows or vanishes
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _assign(centres: np.ndarray | None, threshold: float):
@@ -55,8 +62,10 @@ def _assign(centres: np.ndarray | None, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, cell, home, cells = [], [], [], []
-            for i, v in enumerate(b.column("x")):
-                x = v.values.to_numpy(zero_copy_only=False)
+            for i, v in enumerate(b.column("v")):
+                x = np.asarray(v.values, np.float64)
+                x = x / np.abs(x).max()
+                x = x / np.sqrt((x * x).sum())
                 if centres is None or len(x) != centres.shape[1]:
                     near, here = [0], 0
                 else:
@@ -83,25 +92,21 @@ def _compare(threshold: float):
         ids = t.column("cls").to_numpy()
         order = np.argsort(ids, kind="stable")
         t, ids = t.take(order), ids[order]
-        x = _matrix(t.column("x"), len(ids))
         blk, home, cell = (t.column(c).to_numpy() for c in ("blk", "home", "cell"))
-        copies = t.column("copies").to_numpy()
-        ok = np.triu(x @ x.T >= threshold, 1)
-        if t.column("a")[0].as_py() != t.column("b")[0].as_py():
-            ok &= blk[:, None] != blk[None, :]
-        i, j = np.nonzero(ok)
-        here = cell[0]
-        native = home == here
-        keep = native[i] | native[j]
-        i, j = i[keep], j[keep]
-        if len(i) and not native.all():
+        a, b, here = t.column("a")[0].as_py(), t.column("b")[0].as_py(), cell[0]
+        left, right = np.flatnonzero(blk == a), np.flatnonzero(blk == b)
+        if not len(left) or not len(right):
+            return None
+        x = unit_rows(t.column("v"), len(ids))
+        ok = x[left] @ x[right].T >= threshold
+        i, j = np.nonzero(np.triu(ok, 1) if a == b else ok)
+        i, j = left[i], right[j]
+        if len(i) and b >= FIRST_GUEST:
+            # a pair that also meets in the guest's cell counts in the lower numbered one
             cells = t.column("cells").to_pylist()
-            first = np.ones(len(i), bool)
-            for n, (p, q) in enumerate(zip(i, j, strict=True)):
-                if native[p] != native[q]:
-                    own, guest = (p, q) if native[p] else (q, p)
-                    first[n] = not (home[guest] < here and home[guest] in cells[own])
+            first = [not (home[q] < here and home[q] in cells[p]) for p, q in zip(i, j, strict=True)]
             i, j = i[first], j[first]
+        copies = t.column("copies").to_numpy()
         if not len(i):
             return None
         n_links = np.zeros(len(ids), np.int64)
@@ -123,9 +128,27 @@ def _compare(threshold: float):
     return run
 
 
+def block_pairs(placed: DataFrame) -> DataFrame:
+    """A row for each pair of blocks (a, b) of a cell that a vector takes part in.
+
+    ``a`` is a block of the cell's own vectors, ``b`` one not before it, or one of guests.
+    """
+    first, zero = F.lit(FIRST_GUEST), F.lit(0).cast("long")
+    row = placed.withColumn(
+        "blk", F.when(F.col("guest"), first + F.pmod(F.xxhash64("q1", F.lit(7)), F.col("ng")))
+        .otherwise(F.pmod(F.xxhash64("q1", F.lit(7)), F.col("nb")))
+    )
+    with_own = F.transform(F.sequence(zero, F.col("nb") - 1), lambda j: F.struct(
+        F.least("blk", j).alias("a"), F.greatest("blk", j).alias("b")))
+    with_guests = F.when(F.col("ng") > 0, F.transform(F.sequence(zero, F.col("ng") - 1), lambda g: F.struct(
+        F.col("blk").alias("a"), (first + g).alias("b")))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+    pairs = F.when(F.col("guest"), with_own).otherwise(F.concat(with_own, with_guests))
+    return row.withColumn("pair", F.explode(pairs)).select("*", "pair.a", "pair.b").drop("pair", "nb", "ng", "guest")
+
+
 def near_duplicates(
     embeddings: DataFrame, threshold: float = THRESHOLD, cell_size: int = CELL, max_cells: int = MAX_CELLS,
-    sample: int = SAMPLE, block: int = BLOCK,
+    sample: int = SAMPLE, block: int = BLOCK, guest_block: int = GUESTS,
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``embeddings(vec_id, embedding)``.
 
@@ -139,38 +162,41 @@ def near_duplicates(
     small_batches(spark, 4_000)
     scratch = Scratch(spark)
     v = F.col("v")
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     good = F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall(
         v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     )
-    # divided by the largest value first: no square overflows or vanishes
-    peak = F.array_max(F.transform("v", F.abs))
-    scaled = rows.withColumn("v", F.when(good, v)).withColumn("peak", peak).withColumn(
-        "v", F.when(F.col("peak") > 0, F.transform("v", lambda c: c / F.col("peak")))
-    )
-    rows = scratch.keep(scaled.select("vec_id", "v", F.xxhash64("v").alias("q1"), F.xxhash64("v", F.lit(1)).alias("q2")))
+    good = good & F.exists(v, lambda c: c != 0)
+    rows = rows.withColumn("v", F.when(good, v))
+    rows = scratch.keep(rows.select("vec_id", "v", F.xxhash64("v").alias("q1"), F.xxhash64("v", F.lit(1)).alias("q2")))
     classes = scratch.keep(
         rows.where("v is not null").groupBy("q1", "q2").agg(
             F.min("vec_id").alias("cls"), F.count("*").alias("copies"), F.any_value("v").alias("v")
-        ).withColumn("size", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)))
-        .withColumn("x", F.transform("v", lambda c: c / F.col("size"))).drop("v", "size")
+        )
     )
     n = classes.count()
-    top = classes.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    top = classes.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     centres = None
     if top:
         rows_at_most = max(1, min(sample, SAMPLE_BYTES // (8 * top["dim"])))
-        picked = classes.where(F.size("x") == top["dim"]).orderBy(F.xxhash64("q1"), "q1", "q2").limit(rows_at_most).select("x")
-        data = np.array([r["x"] for r in picked.collect()])
+        picked = classes.where(F.size("v") == top["dim"]).orderBy(F.xxhash64("q1"), "q1", "q2").limit(rows_at_most).select("v")
+        got = picked.toArrow().column("v")
+        data = unit_rows(got, len(got))
         centres = spherical_kmeans(data, max(1, min(max_cells, math.ceil(n / cell_size))))
-    kinds = "q1 long, q2 long, cls long, copies long, x array<double>"
+    kinds = f"q1 long, q2 long, cls long, copies long, v {kind}"
     placed = scratch.keep(
-        classes.select("q1", "q2", "cls", "copies", "x").mapInArrow(
+        classes.select("q1", "q2", "cls", "copies", "v").mapInArrow(
             _assign(centres, threshold), f"{kinds}, cell long, home long, cells array<long>"
-        ).withColumn("dim", F.size("x").cast("long"))
+        ).withColumn("dim", F.size("v").cast("long")).withColumn("guest", F.col("cell") != F.col("home"))
+    )
+    sizes = scratch.keep(
+        placed.groupBy("dim", "cell").agg(F.count_if(~F.col("guest")).alias("own"), F.count_if("guest").alias("guests"))
+        .select("dim", "cell", F.ceil(F.col("own") / block).alias("nb"), F.ceil(F.col("guests") / guest_block).alias("ng"))
+        .where("nb > 0")
     )
-    sizes = scratch.keep(placed.groupBy("dim", "cell").agg(F.count("*").alias("in_cell")).where("in_cell > 1"))
-    met = blocks(placed.join(sizes, ["dim", "cell"]), "cell", F.ceil(F.col("in_cell") / block), "q1")
+    met = block_pairs(placed.join(sizes, ["dim", "cell"]))
     links = scratch.keep(by_sorted_groups(
         met, ["dim", "cell", "a", "b"], _compare(threshold), "q1 long, q2 long, u long, v long, n_links long"
     ))
