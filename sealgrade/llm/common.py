@@ -79,17 +79,36 @@ class Words:
         try:
             ids = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
         except KeyError:
-            for w in set(words).difference(seen):
-                n = len(seen)
-                if n == len(self.lo):
-                    self.lo, self.hi = np.resize(self.lo, 2 * n), np.resize(self.hi, 2 * n)
-                d = hashlib.blake2b(w, digest_size=16).digest()
-                self.lo[n], self.hi[n] = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
-                seen[w] = n
+            new = list(set(words).difference(seen))
+            raw = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in new])
+            lo, hi = np.frombuffer(raw, "<u8").reshape(-1, 2).T
+            n = len(seen)
+            while n + len(new) > len(self.lo):
+                self.lo, self.hi = np.resize(self.lo, 2 * len(self.lo)), np.resize(self.hi, 2 * len(self.hi))
+            self.lo[n : n + len(new)], self.hi[n : n + len(new)] = lo, hi
+            seen.update(zip(new, range(n, n + len(new)), strict=True))
             ids = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
         return self.lo[ids], self.hi[ids]
 
 
+def word_runs(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[list[list[bytes]], np.ndarray]]:
+    """Words of consecutive texts, as many texts at once as have ``most`` words, and where each text starts.
+
+    Words are what ASCII white space separates, unchanged; null and blank texts have none.
+    """
+    held: list[list[bytes]] = []
+    n = 0
+    for text in texts:
+        w = text.encode("utf-8", "surrogatepass").split() if text else []
+        if held and n + len(w) > most:
+            yield held, np.r_[0, np.cumsum([len(x) for x in held])]
+            held, n = [], 0
+        held.append(w)
+        n += len(w)
+    if held:
+        yield held, np.r_[0, np.cumsum([len(x) for x in held])]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(31))

@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealgrade.llm.common import Scratch, Words, grams, small_batches, table
+from sealgrade.llm.common import Scratch, Words, grams, small_batches, table, word_runs
 
 #: Words of a window, and of the grams whose smallest hash is a window's anchor.
 K, GRAM = 13, 5
@@ -61,15 +62,18 @@ def _scan(k: int):
         seen = Words()
         for b in batches:
             n, sha, anchors = [], [], []
-            for text in b.column("text").to_pylist():
-                w = _words(text)
-                n.append(len(w))
-                sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
-                a = np.empty(0, np.uint64)
-                if len(w) >= k:
-                    a = _anchors(seen.hashes(w)[0], k)
-                    a = np.unique(a[np.flatnonzero(np.r_[True, a[1:] != a[:-1]])])
-                anchors.append(a.view(np.int64))
+            for texts, at in word_runs(b.column("text").to_pylist()):
+                a = _anchors(seen.hashes(list(chain.from_iterable(texts)))[0], k)
+                new = np.r_[True, a[1:] != a[:-1]]
+                for w, start in zip(texts, at.tolist(), strict=False):
+                    n.append(len(w))
+                    sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
+                    # the windows that lie in this text
+                    end = max(start, start + len(w) - k + 1)
+                    own = a[start:end][new[start:end]] if end > start + 1 else a[start:end]
+                    if end > start + 1 and not new[start]:
+                        own = np.append(own, a[start])
+                    anchors.append(np.unique(own).view(np.int64))
             yield pa.record_batch([b.column("d"), b.column("k"), b.column("doc_id"), pa.array(n, pa.int64()),
                                    pa.array(sha), _lists(anchors, np.int64)], schema=schema)
 
@@ -88,12 +92,17 @@ def _edges(k: int):
         seen = Words()
         for b in batches:
             pos, h1, h2 = [], [], []
-            for text, found in zip(b.column("text").to_pylist(), b.column("found"), strict=True):
-                lo, hi = seen.hashes(_words(text))
-                at = np.flatnonzero(np.isin(_anchors(lo, k), found.values.to_numpy().view(np.uint64)))
-                pos.append(at.astype(np.int32))
-                h1.append(grams(lo, k)[at].view(np.int64))
-                h2.append(grams(hi, k)[at].view(np.int64))
+            found = iter(b.column("found"))
+            for texts, at in word_runs(b.column("text").to_pylist()):
+                lo, hi = seen.hashes(list(chain.from_iterable(texts)))
+                a, g1, g2 = _anchors(lo, k), grams(lo, k).view(np.int64), grams(hi, k).view(np.int64)
+                for w, start in zip(texts, at.tolist(), strict=False):
+                    end = max(start, start + len(w) - k + 1)
+                    own = next(found).values.to_numpy().view(np.uint64)
+                    here = np.flatnonzero(np.isin(a[start:end], own))
+                    pos.append(here.astype(np.int32))
+                    h1.append(g1[start:end][here])
+                    h2.append(g2[start:end][here])
             yield pa.record_batch(
                 [b.column("d"), b.column("k"), _lists(pos, np.int32), _lists(h1, np.int64), _lists(h2, np.int64)],
                 names=["d", "k", "pos", "h1", "h2"],
