@@ -149,6 +149,9 @@ def parse_status(json: Column, raw: Column) -> Column:
         F.when(json.isNull(), F.lit("No JSON found in response"))
         .when(raw.isNull(), F.lit("Invalid JSON"))
         .when(absent.isNotNull(), F.concat(F.lit("Missing required field: "), absent))
+        .when(~F.coalesce(raw["classification"].isin(*V.CLASSES), F.lit(False)), F.lit("Invalid classification"))
+        .when(~F.coalesce(raw["confidence"].between(0.0, 1.0), F.lit(False)), F.lit("Invalid confidence"))
+        .when(raw["safety_assessment"].isNull(), F.lit("Invalid safety assessment"))
         .otherwise(F.lit("ok"))
     )
 
@@ -219,8 +222,8 @@ def review_basic(
     return (
         F.when(~is_safe, F.lit("Unsafe content detected - mandatory review"))
         .when(
-            confidence < V.BASIC_MIN_CONFIDENCE,
-            F.format_string("Low confidence score: %.2f", confidence),
+            F.coalesce(confidence, F.lit(0.0)) < V.BASIC_MIN_CONFIDENCE,
+            F.format_string("Low confidence score: %.2f", F.coalesce(confidence, F.lit(0.0))),
         )
         .when(_disagree(secondary, consensus), _disagreement(classification, secondary))
         .when(
@@ -251,7 +254,7 @@ def review_enhanced(
         )
         .when(
             confidence < V.ENHANCED_MIN_CONFIDENCE,
-            F.format_string("Low confidence score: %.2f", confidence),
+            F.format_string("Low confidence score: %.2f", F.coalesce(confidence, F.lit(0.0))),
         )
         .when(_disagree(secondary, consensus), _disagreement(classification, secondary))
         .when(
@@ -322,8 +325,8 @@ def usable_segments(located: Column) -> Column:
     return F.when(valid, located).otherwise(F.array().cast(ArrayType(S.SEGMENT)))
 
 
-def parse_images(responses: Column, limit: int = V.MAX_ANALYSED_IMAGES) -> Column:
-    """Image analyses from one response per image.
+def parse_images(responses: Column, limit: int | None = None) -> Column:
+    """Image analyses from one response per image, of the first ``limit`` images if given.
 
     A null response (call failed) or one without an object gives nothing; an
     unreadable object gives the fallback: Public, 0.5.
@@ -354,7 +357,7 @@ def parse_images(responses: Column, limit: int = V.MAX_ANALYSED_IMAGES) -> Colum
             F.coalesce(F.when(good, raw["keywords"]), _strings()).alias("keywords"),
         )
 
-    answered = F.filter(F.transform(F.slice(responses, 1, limit), read), lambda x: x["any"])
+    answered = F.filter(F.transform(responses if limit is None else F.slice(responses, 1, limit), read), lambda x: x["any"])
     return F.transform(answered, fill)
 
 
@@ -381,8 +384,9 @@ def parse_context(json: Column, raw: Column) -> Column:
     ))
 
 
-def keyword_relevance(raw: Column, limit: int = V.MAX_KEYWORD_SCORES) -> Column:
-    scored = F.transform(F.slice(raw, 1, limit), lambda k: F.struct(
+def keyword_relevance(raw: Column, limit: int | None = None) -> Column:
+    """Keyword scores with defaults, the first ``limit`` of them if given; none if one is impossible."""
+    scored = F.transform(raw if limit is None else F.slice(raw, 1, limit), lambda k: F.struct(
         F.coalesce(k["keyword"], F.lit("")).alias("keyword"),
         F.coalesce(k["relevance_score"], F.lit(0.0)).alias("relevance_score"),
         F.coalesce(k["context_window"], F.lit("")).alias("context_window"),

@@ -210,12 +210,12 @@ def content_preview(
     return F.substring(F.array_join(F.transform(head, lambda b: b["text"]), ""), 1, chars)
 
 
-def locate_segments(full_text: Column, segments: Column, limit: int = V.MAX_SEGMENTS) -> Column:
+def locate_segments(full_text: Column, segments: Column, limit: int | None = None, last_page: int | None = None) -> Column:
     """Give raw model segments their place in the text.
 
-    Found: offsets of the first occurrence and page ``start // 2000 + 1`` (100 at
-    most). Not found: start ``index * 100``, end 0, page 1. Found but empty: end
-    ``index * 100 + 50``. Segments beyond ``limit`` are not analysed.
+    Found: offsets of the first occurrence and page ``start // 2000 + 1``. Not found: start ``index * 100``, end 0, page 1. Found but empty: end
+    ``index * 100 + 50``. All segments are placed; ``limit`` and ``last_page`` bound their number and
+    pages where a caller wants that.
     """
 
     def place(seg: Column, i: Column) -> Column:
@@ -226,7 +226,7 @@ def locate_segments(full_text: Column, segments: Column, limit: int = V.MAX_SEGM
             text.alias("text"),
             F.coalesce(seg["classification"], F.lit("Public")).alias("classification"),
             F.coalesce(seg["confidence"], F.lit(0.5)).alias("confidence"),
-            F.when(start >= 0, F.least(F.floor(start / V.PAGE_CHARS).cast("int") + 1, F.lit(100)))
+            F.when(start >= 0, F.least(F.floor(start / V.PAGE_CHARS).cast("int") + 1, F.lit(last_page).cast("int")))
             .otherwise(F.lit(1)).alias("page"),
             F.when(start >= 0, start).otherwise(i * 100).alias("start_char"),
             F.when(end > start, end).otherwise(i * 100 + 50).alias("end_char"),
@@ -234,7 +234,7 @@ def locate_segments(full_text: Column, segments: Column, limit: int = V.MAX_SEGM
             F.coalesce(seg["reasoning"], F.lit("")).alias("reasoning"),
         )
 
-    return F.transform(F.slice(segments, 1, limit), place)
+    return F.transform(segments if limit is None else F.slice(segments, 1, limit), place)
 
 
 def keyword_union(*keyword_arrays: Column) -> Column:

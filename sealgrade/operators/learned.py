@@ -143,35 +143,29 @@ def adjust_confidence(
 ) -> DataFrame:
     """Add ``adjusted_confidence``, ``learned_review`` and ``learned_reason``.
 
-    Accuracy and context patterns are restricted to the four classes (and a
-    missing target), which bounds them to 4 and 20 rows; they travel inside the
-    projection. The reason is that of the last rule that asked for review.
+    Accuracy and context patterns of every class are joined by class: one row a class.
+    The reason is that of the last rule that asked for review.
     """
-    known = F.col("classification").isin(*V.CLASSES)
-    low = accuracy.where(known & (F.col("accuracy") < V.ACCURACY_FLOOR)).agg(
-        F.collect_list(F.struct(F.col("classification").alias("c"), F.col("accuracy").alias("a")))
-    ).scalar()
-    to_known = F.col(PAIR[1]).isNull() | F.col(PAIR[1]).isin(*V.CLASSES)
-    context = patterns.where(F.col(PAIR[0]).isin(*V.CLASSES) & to_known).agg(
+    low = accuracy.where(F.col("classification").isNotNull() & (F.col("accuracy") < V.ACCURACY_FLOOR)).select(
+        F.col("classification").alias("_low_class"),
+        F.struct(F.col("classification").alias("c"), F.col("accuracy").alias("a")).alias("_weak"),
+    )
+    context = patterns.where(F.col(PAIR[0]).isNotNull()).groupBy(F.col(PAIR[0]).alias("_context_class")).agg(
         F.array_sort(F.collect_list(F.struct(
             F.col("first_seq").alias("o"), F.col(PAIR[0]).alias("c"),
             F.coalesce(F.col(PAIR[1]), F.lit("None")).alias("t"),
             F.col("common_indicators").alias("i"),
-        )))
-    ).scalar()
+        ))).alias("_context")
+    )
     matched = match_keyword_rules(docs, keyword_rules, filename, preview, key, method)
     body = F.col("_body")
     prepared = (
-        matched.withColumns({
-            "_low": low, "_context": context,
-            "_body": F.lower(F.coalesce(F.col(preview), F.lit(""))),
-        })
-        .withColumn("_weak", F.try_element_at(
-            F.filter("_low", lambda r: r["c"] == F.col("classification")), F.lit(1)))
+        matched.withColumn("_body", F.lower(F.coalesce(F.col(preview), F.lit(""))))
+        .join(low, F.col("classification") == F.col("_low_class"), "left")
+        .join(context, F.col("classification") == F.col("_context_class"), "left")
         .withColumn("_similar", F.filter(
-            "_context",
-            lambda r: (r["c"] == F.col("classification"))
-            & (F.size(F.filter(r["i"], lambda w: body.contains(w))) >= 2),
+            F.coalesce("_context", F.array().cast(context.schema["_context"].dataType)),
+            lambda r: F.size(F.filter(r["i"], lambda w: body.contains(w))) >= 2,
         ))
     )
     weak, similar = F.col("_weak"), F.col("_similar")
@@ -191,7 +185,7 @@ def adjust_confidence(
             F.lit(V.MIN_ADJUSTED), F.least(F.lit(V.MAX_ADJUSTED), raw)),
         "learned_reason": reason,
         "learned_review": reason.isNotNull(),
-    }).drop("_low", "_context", "_body", "_weak", "_similar")
+    }).drop("_low_class", "_context_class", "_context", "_body", "_weak", "_similar")
 
 
 # --- class override ---------------------------------------------------------

@@ -24,17 +24,21 @@ ROLES = (
 def responses_by_role(responses: DataFrame, roles: Sequence[str] = ROLES, images: bool = True) -> DataFrame:
     """One row per document with a column per role and an ``images`` array.
 
-    Plain conditional aggregation: one shuffle, combined before it, and no list is
-    gathered. Answers about images beyond the analysed number are left out.
+    Plain conditional aggregation: one shuffle, combined before it. Only a document's own
+    image answers are gathered, in the order of their items; a missing one stays null in its place.
     """
     columns = [F.max(F.when(F.col("role") == r, F.col("response_text"))).alias(r) for r in roles]
     if images:
-        # one slot per analysed image: missing answers stay null in their place
-        columns.append(F.array(*[
-            F.max(F.when((F.col("role") == "images") & (F.col("item") == i), F.col("response_text")))
-            for i in range(V.MAX_ANALYSED_IMAGES)
-        ]).alias("images"))
-    return responses.groupBy("document_id").agg(*columns)
+        own = F.when((F.col("role") == "images") & (F.col("item") >= 0), F.struct("item", "response_text"))
+        columns.append(F.collect_list(own).alias("_images"))
+    out = responses.groupBy("document_id").agg(*columns)
+    if not images:
+        return out
+    answers = F.col("_images")
+    last = F.array_max(F.transform(answers, lambda x: x["item"]))
+    of = lambda i: F.array_max(F.transform(F.filter(answers, lambda x: x["item"] == i), lambda x: x["response_text"]))
+    slots = F.when(F.size(answers) > 0, F.transform(F.sequence(F.lit(0), last.cast("int")), of))
+    return out.withColumn("images", F.coalesce(slots, F.array().cast("array<string>"))).drop("_images")
 
 
 def read_verdicts(

@@ -46,7 +46,7 @@ def basic(
     labels with unsafe override, review need, auto-approval."""
     roles = ("primary", "secondary") if dual else ("primary",)
     answers = M.responses_by_role(responses, roles, images=False)
-    joined = documents.join(answers, "document_id")
+    joined = documents.join(answers, "document_id", "left")
     read = M.read_verdicts(joined, "primary", "primary_verdict", "primary_status")
     v = F.col("primary_verdict")
     df = read.withColumns({
@@ -100,7 +100,7 @@ def enhanced(
     ``unsafe_override`` makes unsafe verdicts class Unsafe here too; without it
     only the pre-scan does.
     """
-    df = documents.join(M.responses_by_role(responses), "document_id")
+    df = documents.join(M.responses_by_role(responses), "document_id", "left")
     df = M.with_quick_safety(df)
     common = [
         "document_id", "filename", "classification", "additional_labels", "confidence", "summary",

@@ -27,7 +27,10 @@ class SnapshotTable:
         """``version, timestamp, operation, num_rows`` of each write."""
         try:
             log = self.spark.read.schema(_HISTORY).parquet(f"{self.path}/_history")
-        except AnalysisException:
+        except AnalysisException as e:
+            # only a missing table has no history; any other trouble is one
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             log = self.spark.createDataFrame([], _HISTORY)
         return log.select("version", "timestamp", "operation", "num_rows")
 
@@ -52,9 +55,12 @@ class SnapshotTable:
         return self.spark.read.schema(row["schema"]).parquet(self._data(version))
 
     def all_versions(self) -> DataFrame:
-        """All snapshots in one table with merged schemas and their version ``v``."""
+        """All committed snapshots in one table with merged schemas and their version ``v``."""
+        versions = [r["version"] for r in self.history().select("version").distinct().collect()]
+        if not versions:
+            raise ValueError(f"no version in {self.path}")
         return self.spark.read.option("mergeSchema", True).option("basePath", self.path).parquet(
-            f"{self.path}/v=*"
+            *[self._data(v) for v in sorted(versions)]
         )
 
     # --- writing ------------------------------------------------------------

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sealgrade import schemas as S
 from sealgrade.operators.feedback import apply_feedback, upsert_learning
+from sealgrade.sources.files import _CORRUPT
 from sealgrade.sources.tables import SnapshotTable
 
 
@@ -27,19 +29,45 @@ def daily_accuracy(
 
 
 def ingest_verdicts(
-    spark: SparkSession, source: str, bronze: str, checkpoint: str, one_per_file: bool = True
+    spark: SparkSession, source: str, bronze: str, checkpoint: str, one_per_file: bool = True,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Append new verdict files below ``source`` to a bronze table, each once."""
-    files = (
-        spark.readStream.schema(S.VERDICT).option("multiLine", one_per_file).option("mode", "DROPMALFORMED")
-        .option("pathGlobFilter", "*.json").json(source)
+    """Append new verdict files below ``source`` to a bronze table, each once.
+
+    Unreadable records are left to ``quarantine_verdicts``. ``trigger`` is that of the query, all that is
+    there now by default.
+    """
+    files = _verdict_stream(spark, source, one_per_file).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    return _append(files, bronze, checkpoint, trigger)
+
+
+def quarantine_verdicts(
+    spark: SparkSession, source: str, path: str, checkpoint: str, one_per_file: bool = True,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Append the records that ``ingest_verdicts`` cannot read, as ``source_file, content``, each once."""
+    files = _verdict_stream(spark, source, one_per_file)
+    # Spark reads the broken text only together with another column
+    is_broken = F.col(_CORRUPT).isNotNull() & (F.coalesce("document_id", F.lit("")) >= "")
+    broken = files.where(is_broken).select("source_file", F.col(_CORRUPT).alias("content"))
+    return _append(broken, path, checkpoint, trigger)
+
+
+def _verdict_stream(spark: SparkSession, source: str, one_per_file: bool) -> DataFrame:
+    schema = StructType([*S.VERDICT.fields, StructField(_CORRUPT, StringType())])
+    return (
+        spark.readStream.schema(schema).option("multiLine", one_per_file).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _CORRUPT).option("pathGlobFilter", "*.json").json(source)
         .withColumn("source_file", F.col("_metadata.file_path"))
         .where(~F.col("source_file").endswith("/learning_database.json"))
     )
+
+
+def _append(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     return (
-        files.writeStream.format("parquet").option("path", bronze)
+        rows.writeStream.format("parquet").option("path", path)
         .option("checkpointLocation", checkpoint).outputMode("append")
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 

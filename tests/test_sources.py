@@ -174,3 +174,10 @@ def test_layers(spark, results, tmp_path):
     assert house.table("silver", "learning_feedback").read().where("reviewed_at is not null").count() == 2
     report = {r["table"]: r["rows"] for r in load_report({"g": gold}).collect()}
     assert report == {"g": 2}
+
+
+def test_all_versions_are_the_committed_ones(spark, rows, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    t.overwrite(rows([("a",)], "document_id string"))
+    rows([("x",), ("y",)], "document_id string").write.parquet(str(tmp_path / "t/v=1"))
+    assert [(r.document_id, r.v) for r in t.all_versions().collect()] == [("a", 0)]

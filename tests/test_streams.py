@@ -162,3 +162,13 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
         (src / f"{n}.json").write_text(f'{{\n"document_id": "{n}", "classification": "Public"\n}}')
         RV.ingest_verdicts(spark, str(src), str(out), str(mark)).awaitTermination()
     assert sorted(r["document_id"] for r in spark.read.parquet(str(out)).collect()) == ["0", "1"]
+
+
+def test_broken_records_go_to_quarantine(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.json").write_text('{"document_id": "1", "classification": "Public"}\n{"document_id": "2", "classif\n')
+    for name, start in (("good", RV.ingest_verdicts), ("bad", RV.quarantine_verdicts)):
+        start(spark, str(src), str(tmp_path / name), str(tmp_path / f"{name}-mark"), one_per_file=False).awaitTermination()
+    assert [r["document_id"] for r in spark.read.parquet(str(tmp_path / "good")).collect()] == ["1"]
+    assert [r["content"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ['{"document_id": "2", "classif']

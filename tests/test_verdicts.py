@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sealgrade.functions import repair as R
+from sealgrade.functions import repair as R, text as T
 from sealgrade.operators import quality, verdicts as M
 from sealgrade.plans import presets
 
@@ -238,3 +238,37 @@ def test_expectations(rows):
     assert got["C"]["status"] == "SKIP"
     s = quality.summary(checked).first()
     assert (s["passed"], s["failed"], s["skipped"], s["success_rate"]) == (1, 1, 1, "33.3%")
+
+
+def test_no_segment_image_or_score_is_cut_off(rows):
+    segs = [(f"s{i} ", "Public" if i != 54 else "Highly Sensitive", 0.9) for i in range(60)]
+    df = rows([("".join(s[0] for s in segs), segs, [f'{{"classification": "Public", "confidence": {i / 100}}}' for i in range(14)],
+                [("k", float(i) / 100) for i in range(30)])],
+              "t string, s array<struct<text:string,classification:string,confidence:double>>, i array<string>, k array<struct<keyword:string,relevance_score:double>>")
+    empty = F.lit(None)
+    df = df.withColumn("s", F.transform("s", lambda x: F.struct(
+        x.text, x.classification, x.confidence, empty.cast("array<string>").alias("keywords"), empty.cast("string").alias("reasoning"))))
+    df = df.withColumn("k", F.transform("k", lambda x: F.struct(
+        x.keyword, x.relevance_score, *[empty.cast(t).alias(n) for n, t in (("context_window", "string"), ("relationship_type", "string"), ("page", "int"), ("reasoning", "string"))])))
+    r = df.select(T.locate_segments(F.col("t"), F.col("s")).alias("s"), R.parse_images(F.col("i")).alias("i"), R.keyword_relevance(F.col("k")).alias("k")).first()
+    assert len(r.s) == 60 and r.s[54].classification == "Highly Sensitive" and r.s[59].end_char == len(df.first().t)
+    assert [x.image_index for x in r.i] == list(range(14)) and len(r.k) == 30
+
+
+def test_images_keep_their_places(rows):
+    data = [("d", "images", i, f"a{i}") for i in range(14) if i != 3] + [("d", "primary", None, "p"), ("e", "primary", None, "q")]
+    got = {r.document_id: r for r in M.responses_by_role(rows(data, "document_id string, role string, item int, response_text string")).collect()}
+    assert got["d"].images == [f"a{i}" if i != 3 else None for i in range(14)] and got["d"].primary == "p"
+    assert got["e"].images == []
+
+
+@pytest.mark.parametrize("change, status", [
+    ({"classification": "Secret"}, "Invalid classification"), ({"confidence": None}, "Invalid confidence"),
+    ({"confidence": 7.5}, "Invalid confidence"), ({"confidence": "high"}, "Invalid confidence"), ({"safety_assessment": None}, "Invalid safety assessment"),
+])
+def test_broken_values_become_the_fallback(rows, change, status):
+    good = {"classification": "Public", "confidence": 0.95, "summary": "s", "reasoning": "r", "evidence": [],
+            "safety_assessment": {"is_safe": True, "flags": ["Safe"], "details": "", "confidence": 0.9}}
+    df = rows([(json.dumps(good),), (json.dumps(good | change),)], "response_text string")
+    ok, bad = M.read_verdicts(df).collect()
+    assert ok.parse_status == "ok" and (bad.parse_status, bad.verdict.confidence) == (status, 0.0)
