@@ -177,9 +177,12 @@ def fit(documents: DataFrame, where: Column | None = None, rows_each: int = ROWS
     some = (some if where is None else some.where(where)).select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), k.alias("k")
     )
+    # a hash range of each language that holds about twice the rows asked for, so that only these pass on
+    sizes = some.groupBy("lang").agg(F.count("*").alias("of")).orderBy(F.desc("of"), "lang").limit(rows)
+    few = some.join(F.broadcast(sizes), "lang").where(F.col("k") < F.lit(2.0**32) * rows_each / F.col("of"))
     w = Window.partitionBy("lang").orderBy("k", "text")
     picked = (
-        some.withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows_each).orderBy("n", "lang").limit(rows)
+        few.withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows_each).orderBy("n", "lang").limit(rows)
         .withColumn("held", F.col("k") % 5 == 0).select("text", "lang", "k", "held")
     )
     got = picked.mapInArrow(_examples, "idx array<int>, share array<float>, lang string, held boolean").toArrow()

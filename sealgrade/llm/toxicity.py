@@ -142,7 +142,11 @@ def fit(documents: DataFrame, labels: DataFrame, rows_each: int = ROWS_EACH) ->
     # the rows to read are chosen by id first, so that only their texts pass on
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     size = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    picked = known.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_each).drop("n")
+    # a hash range of each class that holds about twice the rows asked for, so that only these meet
+    k = F.pmod(F.xxhash64("doc_id"), F.lit(2**31 - 1))
+    share = F.when(F.col("toxic") == 1, 2.0**32 * rows_each / max(1, size.get(1, 0))).otherwise(2.0**32 * rows_each / max(1, size.get(0, 0)))
+    few = known.where(k < share).distinct()
+    picked = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_each).drop("n")
     rows = scratch.keep(texts.where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic"))
     counted = rows.mapInArrow(_count_features, "feature string, clean long, toxic long").groupBy("feature").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
