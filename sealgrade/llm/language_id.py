@@ -167,12 +167,12 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(documents: DataFrame, where: Column | None = None, rows_each: int = ROWS_EACH, rows: int = ROWS) -> Model | None:
     """A model learned from ``text`` and non-null ``lang`` of the rows ``where`` holds.
 
-    At most ``rows_each`` rows a language and ``rows`` in all are used, chosen by a hash of the text, a fifth of them
-    for calibration only.
+    At most ``rows_each`` rows a language and ``rows`` in all are used, chosen by a hash (of id and text, so that
+    copies do not come together), a fifth of them for calibration only.
     """
     small_batches(documents.sparkSession)
     # 31 bits: a positive number in Python and in Spark alike
-    k = F.pmod(F.xxhash64("text"), F.lit(2**31 - 1))
+    k = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31 - 1))
     some = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     some = (some if where is None else some.where(where)).select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), k.alias("k")
