@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from sealgrade.llm.common import Scratch, by_sorted_groups, components, local_components, small_batches, table
 
-#: Vectors a cell should hold, most centres, rows and bytes of the sample they are fitted on.
-CELL, MAX_CELLS, SAMPLE, SAMPLE_BYTES = 1_000, 4_096, 20_000, 64_000_000
+#: Vectors a cell should hold (few large cells have fewer guests), most centres, rows and bytes of the sample they are fitted on.
+CELL, MAX_CELLS, SAMPLE, SAMPLE_BYTES = 4_000, 4_096, 20_000, 64_000_000
 #: Vectors of a block of a cell's own vectors and of its guests; a task compares two blocks.
 BLOCK, GUESTS = 1_024, 4_096
 #: Guests' blocks are numbered from here.
