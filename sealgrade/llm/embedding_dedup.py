@@ -21,8 +21,8 @@ from sealgrade.llm.common import Scratch, by_sorted_groups, components, local_co
 
 #: Vectors a cell should hold (few large cells have fewer guests), most centres, rows and bytes of the sample they are fitted on.
 CELL, MAX_CELLS, SAMPLE, SAMPLE_BYTES = 4_000, 4_096, 20_000, 64_000_000
-#: Vectors of a block of a cell's own vectors and of its guests; a task compares two blocks.
-BLOCK, GUESTS = 1_024, 4_096
+#: Vectors of a block of a cell's own vectors and of its guests; a task compares two blocks, so many rows at a time.
+BLOCK, GUESTS, STRIP = 4_096, 4_096, 512
 #: Guests' blocks are numbered from here.
 FIRST_GUEST = 1 << 40
 THRESHOLD = 0.9
@@ -50,37 +50,44 @@ def unit_rows(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _near_cells(x: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home cell of each unit row, and the pairs (row, cell) of cells whose plane is within ``margin``."""
+    s = x @ centres.T
+    home = np.argmax(s, axis=1)
+    gap = np.sqrt(np.maximum(0.0, 2 - 2 * (centres[home] @ centres.T)))
+    near = s[np.arange(len(x)), home][:, None] - s <= margin * gap + 1e-7
+    near[np.arange(len(x)), home] = True
+    row, cell = np.nonzero(near)
+    return home, row, cell
+
+
 def _assign(centres: np.ndarray | None, threshold: float):
     """Rows for the home cell and for each other cell whose plane is near."""
     margin = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2 + 1e-7
-    gaps = None if centres is None else np.linalg.norm(centres[:, None] - centres[None], axis=2) \
-        if len(centres) <= 512 else None
-
-    def gap(home: int) -> np.ndarray:
-        return gaps[home] if gaps is not None else np.linalg.norm(centres - centres[home], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, cell, home, cells = [], [], [], []
-            for i, v in enumerate(b.column("v")):
-                x = np.asarray(v.values, np.float64)
-                x = x / np.abs(x).max()
-                x = x / np.sqrt((x * x).sum())
-                if centres is None or len(x) != centres.shape[1]:
-                    near, here = [0], 0
-                else:
-                    s = centres @ x
-                    here = int(np.argmax(s))
-                    near = np.flatnonzero(s[here] - s <= margin * gap(here)).tolist()
-                rows += [i] * len(near)
-                cell += near
-                home += [here] * len(near)
-                cells += [near] * len(near)
-            out = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(cell, pa.int64()), pa.array(home, pa.int64()), pa.array(cells, pa.list_(pa.int64()))],
-                names=[*out.schema.names, "cell", "home", "cells"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, STRIP):
+                b = whole.slice(at, STRIP)
+                n = b.num_rows
+                v = b.column("v")
+                # vectors of another length than the centres have one cell
+                like = np.zeros(n, bool) if centres is None else v.value_lengths().to_numpy() == centres.shape[1]
+                home, row, cell = np.zeros(n, np.int64), np.flatnonzero(~like), np.zeros(n - like.sum(), np.int64)
+                if like.any():
+                    which = np.flatnonzero(like)
+                    here, r, c = _near_cells(unit_rows(v.take(pa.array(which)), len(which)), centres, margin)
+                    home[which] = here
+                    row, cell = np.r_[row, which[r]], np.r_[cell, c]
+                    order = np.lexsort((cell, row))
+                    row, cell = row[order], cell[order]
+                ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell))
+                out = b.append_column("cells", cells).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [*out.columns[:-1], pa.array(cell), pa.array(home[row]), out.columns[-1]],
+                    names=[*b.schema.names, "cell", "home", "cells"],
+                )
 
     return run
 
@@ -98,9 +105,13 @@ def _compare(threshold: float):
         if not len(left) or not len(right):
             return None
         x = unit_rows(t.column("v"), len(ids))
-        ok = x[left] @ x[right].T >= threshold
-        i, j = np.nonzero(np.triu(ok, 1) if a == b else ok)
-        i, j = left[i], right[j]
+        other = np.ascontiguousarray(x[right].T)
+        found = []
+        for at in range(0, len(left), STRIP):
+            i, j = np.nonzero(x[left[at : at + STRIP]] @ other >= threshold)
+            i, j = left[at + i], right[j]
+            found.append((i[i < j], j[i < j]) if a == b else (i, j))
+        i, j = (np.concatenate(y) for y in zip(*found, strict=True))
         if len(i) and b >= FIRST_GUEST:
             # a pair that also meets in the guest's cell counts in the lower numbered one
             cells = t.column("cells").to_pylist()
