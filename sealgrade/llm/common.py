@@ -118,15 +118,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each ``k`` consecutive word hashes, in order."""
-    n = len(h) - k + 1
+def grams(h: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each ``k`` consecutive word hashes, in order, or of those that start ``at`` given places."""
+    n = len(h) - k + 1 if at is None else len(at)
     if n <= 0:
         return np.empty(0, np.uint64)
     mult = mix(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
     out = np.zeros(n, np.uint64)
     for j in range(k):
-        out += h[j : j + n] * mult[j]
+        out += (h[j : j + n] if at is None else h[at + j]) * mult[j]
     return mix(out)
 
 

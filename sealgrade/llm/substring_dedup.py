@@ -6,8 +6,8 @@ in every document that holds it, is one path, of which only the two ends go on.
 document of a path is its source; the occurrence in any other document is removed once its length
 and last edge agree with those at the source's coordinates.
 
-What keeps the shuffles small: every window holds the smallest hash of its nine five-word grams,
-so a repeated window repeats that hash too. About a fifth of the windows bring a new such
+What keeps the shuffles small: every window holds the smallest hash of its seven seven-word grams,
+so a repeated window repeats that hash too. About a quarter of the windows bring a new such
 anchor, and only windows with an anchor seen in two documents become edges. Whole copies of a
 document are known by their digest, and all but the first are left out before. Anchors that very many
 documents share are known to repeat and never meet in one task; edges combine before the
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from sealgrade.llm.common import Scratch, Words, grams, small_batches, table, word_runs
 
 #: Words of a window, and of the grams whose smallest hash is a window's anchor.
-K, GRAM = 13, 5
+K, GRAM = 13, 7
 #: Frequent anchors are looked for in one of this many documents (a matter of speed only), and the
 #: list of them, the one thing broadcast, holds at most HOT_KEYS numbers.
 HOT_SAMPLE, HOT_COUNT, HOT_KEYS = 16, 6, 20_000
@@ -85,6 +85,14 @@ def _lists(parts: list[np.ndarray], dtype) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, np.concatenate(parts) if parts else np.empty(0, dtype))
 
 
+def _among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Positions of the values that are in ``found``, which is not empty."""
+    found = np.sort(found)
+    at = np.searchsorted(found, values)
+    at[at == len(found)] = 0
+    return np.flatnonzero(found[at] == values)
+
+
 def _edges(k: int):
     """Positions and 128-bit hashes of the windows whose anchor is among ``found``."""
 
@@ -95,14 +103,16 @@ def _edges(k: int):
             found = iter(b.column("found"))
             for texts, at in word_runs(b.column("text").to_pylist()):
                 lo, hi = seen.hashes(list(chain.from_iterable(texts)))
-                a, g1, g2 = _anchors(lo, k), grams(lo, k).view(np.int64), grams(hi, k).view(np.int64)
-                for w, start in zip(texts, at.tolist(), strict=False):
-                    end = max(start, start + len(w) - k + 1)
-                    own = next(found).values.to_numpy().view(np.uint64)
-                    here = np.flatnonzero(np.isin(a[start:end], own))
-                    pos.append(here.astype(np.int32))
-                    h1.append(g1[start:end][here])
-                    h2.append(g2[start:end][here])
+                a = _anchors(lo, k)
+                here = [
+                    _among(a[start : max(start, start + len(w) - k + 1)], next(found).values.to_numpy().view(np.uint64))
+                    for w, start in zip(texts, at.tolist(), strict=False)
+                ]
+                pos += [x.astype(np.int32) for x in here]
+                picked = np.concatenate([x + start for x, start in zip(here, at.tolist(), strict=False)])
+                cuts = np.cumsum([len(x) for x in here])[:-1]
+                h1 += np.split(grams(lo, k, picked).view(np.int64), cuts)
+                h2 += np.split(grams(hi, k, picked).view(np.int64), cuts)
             yield pa.record_batch(
                 [b.column("d"), b.column("k"), _lists(pos, np.int32), _lists(h1, np.int64), _lists(h2, np.int64)],
                 names=["d", "k", "pos", "h1", "h2"],
@@ -154,9 +164,8 @@ def _repeated_anchors(scratch: Scratch, docs: DataFrame) -> DataFrame:
     return out
 
 
-def repeated_spans(scratch: Scratch, docs: DataFrame, scanned: DataFrame, k: int) -> DataFrame:
+def repeated_spans(scratch: Scratch, docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """``d, k, spans``: first and last window of each passage to remove from a document."""
-    found = _repeated_anchors(scratch, scanned)
     run, schema = _edges(k)
     kept = scratch.keep(docs.join(found.hint("merge"), "k").select("d", "k", "text", "found").mapInArrow(run, schema))
     scratch.drop(found)
@@ -192,6 +201,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, scanned: DataFrame, k: int
     ends = scratch.keep(ends)
     scratch.drop(edges, links)
     marked = scratch.keep(occ.select("d", "k", "pos", "h1", "h2").join(ends.hint("merge"), ["h1", "h2"]))
+    scratch.drop(kept, ends)
     w = Window.partitionBy("k", "d").orderBy("pos")
     mate = F.lead(F.struct("pos", "h1", "h2", "tail")).over(w)
     paths = scratch.keep(
@@ -200,6 +210,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, scanned: DataFrame, k: int
         .select("d", "k", "h1", "h2", "first", F.col("pos").alias("start"), F.col("mate.pos").alias("last"),
                 F.struct((F.col("mate.pos") - F.col("pos")).alias("n"), F.col("mate.h1"), F.col("mate.h2")).alias("rest"))
     )
+    scratch.drop(marked)
     source = scratch.keep(
         paths.where("d = first").groupBy("h1", "h2").agg(F.min("rest").alias("at_source"))
     )
@@ -227,14 +238,16 @@ def remove_repeats(documents: DataFrame, k: int = K) -> DataFrame:
     )
     run, schema = _scan(k)
     scanned = scratch.keep(docs.select("d", "k", "doc_id", "text").mapInArrow(run, schema))
-    narrow = scanned.select("d", "k", "doc_id", "n_words", "sha")
+    narrow = scratch.keep(scanned.drop("anchors"))
     first = scratch.keep(
         narrow.where(F.col("n_words") >= k).groupBy("sha").agg(F.min("d").alias("first"), F.max("d").alias("final"))
         .where("first < final").drop("final")
     )
     whole = scratch.keep(narrow.join(first, "sha").where("d > first").select("d", "k").distinct())
     singles = scanned.where(F.size("anchors") > 0).select("d", "k", "anchors").join(whole.hint("merge"), ["d", "k"], "left_anti")
-    spans = repeated_spans(scratch, docs, singles, k)
+    found = _repeated_anchors(scratch, singles)
+    scratch.drop(scanned)
+    spans = repeated_spans(scratch, docs, found, k)
     run, schema = _cut(k)
     cut = scratch.keep(docs.join(spans.hint("merge"), ["d", "k"]).select("d", "k", "text", "spans").mapInArrow(run, schema).distinct())
     empty = hashlib.sha256(b"").hexdigest()
