@@ -91,7 +91,7 @@ class Words:
         return self.lo[ids], self.hi[ids]
 
 
-def word_runs(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[list[list[bytes]], np.ndarray]]:
+def word_runs(texts: list[str | None], most: int = 1 << 17) -> Iterator[tuple[list[list[bytes]], np.ndarray]]:
     """Words of consecutive texts, as many texts at once as have ``most`` words, and where each text starts.
 
     Words are what ASCII white space separates, unchanged; null and blank texts have none.
