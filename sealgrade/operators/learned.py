@@ -42,7 +42,7 @@ def _pick(method: str, rules: DataFrame, size: Column) -> tuple[str, DataFrame]:
 
 def substring_matches(
     texts: DataFrame, needles: DataFrame, key: str = "document_id", text: str = "text",
-    needle: str = "needle", shortest: int = 1,
+    needle: str = "needle",
 ) -> DataFrame:
     """Distinct ``(key, needle)`` pairs where the text contains the needle.
 
@@ -50,15 +50,14 @@ def substring_matches(
     when shorter), so texts and needles meet in an equi-join on such runs; the
     pairs are then verified. Only ids and runs are shuffled, never texts times
     needles. A run common to most texts is one skewed join key, which adaptive
-    execution splits. ``shortest`` is a lower bound of the needles' length; empty
-    needles are not matched here.
+    execution splits. Empty needles are not matched here.
     """
     anchors = needles.select(
         F.col(needle).alias("needle"), F.substring(needle, 1, _GRAM).alias("anchor")
     ).where(F.length("needle") > 0).distinct()
     runs = [
         F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        for n in range(min(shortest, _GRAM), _GRAM + 1)
+        for n in range(1, _GRAM + 1)
     ]
     exploded = texts.select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("anchor"))
     candidates = exploded.join(anchors, "anchor").select(key, "needle")
@@ -100,7 +99,7 @@ def match_keyword_rules(
             "keyword_reason": _keyword_reason(F.try_element_at(strong, F.lit(-1))),
         }).drop("_hay", "_rules", "_hit")
 
-    pairs = substring_matches(hay.select(key, "_hay"), rules, key, "_hay", "keyword", shortest=4)
+    pairs = substring_matches(hay.select(key, "_hay"), rules, key, "_hay", "keyword")
     per_doc = pairs.join(
         rules.withColumnRenamed("keyword", "needle").select(
             "needle", F.col("correction_count").alias("n"), "first_seq", "first_pos"
@@ -211,20 +210,22 @@ def _needed(n: Column) -> Column:
 def apply_override(
     docs: DataFrame, feedback: DataFrame, filename: str = "filename", preview: str = "preview",
     keywords: str = "all_keywords", key: str = "document_id", method: str = "auto",
+    preview_chars: int | None = None,
 ) -> DataFrame:
     """Add ``learned_classification``, ``learned_confidence``, ``was_overridden``
     and ``override_reason``.
 
     The first correction of the document's class applies whose indicators are
     present often enough: three, or half of them if that is more. An indicator
-    may stand in the first 2000 characters, in the file name, or equal a keyword.
+    may stand in the preview (its first ``preview_chars``, if given), in the file name,
+    or equal a keyword.
     """
     method, rules = _pick(
         method, override_rules(feedback),
         F.length("notes") + F.length(F.array_join("indicators", " ")) + 64,
     )
     hay = docs.withColumns({
-        "_hay": _haystack(filename, preview, V.OVERRIDE_PREVIEW_CHARS),
+        "_hay": _haystack(filename, preview, preview_chars),
         "_kw": F.transform(
             F.coalesce(F.col(keywords), F.array().cast("array<string>")), lambda k: F.lower(k)),
     })

@@ -211,6 +211,24 @@ def test_rule_sets_beyond_the_bound_are_joined(rows, monkeypatch):
     assert pick(small) == pick(large)
 
 
+def test_short_keywords_match_in_either_way(rows):
+    rules = rows([("w2", 4, 0, 0), ("form", 3, 1, 0)], "keyword string, correction_count bigint, first_seq bigint, first_pos int")
+    docs = rows([(1, "Public", 0.9, "form.pdf", "a w2 here", []), (2, "Public", 0.9, "x.pdf", "none", [])], DOCS)
+    for method in ("array", "join"):
+        got = {r["document_id"]: r["keyword_factor"] for r in LN.match_keyword_rules(docs, rules, method=method).collect()}
+        assert got == {1: pytest.approx(0.42), 2: 1.0}
+
+
+@pytest.mark.parametrize("method", ["array", "join"])
+def test_indicators_count_in_the_whole_text(rows, method):
+    words = ["alphaone", "gammasix", "omegaten"]
+    feedback = rows([entry("a", 1, approved=False, to="Unsafe", frm="Public", name="x.pdf", notes="n", words=words)], FEEDBACK)
+    docs = rows([(1, "Public", 0.5, "y.pdf", "z" * 3000 + " ".join(words), [])], DOCS)
+    whole = LN.apply_override(docs, feedback, method=method).first()
+    assert whole["was_overridden"] and whole["learned_classification"] == "Unsafe"
+    assert not LN.apply_override(docs, feedback, method=method, preview_chars=2000).first()["was_overridden"]
+
+
 def test_same_source_class_keeps_the_last_warning(rows):
     frequent = rows([("Public", "Confidential", 9, 0, 50.0), ("Public", "Unsafe", 4, 3, 20.0),
                      ("Unsafe", None, 2, 1, 10.0), ("Confidential", "Public", 1, 2, 5.0)],
