@@ -30,7 +30,7 @@ END = 0
 #: Ids after which a block is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 20
 #: Chunks a worker remembers; the first that fit stay.
-MEMORY = 800_000
+MEMORY = 600_000
 SAMPLE = 64
 
 # ---- Elias-Fano ---------------------------------------------------------------------------
@@ -178,7 +178,7 @@ def write_token_files(
     table writes files without blocks.
     """
     spark = documents.sparkSession
-    small_batches(spark)
+    small_batches(spark, 200)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
