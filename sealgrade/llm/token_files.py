@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +30,8 @@ END = 0
 BLOCK_IDS = 1 << 20
 #: Chunks a worker remembers; the first that fit stay.
 MEMORY = 600_000
+#: New chunks that the library is given in one line.
+LINE = 1_000
 SAMPLE = 64
 
 # ---- Elias-Fano ---------------------------------------------------------------------------
@@ -98,6 +99,10 @@ class ChunkEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        #: By id: whether the token starts with a space (the byte-level alphabet writes it as this letter).
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.seen: dict[str, bytes] = {}
 
     @staticmethod
@@ -109,15 +114,32 @@ class ChunkEncoder:
         head, *rest = text.split(" ")
         return head, rest
 
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, line: list[str], ids: np.ndarray) -> list[bytes]:
+        """The ids of each chunk of a line: a chunk has one space, which opens its first token."""
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(line) or at[0]:
+            return [x.tobytes() for x in self._batch([" " + c for c in line])]
+        raw, at = ids.tobytes(), (at * 4).tolist()
+        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         cut = [self.chunks(t or "") for t in texts]
-        new = list(set().union(*[rest for _, rest in cut]).difference(self.seen))
-        whole = [" " + c for c in new] + [head for head, _ in cut]
-        found = [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(whole, add_special_tokens=False)]
-        self.seen.update(zip(new, found, strict=False))
+        new = set().union(*[rest for _, rest in cut]).difference(self.seen)
+        odd = [c for c in new if " " in c]
+        plain = list(new.difference(odd))
+        lines = [plain[i : i + LINE] for i in range(0, len(plain), LINE)]
+        heads = [head for head, _ in cut]
+        every = self._batch([" " + " ".join(x) for x in lines] + [" " + c for c in odd] + heads)
+        for line, ids in zip(lines, every, strict=False):
+            self.seen.update(zip(line, self._parts(line, ids), strict=True))
+        self.seen.update(zip(odd, map(np.ndarray.tobytes, every[len(lines):]), strict=False))
         look = self.seen.__getitem__
-        out = [first + b"".join(map(look, rest)) for first, (_, rest) in zip(found[len(new):], cut, strict=True)]
+        first = every[len(lines) + len(odd):]
+        out = [f.tobytes() + b"".join(map(look, rest)) for f, (_, rest) in zip(first, cut, strict=True)]
         if len(self.seen) > MEMORY:
             for c in new:
                 del self.seen[c]
