@@ -138,14 +138,15 @@ def diff(old: DataFrame, new: DataFrame, key: str = "document_id") -> DataFrame:
 
 
 def load_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Row count and one sample row (as JSON) per table."""
-    parts = [
-        df.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.first(F.to_json(F.struct(*df.columns))).alias("sample"),
-        ).select(F.lit(name).alias("table"), "rows", "sample")
-        for name, df in tables.items()
-    ]
+    """Row count and one sample row (as JSON) per table; an empty table has no sample.
+
+    Counting reads no columns, and the sample reads one row.
+    """
+    parts = []
+    for name, df in tables.items():
+        count = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        sample = df.limit(1).select(F.lit(name).alias("table"), F.to_json(F.struct(*df.columns)).alias("sample"))
+        parts.append(count.join(sample, "table", "left"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

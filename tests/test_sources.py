@@ -181,3 +181,10 @@ def test_all_versions_are_the_committed_ones(spark, rows, tmp_path):
     t.overwrite(rows([("a",)], "document_id string"))
     rows([("x",), ("y",)], "document_id string").write.parquet(str(tmp_path / "t/v=1"))
     assert [(r.document_id, r.v) for r in t.all_versions().collect()] == [("a", 0)]
+
+
+def test_load_report_of_full_and_empty_tables(spark, rows):
+    full = rows([("a", 1), ("b", 2)], "document_id string, n int")
+    got = {r.table: (r.rows, r.sample) for r in load_report({"full": full, "none": full.limit(0)}).collect()}
+    assert got["none"] == (0, None)
+    assert got["full"][0] == 2 and got["full"][1] in ('{"document_id":"a","n":1}', '{"document_id":"b","n":2}')
