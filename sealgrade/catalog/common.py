@@ -68,7 +68,35 @@ SEG AS (
         FROM K, unnest(range(0, segment_count)) AS u(i)))"""
 
 
+def all_words(text: str) -> str:
+    """The distinct words of five letters or more, in order."""
+    return f"""coalesce((SELECT list(w ORDER BY p) FROM (SELECT w, min(p) AS p FROM (
+      SELECT unnest(x) AS w, generate_subscripts(x, 1) AS p FROM (
+        SELECT regexp_extract_all(lower({text}), '[a-z]{{5,}}') AS x)) GROUP BY w)), [])"""
+
+
 def first_words(text: str, n: int) -> str:
     """The first ``n`` distinct words of five letters or more, in order."""
     found = f"regexp_extract_all(lower({text}), '[a-z]{{5,}}')"
     return f"list_slice(list_filter({found}, lambda w, p: list_position({found}, w) = p), 1, {n})"
+
+
+# what some SQL reads of a text, and the whole of it
+CUTS = {
+    "substring(k.full_text, 1, 200) AS feedback_notes": "k.full_text AS feedback_notes",
+    first_words("feedback_notes", 6): all_words("feedback_notes"),
+    first_words("substring(full_text, 1, 200)", 6): all_words("full_text"),
+    first_words("substring(k.full_text, 1, 2000)", 25): all_words("k.full_text"),
+    "least(segment_count, 3)": "segment_count",
+    "WHERE i < 3": "",
+    "substring(text, 1, 60)": "text",
+}
+
+
+def whole(sql: str) -> str:
+    """The same SQL over whole texts, for the ``_whole`` form of a query."""
+    out = sql
+    for cut, kept in CUTS.items():
+        out = out.replace(cut, kept)
+    assert out != sql
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sealgrade.catalog.common import K, LEARNING, SEGMENTS
+from sealgrade.catalog.common import K, LEARNING, SEGMENTS, whole
 from sealgrade.operators import dashboard as D, mining as M, verdicts as VD
 from sealgrade.session import stage
 from sealgrade.sources import adapters as A
@@ -22,8 +22,12 @@ def _both(fn):
     return lambda spark, sf: fn(A.classifications(spark, sf), A.learning_feedback(spark, sf))
 
 
-def _features(spark, sf):
-    return M.error_features(A.verdicts(spark, sf))
+def _features(spark, sf, whole=True):
+    return M.error_features(A.verdicts(spark, sf, whole))
+
+
+def _first_pages(spark, sf):
+    return _features(spark, sf, whole=False)
 
 
 def _clustered(spark, sf):
@@ -39,7 +43,7 @@ def _given(spark, sf):
     """All documents in clusters known beforehand, so that the cluster reports can
     be checked; every second one is in cluster 0."""
     doc = F.col("document_id")
-    return _features(spark, sf).withColumn(
+    return _first_pages(spark, sf).withColumn(
         "cluster", F.when(doc % 2 == 0, 0).otherwise((doc % 9).cast("int")))
 
 
@@ -58,6 +62,11 @@ A01 AS (
 _GIVEN = f"""{_A01},
 G AS (SELECT *, CASE WHEN document_id % 2 = 0 THEN 0 ELSE document_id % 9 END AS cluster FROM A01)"""
 
+_EVIDENCE = f"""WITH {K} SELECT document_id, i + 1 AS page, count(*) AS evidence_count,
+        CASE WHEN max(CAST((document_id + i) % 3 = 0 AS INTEGER)) = 1 THEN 'Confidential'
+        ELSE 'Public' END AS highest_sensitivity
+        FROM K, unnest(range(0, least(segment_count, 3))) AS u(i) GROUP BY ALL"""
+
 QUERIES = {
     "a03_cluster_summary_given_clusters": (
         lambda s, sf: M.cluster_summary(_given(s, sf)),
@@ -82,7 +91,8 @@ QUERIES = {
         lambda s, sf: M.representatives(_given(s, sf)),
         f"""WITH {_GIVEN} SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY document_id)
         AS rank, document_id, classification, confidence, segment_count FROM G QUALIFY rank <= 3"""),
-    "a01_error_features": (_features, f"WITH {_A01} SELECT * FROM A01"),
+    "a01_error_features": (_first_pages, f"WITH {_A01} SELECT * FROM A01"),
+    "a01_error_features_whole": (_features, whole(f"WITH {_A01} SELECT * FROM A01")),
     "a02_corrections": (
         _learning(M.corrected),
         f"""WITH {LEARNING} SELECT document_id, original_classification, corrected_classification,
@@ -201,12 +211,12 @@ QUERIES = {
         f"""WITH {K} SELECT document_id, classification, confidence, segment_count, page_count FROM K"""),
     "j01_misclassified_features": (
         lambda s, sf: M.join_corrections(
-            _features(s, sf), M.corrected(A.learning_feedback(s, sf))).drop("feedback_notes"),
+            _first_pages(s, sf), M.corrected(A.learning_feedback(s, sf))).drop("feedback_notes"),
         f"""WITH {_A01.replace(K, LEARNING)} SELECT A01.*, L.original_classification,
         L.corrected_classification FROM A01 JOIN L USING (document_id) WHERE NOT approved"""),
     "j01_all_features": (
         lambda s, sf: M.join_corrections(
-            _features(s, sf), M.corrected(A.learning_feedback(s, sf)), only_corrected=False
+            _first_pages(s, sf), M.corrected(A.learning_feedback(s, sf)), only_corrected=False
         ).drop("feedback_notes", "original_classification"),
         f"""WITH {_A01.replace(K, LEARNING)} SELECT A01.*, x.corrected_classification
         FROM A01 LEFT JOIN (SELECT * FROM L WHERE NOT approved) x USING (document_id)"""),
@@ -280,9 +290,7 @@ QUERIES = {
         f"""WITH {K} SELECT classified_on AS date, round(avg(confidence), 6) AS avg_confidence,
         count(*) AS documents FROM K GROUP BY ALL"""),
     "c10_evidence_by_page": (
-        lambda s, sf: D.evidence_by_page(VD.evidence_rows(A.verdicts(s, sf))),
-        f"""WITH {K} SELECT document_id, i + 1 AS page, count(*) AS evidence_count,
-        CASE WHEN max(CAST((document_id + i) % 3 = 0 AS INTEGER)) = 1 THEN 'Confidential'
-        ELSE 'Public' END AS highest_sensitivity
-        FROM K, unnest(range(0, least(segment_count, 3))) AS u(i) GROUP BY ALL"""),
+        lambda s, sf: D.evidence_by_page(VD.evidence_rows(A.verdicts(s, sf, whole=False))), _EVIDENCE),
+    "c10_evidence_by_page_whole": (
+        lambda s, sf: D.evidence_by_page(VD.evidence_rows(A.verdicts(s, sf))), whole(_EVIDENCE)),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sealgrade.catalog.common import LEARNING, NORMALIZED, SEGMENTS, first_words
+from sealgrade.catalog.common import LEARNING, NORMALIZED, SEGMENTS, first_words, whole
 from sealgrade.operators import feedback as FB, learned as LN, patterns as P
 from sealgrade.session import stage
 from sealgrade.sources import adapters as A
@@ -13,14 +13,14 @@ PAIR = "original_classification, human_classification"
 WORD = r"[\p{L}\p{N}_]+"
 
 
-def _learning(fn):
-    return lambda spark, sf: fn(A.learning_feedback(spark, sf))
+def _learning(fn, whole=True):
+    return lambda spark, sf: fn(A.learning_feedback(spark, sf, whole))
 
 
-def _normalized(fn):
+def _normalized(fn, whole=True):
     """Feedback is derived from texts here, so it is stored before several
     aggregates read it."""
-    return lambda spark, sf: fn(stage(FB.normalize_feedback(A.learning_feedback(spark, sf))))
+    return lambda spark, sf: fn(stage(FB.normalize_feedback(A.learning_feedback(spark, sf, whole))))
 
 
 def _rounded(df, *names):
@@ -106,7 +106,7 @@ def _rules_input(l: DataFrame) -> DataFrame:
 
 def _adjust(method):
     def run(spark, sf):
-        n = stage(FB.normalize_feedback(_rules_input(A.learning_feedback(spark, sf))))
+        n = stage(FB.normalize_feedback(_rules_input(A.learning_feedback(spark, sf, whole=False))))
         out = LN.adjust_confidence(
             _docs(spark, sf), P.accuracy_by_class(n), P.keyword_patterns(n), P.context_patterns(n),
             method=method)
@@ -194,7 +194,8 @@ LEFT JOIN SIM s USING (document_id)"""
 
 def _override(method):
     def run(spark, sf):
-        out = LN.apply_override(_docs(spark, sf), A.learning_feedback(spark, sf), method=method)
+        out = LN.apply_override(
+            _docs(spark, sf), A.learning_feedback(spark, sf, whole=False), method=method)
         return _rounded(out, "learned_confidence").select(
             "document_id", "learned_classification", "learned_confidence", "was_overridden",
             "override_reason")
@@ -218,13 +219,13 @@ SELECT d.document_id, coalesce(b.rule_to, d.classification) AS learned_classific
 FROM DOCS d LEFT JOIN B b USING (document_id)"""
 
 
-def _nested(spark, sf):
+def _nested(spark, sf, whole=True):
     """Corrections completed from nested verdicts."""
     feedback = A.learning_feedback(spark, sf).where(~F.col("approved"))
     bare = FB.rejection(
         feedback.select("document_id", "corrected_classification", F.lit("").alias("notes"),
                         "timestamp"), "reviewer")
-    return FB.intake(bare, A.verdicts(spark, sf))
+    return FB.intake(bare, A.verdicts(spark, sf, whole))
 
 
 def _context(df: DataFrame) -> DataFrame:
@@ -298,6 +299,57 @@ _EXAMPLES = f"""SELECT human_classification AS classification,
   reasoning, CASE WHEN original_classification IS NOT DISTINCT FROM human_classification
   THEN 'high' ELSE 'corrected' END AS confidence FROM N"""
 
+
+def _keyword_patterns(whole=True):
+    return lambda s, sf: _rounded(P.keyword_patterns(FB.normalize_feedback(
+        _rules_input(A.learning_feedback(s, sf, whole)))), "confidence_multiplier")
+
+
+_KEYWORD_PATTERNS = f"""WITH {_RULE_NORMALIZED}, {_KEYWORDS}
+        SELECT keyword, correction_count, round(confidence_multiplier, 6) AS confidence_multiplier,
+        KC.original_classification AS common_from, KC.human_classification AS common_to,
+        KC.n AS common_count, first[1] AS first_seq, first[2] AS first_pos
+        FROM KW JOIN KC USING (keyword)"""
+
+
+def _patterns(n: DataFrame) -> DataFrame:
+    return P.context_patterns(n).withColumn("common_indicators", F.array_join("common_indicators", ","))
+
+
+_PATTERNS = f"""WITH {NORMALIZED}, {_CONTEXT}
+        SELECT {PAIR}, frequency, first_seq,
+        array_to_string(list_slice(found, 1, 5), ',') AS common_indicators,
+        'Documents with ''' || array_to_string(list_slice(found, 1, 3), ', ') || ''' are often '
+        || coalesce(human_classification, 'None') || ', not '
+        || coalesce(original_classification, 'None') AS rule FROM PT"""
+
+_COMMON = f"WITH {NORMALIZED}, {_WORDS} SELECT {PAIR}, rank, word, n FROM WT"
+
+
+def _examples(n: DataFrame) -> DataFrame:
+    return FB.learned_examples(n).drop("timestamp")
+
+
+_FIRST_EXAMPLES = f"WITH {NORMALIZED}, E AS ({_EXAMPLES}) SELECT * FROM E WHERE rank <= 3"
+
+
+def _search(l: DataFrame) -> DataFrame:
+    return FB.search(l.drop("key_indicators"), ["LICENSE", "reviewer3"]).select("document_id")
+
+
+_FOUND = f"""WITH {LEARNING} SELECT document_id FROM L WHERE contains(lower(feedback_notes), 'license')
+        OR reviewer_id = 'reviewer3'"""
+
+
+def _export(l: DataFrame) -> DataFrame:
+    return FB.training_export(l).withColumn("keywords", F.array_join("keywords", ","))
+
+
+_EXPORTED = f"""WITH {LEARNING} SELECT '' AS document_summary,
+        array_to_string({first_words('feedback_notes', 6)}, ',') AS keywords, original_classification,
+        corrected_classification AS correct_classification, '' AS learning_instruction,
+        '' AS reasoning FROM L WHERE NOT approved"""
+
 QUERIES = {
     "j02_union_feedback": (
         _learning(_union),
@@ -330,26 +382,12 @@ QUERIES = {
         f"""WITH {NORMALIZED} SELECT {PAIR}, count(*) AS count, min(seq) AS first_seq,
         round(count(*) / (SELECT count(*) FROM N) * 100, 6) AS percentage FROM X GROUP BY ALL
         ORDER BY count DESC, first_seq LIMIT 10"""),
-    "a24_keyword_patterns": (
-        lambda s, sf: _rounded(P.keyword_patterns(FB.normalize_feedback(
-            _rules_input(A.learning_feedback(s, sf)))), "confidence_multiplier"),
-        f"""WITH {_RULE_NORMALIZED}, {_KEYWORDS}
-        SELECT keyword, correction_count, round(confidence_multiplier, 6) AS confidence_multiplier,
-        KC.original_classification AS common_from, KC.human_classification AS common_to,
-        KC.n AS common_count, first[1] AS first_seq, first[2] AS first_pos
-        FROM KW JOIN KC USING (keyword)"""),
-    "a25_context_patterns": (
-        _normalized(lambda n: P.context_patterns(n).withColumn(
-            "common_indicators", F.array_join("common_indicators", ","))),
-        f"""WITH {NORMALIZED}, {_CONTEXT}
-        SELECT {PAIR}, frequency, first_seq,
-        array_to_string(list_slice(found, 1, 5), ',') AS common_indicators,
-        'Documents with ''' || array_to_string(list_slice(found, 1, 3), ', ') || ''' are often '
-        || coalesce(human_classification, 'None') || ', not '
-        || coalesce(original_classification, 'None') AS rule FROM PT"""),
-    "a26_common_words": (
-        _normalized(P.common_words),
-        f"WITH {NORMALIZED}, {_WORDS} SELECT {PAIR}, rank, word, n FROM WT"),
+    "a24_keyword_patterns": (_keyword_patterns(whole=False), _KEYWORD_PATTERNS),
+    "a24_keyword_patterns_whole": (_keyword_patterns(), whole(_KEYWORD_PATTERNS)),
+    "a25_context_patterns": (_normalized(_patterns, whole=False), _PATTERNS),
+    "a25_context_patterns_whole": (_normalized(_patterns), whole(_PATTERNS)),
+    "a26_common_words": (_normalized(P.common_words, whole=False), _COMMON),
+    "a26_common_words_whole": (_normalized(P.common_words), whole(_COMMON)),
     "a27_learning_summary": (
         _normalized(P.learning_summary),
         f"""WITH {NORMALIZED}, {_KEYWORDS}
@@ -359,15 +397,15 @@ QUERIES = {
         (SELECT count(*) FROM KW) AS keywords_tracked,
         (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT least(count(*), 3) AS n FROM N
           GROUP BY human_classification)) AS examples_available FROM N"""),
-    "a28_feedback_context": (lambda s, sf: _context(_nested(s, sf)), _CONTEXT_SQL),
+    "a28_feedback_context": (lambda s, sf: _context(_nested(s, sf, whole=False)), _CONTEXT_SQL),
     "a29_key_indicators": (
-        lambda s, sf: _nested(s, sf).select(
+        lambda s, sf: _nested(s, sf, whole=False).select(
             "document_id", F.array_join("key_indicators", ",").alias("key_indicators")), _INDICATORS),
     "l05_learning_instructions": (
         lambda s, sf: _nested(s, sf).select(
             "document_id", F.md5("learning_instruction").alias("instruction")), _INSTRUCTIONS),
     "l03_prompt_enhancements": (
-        _normalized(lambda n: _enhancements(n).select("key", "text")),
+        _normalized(lambda n: _enhancements(n).select("key", "text"), whole=False),
         f"""WITH {NORMALIZED}, {_CONTEXT},
         FM AS (SELECT {PAIR}, count(*) AS n, min(seq) AS f,
           count(*) / (SELECT count(*) FROM N) * 100 AS pct FROM X GROUP BY ALL
@@ -397,9 +435,8 @@ QUERIES = {
         f"""WITH {LEARNING} SELECT document_id, original_classification, corrected_classification,
         'Reclassified to ' || corrected_classification AS feedback_notes,
         true AS has_instruction FROM L WHERE NOT approved"""),
-    "r02_learned_examples": (
-        _normalized(lambda n: FB.learned_examples(n).drop("timestamp")),
-        f"WITH {NORMALIZED}, E AS ({_EXAMPLES}) SELECT * FROM E WHERE rank <= 3"),
+    "r02_learned_examples": (_normalized(_examples, whole=False), _FIRST_EXAMPLES),
+    "r02_learned_examples_whole": (_normalized(_examples), whole(_FIRST_EXAMPLES)),
     "r03_few_shot": (
         _normalized(lambda n: FB.few_shot(FB.learned_examples(n), "Confidential", 2).select(
             "document_id", "filename", "confidence")),
@@ -419,17 +456,10 @@ QUERIES = {
             "document_id", "original_classification")),
         f"""WITH {LEARNING} SELECT document_id, original_classification FROM L
         WHERE corrected_classification = 'Highly Sensitive'"""),
-    "u03_keyword_search": (
-        _learning(lambda l: FB.search(l.drop("key_indicators"), ["LICENSE", "reviewer3"]).select(
-            "document_id")),
-        f"""WITH {LEARNING} SELECT document_id FROM L WHERE contains(lower(feedback_notes), 'license')
-        OR reviewer_id = 'reviewer3'"""),
-    "u04_training_export": (
-        _learning(lambda l: FB.training_export(l).withColumn("keywords", F.array_join("keywords", ","))),
-        f"""WITH {LEARNING} SELECT '' AS document_summary,
-        array_to_string({first_words('feedback_notes', 6)}, ',') AS keywords, original_classification,
-        corrected_classification AS correct_classification, '' AS learning_instruction,
-        '' AS reasoning FROM L WHERE NOT approved"""),
+    "u03_keyword_search": (_learning(_search, whole=False), _FOUND),
+    "u03_keyword_search_whole": (_learning(_search), whole(_FOUND)),
+    "u04_training_export": (_learning(_export, whole=False), _EXPORTED),
+    "u04_training_export_whole": (_learning(_export), whole(_EXPORTED)),
     "u05_feedback_history": (
         _learning(lambda l: FB.feedback_history(_two_reviews(l), 4).select(
             "document_id", "reviewer_id", "approved")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sealgrade import vocab as V
-from sealgrade.catalog.common import K, q, values
+from sealgrade.catalog.common import K, q, values, whole
 from sealgrade.functions import text as T
 from sealgrade.operators import features as FT, pagination as P
 from sealgrade.sources import adapters as A
@@ -168,8 +168,8 @@ SELECT document_id, pos, classification, confidence,
   CASE WHEN en > st THEN en ELSE pos * 100 + 50 END AS end_char FROM E"""
 
 
-def _keywords(spark, sf):
-    v = A.verdicts(spark, sf)
+def _keywords(spark, sf, whole=False):
+    v = A.verdicts(spark, sf, whole)
     from sealgrade.operators.verdicts import with_all_keywords
     return with_all_keywords(v).select("document_id", F.array_join("all_keywords", ",").alias("keywords"))
 
@@ -338,6 +338,7 @@ QUERIES = {
         chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10)), 1, 1000)) AS digest FROM P"""),
     "t09_located_segments": (_raw_segments, _LOCATED),
     "t10_keyword_union": (_keywords, _KEYWORDS),
+    "t10_keyword_union_whole": (lambda s, sf: _keywords(s, sf, whole=True), whole(_KEYWORDS)),
     "t11_keyword_in_context": (_kwic, _KWIC),
     "t12_metadata": (
         lambda s, sf: P.metadata(_with_pages(s, sf)).withColumn("warnings", F.array_join("warnings", "|")),

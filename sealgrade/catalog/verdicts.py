@@ -347,7 +347,7 @@ def _expectations(spark, sf):
 
 
 def _checked(spark, sf):
-    return quality.check_expectations(A.verdicts(spark, sf), _expectations(spark, sf))
+    return quality.check_expectations(A.verdicts(spark, sf, whole=False), _expectations(spark, sf))
 
 
 _CHECKED = f"""{K},

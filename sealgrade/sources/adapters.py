@@ -41,6 +41,11 @@ def _filename() -> Column:
     )
 
 
+def _words(text: Column) -> Column:
+    """Distinct words of five letters or more, in order."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]{5,}"), F.lit(0)))
+
+
 def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flat verdict per document, by rules over its text and labels."""
     l = table(spark, sf_dir, "labels")
@@ -66,16 +71,20 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested verdicts: page-sized segments, up to three pieces of evidence,
-    images, keywords and a safety record."""
+def verdicts(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """Nested verdicts: page-sized segments, a piece of evidence a page, images,
+    keywords of the whole text and a safety record. Without ``whole``, as some
+    queries' SQL has it: evidence of three pages, quotes of 60 characters and 25
+    keywords of the first 2000."""
     c = classifications(spark, sf_dir)
     doc = F.col("document_id")
     pages = F.regexp_extract_all(F.col("full_text"), F.lit(r"(?s).{1,2000}"), F.lit(0))
 
     def head(text: Column, n: int) -> Column:
-        found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]{5,}"), F.lit(0))
-        return F.slice(F.array_distinct(found), 1, n)
+        return F.slice(_words(text), 1, n)
+
+    def quote(page: Column) -> Column:
+        return page if whole else F.substring(page, 1, 60)
 
     def segment(page: Column, i: Column) -> Column:
         low = F.lower(page)
@@ -94,12 +103,12 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def evidence(page: Column, i: Column) -> Column:
         return F.struct(
             (i + 1).alias("page"), F.lit("page").alias("region"),
-            F.substring(page, 1, 60).alias("quote"), F.lit("opening words").alias("reasoning"),
+            quote(page).alias("quote"), F.lit("opening words").alias("reasoning"),
             F.lit(None).cast("int").alias("image_index"),
             F.when((doc + i) % 3 == 0, F.lit("Confidential")).otherwise(F.lit("Public"))
             .alias("sensitivity_level"),
             head(page, 2).alias("keywords"), (i * 2000).alias("start_char"),
-            (i * 2000 + F.least(F.length(page), F.lit(60))).alias("end_char"),
+            (i * 2000 + F.length(quote(page))).alias("end_char"),
         )
 
     def image(i: Column) -> Column:
@@ -118,9 +127,9 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     safe = F.col("is_safe")
     return staged.withColumns({
         "text_segments": F.transform("_pages", segment),
-        "evidence": F.transform(F.slice("_pages", 1, 3), evidence),
+        "evidence": F.transform("_pages" if whole else F.slice("_pages", 1, 3), evidence),
         "image_analyses": images,
-        "all_keywords": head(F.substring("full_text", 1, 2000), 25),
+        "all_keywords": _words(F.col("full_text")) if whole else head(F.substring("full_text", 1, 2000), 25),
         "additional_labels": F.when(doc % 4 == 0, F.array(F.lit("Proprietary")))
         .otherwise(F.array().cast("array<string>")),
         "safety_check": F.struct(
@@ -133,12 +142,15 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     }).drop("_pages")
 
 
-def learning_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One review per labelled document."""
+def learning_feedback(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """One review per labelled document, its text as notes and its words as
+    indicators. Without ``whole``, as some queries' SQL has it: the first 200
+    characters and six words of those."""
     k = classifications(spark, sf_dir)
     l = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "document_id")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("document_id") % 30).cast("int"))
     approved = F.col("quality") == 1
+    notes = F.col("full_text") if whole else F.substring("full_text", 1, 200)
     return l.join(k, "document_id").select(
         "document_id", F.col("document_id").alias("seq"), "filename",
         F.col("classification").alias("original_classification"),
@@ -148,10 +160,8 @@ def learning_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("Highly Sensitive").alias("corrected_classification"),
         day.alias("review_date"), day.cast("string").alias("timestamp"),
         F.concat(F.lit("reviewer"), (F.col("document_id") % 7).cast("string")).alias("reviewer_id"),
-        F.substring("full_text", 1, 200).alias("feedback_notes"), "confidence",
-        F.slice(F.array_distinct(F.regexp_extract_all(
-            F.lower(F.substring("full_text", 1, 200)), F.lit(r"[a-z]{5,}"), F.lit(0))), 1, 6)
-        .alias("key_indicators"),
+        notes.alias("feedback_notes"), "confidence",
+        (_words(notes) if whole else F.slice(_words(notes), 1, 6)).alias("key_indicators"),
     )
 
 
