@@ -87,6 +87,8 @@ CUTS = {
     first_words("feedback_notes", 6): all_words("feedback_notes"),
     first_words("substring(full_text, 1, 200)", 6): all_words("full_text"),
     first_words("substring(k.full_text, 1, 2000)", 25): all_words("k.full_text"),
+    first_words("substring(full_text, 1, 300)", 8): all_words("full_text"),
+    "substring(full_text, 1, 1000)": "full_text",
     "least(segment_count, 3)": "segment_count",
     "WHERE i < 3": "",
     "substring(text, 1, 60)": "text",

@@ -84,15 +84,17 @@ LEFT JOIN FIX a ON a.document_id = k.document_id AND a.n = 1
 LEFT JOIN FIX b ON b.document_id = k.document_id AND b.n = 2"""
 
 
-def _docs(spark, sf) -> DataFrame:
-    """Documents as scoring sees them; the preview is the text's first 1000
-    characters, keywords its first distinct words."""
+def _docs(spark, sf, whole=True) -> DataFrame:
+    """Documents as scoring sees them, with their text and its distinct words.
+    Without ``whole``, as some queries' SQL has it, the text is its first 1000
+    characters and the keywords are the first eight of the first 300."""
     c = A.classifications(spark, sf)
-    found = F.regexp_extract_all(F.lower(F.substring("full_text", 1, 300)), F.lit(r"[a-z]{5,}"), F.lit(0))
+    text = F.col("full_text")
+    found = A.distinct_words(text if whole else F.substring(text, 1, 300))
     return c.select(
         "document_id", "filename", "classification", "confidence",
-        F.substring("full_text", 1, 1000).alias("preview"),
-        F.slice(F.array_distinct(found), 1, 8).alias("all_keywords"),
+        (text if whole else F.substring(text, 1, 1000)).alias("preview"),
+        (found if whole else F.slice(found, 1, 8)).alias("all_keywords"),
     )
 
 
@@ -104,11 +106,11 @@ def _rules_input(l: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at("key_indicators", F.lit(1)), F.lit(""))))
 
 
-def _adjust(method):
+def _adjust(method, whole=False):
     def run(spark, sf):
-        n = stage(FB.normalize_feedback(_rules_input(A.learning_feedback(spark, sf, whole=False))))
+        n = stage(FB.normalize_feedback(_rules_input(A.learning_feedback(spark, sf, whole))))
         out = LN.adjust_confidence(
-            _docs(spark, sf), P.accuracy_by_class(n), P.keyword_patterns(n), P.context_patterns(n),
+            _docs(spark, sf, whole), P.accuracy_by_class(n), P.keyword_patterns(n), P.context_patterns(n),
             method=method)
         return _rounded(out, "adjusted_confidence").select(
             "document_id", "classification", "adjusted_confidence", "learned_review", "learned_reason")
@@ -192,10 +194,10 @@ FROM DOCS d LEFT JOIN ACC a USING (classification) LEFT JOIN HITS h USING (docum
 LEFT JOIN SIM s USING (document_id)"""
 
 
-def _override(method):
+def _override(method, whole=False):
     def run(spark, sf):
         out = LN.apply_override(
-            _docs(spark, sf), A.learning_feedback(spark, sf, whole=False), method=method)
+            _docs(spark, sf, whole), A.learning_feedback(spark, sf, whole), method=method)
         return _rounded(out, "learned_confidence").select(
             "document_id", "learned_classification", "learned_confidence", "was_overridden",
             "override_reason")
@@ -365,9 +367,11 @@ QUERIES = {
     "j05_keyword_rules": (_adjust("array"), _ADJUSTED),
     "j05_keyword_rules_by_join": (_adjust("join"), _ADJUSTED),
     "l01_adjusted_confidence": (_adjust("auto"), _ADJUSTED),
+    "l01_adjusted_confidence_whole": (_adjust("join", whole=True), whole(_ADJUSTED)),
     "j06_correction_rules": (_override("array"), _OVERRIDDEN),
     "j06_correction_rules_by_join": (_override("join"), _OVERRIDDEN),
     "l02_learned_override": (_override("auto"), _OVERRIDDEN),
+    "l02_learned_override_whole": (_override("join", whole=True), whole(_OVERRIDDEN)),
     "a21_correction_rate": (
         _normalized(lambda n: _rounded(P.correction_rate(n), "correction_rate")),
         f"""WITH {NORMALIZED} SELECT count(*) AS total_feedback_count,

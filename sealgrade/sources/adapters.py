@@ -41,7 +41,7 @@ def _filename() -> Column:
     )
 
 
-def _words(text: Column) -> Column:
+def distinct_words(text: Column) -> Column:
     """Distinct words of five letters or more, in order."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]{5,}"), F.lit(0)))
 
@@ -81,7 +81,7 @@ def verdicts(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
     pages = F.regexp_extract_all(F.col("full_text"), F.lit(r"(?s).{1,2000}"), F.lit(0))
 
     def head(text: Column, n: int) -> Column:
-        return F.slice(_words(text), 1, n)
+        return F.slice(distinct_words(text), 1, n)
 
     def quote(page: Column) -> Column:
         return page if whole else F.substring(page, 1, 60)
@@ -129,7 +129,7 @@ def verdicts(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
         "text_segments": F.transform("_pages", segment),
         "evidence": F.transform("_pages" if whole else F.slice("_pages", 1, 3), evidence),
         "image_analyses": images,
-        "all_keywords": _words(F.col("full_text")) if whole else head(F.substring("full_text", 1, 2000), 25),
+        "all_keywords": distinct_words(F.col("full_text")) if whole else head(F.substring("full_text", 1, 2000), 25),
         "additional_labels": F.when(doc % 4 == 0, F.array(F.lit("Proprietary")))
         .otherwise(F.array().cast("array<string>")),
         "safety_check": F.struct(
@@ -161,7 +161,7 @@ def learning_feedback(spark: SparkSession, sf_dir: str, whole: bool = True) -> D
         day.alias("review_date"), day.cast("string").alias("timestamp"),
         F.concat(F.lit("reviewer"), (F.col("document_id") % 7).cast("string")).alias("reviewer_id"),
         notes.alias("feedback_notes"), "confidence",
-        (_words(notes) if whole else F.slice(_words(notes), 1, 6)).alias("key_indicators"),
+        (distinct_words(notes) if whole else F.slice(distinct_words(notes), 1, 6)).alias("key_indicators"),
     )
 
 

@@ -34,3 +34,26 @@ def test_reviews_hold_whole_texts(spark, sf_dir, texts):
     for r in got:
         assert r["feedback_notes"] == texts[r["document_id"]]
         assert r["key_indicators"] == words(texts[r["document_id"]])
+
+
+def test_scoring_sees_whole_texts(spark, sf_dir, texts):
+    from sealgrade.catalog import learning
+    for r in learning._docs(spark, sf_dir).collect():
+        assert r["preview"] == texts[r["document_id"]] and r["all_keywords"] == words(r["preview"])
+
+
+def test_overrides_by_whole_texts(spark, sf_dir, texts):
+    docs = A.classifications(spark, sf_dir).select("document_id", "filename", "classification").collect()
+    rules = A.learning_feedback(spark, sf_dir).where("not approved").orderBy("seq").collect()
+    want = {}
+    for d in docs:
+        hay = (d["filename"] + "\0" + texts[d["document_id"]]).lower()
+        for r in rules:
+            n = len(r["key_indicators"])
+            hits = sum(i in hay for i in r["key_indicators"])
+            if r["original_classification"] == d["classification"] and hits >= max(3, n / 2):
+                want[d["document_id"]] = (r["corrected_classification"], hits, n)
+                break
+    got = REGISTRY["l02_learned_override_whole"][0](spark, sf_dir).where("was_overridden").collect()
+    assert {r["document_id"]: r["learned_classification"] for r in got} == {k: v[0] for k, v in want.items()}
+    assert all("Matched %d/%d" % want[r["document_id"]][1:] in r["override_reason"] for r in got) and got
