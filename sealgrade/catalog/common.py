@@ -89,6 +89,7 @@ CUTS = {
     first_words("substring(k.full_text, 1, 2000)", 25): all_words("k.full_text"),
     first_words("substring(full_text, 1, 300)", 8): all_words("full_text"),
     "substring(full_text, 1, 1000)": "full_text",
+    "CASE WHEN document_id % 10 <> 0 THEN substring(text, 1, 1000) END": "text",
     "least(segment_count, 3)": "segment_count",
     "WHERE i < 3": "",
     "substring(text, 1, 60)": "text",

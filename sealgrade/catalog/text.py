@@ -205,10 +205,19 @@ SELECT document_id, k AS keyword, i - 1 AS position,
   md5(array_to_string(w[greatest(i - 5, 1):i + 5], ' ')) AS digest FROM H"""
 
 
-def _features(spark, sf):
-    d = _docs(spark, sf).withColumn("preview", F.when(
-        F.col("document_id") % 10 != 0, F.substring("text", 1, 1000)))
-    return FT.detect_features(d, vocabulary=TEST_WORDS)
+def _features(spark, sf, whole=False):
+    """Without ``whole``, as some queries' SQL has it, a tenth of the documents
+    has no text and the others' is its first 1000 characters."""
+    text = F.col("text") if whole else F.when(F.col("document_id") % 10 != 0, F.substring("text", 1, 1000))
+    return FT.detect_features(_docs(spark, sf).withColumn("preview", text), vocabulary=TEST_WORDS)
+
+
+def _both(name: str, query, sql: str) -> dict:
+    """A query over features, and its form over whole texts."""
+    return {
+        name: (lambda s, sf: query(_features(s, sf)), sql),
+        f"{name}_whole": (lambda s, sf: query(_features(s, sf, whole=True)), whole(sql)),
+    }
 
 
 def _count(column: str, words) -> str:
@@ -280,9 +289,9 @@ SELECT document_id, md5(concat('**DOCUMENT ANALYSIS REQUEST**', chr(10), 'Filena
   )) AS lead_in FROM F4 JOIN (SELECT document_id, filename AS full_name FROM D) USING (document_id)"""
 
 
-def _lead_in(spark, sf):
+def _lead_in(features):
     from sealgrade.operators.verdicts import lead_in
-    d = _features(spark, sf).withColumn("page_count", F.lit(3))
+    d = features.withColumn("page_count", F.lit(3))
     return lead_in(d).select("document_id", F.md5("lead_in").alias("lead_in"))
 
 
@@ -366,25 +375,27 @@ QUERIES = {
         f"WITH {D} " + " UNION ALL ".join(
             f"SELECT document_id, '{n}' AS pattern, unnest(regexp_extract_all(text, {q(rx)}, 0, 'i'))"
             f" AS value FROM D" for n, rx in V.PII_PATTERNS.items())),
-    "f03_f07_keyword_counts": (
-        lambda s, sf: _features(s, sf).select("document_id", "pii_data", *_COUNTS),
+    **_both(
+        "f03_f07_keyword_counts",
+        lambda d: d.select("document_id", "pii_data", *_COUNTS),
         f"WITH {FEATURES} SELECT document_id, pii_data, {', '.join(_COUNTS)} FROM F4"),
-    "f08_f10_feature_flags": (
-        lambda s, sf: _features(s, sf).select(
-            "document_id", *_FLAGS, "sensitivity_score", "document_type"),
+    **_both(
+        "f08_f10_feature_flags",
+        lambda d: d.select("document_id", *_FLAGS, "sensitivity_score", "document_type"),
         f"""WITH {FEATURES} SELECT document_id, {', '.join(_FLAGS)}, sensitivity_score, document_type
         FROM F4"""),
-    "f11_analysis_plan": (
-        lambda s, sf: _features(s, sf).select(
-            "document_id", F.array_join("analysis_plan", ",").alias("plan")),
+    **_both(
+        "f11_analysis_plan",
+        lambda d: d.select("document_id", F.array_join("analysis_plan", ",").alias("plan")),
         f"WITH {FEATURES} SELECT document_id, {_PLAN} AS plan FROM F4"),
-    "f12_insight": (
-        lambda s, sf: _features(s, sf).select(
+    **_both(
+        "f12_insight",
+        lambda d: d.select(
             "document_id", "insight.document_type", "insight.sensitivity_score",
             "insight.recommended_review",
             F.array_join("insight.detected_features", ",").alias("detected_features")),
         f"""WITH {FEATURES} SELECT document_id, document_type, sensitivity_score,
         sensitivity_score >= 50 AS recommended_review, coalesce(array_to_string([{', '.join(
             f"CASE WHEN {n} THEN '{n}' END" for n in _FLAGS)}], ','), '') AS detected_features FROM F4"""),
-    "m19_lead_in": (_lead_in, _LEAD_IN),
+    **_both("m19_lead_in", _lead_in, _LEAD_IN),
 }

@@ -57,3 +57,20 @@ def test_overrides_by_whole_texts(spark, sf_dir, texts):
     got = REGISTRY["l02_learned_override_whole"][0](spark, sf_dir).where("was_overridden").collect()
     assert {r["document_id"]: r["learned_classification"] for r in got} == {k: v[0] for k, v in want.items()}
     assert all("Matched %d/%d" % want[r["document_id"]][1:] in r["override_reason"] for r in got) and got
+
+
+def test_features_of_whole_texts(spark, sf_dir, texts):
+    from sealgrade.catalog.text import TEST_WORDS
+    got = REGISTRY["f03_f07_keyword_counts_whole"][0](spark, sf_dir).collect()
+    assert any(r["document_id"] % 10 == 0 and r["technical_count"] for r in got)
+    for r in got:
+        low = texts[r["document_id"]].lower()
+        for name in ("form", "defense", "government", "marketing", "technical"):
+            assert r[f"{name}_count"] == sum(w in low for w in getattr(TEST_WORDS, name)), name
+
+
+def test_features_without_a_text(rows):
+    from sealgrade.operators import features as FT
+    r = FT.detect_features(rows(
+        [("plain.txt", None, 0)], "filename string, preview string, image_count int")).first()
+    assert not r["pii_data"] and r["form_count"] == 0 and not r["potential_multi_label"]
