@@ -341,7 +341,9 @@ QUERIES = {
         lambda p, i: 'Page ' || i || ':' || chr(10) || p),
         chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10))) AS digest FROM P"""),
     "t08_content_preview": (
-        lambda s, sf: P.with_preview(_with_pages(s, sf)).select("document_id", F.md5("preview").alias("digest")),
+        lambda s, sf: P.with_preview(
+            _with_pages(s, sf), max_blocks=V.PREVIEW_BLOCKS, chars=V.PREVIEW_CHARS).select(
+            "document_id", F.md5("preview").alias("digest")),
         f"""WITH {PAGES} SELECT document_id, md5(substring('Document Text Content:' || chr(10) || chr(10)
         || array_to_string(list_transform(pages, lambda p, i: 'Page ' || i || ':' || chr(10) || p),
         chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10)), 1, 1000)) AS digest FROM P"""),

@@ -203,11 +203,13 @@ def content_blocks(pages: Column, image_count: Column, max_images: int = V.MAX_I
 
 
 def content_preview(
-    blocks: Column, max_blocks: int = V.PREVIEW_BLOCKS, chars: int = V.PREVIEW_CHARS
+    blocks: Column, max_blocks: int | None = None, chars: int | None = None
 ) -> Column:
-    """Text of the text blocks among the first ``max_blocks``, cut at ``chars``."""
-    head = F.filter(F.slice(blocks, 1, max_blocks), lambda b: b["type"] == "text")
-    return F.substring(F.array_join(F.transform(head, lambda b: b["text"]), ""), 1, chars)
+    """Text of the text blocks; of the first ``max_blocks`` and cut at ``chars``
+    where a caller wants that."""
+    some = blocks if max_blocks is None else F.slice(blocks, 1, max_blocks)
+    text = F.array_join(F.transform(F.filter(some, lambda b: b["type"] == "text"), lambda b: b["text"]), "")
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 def locate_segments(full_text: Column, segments: Column, limit: int | None = None, last_page: int | None = None) -> Column:

@@ -103,11 +103,12 @@ def combined_text(df: DataFrame, pages: str = "pages") -> DataFrame:
 
 
 def with_preview(
-    df: DataFrame, pages: str = "pages", image_count: str = "image_count", into: str = "preview"
+    df: DataFrame, pages: str = "pages", image_count: str = "image_count", into: str = "preview",
+    max_blocks: int | None = None, chars: int | None = None,
 ) -> DataFrame:
     blocks = T.content_blocks(F.col(pages), F.col(image_count))
     return df.withColumn("_blocks", blocks).withColumn(
-        into, T.content_preview(F.col("_blocks"))
+        into, T.content_preview(F.col("_blocks"), max_blocks, chars)
     ).drop("_blocks")
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, functions as F
 from sealgrade import vocab as V
 from sealgrade.functions import repair as R
 from sealgrade.operators import feedback as FB, learned as L, patterns as P, verdicts as M
-from sealgrade.operators.pagination import with_preview
 from sealgrade.session import stage
 
 
@@ -59,7 +58,7 @@ def basic(
     })
     if learned is not None:
         df = L.adjust_confidence(
-            with_preview(df), learned.accuracy, learned.keyword_rules, learned.patterns
+            df, learned.accuracy, learned.keyword_rules, learned.patterns, preview="full_text"
         ).withColumn("confidence", F.col("adjusted_confidence")).drop("adjusted_confidence")
     if dual:
         df = M.read_verdicts(df, "secondary", "secondary_verdict", "secondary_status")

@@ -74,3 +74,28 @@ def test_features_without_a_text(rows):
     r = FT.detect_features(rows(
         [("plain.txt", None, 0)], "filename string, preview string, image_count int")).first()
     assert not r["pii_data"] and r["form_count"] == 0 and not r["potential_multi_label"]
+
+
+def test_preview_of_all_blocks(rows):
+    from sealgrade.operators import pagination as P
+    df = rows([(1, ["a" * 1500, "b"], 0)], "document_id int, pages array<string>, image_count int")
+    assert P.with_preview(df).first()["preview"].endswith("Page 2:\nb")
+    assert len(P.with_preview(df, max_blocks=5, chars=1000).first()["preview"]) == 1000
+
+
+def test_learned_words_late_in_a_text(rows):
+    """A rule's word after character 1000 lowers the confidence of the basic route."""
+    from sealgrade.plans import presets
+    feedback = rows(
+        [(str(i), i, "r", False, "Unsafe", "Public", "", "t", "zeppelin") for i in range(3)],
+        "document_id string, seq bigint, reviewer_id string, approved boolean, corrected_classification string, "
+        "original_classification string, feedback_notes string, timestamp string, filename string")
+    text = "x" * 3000 + " zeppelin"
+    docs = rows([("d", "d.txt", [text], text, 1, 0)], "document_id string, filename string, pages array<string>, "
+                "full_text string, page_count int, image_count int")
+    answer = ('{"classification":"Confidential","confidence":0.95,"summary":"s","reasoning":"r","evidence":[],'
+              '"safety_assessment":{"is_safe":true,"flags":["none"],"details":"d","confidence":0.9}}')
+    responses = rows([("d", "primary", 0, answer)], "document_id string, role string, item int, response_text string")
+    r = presets.basic(docs, responses, presets.learn(feedback), auto_approve_at=None).first()
+    assert r["requires_review"] and "zeppelin" in r["review_reason"]
+    assert r["confidence"] == pytest.approx(0.95 * 0.7)
