@@ -134,9 +134,17 @@ def with_quick_safety(df: DataFrame, response: str = "quick_safety") -> DataFram
     return df.withColumn("quick", R.quick_unsafe(F.col(response)))
 
 
-def quick_exit_verdict(df: DataFrame, quick: str = "quick", full_text: str = "full_text") -> DataFrame:
-    """Verdict columns of documents the pre-scan found unsafe."""
+def quick_exit_verdict(
+    df: DataFrame, quick: str = "quick", full_text: str = "full_text",
+    text_chars: int | None = 1000, quote_chars: int | None = 100,
+) -> DataFrame:
+    """Verdict columns of documents the pre-scan found unsafe. ``text_chars`` and
+    ``quote_chars`` bound the text and the quote; None keeps them whole."""
     q = F.col(quick)
+
+    def head(text, chars: int | None):
+        return text if chars is None else F.substring(text, 1, chars)
+
     flag = F.coalesce(q["quick_flag"], F.lit("None"))
 
     def either(name: str, default: str):
@@ -156,7 +164,7 @@ def quick_exit_verdict(df: DataFrame, quick: str = "quick", full_text: str = "fu
         "evidence": F.array(F.struct(
             F.lit(None).cast("int").alias("page"),
             F.lit("Quick scan (first 2000 chars)").alias("region"),
-            F.substring(either("evidence", "Unsafe content detected"), 1, 100).alias("quote"),
+            head(either("evidence", "Unsafe content detected"), quote_chars).alias("quote"),
             F.concat(F.lit("Flagged by quick safety check as "), flag).alias("reasoning"),
             F.lit(None).cast("int").alias("image_index"),
             F.lit(None).cast("string").alias("sensitivity_level"),
@@ -173,7 +181,7 @@ def quick_exit_verdict(df: DataFrame, quick: str = "quick", full_text: str = "fu
             ).alias("details"),
             F.lit(V.QUICK_UNSAFE_CONFIDENCE).alias("confidence"),
         ),
-        full_text: F.substring(full_text, 1, 1000),
+        full_text: head(F.col(full_text), text_chars),
         "requires_review": F.lit(True),
         "review_reason": F.concat(F.lit("Quick safety check flagged: "), flag),
     })

@@ -106,7 +106,7 @@ def enhanced(
         "reasoning", "evidence", "safety_check", "page_count", "image_count", "full_text",
         "requires_review", "review_reason",
     ]
-    early = M.quick_exit_verdict(df).select(*common)
+    early = M.quick_exit_verdict(df, text_chars=None, quote_chars=None).select(*common)
     df = df.where(F.col("quick").isNull())
     df = M.with_keyword_relevance(M.with_context(M.with_images(M.with_segments(df))))
     df = M.read_verdicts(df, "primary", "primary_verdict", "primary_status")

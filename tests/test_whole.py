@@ -99,3 +99,19 @@ def test_learned_words_late_in_a_text(rows):
     r = presets.basic(docs, responses, presets.learn(feedback), auto_approve_at=None).first()
     assert r["requires_review"] and "zeppelin" in r["review_reason"]
     assert r["confidence"] == pytest.approx(0.95 * 0.7)
+
+
+def test_unsafe_documents_keep_their_text(rows):
+    from sealgrade.operators import verdicts as M
+    from sealgrade.plans import presets
+    text, seen = "t" * 5000 + "end", "e" * 300
+    docs = rows([("d", "d.txt", [text], text, 1, 0)], "document_id string, filename string, pages array<string>, "
+                "full_text string, page_count int, image_count int")
+    found = '{"is_unsafe": true, "quick_flag": "violent", "evidence": "%s"}' % seen
+    responses = rows([("d", "quick_safety", 0, found)],
+                     "document_id string, role string, item int, response_text string")
+    r = presets.enhanced(docs, responses).first()
+    assert r["classification"] == "Unsafe" and r["full_text"] == text and r["evidence"][0]["quote"] == seen
+    cut = M.quick_exit_verdict(
+        M.with_quick_safety(docs.withColumn("quick_safety", F.lit(found))), text_chars=10, quote_chars=5).first()
+    assert cut["full_text"] == text[:10] and cut["evidence"][0]["quote"] == "eeeee"
