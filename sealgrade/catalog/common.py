@@ -82,11 +82,18 @@ def first_words(text: str, n: int) -> str:
 
 
 # what some SQL reads of a text, and the whole of it
+_KEYS = first_words("substring(k.full_text, 1, 2000)", 25)
 CUTS = {
+    f"list_slice({_KEYS}, 1, 15)": all_words("k.full_text"),
+    f"list_slice({_KEYS}, 1, 20)": all_words("k.full_text"),
+    "list_slice(list_filter(w, lambda x, p: list_position(w, x) = p),\n  1, 20)":
+        "list_filter(w, lambda x, p: list_position(w, x) = p)",
+    "QUALIFY rank <= 10": "",
+    "list_slice(found, 1, 5)": "found",
+    "list_slice(p.found, 1, 5)": "p.found",
     "substring(k.full_text, 1, 200) AS feedback_notes": "k.full_text AS feedback_notes",
     first_words("feedback_notes", 6): all_words("feedback_notes"),
     first_words("substring(full_text, 1, 200)", 6): all_words("full_text"),
-    first_words("substring(k.full_text, 1, 2000)", 25): all_words("k.full_text"),
     first_words("substring(full_text, 1, 300)", 8): all_words("full_text"),
     "substring(full_text, 1, 1000)": "full_text",
     "CASE WHEN document_id % 10 <> 0 THEN substring(text, 1, 1000) END": "text",

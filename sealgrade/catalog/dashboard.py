@@ -284,7 +284,7 @@ QUERIES = {
         SELECT classification, term, tf, df, round(weight, 6) AS weight, rank FROM R WHERE rank <= 20"""),
     "c08_top_patterns": (
         lambda s, sf: M.top_patterns(
-            M.class_patterns(_clustered(s, sf)), order=("classification", "cluster")), None),
+            M.class_patterns(_clustered(s, sf)), 50, order=("classification", "cluster")), None),
     "c09_confidence_trend": (
         _verdicts(lambda v: _rounded(D.confidence_trend(v, F.col("classified_on")), "avg_confidence")),
         f"""WITH {K} SELECT classified_on AS date, round(avg(confidence), 6) AS avg_confidence,

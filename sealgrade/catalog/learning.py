@@ -10,6 +10,8 @@ from sealgrade.session import stage
 from sealgrade.sources import adapters as A
 
 PAIR = "original_classification, human_classification"
+# words ranked and kept per corrected pair in the SQL of the prefix forms
+LIMITS = {"top": 10, "indicators": 5}
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -110,7 +112,8 @@ def _adjust(method, whole=False):
     def run(spark, sf):
         n = stage(FB.normalize_feedback(_rules_input(A.learning_feedback(spark, sf, whole))))
         out = LN.adjust_confidence(
-            _docs(spark, sf, whole), P.accuracy_by_class(n), P.keyword_patterns(n), P.context_patterns(n),
+            _docs(spark, sf, whole), P.accuracy_by_class(n), P.keyword_patterns(n),
+            P.context_patterns(n, **({} if whole else LIMITS)),
             method=method)
         return _rounded(out, "adjusted_confidence").select(
             "document_id", "classification", "adjusted_confidence", "learned_review", "learned_reason")
@@ -227,7 +230,12 @@ def _nested(spark, sf, whole=True):
     bare = FB.rejection(
         feedback.select("document_id", "corrected_classification", F.lit("").alias("notes"),
                         "timestamp"), "reviewer")
-    return FB.intake(bare, A.verdicts(spark, sf, whole))
+    if whole:
+        return FB.intake(bare, A.verdicts(spark, sf))
+    return FB.intake(
+        bare, A.verdicts(spark, sf, whole=False),
+        FB.document_context("v.", pieces=3, quote_chars=200, keywords=20),
+        FB.key_indicators("v.", keywords=15, limit=20))
 
 
 def _context(df: DataFrame) -> DataFrame:
@@ -260,6 +268,11 @@ SELECT k.document_id, k.filename, k.page_count, k.classification AS original_cla
 FROM L JOIN K k USING (document_id) LEFT JOIN G USING (document_id) LEFT JOIN E USING (document_id)
 WHERE NOT L.approved"""
 
+
+def _indicators(df: DataFrame) -> DataFrame:
+    return df.select("document_id", F.array_join("key_indicators", ",").alias("key_indicators"))
+
+
 _SEGWORDS = first_words("text", 3)
 _INDICATORS = f"""WITH {_SEG_LEARNING},
 S AS (SELECT document_id, flatten(list({_SEGWORDS} ORDER BY i)) AS w FROM SEG
@@ -314,8 +327,8 @@ _KEYWORD_PATTERNS = f"""WITH {_RULE_NORMALIZED}, {_KEYWORDS}
         FROM KW JOIN KC USING (keyword)"""
 
 
-def _patterns(n: DataFrame) -> DataFrame:
-    return P.context_patterns(n).withColumn("common_indicators", F.array_join("common_indicators", ","))
+def _patterns(n: DataFrame, **limits) -> DataFrame:
+    return P.context_patterns(n, **limits).withColumn("common_indicators", F.array_join("common_indicators", ","))
 
 
 _PATTERNS = f"""WITH {NORMALIZED}, {_CONTEXT}
@@ -388,9 +401,9 @@ QUERIES = {
         ORDER BY count DESC, first_seq LIMIT 10"""),
     "a24_keyword_patterns": (_keyword_patterns(whole=False), _KEYWORD_PATTERNS),
     "a24_keyword_patterns_whole": (_keyword_patterns(), whole(_KEYWORD_PATTERNS)),
-    "a25_context_patterns": (_normalized(_patterns, whole=False), _PATTERNS),
+    "a25_context_patterns": (_normalized(lambda n: _patterns(n, **LIMITS), whole=False), _PATTERNS),
     "a25_context_patterns_whole": (_normalized(_patterns), whole(_PATTERNS)),
-    "a26_common_words": (_normalized(P.common_words, whole=False), _COMMON),
+    "a26_common_words": (_normalized(lambda n: P.common_words(n, top=10), whole=False), _COMMON),
     "a26_common_words_whole": (_normalized(P.common_words), whole(_COMMON)),
     "a27_learning_summary": (
         _normalized(P.learning_summary),
@@ -402,9 +415,10 @@ QUERIES = {
         (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT least(count(*), 3) AS n FROM N
           GROUP BY human_classification)) AS examples_available FROM N"""),
     "a28_feedback_context": (lambda s, sf: _context(_nested(s, sf, whole=False)), _CONTEXT_SQL),
+    "a28_feedback_context_whole": (lambda s, sf: _context(_nested(s, sf)), whole(_CONTEXT_SQL)),
     "a29_key_indicators": (
-        lambda s, sf: _nested(s, sf, whole=False).select(
-            "document_id", F.array_join("key_indicators", ",").alias("key_indicators")), _INDICATORS),
+        lambda s, sf: _indicators(_nested(s, sf, whole=False)), _INDICATORS),
+    "a29_key_indicators_whole": (lambda s, sf: _indicators(_nested(s, sf)), whole(_INDICATORS)),
     "l05_learning_instructions": (
         lambda s, sf: _nested(s, sf).select(
             "document_id", F.md5("learning_instruction").alias("instruction")), _INSTRUCTIONS),

@@ -188,14 +188,24 @@ def _class_counts(segments: Column) -> Column:
         segments, lambda s: F.coalesce(s["classification"], F.lit("Unknown")) == k))))
 
 
-def document_context(prefix: str = "") -> Column:
-    """What a review remembers of a verdict: first three pieces of evidence,
-    segment counts per class, first twenty keywords."""
+def _first(values: Column, n: int | None) -> Column:
+    return values if n is None else F.slice(values, 1, n)
+
+
+def document_context(
+    prefix: str = "", pieces: int | None = None, quote_chars: int | None = None, keywords: int | None = None
+) -> Column:
+    """What a review remembers of a verdict: evidence, segment counts per class,
+    keywords; all of them unless a number is given."""
     def c(name):
         return F.col(f"{prefix}{name}")
 
-    evidence = F.transform(F.slice(c("evidence"), 1, 3), lambda e: F.struct(
-        F.substring(F.coalesce(e["quote"], F.lit("")), 1, 200).alias("quote"),
+    def quote(e: Column) -> Column:
+        text = F.coalesce(e["quote"], F.lit(""))
+        return text if quote_chars is None else F.substring(text, 1, quote_chars)
+
+    evidence = F.transform(_first(c("evidence"), pieces), lambda e: F.struct(
+        quote(e).alias("quote"),
         F.coalesce(e["reasoning"], F.lit("")).alias("reasoning"),
     ))
     return F.struct(
@@ -207,21 +217,21 @@ def document_context(prefix: str = "") -> Column:
             F.size(c("text_segments")).alias("total"),
             _class_counts(c("text_segments")).alias("classifications"),
         ).alias("text_segments_summary"),
-        F.slice(c("all_keywords"), 1, 20).alias("keywords"),
+        _first(c("all_keywords"), keywords).alias("keywords"),
     ).cast(S.DOCUMENT_CONTEXT)
 
 
-def key_indicators(prefix: str = "") -> Column:
-    """First 15 keywords and those of Confidential segments, distinct, 20 at most,
-    in first-seen order."""
+def key_indicators(prefix: str = "", keywords: int | None = None, limit: int | None = None) -> Column:
+    """Keywords and those of Confidential segments, distinct, in first-seen order;
+    the first ``keywords`` and ``limit`` in all where a number is given."""
     segments = F.col(f"{prefix}text_segments")
     confidential = F.flatten(F.transform(
         F.filter(segments, lambda s: s["classification"] == "Confidential"),
         lambda s: F.coalesce(s["keywords"], F.array().cast("array<string>")),
     ))
-    return F.slice(F.array_distinct(
-        F.concat(F.slice(F.col(f"{prefix}all_keywords"), 1, 15), confidential)
-    ), 1, 20)
+    return _first(F.array_distinct(
+        F.concat(_first(F.col(f"{prefix}all_keywords"), keywords), confidential)
+    ), limit)
 
 
 def learning_instruction(
@@ -270,9 +280,14 @@ def learning_instruction(
     )
 
 
-def intake(feedback: DataFrame, verdicts: DataFrame) -> DataFrame:
+def intake(
+    feedback: DataFrame, verdicts: DataFrame, context: Column | None = None, indicators: Column | None = None
+) -> DataFrame:
     """Complete incoming feedback from the verdicts it speaks about.
 
+    ``context`` and ``indicators`` stand for ``document_context("v.")`` and
+    ``key_indicators("v.")`` where a caller wants those bounded.
+
     Context and original class are filled when absent; instruction and key
     indicators too, but only for corrections. Feedback on unknown documents is
     dropped (see ``unknown_feedback``).
@@ -291,11 +306,12 @@ def intake(feedback: DataFrame, verdicts: DataFrame) -> DataFrame:
     instruction = F.when(is_correction, learning_instruction(
         F.coalesce(F.col("original_classification"), F.lit("Unknown")), corrected,
         F.coalesce("feedback_notes", F.lit("")), "v."))
-    indicators = F.when(is_correction, key_indicators("v."))
+    context = document_context("v.") if context is None else context
+    indicators = F.when(is_correction, key_indicators("v.") if indicators is None else indicators)
     empty = F.size(F.coalesce("key_indicators", F.array().cast("array<string>"))) == 0
     return (
         joined.withColumn("original_classification", original)
-        .withColumn("document_context", F.coalesce("document_context", document_context("v.")))
+        .withColumn("document_context", F.coalesce("document_context", context))
         .withColumn("learning_instruction",
                     F.coalesce(F.nullif("learning_instruction", F.lit("")), instruction))
         .withColumn("key_indicators",

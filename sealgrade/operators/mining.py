@@ -116,9 +116,10 @@ def class_patterns(clustered: DataFrame) -> DataFrame:
     )
 
 
-def top_patterns(patterns: DataFrame, n: int = 50, order: Sequence[str] = ()) -> DataFrame:
-    """The ``n`` largest groups of a counted table; ties go by ``order``."""
-    return patterns.orderBy(F.col("count").desc(), *order).limit(n)
+def top_patterns(patterns: DataFrame, n: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """A counted table by size, or its ``n`` largest groups; ties go by ``order``."""
+    ordered = patterns.orderBy(F.col("count").desc(), *order)
+    return ordered if n is None else ordered.limit(n)
 
 
 def representatives(clustered: DataFrame, n: int = 3) -> DataFrame:

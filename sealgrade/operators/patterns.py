@@ -92,9 +92,9 @@ def keyword_patterns(normalized: DataFrame) -> DataFrame:
     )
 
 
-def common_words(normalized: DataFrame, top: int = 10, at_least: int = 2) -> DataFrame:
-    """Per corrected pair: the ``top`` most frequent reasoning words longer than
-    four characters, of which those with ``at_least`` hits stay."""
+def common_words(normalized: DataFrame, top: int | None = None, at_least: int = 2) -> DataFrame:
+    """Per corrected pair: the reasoning words longer than four characters with
+    ``at_least`` hits, ranked; of the ``top`` most frequent where given."""
     hits = corrections(normalized).select(
         *PAIR, "seq", F.posexplode(words(F.col("reasoning"))).alias("pos", "word"),
     ).where(F.length("word") > 4)
@@ -102,21 +102,24 @@ def common_words(normalized: DataFrame, top: int = 10, at_least: int = 2) -> Dat
         F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "pos")).alias("first")
     )
     w = Window.partitionBy(*PAIR).orderBy(F.col("n").desc(), F.col("first"))
-    return (
-        counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-        .where(F.col("n") >= at_least).select(*PAIR, "rank", "word", "n")
-    )
+    ranked = counted.withColumn("rank", F.row_number().over(w))
+    if top is not None:
+        ranked = ranked.where(F.col("rank") <= top)
+    return ranked.where(F.col("n") >= at_least).select(*PAIR, "rank", "word", "n")
 
 
-def context_patterns(normalized: DataFrame, at_least: int = 2) -> DataFrame:
-    """Corrected pairs seen at least twice with their five top words and a rule."""
+def context_patterns(
+    normalized: DataFrame, at_least: int = 2, top: int | None = None, indicators: int | None = None
+) -> DataFrame:
+    """Corrected pairs seen at least twice with their common words and a rule;
+    ``top`` and ``indicators`` bound the words ranked and kept where given."""
     pairs = (
         corrections(normalized).groupBy(*PAIR)
         .agg(F.count(F.lit(1)).alias("frequency"), F.min("seq").alias("first_seq"))
         .where(F.col("frequency") >= at_least)
     )
-    # at most ten ranked words per pair
-    top = common_words(normalized).groupBy(*PAIR).agg(
+    # words seen once are left out before they meet
+    common = common_words(normalized, top).groupBy(*PAIR).agg(
         F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("ranked")
     )
     on = [F.col(f"p.{c}").eqNullSafe(F.col(f"w.{c}")) for c in PAIR]
@@ -124,9 +127,9 @@ def context_patterns(normalized: DataFrame, at_least: int = 2) -> DataFrame:
         F.transform("w.ranked", lambda r: r["word"]), F.array().cast("array<string>")
     )
     names = [F.coalesce(F.col(f"p.{c}"), F.lit("None")) for c in PAIR]
-    return pairs.alias("p").join(top.alias("w"), on, "left").select(
+    return pairs.alias("p").join(common.alias("w"), on, "left").select(
         *[F.col(f"p.{c}").alias(c) for c in PAIR], "p.frequency", "p.first_seq",
-        F.slice(found, 1, 5).alias("common_indicators"),
+        (found if indicators is None else F.slice(found, 1, indicators)).alias("common_indicators"),
         F.concat(
             F.lit("Documents with '"), F.array_join(F.slice(found, 1, 3), ", "),
             F.lit("' are often "), names[1], F.lit(", not "), names[0],

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sealgrade.operators import dashboard as D, mining as K, verdicts as M
+from sealgrade.operators import dashboard as D, feedback as FB, mining as K, patterns as P, verdicts as M
 from sealgrade.session import stage
 from sealgrade.sources import files
 from sealgrade.sources.tables import SnapshotTable
@@ -67,5 +67,6 @@ class Lakehouse:
             "confidence_analysis": D.confidence_levels(verdicts),
             "learning_effectiveness": D.correction_matrix(learning),
             "kpis": D.kpis(verdicts),
+            "misclassifications": P.misclassifications(stage(FB.normalize_feedback(learning))),
         }.items():
             self.table("gold", name).overwrite(df)

@@ -115,3 +115,41 @@ def test_unsafe_documents_keep_their_text(rows):
     cut = M.quick_exit_verdict(
         M.with_quick_safety(docs.withColumn("quick_safety", F.lit(found))), text_chars=10, quote_chars=5).first()
     assert cut["full_text"] == text[:10] and cut["evidence"][0]["quote"] == "eeeee"
+
+
+def test_reviews_remember_everything(spark, sf_dir, texts):
+    """Stored reviews hold all evidence, keywords and indicators of a long verdict."""
+    from sealgrade.operators import feedback as FB
+    v = A.verdicts(spark, sf_dir).orderBy(F.length("full_text").desc()).limit(1).localCheckpoint()
+    said = v.select("document_id", F.lit("Unsafe").alias("corrected_classification"), F.lit("").alias("notes"),
+                    F.lit("t").alias("timestamp"))
+    r = FB.intake(FB.rejection(said, "reviewer"), v).first()
+    text = texts[r["document_id"]]
+    assert "".join(e["quote"] for e in r["document_context"]["key_evidence"]) == text
+    assert r["document_context"]["keywords"] == words(text) and len(words(text)) > 20
+    assert set(words(text)) <= set(r["key_indicators"])
+    few = FB.intake(FB.rejection(said, "reviewer"), v, FB.document_context("v.", 3, 200, 20),
+                    FB.key_indicators("v.", 15, 20)).first()
+    assert len(few["document_context"]["key_evidence"]) == 3 and len(few["key_indicators"]) <= 20
+
+
+def test_all_common_words_and_patterns_are_kept(spark, rows):
+    from sealgrade.operators import mining, patterns as P
+    notes = " ".join(f"common{i}" for i in range(30))
+    n = rows([("Public", "Unsafe", i, notes) for i in range(2)],
+             "original_classification string, human_classification string, seq bigint, reasoning string")
+    assert P.common_words(n).count() == 30 and P.common_words(n, top=10).count() == 10
+    assert len(P.context_patterns(n).first()["common_indicators"]) == 30
+    assert len(P.context_patterns(n, top=10, indicators=5).first()["common_indicators"]) == 5
+    assert mining.top_patterns(spark.range(60).withColumnRenamed("id", "count")).count() == 60
+
+
+def test_gold_holds_misclassifications(spark, sf_dir, tmp_path):
+    from sealgrade.plans.medallion import Lakehouse
+    house = Lakehouse(spark, str(tmp_path))
+    learning = A.learning_feedback(spark, sf_dir)
+    house.bronze(A.verdicts(spark, sf_dir).drop("full_text"), learning)
+    house.gold()
+    pairs = learning.where("original_classification <> corrected_classification").select(
+        "original_classification", "corrected_classification").distinct().count()
+    assert pairs and house.table("gold", "misclassifications").read().count() == pairs
