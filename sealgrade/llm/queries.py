@@ -7,6 +7,7 @@ from sealgrade.llm.decontamination import op1_decontamination
 from sealgrade.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from sealgrade.llm.language_id import op3_language_id
 from sealgrade.llm.ngram_join import OP6_SQL, op6_ngram_jaccard_join
+from sealgrade.llm.pieces import op12_sentencepiece
 from sealgrade.llm.pii import op10_pii
 from sealgrade.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from sealgrade.llm.token_counts import OP2_SQL, op2_token_counts
@@ -24,4 +25,5 @@ QUERIES = {
     "op8_bpe": (op8_bpe, None),
     "op9_token_files": (op9_token_files, None),
     "op10_pii": (op10_pii, None),
+    "op12_sentencepiece": (op12_sentencepiece, None),
 }
