@@ -5,6 +5,7 @@ from __future__ import annotations
 from sealgrade.llm.bpe import op8_bpe
 from sealgrade.llm.decontamination import op1_decontamination
 from sealgrade.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
+from sealgrade.llm.filter_audit import OP11_SQL, op11_filter_audit
 from sealgrade.llm.language_id import op3_language_id
 from sealgrade.llm.ngram_join import OP6_SQL, op6_ngram_jaccard_join
 from sealgrade.llm.pieces import op12_sentencepiece
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_bpe": (op8_bpe, None),
     "op9_token_files": (op9_token_files, None),
     "op10_pii": (op10_pii, None),
+    "op11_filter_audit": (op11_filter_audit, OP11_SQL),
     "op12_sentencepiece": (op12_sentencepiece, None),
 }
