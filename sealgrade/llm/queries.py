@@ -7,6 +7,7 @@ from sealgrade.llm.decontamination import op1_decontamination
 from sealgrade.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from sealgrade.llm.filter_audit import OP11_SQL, op11_filter_audit
 from sealgrade.llm.language_id import op3_language_id
+from sealgrade.llm.lexical_search import OP13_SQL, op13_ranked_search
 from sealgrade.llm.ngram_join import OP6_SQL, op6_ngram_jaccard_join
 from sealgrade.llm.pieces import op12_sentencepiece
 from sealgrade.llm.pii import op10_pii
@@ -28,4 +29,5 @@ QUERIES = {
     "op10_pii": (op10_pii, None),
     "op11_filter_audit": (op11_filter_audit, OP11_SQL),
     "op12_sentencepiece": (op12_sentencepiece, None),
+    "op13_ranked_search": (op13_ranked_search, OP13_SQL),
 }
