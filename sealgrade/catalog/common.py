@@ -43,7 +43,7 @@ L AS (
          ELSE 'Highly Sensitive' END AS corrected_classification,
     DATE '2024-01-01' + CAST(k.document_id % 30 AS INTEGER) AS review_date,
     concat('reviewer', CAST(k.document_id % 7 AS VARCHAR)) AS reviewer_id,
-    substring(k.full_text, 1, 200) AS feedback_notes, k.confidence, k.full_text
+    k.full_text AS feedback_notes, k.confidence, k.full_text
   FROM labels l JOIN K k ON l.doc_id = k.document_id)"""
 
 # reviews in the shape the pattern operators read
@@ -79,34 +79,3 @@ def first_words(text: str, n: int) -> str:
     """The first ``n`` distinct words of five letters or more, in order."""
     found = f"regexp_extract_all(lower({text}), '[a-z]{{5,}}')"
     return f"list_slice(list_filter({found}, lambda w, p: list_position({found}, w) = p), 1, {n})"
-
-
-# what some SQL reads of a text, and the whole of it
-_KEYS = first_words("substring(k.full_text, 1, 2000)", 25)
-CUTS = {
-    f"list_slice({_KEYS}, 1, 15)": all_words("k.full_text"),
-    f"list_slice({_KEYS}, 1, 20)": all_words("k.full_text"),
-    "list_slice(list_filter(w, lambda x, p: list_position(w, x) = p),\n  1, 20)":
-        "list_filter(w, lambda x, p: list_position(w, x) = p)",
-    "QUALIFY rank <= 10": "",
-    "list_slice(found, 1, 5)": "found",
-    "list_slice(p.found, 1, 5)": "p.found",
-    "substring(k.full_text, 1, 200) AS feedback_notes": "k.full_text AS feedback_notes",
-    first_words("feedback_notes", 6): all_words("feedback_notes"),
-    first_words("substring(full_text, 1, 200)", 6): all_words("full_text"),
-    first_words("substring(full_text, 1, 300)", 8): all_words("full_text"),
-    "substring(full_text, 1, 1000)": "full_text",
-    "CASE WHEN document_id % 10 <> 0 THEN substring(text, 1, 1000) END": "text",
-    "least(segment_count, 3)": "segment_count",
-    "WHERE i < 3": "",
-    "substring(text, 1, 60)": "text",
-}
-
-
-def whole(sql: str) -> str:
-    """The same SQL over whole texts, for the ``_whole`` form of a query."""
-    out = sql
-    for cut, kept in CUTS.items():
-        out = out.replace(cut, kept)
-    assert out != sql
-    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sealgrade.catalog.common import K, LEARNING, SEGMENTS, whole
+from sealgrade.catalog.common import K, LEARNING, SEGMENTS
 from sealgrade.operators import dashboard as D, mining as M, verdicts as VD
 from sealgrade.session import stage
 from sealgrade.sources import adapters as A
@@ -22,12 +22,8 @@ def _both(fn):
     return lambda spark, sf: fn(A.classifications(spark, sf), A.learning_feedback(spark, sf))
 
 
-def _features(spark, sf, whole=True):
-    return M.error_features(A.verdicts(spark, sf, whole))
-
-
-def _first_pages(spark, sf):
-    return _features(spark, sf, whole=False)
+def _features(spark, sf):
+    return M.error_features(A.verdicts(spark, sf))
 
 
 def _clustered(spark, sf):
@@ -43,7 +39,7 @@ def _given(spark, sf):
     """All documents in clusters known beforehand, so that the cluster reports can
     be checked; every second one is in cluster 0."""
     doc = F.col("document_id")
-    return _first_pages(spark, sf).withColumn(
+    return _features(spark, sf).withColumn(
         "cluster", F.when(doc % 2 == 0, 0).otherwise((doc % 9).cast("int")))
 
 
@@ -54,7 +50,7 @@ def _rounded(df, *names):
 _A01 = f"""{K},
 A01 AS (
   SELECT document_id, classification, confidence, coalesce(requires_review, false) AS requires_review,
-    segment_count, least(segment_count, 3) AS evidence_count,
+    segment_count, segment_count AS evidence_count,
     CAST(document_id % 4 = 0 AS INTEGER) AS has_additional_labels,
     CAST(NOT is_safe AS INTEGER) AS is_unsafe
   FROM K)"""
@@ -65,7 +61,7 @@ G AS (SELECT *, CASE WHEN document_id % 2 = 0 THEN 0 ELSE document_id % 9 END AS
 _EVIDENCE = f"""WITH {K} SELECT document_id, i + 1 AS page, count(*) AS evidence_count,
         CASE WHEN max(CAST((document_id + i) % 3 = 0 AS INTEGER)) = 1 THEN 'Confidential'
         ELSE 'Public' END AS highest_sensitivity
-        FROM K, unnest(range(0, least(segment_count, 3))) AS u(i) GROUP BY ALL"""
+        FROM K, unnest(range(0, segment_count)) AS u(i) GROUP BY ALL"""
 
 QUERIES = {
     "a03_cluster_summary_given_clusters": (
@@ -91,8 +87,7 @@ QUERIES = {
         lambda s, sf: M.representatives(_given(s, sf)),
         f"""WITH {_GIVEN} SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY document_id)
         AS rank, document_id, classification, confidence, segment_count FROM G QUALIFY rank <= 3"""),
-    "a01_error_features": (_first_pages, f"WITH {_A01} SELECT * FROM A01"),
-    "a01_error_features_whole": (_features, whole(f"WITH {_A01} SELECT * FROM A01")),
+    "a01_error_features": (_features, f"WITH {_A01} SELECT * FROM A01"),
     "a02_corrections": (
         _learning(M.corrected),
         f"""WITH {LEARNING} SELECT document_id, original_classification, corrected_classification,
@@ -290,7 +285,5 @@ QUERIES = {
         f"""WITH {K} SELECT classified_on AS date, round(avg(confidence), 6) AS avg_confidence,
         count(*) AS documents FROM K GROUP BY ALL"""),
     "c10_evidence_by_page": (
-        lambda s, sf: D.evidence_by_page(VD.evidence_rows(A.verdicts(s, sf, whole=False))), _EVIDENCE),
-    "c10_evidence_by_page_whole": (
-        lambda s, sf: D.evidence_by_page(VD.evidence_rows(A.verdicts(s, sf))), whole(_EVIDENCE)),
+        lambda s, sf: D.evidence_by_page(VD.evidence_rows(A.verdicts(s, sf))), _EVIDENCE),
 }

@@ -4,25 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sealgrade.catalog.common import LEARNING, NORMALIZED, SEGMENTS, first_words, whole
+from sealgrade.catalog.common import LEARNING, NORMALIZED, SEGMENTS, all_words, first_words
 from sealgrade.operators import feedback as FB, learned as LN, patterns as P
 from sealgrade.session import stage
 from sealgrade.sources import adapters as A
 
 PAIR = "original_classification, human_classification"
-# words ranked and kept per corrected pair in the SQL of the prefix forms
-LIMITS = {"top": 10, "indicators": 5}
 WORD = r"[\p{L}\p{N}_]+"
 
 
-def _learning(fn, whole=True):
-    return lambda spark, sf: fn(A.learning_feedback(spark, sf, whole))
+def _learning(fn):
+    return lambda spark, sf: fn(A.learning_feedback(spark, sf))
 
 
-def _normalized(fn, whole=True):
+def _normalized(fn):
     """Feedback is derived from texts here, so it is stored before several
     aggregates read it."""
-    return lambda spark, sf: fn(stage(FB.normalize_feedback(A.learning_feedback(spark, sf, whole))))
+    return lambda spark, sf: fn(stage(FB.normalize_feedback(A.learning_feedback(spark, sf))))
 
 
 def _rounded(df, *names):
@@ -86,17 +84,11 @@ LEFT JOIN FIX a ON a.document_id = k.document_id AND a.n = 1
 LEFT JOIN FIX b ON b.document_id = k.document_id AND b.n = 2"""
 
 
-def _docs(spark, sf, whole=True) -> DataFrame:
-    """Documents as scoring sees them, with their text and its distinct words.
-    Without ``whole``, as some queries' SQL has it, the text is its first 1000
-    characters and the keywords are the first eight of the first 300."""
-    c = A.classifications(spark, sf)
-    text = F.col("full_text")
-    found = A.distinct_words(text if whole else F.substring(text, 1, 300))
-    return c.select(
-        "document_id", "filename", "classification", "confidence",
-        (text if whole else F.substring(text, 1, 1000)).alias("preview"),
-        (found if whole else F.slice(found, 1, 8)).alias("all_keywords"),
+def _docs(spark, sf) -> DataFrame:
+    """Documents as scoring sees them, with their text and its distinct words."""
+    return A.classifications(spark, sf).select(
+        "document_id", "filename", "classification", "confidence", F.col("full_text").alias("preview"),
+        A.distinct_words(F.col("full_text")).alias("all_keywords"),
     )
 
 
@@ -108,16 +100,13 @@ def _rules_input(l: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at("key_indicators", F.lit(1)), F.lit(""))))
 
 
-def _adjust(method, whole=False):
-    def run(spark, sf):
-        n = stage(FB.normalize_feedback(_rules_input(A.learning_feedback(spark, sf, whole))))
-        out = LN.adjust_confidence(
-            _docs(spark, sf, whole), P.accuracy_by_class(n), P.keyword_patterns(n),
-            P.context_patterns(n, **({} if whole else LIMITS)),
-            method=method)
-        return _rounded(out, "adjusted_confidence").select(
-            "document_id", "classification", "adjusted_confidence", "learned_review", "learned_reason")
-    return run
+def _adjust(spark, sf):
+    n = stage(FB.normalize_feedback(_rules_input(A.learning_feedback(spark, sf))))
+    out = LN.adjust_confidence(
+        _docs(spark, sf), P.accuracy_by_class(n), P.keyword_patterns(n), P.context_patterns(n))
+    # rounded as SQL does it, by the product: a decimal tie of a double is none in binary
+    return out.withColumn("adjusted_confidence", F.rint(F.col("adjusted_confidence") * 1e6) / 1e6).select(
+        "document_id", "classification", "adjusted_confidence", "learned_review", "learned_reason")
 
 
 _ACCURACY = f"""SELECT original_classification AS classification, count(*) AS total_reviews,
@@ -146,7 +135,7 @@ _WORDS = f"""WH AS (
       SELECT *, regexp_extract_all(lower(reasoning), '{WORD}') AS w FROM X)) WHERE length(w[p]) > 4),
 WC AS (SELECT {PAIR}, word, count(*) AS n, min((seq, pos)) AS f FROM WH GROUP BY ALL),
 WR AS (SELECT {PAIR}, word, n, row_number() OVER (PARTITION BY {PAIR} ORDER BY n DESC, f) AS rank
-       FROM WC QUALIFY rank <= 10),
+       FROM WC),
 WT AS (SELECT * FROM WR WHERE n >= 2)"""
 
 _CONTEXT = f"""{_WORDS},
@@ -159,15 +148,15 @@ PT AS (
         HAVING count(*) >= 2) p)"""
 
 _DOCS = f"""DOCS AS (
-  SELECT document_id, filename, classification, confidence, substring(full_text, 1, 1000) AS preview,
-    {first_words('substring(full_text, 1, 300)', 8)} AS kw,
-    lower(concat(filename, chr(1), substring(full_text, 1, 1000))) AS hay FROM K)"""
+  SELECT document_id, filename, classification, confidence, full_text AS preview,
+    {all_words('full_text')} AS kw,
+    lower(concat(filename, chr(1), full_text)) AS hay FROM K)"""
 
 # feedback with several words in its file names, as in _rules_input
 _RULE_NORMALIZED = NORMALIZED.replace(
     "    filename, coalesce(feedback_notes, '') AS reasoning",
     "    concat(regexp_replace(filename, '[_.]', ' ', 'g'), ' ', coalesce("
-    + first_words("substring(full_text, 1, 200)", 6)
+    + all_words("full_text")
     + "[1], '')) AS filename, coalesce(feedback_notes, '') AS reasoning")
 
 _ADJUSTED = f"""WITH {_RULE_NORMALIZED}, {_KEYWORDS}, {_CONTEXT}, {_DOCS}, ACC AS ({_ACCURACY}),
@@ -182,7 +171,7 @@ HITS AS (
 SIM AS (
   SELECT d.document_id, count(*) AS s, arg_max(p.human_classification, p.first_seq) AS t
   FROM DOCS d JOIN PT p ON p.original_classification = d.classification
-    AND len(list_filter(list_slice(p.found, 1, 5), lambda w: contains(lower(d.preview), w))) >= 2
+    AND len(list_filter(p.found, lambda w: contains(lower(d.preview), w))) >= 2
   GROUP BY ALL)
 SELECT d.document_id, d.classification,
   round(greatest(0.1, least(1.0, d.confidence * CASE WHEN a.accuracy < 70 THEN 0.85 ELSE 1 END
@@ -197,19 +186,16 @@ FROM DOCS d LEFT JOIN ACC a USING (classification) LEFT JOIN HITS h USING (docum
 LEFT JOIN SIM s USING (document_id)"""
 
 
-def _override(method, whole=False):
-    def run(spark, sf):
-        out = LN.apply_override(
-            _docs(spark, sf, whole), A.learning_feedback(spark, sf, whole), method=method)
-        return _rounded(out, "learned_confidence").select(
-            "document_id", "learned_classification", "learned_confidence", "was_overridden",
-            "override_reason")
-    return run
+def _override(spark, sf):
+    out = LN.apply_override(_docs(spark, sf), A.learning_feedback(spark, sf))
+    return _rounded(out, "learned_confidence").select(
+        "document_id", "learned_classification", "learned_confidence", "was_overridden",
+        "override_reason")
 
 
 _OVERRIDDEN = f"""WITH {LEARNING}, {_DOCS},
 R AS (SELECT seq, original_classification AS rule_from, corrected_classification AS rule_to,
-        {first_words('feedback_notes', 6)} AS ind, feedback_notes AS notes FROM L WHERE NOT approved),
+        {all_words('feedback_notes')} AS ind, feedback_notes AS notes FROM L WHERE NOT approved),
 M AS (SELECT d.document_id, r.seq, r.rule_to, len(r.ind) AS n, r.notes,
         len(list_filter(r.ind, lambda i: contains(d.hay, i) OR list_contains(d.kw, i))) AS hits
       FROM DOCS d JOIN R r ON r.rule_from = d.classification),
@@ -224,18 +210,45 @@ SELECT d.document_id, coalesce(b.rule_to, d.classification) AS learned_classific
 FROM DOCS d LEFT JOIN B b USING (document_id)"""
 
 
-def _nested(spark, sf, whole=True):
+def _keyword_hits(spark, sf):
+    """How many keyword rules of each strength a document has, as their factor, and the last strong one."""
+    n = stage(FB.normalize_feedback(_rules_input(A.learning_feedback(spark, sf))))
+    out = LN.match_keyword_rules(_docs(spark, sf), P.keyword_patterns(n))
+    return _rounded(out, "keyword_factor").select("document_id", "keyword_factor", "keyword_reason")
+
+
+_HITS = f"""WITH {_RULE_NORMALIZED}, {_KEYWORDS}, {_DOCS},
+H2 AS (SELECT d.document_id, r.keyword, r.correction_count AS n, r.first
+       FROM DOCS d JOIN KW r ON contains(d.hay, r.keyword)),
+H3 AS (SELECT document_id, arg_max(keyword, first) FILTER (WHERE n >= 3) AS k,
+         arg_max(n, first) FILTER (WHERE n >= 3) AS c,
+         pow(0.8, count(*) FILTER (WHERE n = 2)) * pow(0.7, count(*) FILTER (WHERE n = 3))
+         * pow(0.6, count(*) FILTER (WHERE n = 4)) * pow(0.5, count(*) FILTER (WHERE n >= 5)) AS factor
+       FROM H2 GROUP BY document_id)
+SELECT d.document_id, round(coalesce(factor, 1.0), 6) AS keyword_factor,
+  'Documents with ''' || k || ''' have been corrected ' || c || ' times' AS keyword_reason
+FROM DOCS d LEFT JOIN H3 USING (document_id)"""
+
+
+def _rules(spark, sf):
+    """Corrections as rules: the classes, how many indicators, and how many a document must hold."""
+    rules = LN.override_rules(A.learning_feedback(spark, sf))
+    return rules.select("seq", "rule_from", "rule_to", F.size("indicators").alias("n"),
+                        F.md5(F.array_join("indicators", " ")).alias("digest"))
+
+
+_RULES = f"""WITH {LEARNING}, I AS (SELECT *, {all_words('feedback_notes')} AS ind FROM L WHERE NOT approved)
+SELECT seq, original_classification AS rule_from, corrected_classification AS rule_to, len(ind) AS n,
+  md5(array_to_string(ind, ' ')) AS digest FROM I WHERE len(ind) >= 3"""
+
+
+def _nested(spark, sf):
     """Corrections completed from nested verdicts."""
     feedback = A.learning_feedback(spark, sf).where(~F.col("approved"))
     bare = FB.rejection(
         feedback.select("document_id", "corrected_classification", F.lit("").alias("notes"),
                         "timestamp"), "reviewer")
-    if whole:
-        return FB.intake(bare, A.verdicts(spark, sf))
-    return FB.intake(
-        bare, A.verdicts(spark, sf, whole=False),
-        FB.document_context("v.", pieces=3, quote_chars=200, keywords=20),
-        FB.key_indicators("v.", keywords=15, limit=20))
+    return FB.intake(bare, A.verdicts(spark, sf))
 
 
 def _context(df: DataFrame) -> DataFrame:
@@ -253,18 +266,17 @@ def _context(df: DataFrame) -> DataFrame:
     )
 
 _SEG_LEARNING = LEARNING + SEGMENTS[SEGMENTS.index(",\nSEG AS"):]
-_KEYS = first_words("substring(k.full_text, 1, 2000)", 25)
+_KEYS = all_words("k.full_text")
 
 _CONTEXT_SQL = f"""WITH {_SEG_LEARNING},
 C AS (SELECT document_id, classification, count(*) AS n FROM SEG GROUP BY ALL),
 G AS (SELECT document_id, string_agg(classification || '=' || n, ',' ORDER BY classification || '=' || n)
         AS segment_counts, sum(n) AS segments FROM C GROUP BY ALL),
-E AS (SELECT document_id, string_agg(substring(text, 1, 60), '|' ORDER BY i) AS quotes
-      FROM SEG WHERE i < 3 GROUP BY ALL)
+E AS (SELECT document_id, string_agg(text, '|' ORDER BY i) AS quotes FROM SEG GROUP BY ALL)
 SELECT k.document_id, k.filename, k.page_count, k.classification AS original_classification,
   coalesce(quotes, '') AS quotes, CAST(coalesce(segments, 0) AS BIGINT) AS segments,
   coalesce(segment_counts, '') AS segment_counts,
-  array_to_string(list_slice({_KEYS}, 1, 20), ',') AS keywords
+  array_to_string({_KEYS}, ',') AS keywords
 FROM L JOIN K k USING (document_id) LEFT JOIN G USING (document_id) LEFT JOIN E USING (document_id)
 WHERE NOT L.approved"""
 
@@ -277,10 +289,9 @@ _SEGWORDS = first_words("text", 3)
 _INDICATORS = f"""WITH {_SEG_LEARNING},
 S AS (SELECT document_id, flatten(list({_SEGWORDS} ORDER BY i)) AS w FROM SEG
       WHERE classification = 'Confidential' GROUP BY ALL),
-T AS (SELECT k.document_id, list_concat(list_slice({_KEYS}, 1, 15), coalesce(S.w, [])) AS w
+T AS (SELECT k.document_id, list_concat({_KEYS}, coalesce(S.w, [])) AS w
       FROM L JOIN K k USING (document_id) LEFT JOIN S USING (document_id) WHERE NOT L.approved)
-SELECT document_id, array_to_string(list_slice(list_filter(w, lambda x, p: list_position(w, x) = p),
-  1, 20), ',') AS key_indicators FROM T"""
+SELECT document_id, array_to_string(list_filter(w, lambda x, p: list_position(w, x) = p), ',') AS key_indicators FROM T"""
 
 _INSTRUCTIONS = f"""WITH {_SEG_LEARNING},
 S AS (SELECT document_id, count(*) FILTER (WHERE classification = 'Confidential') AS n,
@@ -315,9 +326,9 @@ _EXAMPLES = f"""SELECT human_classification AS classification,
   THEN 'high' ELSE 'corrected' END AS confidence FROM N"""
 
 
-def _keyword_patterns(whole=True):
-    return lambda s, sf: _rounded(P.keyword_patterns(FB.normalize_feedback(
-        _rules_input(A.learning_feedback(s, sf, whole)))), "confidence_multiplier")
+def _keyword_patterns(s, sf):
+    return _rounded(P.keyword_patterns(FB.normalize_feedback(
+        _rules_input(A.learning_feedback(s, sf)))), "confidence_multiplier")
 
 
 _KEYWORD_PATTERNS = f"""WITH {_RULE_NORMALIZED}, {_KEYWORDS}
@@ -333,7 +344,7 @@ def _patterns(n: DataFrame, **limits) -> DataFrame:
 
 _PATTERNS = f"""WITH {NORMALIZED}, {_CONTEXT}
         SELECT {PAIR}, frequency, first_seq,
-        array_to_string(list_slice(found, 1, 5), ',') AS common_indicators,
+        array_to_string(found, ',') AS common_indicators,
         'Documents with ''' || array_to_string(list_slice(found, 1, 3), ', ') || ''' are often '
         || coalesce(human_classification, 'None') || ', not '
         || coalesce(original_classification, 'None') AS rule FROM PT"""
@@ -361,7 +372,7 @@ def _export(l: DataFrame) -> DataFrame:
 
 
 _EXPORTED = f"""WITH {LEARNING} SELECT '' AS document_summary,
-        array_to_string({first_words('feedback_notes', 6)}, ',') AS keywords, original_classification,
+        array_to_string({all_words('feedback_notes')}, ',') AS keywords, original_classification,
         corrected_classification AS correct_classification, '' AS learning_instruction,
         '' AS reasoning FROM L WHERE NOT approved"""
 
@@ -377,14 +388,10 @@ QUERIES = {
         ELSE reviewer_id END AS reviewer_id, document_id % 2 = 0 OR approved AS approved FROM L
         WHERE document_id % 3 <> 0 OR document_id % 2 = 0"""),
     "j04_apply_feedback": (_apply, _APPLIED),
-    "j05_keyword_rules": (_adjust("array"), _ADJUSTED),
-    "j05_keyword_rules_by_join": (_adjust("join"), _ADJUSTED),
-    "l01_adjusted_confidence": (_adjust("auto"), _ADJUSTED),
-    "l01_adjusted_confidence_whole": (_adjust("join", whole=True), whole(_ADJUSTED)),
-    "j06_correction_rules": (_override("array"), _OVERRIDDEN),
-    "j06_correction_rules_by_join": (_override("join"), _OVERRIDDEN),
-    "l02_learned_override": (_override("auto"), _OVERRIDDEN),
-    "l02_learned_override_whole": (_override("join", whole=True), whole(_OVERRIDDEN)),
+    "j05_keyword_rules": (_keyword_hits, _HITS),
+    "l01_adjusted_confidence": (_adjust, _ADJUSTED),
+    "j06_correction_rules": (_rules, _RULES),
+    "l02_learned_override": (_override, _OVERRIDDEN),
     "a21_correction_rate": (
         _normalized(lambda n: _rounded(P.correction_rate(n), "correction_rate")),
         f"""WITH {NORMALIZED} SELECT count(*) AS total_feedback_count,
@@ -399,12 +406,9 @@ QUERIES = {
         f"""WITH {NORMALIZED} SELECT {PAIR}, count(*) AS count, min(seq) AS first_seq,
         round(count(*) / (SELECT count(*) FROM N) * 100, 6) AS percentage FROM X GROUP BY ALL
         ORDER BY count DESC, first_seq LIMIT 10"""),
-    "a24_keyword_patterns": (_keyword_patterns(whole=False), _KEYWORD_PATTERNS),
-    "a24_keyword_patterns_whole": (_keyword_patterns(), whole(_KEYWORD_PATTERNS)),
-    "a25_context_patterns": (_normalized(lambda n: _patterns(n, **LIMITS), whole=False), _PATTERNS),
-    "a25_context_patterns_whole": (_normalized(_patterns), whole(_PATTERNS)),
-    "a26_common_words": (_normalized(lambda n: P.common_words(n, top=10), whole=False), _COMMON),
-    "a26_common_words_whole": (_normalized(P.common_words), whole(_COMMON)),
+    "a24_keyword_patterns": (_keyword_patterns, _KEYWORD_PATTERNS),
+    "a25_context_patterns": (_normalized(_patterns), _PATTERNS),
+    "a26_common_words": (_normalized(P.common_words), _COMMON),
     "a27_learning_summary": (
         _normalized(P.learning_summary),
         f"""WITH {NORMALIZED}, {_KEYWORDS}
@@ -414,16 +418,13 @@ QUERIES = {
         (SELECT count(*) FROM KW) AS keywords_tracked,
         (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT least(count(*), 3) AS n FROM N
           GROUP BY human_classification)) AS examples_available FROM N"""),
-    "a28_feedback_context": (lambda s, sf: _context(_nested(s, sf, whole=False)), _CONTEXT_SQL),
-    "a28_feedback_context_whole": (lambda s, sf: _context(_nested(s, sf)), whole(_CONTEXT_SQL)),
-    "a29_key_indicators": (
-        lambda s, sf: _indicators(_nested(s, sf, whole=False)), _INDICATORS),
-    "a29_key_indicators_whole": (lambda s, sf: _indicators(_nested(s, sf)), whole(_INDICATORS)),
+    "a28_feedback_context": (lambda s, sf: _context(_nested(s, sf)), _CONTEXT_SQL),
+    "a29_key_indicators": (lambda s, sf: _indicators(_nested(s, sf)), _INDICATORS),
     "l05_learning_instructions": (
         lambda s, sf: _nested(s, sf).select(
             "document_id", F.md5("learning_instruction").alias("instruction")), _INSTRUCTIONS),
     "l03_prompt_enhancements": (
-        _normalized(lambda n: _enhancements(n).select("key", "text"), whole=False),
+        _normalized(lambda n: _enhancements(n).select("key", "text")),
         f"""WITH {NORMALIZED}, {_CONTEXT},
         FM AS (SELECT {PAIR}, count(*) AS n, min(seq) AS f,
           count(*) / (SELECT count(*) FROM N) * 100 AS pct FROM X GROUP BY ALL
@@ -453,8 +454,7 @@ QUERIES = {
         f"""WITH {LEARNING} SELECT document_id, original_classification, corrected_classification,
         'Reclassified to ' || corrected_classification AS feedback_notes,
         true AS has_instruction FROM L WHERE NOT approved"""),
-    "r02_learned_examples": (_normalized(_examples, whole=False), _FIRST_EXAMPLES),
-    "r02_learned_examples_whole": (_normalized(_examples), whole(_FIRST_EXAMPLES)),
+    "r02_learned_examples": (_normalized(_examples), _FIRST_EXAMPLES),
     "r03_few_shot": (
         _normalized(lambda n: FB.few_shot(FB.learned_examples(n), "Confidential", 2).select(
             "document_id", "filename", "confidence")),
@@ -474,10 +474,8 @@ QUERIES = {
             "document_id", "original_classification")),
         f"""WITH {LEARNING} SELECT document_id, original_classification FROM L
         WHERE corrected_classification = 'Highly Sensitive'"""),
-    "u03_keyword_search": (_learning(_search, whole=False), _FOUND),
-    "u03_keyword_search_whole": (_learning(_search), whole(_FOUND)),
-    "u04_training_export": (_learning(_export, whole=False), _EXPORTED),
-    "u04_training_export_whole": (_learning(_export), whole(_EXPORTED)),
+    "u03_keyword_search": (_learning(_search), _FOUND),
+    "u04_training_export": (_learning(_export), _EXPORTED),
     "u05_feedback_history": (
         _learning(lambda l: FB.feedback_history(_two_reviews(l), 4).select(
             "document_id", "reviewer_id", "approved")),

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sealgrade import schemas as S
-from sealgrade.catalog.common import K, LEARNING, SEGMENTS, whole
+from sealgrade.catalog.common import K, LEARNING, SEGMENTS
 from sealgrade.operators import verdicts as M
 from sealgrade.plans.medallion import Lakehouse
 from sealgrade.session import scratch_dir
@@ -115,14 +115,14 @@ def _report(spark, sf):
     }).drop("sample")
 
 
-def _lakehouse(spark, sf, whole=True) -> Lakehouse:
+def _lakehouse(spark, sf) -> Lakehouse:
     house = Lakehouse(spark, scratch_dir(spark))
-    house.bronze(A.verdicts(spark, sf, whole).drop("full_text"), A.learning_feedback(spark, sf))
+    house.bronze(A.verdicts(spark, sf).drop("full_text"), A.learning_feedback(spark, sf))
     return house
 
 
-def _silver(spark, sf, table, whole=True):
-    house = _lakehouse(spark, sf, whole)
+def _silver(spark, sf, table):
+    house = _lakehouse(spark, sf)
     house.silver()
     return house.table("silver", table).read()
 
@@ -184,13 +184,13 @@ _FLAT_SQL = "SELECT document_id, filename, classification, confidence, requires_
 
 _EVIDENCE = f"""WITH {SEGMENTS} SELECT document_id, i AS pos, i + 1 AS page,
         CASE WHEN (document_id + i) % 3 = 0 THEN 'Confidential' ELSE 'Public' END AS sensitivity_level
-        FROM SEG WHERE i < 3"""
+        FROM SEG"""
 
 QUERIES = {
     "s01_verdict_files": (
         _json_round_trip,
         f"""WITH {K} SELECT CAST(document_id AS VARCHAR) AS document_id, classification, confidence,
-        is_safe, segment_count AS segments, least(segment_count, 3) AS evidence FROM K"""),
+        is_safe, segment_count AS segments, segment_count AS evidence FROM K"""),
     "s03_feedback_archive": (
         _archive,
         f"""WITH {LEARNING} SELECT CAST(document_id AS VARCHAR) AS document_id, reviewer_id, approved,
@@ -216,11 +216,8 @@ QUERIES = {
         f"""WITH {SEGMENTS} SELECT document_id, i AS pos, classification, confidence, i + 1 AS page
         FROM SEG"""),
     "s11_silver_evidence": (
-        lambda s, sf: _silver(s, sf, "evidence", whole=False).select(
-            "document_id", "pos", "page", "sensitivity_level"), _EVIDENCE),
-    "s11_silver_evidence_whole": (
         lambda s, sf: _silver(s, sf, "evidence").select("document_id", "pos", "page", "sensitivity_level"),
-        whole(_EVIDENCE)),
+        _EVIDENCE),
     "s12_silver_training_examples": (_mined, None),
     "s13_gold_distribution": (
         lambda s, sf: _gold(s, sf, "classification_distribution"),

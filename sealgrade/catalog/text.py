@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sealgrade import vocab as V
-from sealgrade.catalog.common import K, q, values, whole
+from sealgrade.catalog.common import K, q, values
 from sealgrade.functions import text as T
 from sealgrade.operators import features as FT, pagination as P
 from sealgrade.sources import adapters as A
@@ -168,8 +168,8 @@ SELECT document_id, pos, classification, confidence,
   CASE WHEN en > st THEN en ELSE pos * 100 + 50 END AS end_char FROM E"""
 
 
-def _keywords(spark, sf, whole=False):
-    v = A.verdicts(spark, sf, whole)
+def _keywords(spark, sf):
+    v = A.verdicts(spark, sf)
     from sealgrade.operators.verdicts import with_all_keywords
     return with_all_keywords(v).select("document_id", F.array_join("all_keywords", ",").alias("keywords"))
 
@@ -185,7 +185,7 @@ def _first(text: str, n: int) -> str:
 _KEYWORDS = f"""WITH {K},
 S AS (SELECT document_id, i, substring(full_text, i * 2000 + 1, 2000) AS t FROM K, unnest(range(0, segment_count)) AS u(i)),
 W AS (SELECT document_id, unnest({_first('t', 3)}) AS w FROM S
-      UNION ALL SELECT document_id, unnest({_first('t', 2)}) FROM S WHERE i < 3
+      UNION ALL SELECT document_id, unnest({_first('t', 2)}) FROM S
       UNION ALL SELECT document_id, 'image' || i FROM K, unnest(range(0, image_count)) AS u(i)),
 G AS (SELECT document_id, string_agg(DISTINCT w, ',' ORDER BY w) AS keywords FROM W GROUP BY ALL)
 SELECT k.document_id, coalesce(keywords, '') AS keywords FROM K k LEFT JOIN G USING (document_id)"""
@@ -205,19 +205,12 @@ SELECT document_id, k AS keyword, i - 1 AS position,
   md5(array_to_string(w[greatest(i - 5, 1):i + 5], ' ')) AS digest FROM H"""
 
 
-def _features(spark, sf, whole=False):
-    """Without ``whole``, as some queries' SQL has it, a tenth of the documents
-    has no text and the others' is its first 1000 characters."""
-    text = F.col("text") if whole else F.when(F.col("document_id") % 10 != 0, F.substring("text", 1, 1000))
-    return FT.detect_features(_docs(spark, sf).withColumn("preview", text), vocabulary=TEST_WORDS)
+def _features(spark, sf):
+    return FT.detect_features(_docs(spark, sf).withColumnRenamed("text", "preview"), vocabulary=TEST_WORDS)
 
 
-def _both(name: str, query, sql: str) -> dict:
-    """A query over features, and its form over whole texts."""
-    return {
-        name: (lambda s, sf: query(_features(s, sf)), sql),
-        f"{name}_whole": (lambda s, sf: query(_features(s, sf, whole=True)), whole(sql)),
-    }
+def _featured(name: str, query, sql: str) -> dict:
+    return {name: (lambda s, sf: query(_features(s, sf)), sql)}
 
 
 def _count(column: str, words) -> str:
@@ -235,8 +228,8 @@ def _pii(column: str) -> str:
 _v = TEST_WORDS
 FEATURES = f"""{D},
 F1 AS (SELECT document_id, lower(filename) AS name, image_count,
-  CASE WHEN document_id % 10 <> 0 THEN substring(text, 1, 1000) END AS body,
-  lower(coalesce(CASE WHEN document_id % 10 <> 0 THEN substring(text, 1, 1000) END, '')) AS low FROM D),
+  text AS body,
+  lower(coalesce(text, '')) AS low FROM D),
 F2 AS (SELECT *, {_any('name', _v.filename_pii)} AS filename_pii,
   coalesce({_pii('body')}, false) AS pii_data, {_count('low', _v.form)} AS form_count,
   {_count('low', _v.defense)} AS defense_count, {_count('low', _v.government)} AS government_count,
@@ -349,7 +342,6 @@ QUERIES = {
         chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10)), 1, 1000)) AS digest FROM P"""),
     "t09_located_segments": (_raw_segments, _LOCATED),
     "t10_keyword_union": (_keywords, _KEYWORDS),
-    "t10_keyword_union_whole": (lambda s, sf: _keywords(s, sf, whole=True), whole(_KEYWORDS)),
     "t11_keyword_in_context": (_kwic, _KWIC),
     "t12_metadata": (
         lambda s, sf: P.metadata(_with_pages(s, sf)).withColumn("warnings", F.array_join("warnings", "|")),
@@ -377,20 +369,20 @@ QUERIES = {
         f"WITH {D} " + " UNION ALL ".join(
             f"SELECT document_id, '{n}' AS pattern, unnest(regexp_extract_all(text, {q(rx)}, 0, 'i'))"
             f" AS value FROM D" for n, rx in V.PII_PATTERNS.items())),
-    **_both(
+    **_featured(
         "f03_f07_keyword_counts",
         lambda d: d.select("document_id", "pii_data", *_COUNTS),
         f"WITH {FEATURES} SELECT document_id, pii_data, {', '.join(_COUNTS)} FROM F4"),
-    **_both(
+    **_featured(
         "f08_f10_feature_flags",
         lambda d: d.select("document_id", *_FLAGS, "sensitivity_score", "document_type"),
         f"""WITH {FEATURES} SELECT document_id, {', '.join(_FLAGS)}, sensitivity_score, document_type
         FROM F4"""),
-    **_both(
+    **_featured(
         "f11_analysis_plan",
         lambda d: d.select("document_id", F.array_join("analysis_plan", ",").alias("plan")),
         f"WITH {FEATURES} SELECT document_id, {_PLAN} AS plan FROM F4"),
-    **_both(
+    **_featured(
         "f12_insight",
         lambda d: d.select(
             "document_id", "insight.document_type", "insight.sensitivity_score",
@@ -399,5 +391,5 @@ QUERIES = {
         f"""WITH {FEATURES} SELECT document_id, document_type, sensitivity_score,
         sensitivity_score >= 50 AS recommended_review, coalesce(array_to_string([{', '.join(
             f"CASE WHEN {n} THEN '{n}' END" for n in _FLAGS)}], ','), '') AS detected_features FROM F4"""),
-    **_both("m19_lead_in", _lead_in, _LEAD_IN),
+    **_featured("m19_lead_in", _lead_in, _LEAD_IN),
 }

@@ -347,13 +347,13 @@ def _expectations(spark, sf):
 
 
 def _checked(spark, sf):
-    return quality.check_expectations(A.verdicts(spark, sf, whole=False), _expectations(spark, sf))
+    return quality.check_expectations(A.verdicts(spark, sf), _expectations(spark, sf))
 
 
 _CHECKED = f"""{K},
-Q AS (SELECT k.*, l.quality, l.toxic, least(segment_count, 3) AS n_ev,
-    lower(array_to_string(list_transform(range(0, least(segment_count, 3)),
-      lambda i: substring(full_text, i * 2000 + 1, 60)), ' ')) AS quotes
+Q AS (SELECT k.*, l.quality, l.toxic, segment_count AS n_ev,
+    lower(array_to_string(list_transform(range(0, segment_count),
+      lambda i: substring(full_text, i * 2000 + 1, 2000)), ' ')) AS quotes
   FROM K k JOIN labels l ON l.doc_id = k.document_id),
 E AS (SELECT *, CASE WHEN quality = 1 THEN classification IN ('Public', 'Highly Sensitive')
       ELSE classification = 'Confidential' END AS cls_ok, is_safe = (toxic = 0) AS safe_ok,

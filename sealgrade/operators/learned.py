@@ -1,28 +1,27 @@
 """Learned rules applied to documents: confidence adjustment, class override.
 
-Rules match by substring, so they are no equi-join. Two exact ways exist and give
-equal results:
-
-* ``array``: the rules travel as one value inside the projection over the
-  documents; nothing is shuffled. Only for rule sets of checked size.
-* ``join``: substring candidates come from an equi-join on short character runs
-  and are verified; nothing is broadcast by us and no rule is left out.
-
-``auto`` measures the rule set and picks one.
+Rules match by substring. An index of the rules (``substrings``) goes to the documents in rounds of bounded
+size, so documents are neither shuffled nor multiplied, and a rule that matches nothing costs nothing
+but its place in the index.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from sealgrade import vocab as V
 from sealgrade.operators.patterns import PAIR
-from sealgrade.session import stage
+from sealgrade.operators.substrings import ROUND_BYTES, NeedleIndex, expand, found_in, rounds, text_counts, with_found
 
-MAX_RULES = 2_000
-MAX_RULE_BYTES = 4 << 20
-_GRAM = 4
 _GAP = "\u0000"  # between file name and preview, so that no match spans both
+#: Indicators of candidate rules that are looked at together.
+_TOGETHER = 1 << 21
 
 
 def _haystack(filename: str, preview: str, chars: int | None = None) -> Column:
@@ -31,101 +30,38 @@ def _haystack(filename: str, preview: str, chars: int | None = None) -> Column:
     return F.lower(F.concat(F.coalesce(F.col(filename), F.lit("")), F.lit(_GAP), body))
 
 
-def _pick(method: str, rules: DataFrame, size: Column) -> tuple[str, DataFrame]:
-    """Stage the rules, and for ``auto`` measure them."""
-    rules = stage(rules)
-    if method != "auto":
-        return method, rules
-    n, total = rules.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return ("array" if n <= MAX_RULES and total <= MAX_RULE_BYTES else "join"), rules
-
-
-def substring_matches(
-    texts: DataFrame, needles: DataFrame, key: str = "document_id", text: str = "text",
-    needle: str = "needle",
-) -> DataFrame:
-    """Distinct ``(key, needle)`` pairs where the text contains the needle.
-
-    A text that contains a needle contains its first four characters (all of it,
-    when shorter), so texts and needles meet in an equi-join on such runs; the
-    pairs are then verified. Only ids and runs are shuffled, never texts times
-    needles. A run common to most texts is one skewed join key, which adaptive
-    execution splits. Empty needles are not matched here.
-    """
-    anchors = needles.select(
-        F.col(needle).alias("needle"), F.substring(needle, 1, _GRAM).alias("anchor")
-    ).where(F.length("needle") > 0).distinct()
-    runs = [
-        F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        for n in range(1, _GRAM + 1)
-    ]
-    exploded = texts.select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("anchor"))
-    candidates = exploded.join(anchors, "anchor").select(key, "needle")
-    return (
-        candidates.join(texts.select(key, F.col(text).alias("_text")), key)
-        .where(F.col("_text").contains(F.col("needle")))
-        .select(key, "needle")
-    )
-
-
 # --- keyword rules ----------------------------------------------------------
 
 def match_keyword_rules(
     docs: DataFrame, rules: DataFrame, filename: str = "filename", preview: str = "preview",
-    key: str = "document_id", method: str = "auto",
+    round_bytes: int = ROUND_BYTES,
 ) -> DataFrame:
     """Add ``keyword_factor`` (product of the multipliers of all matching rules)
     and ``keyword_reason`` (of the last matching rule with multiplier under 0.8)."""
-    method, rules = _pick(method, rules, F.length("keyword") + 24)
-    ordered = F.struct(
-        F.struct("first_seq", "first_pos").alias("o"), F.col("keyword").alias("k"),
-        F.col("correction_count").alias("n"),
+    return _with_hits(docs, rules, filename, preview, round_bytes).withColumns({
+        "keyword_factor": _weakened(F.lit(1.0)), "keyword_reason": _keyword_reason(_last_strong()),
+    }).drop("_hit")
+
+
+def _with_hits(docs: DataFrame, rules: DataFrame, filename: str, preview: str, round_bytes: int) -> DataFrame:
+    listed = rules.select(
+        F.struct("first_seq", "first_pos").alias("o"), F.col("keyword").alias("k"), F.col("correction_count").alias("n"),
     )
     hay = docs.withColumn("_hay", _haystack(filename, preview))
-    if method == "array":
-        table = rules.agg(F.array_sort(F.collect_list(ordered))).scalar()
-        matched = hay.withColumn("_rules", table).withColumn(
-            "_hit", F.filter("_rules", lambda r: F.col("_hay").contains(r["k"]))
-        )
-
-        def hits(test):
-            return F.size(F.filter("_hit", test))
-
-        counts = [hits(lambda r: r["n"] == 2), hits(lambda r: r["n"] == 3),
-                  hits(lambda r: r["n"] == 4), hits(lambda r: r["n"] >= 5)]
-        strong = F.filter("_hit", lambda r: r["n"] >= 3)
-        return matched.withColumns({
-            "keyword_factor": _factor(counts),
-            "keyword_reason": _keyword_reason(F.try_element_at(strong, F.lit(-1))),
-        }).drop("_hay", "_rules", "_hit")
-
-    pairs = substring_matches(hay.select(key, "_hay"), rules, key, "_hay", "keyword")
-    per_doc = pairs.join(
-        rules.withColumnRenamed("keyword", "needle").select(
-            "needle", F.col("correction_count").alias("n"), "first_seq", "first_pos"
-        ), "needle",
-    ).groupBy(key).agg(
-        F.count_if(F.col("n") == 2).alias("_c2"), F.count_if(F.col("n") == 3).alias("_c3"),
-        F.count_if(F.col("n") == 4).alias("_c4"), F.count_if(F.col("n") >= 5).alias("_c5"),
-        F.max_by(
-            F.when(F.col("n") >= 3, F.struct(F.col("needle").alias("k"), "n")),
-            F.when(F.col("n") >= 3, F.struct("first_seq", "first_pos")),
-        ).alias("_strong"),
-    )
-    zero = F.lit(0)
-    return docs.join(per_doc, key, "left").withColumns({
-        "keyword_factor": _factor([F.coalesce(f"_c{i}", zero) for i in (2, 3, 4, 5)]),
-        "keyword_reason": _keyword_reason(F.col("_strong")),
-    }).drop("_c2", "_c3", "_c4", "_c5", "_strong")
+    return with_found(hay, "_hay", listed, "k", "_hit", round_bytes).drop("_hay")
+
 
+def _last_strong() -> Column:
+    return F.array_max(F.filter("_hit", lambda r: r["n"] >= 3))
 
-def _factor(counts) -> Column:
-    """Multipliers only take the values 0.8, 0.7, 0.6 and 0.5, so their product
-    is known from how many rules of each matched; no list is gathered."""
-    out = F.lit(1.0)
-    for base, n in zip((0.8, 0.7, 0.6, 0.5), counts):
-        out = out * F.pow(F.lit(base), n)
-    return out
+
+def _weakened(value: Column) -> Column:
+    """``value`` times the multipliers of all matching rules. They only take the values 0.8, 0.7, 0.6 and 0.5,
+    so their product is known from how many rules of each matched."""
+    for base, test in ((0.8, lambda r: r["n"] == 2), (0.7, lambda r: r["n"] == 3),
+                       (0.6, lambda r: r["n"] == 4), (0.5, lambda r: r["n"] >= 5)):
+        value = value * F.pow(F.lit(base), F.size(F.filter("_hit", test)))
+    return value
 
 
 def _keyword_reason(rule: Column) -> Column:
@@ -137,35 +73,30 @@ def _keyword_reason(rule: Column) -> Column:
 
 def adjust_confidence(
     docs: DataFrame, accuracy: DataFrame, keyword_rules: DataFrame, patterns: DataFrame,
-    filename: str = "filename", preview: str = "preview", key: str = "document_id",
-    method: str = "auto",
+    filename: str = "filename", preview: str = "preview", round_bytes: int = ROUND_BYTES,
 ) -> DataFrame:
     """Add ``adjusted_confidence``, ``learned_review`` and ``learned_reason``.
 
-    Accuracy and context patterns of every class are joined by class: one row a class.
-    The reason is that of the last rule that asked for review.
+    Accuracy is joined by class: one row a class. A context pattern of the document's class applies if the text
+    holds two of its words. The reason is that of the last rule that asked for review.
     """
     low = accuracy.where(F.col("classification").isNotNull() & (F.col("accuracy") < V.ACCURACY_FLOOR)).select(
         F.col("classification").alias("_low_class"),
         F.struct(F.col("classification").alias("c"), F.col("accuracy").alias("a")).alias("_weak"),
     )
-    context = patterns.where(F.col(PAIR[0]).isNotNull()).groupBy(F.col(PAIR[0]).alias("_context_class")).agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.col("first_seq").alias("o"), F.col(PAIR[0]).alias("c"),
-            F.coalesce(F.col(PAIR[1]), F.lit("None")).alias("t"),
-            F.col("common_indicators").alias("i"),
-        ))).alias("_context")
+    words = patterns.where(F.col(PAIR[0]).isNotNull()).select(
+        F.explode("common_indicators").alias("w"), F.col(PAIR[0]).alias("c"),
+        F.struct(F.col("first_seq").alias("o"), F.coalesce(F.col(PAIR[1]), F.lit("None")).alias("t")).alias("p"),
     )
-    matched = match_keyword_rules(docs, keyword_rules, filename, preview, key, method)
-    body = F.col("_body")
+    matched = _with_hits(docs, keyword_rules, filename, preview, round_bytes)
+    body = matched.withColumn("_body", F.lower(F.coalesce(F.col(preview), F.lit(""))))
+    own = F.transform(F.filter("_words", lambda x: x["c"] == F.col("classification")), lambda x: x["p"])
     prepared = (
-        matched.withColumn("_body", F.lower(F.coalesce(F.col(preview), F.lit(""))))
+        with_found(body, "_body", words, "w", "_words", round_bytes)
         .join(low, F.col("classification") == F.col("_low_class"), "left")
-        .join(context, F.col("classification") == F.col("_context_class"), "left")
-        .withColumn("_similar", F.filter(
-            F.coalesce("_context", F.array().cast(context.schema["_context"].dataType)),
-            lambda r: F.size(F.filter(r["i"], lambda w: body.contains(w))) >= 2,
-        ))
+        .withColumn("_own", own)
+        .withColumn("_similar", F.array_sort(F.filter(
+            F.array_distinct("_own"), lambda p: F.size(F.filter("_own", lambda x: x == p)) >= 2)))
     )
     weak, similar = F.col("_weak"), F.col("_similar")
     weak_reason = F.when(weak.isNotNull(), F.format_string(
@@ -173,18 +104,15 @@ def adjust_confidence(
     last = F.try_element_at(similar, F.lit(-1))
     similar_reason = F.when(last.isNotNull(), F.concat(
         F.lit("Similar documents have been reclassified as "), last["t"]))
-    raw = (
-        F.col("confidence")
-        * F.when(weak.isNotNull(), F.lit(V.LOW_ACCURACY_FACTOR)).otherwise(F.lit(1.0))
-        * F.col("keyword_factor") * F.pow(F.lit(V.CONTEXT_FACTOR), F.size(similar))
-    )
-    reason = F.coalesce(similar_reason, F.col("keyword_reason"), weak_reason)
+    known = F.col("confidence") * F.when(weak.isNotNull(), F.lit(V.LOW_ACCURACY_FACTOR)).otherwise(F.lit(1.0))
+    raw = _weakened(known) * F.pow(F.lit(V.CONTEXT_FACTOR), F.size(similar))
+    reason = F.coalesce(similar_reason, _keyword_reason(_last_strong()), weak_reason)
     return prepared.withColumns({
         "adjusted_confidence": F.greatest(
             F.lit(V.MIN_ADJUSTED), F.least(F.lit(V.MAX_ADJUSTED), raw)),
         "learned_reason": reason,
         "learned_review": reason.isNotNull(),
-    }).drop("_low_class", "_context_class", "_context", "_body", "_weak", "_similar")
+    }).drop("_low_class", "_body", "_words", "_own", "_weak", "_similar", "_hit")
 
 
 # --- class override ---------------------------------------------------------
@@ -203,14 +131,114 @@ def override_rules(feedback: DataFrame) -> DataFrame:
     )
 
 
-def _needed(n: Column) -> Column:
-    return F.greatest(F.lit(3.0), n * 0.5)
+class RuleIndex:
+    """Correction rules in order of ``seq``, each under those of its indicators that fewest rules have.
+
+    A rule that needs ``t`` of its ``n`` indicators has a hit among any ``n - t + 1`` of them, so
+    it is looked up by its rarest ones: indicators shared by most rules lead to no rule.
+    """
+
+    def __init__(self, rules: pa.Table, counts: dict[int, int], words: list[bytes], ids: np.ndarray):
+        self.words, self.needles = pa.array(words, pa.binary()), NeedleIndex(words, counts)
+        self.size = np.array(pc.list_value_length(rules.column("indicators")).to_pylist(), np.int64)
+        self.start, self.ids = np.cumsum(self.size) - self.size, ids
+        self.needed = np.maximum(3, -(-self.size // 2))
+        self.classes = pc.unique(rules.column("rule_from"))
+        self.of = pc.index_in(rules.column("rule_from"), value_set=self.classes).to_numpy()
+        self.payload = pa.StructArray.from_arrays(
+            [rules.column("seq").combine_chunks(), rules.column("rule_to").combine_chunks(), rules.column("notes").combine_chunks()],
+            ["seq", "to", "notes"])
+        rule = np.repeat(np.arange(len(self.size)), self.size)
+        share = np.bincount(ids[ids >= 0], minlength=len(words))
+        # a null is an indicator that never hits
+        rarity = np.where(ids >= 0, share[np.maximum(ids, 0)], -1) if len(words) else np.full(len(ids), -1)
+        order = np.lexsort((ids, rarity, rule))
+        place = np.arange(len(ids)) - np.repeat(self.start, self.size)
+        entered = order[(place < np.repeat(self.size - self.needed + 1, self.size)) & (ids[order] >= 0)]
+        pairs = np.unique(ids[entered] * max(1, len(self.size)) + rule[entered])
+        word, self.rules = np.divmod(pairs, max(1, len(self.size)))
+        self.first = np.searchsorted(word, np.arange(len(words) + 1))
+
+    def first_rules(self, texts: pa.Array, keywords: pa.ListArray, classes: pa.Array) -> pa.Array:
+        """For each text its first matching rule with how many indicators it holds, or null."""
+        rows = len(texts)
+        sizes, word = found_in(self.needles, texts)
+        row = np.repeat(np.arange(rows), sizes)
+        own = pc.index_in(pc.list_flatten(keywords).cast(pa.binary()), value_set=self.words)
+        own = pc.fill_null(own, -1).to_numpy().astype(np.int64)
+        holder = pc.list_parent_indices(keywords).to_numpy()
+        n = max(1, len(self.words))
+        held = np.unique(np.r_[row * n + word, (holder * n + own)[own >= 0]])
+        row, word = np.divmod(held, n)
+        wanted = pc.fill_null(pc.index_in(classes, value_set=self.classes), -1).to_numpy()
+        best, hits = np.full(rows, len(self.size)), np.zeros(rows, np.int64)
+        # as many (text, rule) pairs at once as have _TOGETHER indicators
+        lead = self.first[word + 1] - self.first[word]
+        done = 0
+        while done < len(row):
+            last = max(done + 1, int(np.searchsorted(np.cumsum(lead[done:]), _TOGETHER)) + done)
+            of, at = expand(self.first[word[done:last]], lead[done:last])
+            rule, text = self.rules[at], row[done:last][of]
+            same = self.of[rule] == wanted[text]
+            pair = np.unique(text[same] * len(self.size) + rule[same]) if same.any() else np.empty(0, np.int64)
+            self._count(pair, held, n, best, hits)
+            done = last
+        some = best < len(self.size)
+        payload = self.payload.take(pa.array(best, mask=~some))
+        fields = [payload.field(i) for i in range(3)]
+        return pa.StructArray.from_arrays(
+            [*fields, pa.array(hits), pa.array(np.where(some, np.r_[self.size, 0][best], 0))], ["seq", "to", "notes", "hits", "n"], mask=pa.array(~some))
+
+    def _count(self, pair: np.ndarray, held: np.ndarray, n: int, best: np.ndarray, hits: np.ndarray) -> None:
+        text, rule = np.divmod(pair, len(self.size))
+        done = 0
+        while done < len(pair):
+            last = max(done + 1, int(np.searchsorted(np.cumsum(self.size[rule[done:]]), _TOGETHER)) + done)
+            t, r = text[done:last], rule[done:last]
+            of, at = expand(self.start[r], self.size[r])
+            key = t[of] * n + self.ids[at]
+            found = (self.ids[at] >= 0) & (held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key)
+            count = np.bincount(of[found], minlength=len(t))
+            good = np.flatnonzero(count >= self.needed[r])
+            # pairs are in order: a text's first one has its first rule
+            of, at = np.unique(t[good], return_index=True)
+            good = good[at]
+            less = r[good] < best[of]
+            best[of[less]], hits[of[less]] = r[good[less]], count[good[less]]
+            done = last
+
+
+def _first_rule(hay: DataFrame, rules: DataFrame, classification: str, round_bytes: int) -> DataFrame:
+    """Add ``_rule``: the first rule whose indicators ``_hay`` and ``_kw`` hold often enough."""
+    size = F.length("notes") + F.length(F.array_join("indicators", " ")) + 8 * F.size("indicators") + 64
+    for number, part in enumerate(rounds(rules, size, round_bytes)):
+        part = part.sort_by("seq")
+        listed = pc.list_flatten(part.column("indicators")).combine_chunks().cast(pa.binary())
+        words = pc.unique(listed).drop_null()
+        ids = pc.fill_null(pc.index_in(listed, value_set=words), -1).to_numpy().astype(np.int64)
+        needles = words.to_pylist()
+        index = RuleIndex(part, text_counts(hay, "_hay", needles), needles, ids)
+        shared = hay.sparkSession.sparkContext.broadcast(index)  # about ROUND_BYTES of rules
+        into = "_rule" if number == 0 else "_next"
+        kind = StructType.fromDDL("seq long, to string, notes string, hits long, n long")
+        schema = StructType([*hay.schema.fields, StructField(into, kind)])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, into=into) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rule = shared.value.first_rules(b.column("_hay"), b.column("_kw"), b.column(classification))
+                yield pa.RecordBatch.from_arrays([*b.columns, rule], names=[*b.schema.names, into])
+
+        hay = hay.mapInArrow(run, schema)
+        if number:
+            earlier = F.col("_rule").isNull() | (F.col("_next.seq") < F.col("_rule.seq"))
+            hay = hay.withColumn("_rule", F.when(F.col("_next").isNotNull() & earlier, F.col("_next")).otherwise(F.col("_rule"))).drop("_next")
+    return hay
 
 
 def apply_override(
     docs: DataFrame, feedback: DataFrame, filename: str = "filename", preview: str = "preview",
-    keywords: str = "all_keywords", key: str = "document_id", method: str = "auto",
-    preview_chars: int | None = None,
+    keywords: str = "all_keywords", preview_chars: int | None = None, round_bytes: int = ROUND_BYTES,
+    note_chars: int | None = 100,
 ) -> DataFrame:
     """Add ``learned_classification``, ``learned_confidence``, ``was_overridden``
     and ``override_reason``.
@@ -218,47 +246,14 @@ def apply_override(
     The first correction of the document's class applies whose indicators are
     present often enough: three, or half of them if that is more. An indicator
     may stand in the preview (its first ``preview_chars``, if given), in the file name,
-    or equal a keyword.
+    or equal a keyword. The reason quotes ``note_chars`` of the rule's notes, all with None.
     """
-    method, rules = _pick(
-        method, override_rules(feedback),
-        F.length("notes") + F.length(F.array_join("indicators", " ")) + 64,
-    )
     hay = docs.withColumns({
         "_hay": _haystack(filename, preview, preview_chars),
         "_kw": F.transform(
             F.coalesce(F.col(keywords), F.array().cast("array<string>")), lambda k: F.lower(k)),
     })
-
-    def present(indicators: Column) -> Column:
-        return F.size(F.filter(
-            indicators,
-            lambda i: F.col("_hay").contains(i) | F.array_contains(F.col("_kw"), i),
-        ))
-
-    columns = ["seq", "rule_from", "rule_to", "indicators", "notes"]
-    if method == "array":
-        table = rules.agg(F.array_sort(F.collect_list(F.struct(*columns)))).scalar()
-        same = F.filter("_rules", lambda r: r["rule_from"] == F.col("classification"))
-        counted = F.transform(same, lambda r: F.struct(
-            r["rule_to"].alias("to"), present(r["indicators"]).alias("hits"),
-            F.size(r["indicators"]).alias("n"), r["notes"].alias("notes")))
-        matched = hay.withColumn("_rules", table).withColumn("_counted", counted).withColumn(
-            "_rule",
-            F.try_element_at(
-                F.filter("_counted", lambda r: r["hits"] >= _needed(r["n"])), F.lit(1)),
-        ).drop("_rules", "_counted")
-    else:
-        best = _override_candidates(hay, rules, key).join(
-            hay.select(key, "_hay", "_kw"), key
-        ).join(rules, "seq").withColumns({
-            "_hits": present(F.col("indicators")), "_n": F.size("indicators"),
-        }).where(F.col("_hits") >= _needed(F.col("_n"))).groupBy(key).agg(
-            F.min_by(F.struct(
-                F.col("rule_to").alias("to"), F.col("_hits").alias("hits"),
-                F.col("_n").alias("n"), "notes"), "seq").alias("_rule")
-        )
-        matched = hay.join(best, key, "left")
+    matched = _first_rule(hay, override_rules(feedback), "classification", round_bytes)
     rule = F.col("_rule")
     hit = rule.isNotNull()
     return matched.withColumns({
@@ -270,48 +265,11 @@ def apply_override(
         "override_reason": F.when(hit, F.format_string(
             "Learned rule applied: '%s' → '%s'. Matched %d/%d indicators. Human feedback: %s",
             F.col("classification"), F.coalesce(rule["to"], F.lit("None")), rule["hits"],
-            rule["n"], F.substring(rule["notes"], 1, 100),
+            rule["n"], rule["notes"] if note_chars is None else F.substring(rule["notes"], 1, note_chars),
         )),
     }).drop("_hay", "_kw", "_rule")
 
 
-def _override_candidates(hay: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """``(key, seq)`` pairs that may match; all that do are among them.
-
-    Rules with the same class and the same indicators differ in nothing but
-    order, so the first stands for all. A rule that needs ``t`` of its ``n``
-    indicators has a hit among any ``n - t + 1`` of them, so only its rarest ones
-    are looked up: indicators shared by most rules join with nothing.
-    """
-    first = rules.groupBy("rule_from", F.array_sort("indicators").alias("_set")).agg(
-        F.min("seq").alias("seq")
-    )
-    listed = first.select("seq", "rule_from", F.size("_set").alias("n"), F.explode("_set").alias("needle"))
-    share = listed.groupBy("needle").agg(F.count(F.lit(1)).alias("share"))
-    ranked = listed.join(share, "needle").groupBy("seq", "rule_from", "n").agg(
-        F.array_sort(F.collect_list(F.struct("share", "needle"))).alias("by_share")
-    )
-    prefix = (F.col("n") - F.ceil(_needed(F.col("n"))) + 1).cast("int")
-    lookups = ranked.select(
-        "seq", "rule_from", F.explode(F.array_distinct(F.transform(
-            F.slice("by_share", F.lit(1), prefix), lambda x: x["needle"]))).alias("needle"),
-    )
-    needles = lookups.select("needle").distinct()
-    in_text = substring_matches(hay.select(key, "_hay"), needles, key, "_hay", "needle")
-    in_keywords = hay.select(key, F.explode(F.array_distinct("_kw")).alias("needle")).join(
-        needles, "needle", "left_semi"
-    ).select(key, "needle")
-    # an empty indicator is found everywhere
-    everywhere = hay.select(key, F.lit("").alias("needle"))
-    hits = in_text.unionByName(in_keywords).unionByName(everywhere).join(
-        hay.select(key, "classification"), key
-    )
-    return hits.join(
-        lookups,
-        (hits["needle"] == lookups["needle"]) & (hits["classification"] == lookups["rule_from"]),
-    ).select(hits[key], "seq").distinct()
-
-
 # --- texts ------------------------------------------------------------------
 
 def prompt_enhancements(frequent: DataFrame, patterns: DataFrame, n: int = 3) -> DataFrame:

@@ -71,11 +71,9 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def verdicts(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested verdicts: page-sized segments, a piece of evidence a page, images,
-    keywords of the whole text and a safety record. Without ``whole``, as some
-    queries' SQL has it: evidence of three pages, quotes of 60 characters and 25
-    keywords of the first 2000."""
+    keywords of the whole text and a safety record."""
     c = classifications(spark, sf_dir)
     doc = F.col("document_id")
     pages = F.regexp_extract_all(F.col("full_text"), F.lit(r"(?s).{1,2000}"), F.lit(0))
@@ -83,9 +81,6 @@ def verdicts(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
     def head(text: Column, n: int) -> Column:
         return F.slice(distinct_words(text), 1, n)
 
-    def quote(page: Column) -> Column:
-        return page if whole else F.substring(page, 1, 60)
-
     def segment(page: Column, i: Column) -> Column:
         low = F.lower(page)
         return F.struct(
@@ -103,12 +98,12 @@ def verdicts(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
     def evidence(page: Column, i: Column) -> Column:
         return F.struct(
             (i + 1).alias("page"), F.lit("page").alias("region"),
-            quote(page).alias("quote"), F.lit("opening words").alias("reasoning"),
+            page.alias("quote"), F.lit("opening words").alias("reasoning"),
             F.lit(None).cast("int").alias("image_index"),
             F.when((doc + i) % 3 == 0, F.lit("Confidential")).otherwise(F.lit("Public"))
             .alias("sensitivity_level"),
             head(page, 2).alias("keywords"), (i * 2000).alias("start_char"),
-            (i * 2000 + F.length(quote(page))).alias("end_char"),
+            (i * 2000 + F.length(page)).alias("end_char"),
         )
 
     def image(i: Column) -> Column:
@@ -127,9 +122,9 @@ def verdicts(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
     safe = F.col("is_safe")
     return staged.withColumns({
         "text_segments": F.transform("_pages", segment),
-        "evidence": F.transform("_pages" if whole else F.slice("_pages", 1, 3), evidence),
+        "evidence": F.transform("_pages", evidence),
         "image_analyses": images,
-        "all_keywords": distinct_words(F.col("full_text")) if whole else head(F.substring("full_text", 1, 2000), 25),
+        "all_keywords": distinct_words(F.col("full_text")),
         "additional_labels": F.when(doc % 4 == 0, F.array(F.lit("Proprietary")))
         .otherwise(F.array().cast("array<string>")),
         "safety_check": F.struct(
@@ -142,15 +137,14 @@ def verdicts(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
     }).drop("_pages")
 
 
-def learning_feedback(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+def learning_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One review per labelled document, its text as notes and its words as
-    indicators. Without ``whole``, as some queries' SQL has it: the first 200
-    characters and six words of those."""
+    indicators."""
     k = classifications(spark, sf_dir)
     l = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "document_id")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("document_id") % 30).cast("int"))
     approved = F.col("quality") == 1
-    notes = F.col("full_text") if whole else F.substring("full_text", 1, 200)
+    notes = F.col("full_text")
     return l.join(k, "document_id").select(
         "document_id", F.col("document_id").alias("seq"), "filename",
         F.col("classification").alias("original_classification"),
@@ -161,7 +155,7 @@ def learning_feedback(spark: SparkSession, sf_dir: str, whole: bool = True) -> D
         day.alias("review_date"), day.cast("string").alias("timestamp"),
         F.concat(F.lit("reviewer"), (F.col("document_id") % 7).cast("string")).alias("reviewer_id"),
         notes.alias("feedback_notes"), "confidence",
-        (distinct_words(notes) if whole else F.slice(distinct_words(notes), 1, 6)).alias("key_indicators"),
+        distinct_words(notes).alias("key_indicators"),
     )
 
 

@@ -154,8 +154,8 @@ def random_case(rng, size):
     return feedback, docs
 
 
-@pytest.mark.parametrize("method", ["array", "join", "auto"])
-def test_adjusted_confidence_matches_a_loop(rows, method):
+@pytest.mark.parametrize("round_bytes", [8 << 20, 100])
+def test_adjusted_confidence_matches_a_loop(rows, round_bytes):
     feedback, docs = random_case(random.Random(1), 25)
     n = FB.normalize_feedback(rows(feedback, FEEDBACK))
     acc, kw, ctx = P.accuracy_by_class(n), P.keyword_patterns(n), P.context_patterns(n)
@@ -165,7 +165,7 @@ def test_adjusted_confidence_matches_a_loop(rows, method):
     patterns = [(r["original_classification"], r["human_classification"], r["common_indicators"])
                 for r in ctx.orderBy("first_seq").collect()]
     assert keywords and patterns
-    got = {r["document_id"]: r for r in LN.adjust_confidence(rows(docs, DOCS), acc, kw, ctx, method=method).collect()}
+    got = {r["document_id"]: r for r in LN.adjust_confidence(rows(docs, DOCS), acc, kw, ctx, round_bytes=round_bytes).collect()}
     assert len(got) == len(docs)
     for d in docs:
         conf, reason = reference_adjust(d, accuracy, keywords, patterns)
@@ -175,11 +175,11 @@ def test_adjusted_confidence_matches_a_loop(rows, method):
         assert 0.1 <= r["adjusted_confidence"] <= 1.0
 
 
-@pytest.mark.parametrize("method", ["array", "join"])
-def test_override_matches_a_loop(rows, method):
+@pytest.mark.parametrize("round_bytes", [8 << 20, 3000])
+def test_override_matches_a_loop(rows, round_bytes):
     feedback, docs = random_case(random.Random(2), 60)
     got = {r["document_id"]: r for r in LN.apply_override(
-        rows(docs, DOCS), rows(feedback, FEEDBACK), method=method).collect()}
+        rows(docs, DOCS), rows(feedback, FEEDBACK), round_bytes=round_bytes).collect()}
     applied = 0
     for doc, kind, conf, name, preview, keywords in docs:
         want, sure, reason = kind, conf, None
@@ -200,33 +200,45 @@ def test_override_matches_a_loop(rows, method):
     assert 5 < applied < len(docs)
 
 
-def test_rule_sets_beyond_the_bound_are_joined(rows, monkeypatch):
-    feedback, docs = random_case(random.Random(4), 40)
-    n = FB.normalize_feedback(rows(feedback, FEEDBACK))
-    small = LN.match_keyword_rules(rows(docs, DOCS), P.keyword_patterns(n))
-    monkeypatch.setattr(LN, "MAX_RULES", 1)
-    large = LN.match_keyword_rules(rows(docs, DOCS), P.keyword_patterns(n))
-    assert "Join" in large._jdf.queryExecution().optimizedPlan().toString()
-    pick = lambda df: sorted((r["document_id"], round(r["keyword_factor"], 9), str(r["keyword_reason"])) for r in df.collect())
-    assert pick(small) == pick(large)
-
-
-def test_short_keywords_match_in_either_way(rows):
-    rules = rows([("w2", 4, 0, 0), ("form", 3, 1, 0)], "keyword string, correction_count bigint, first_seq bigint, first_pos int")
-    docs = rows([(1, "Public", 0.9, "form.pdf", "a w2 here", []), (2, "Public", 0.9, "x.pdf", "none", [])], DOCS)
-    for method in ("array", "join"):
-        got = {r["document_id"]: r["keyword_factor"] for r in LN.match_keyword_rules(docs, rules, method=method).collect()}
-        assert got == {1: pytest.approx(0.42), 2: 1.0}
+def test_short_keywords_match(rows):
+    rules = rows([("w2", 4, 0, 0), ("form", 3, 1, 0), ("é", 2, 2, 0), ("xyz", 5, 3, 0)],
+                 "keyword string, correction_count bigint, first_seq bigint, first_pos int")
+    docs = rows([(1, "Public", 0.9, "form.pdf", "a w2 here", []), (2, "Public", 0.9, "x.pdf", "none", []),
+                 (3, "Public", 0.9, "x", "yz CAFÉ", []), (4, "Public", 0.9, None, None, [])], DOCS)
+    got = {r["document_id"]: r["keyword_factor"] for r in LN.match_keyword_rules(docs, rules).collect()}
+    # the name's end and the text's beginning make no match
+    assert got == {1: pytest.approx(0.42), 2: 1.0, 3: pytest.approx(0.8), 4: 1.0}
 
 
-@pytest.mark.parametrize("method", ["array", "join"])
-def test_indicators_count_in_the_whole_text(rows, method):
+def test_indicators_count_in_the_whole_text(rows):
     words = ["alphaone", "gammasix", "omegaten"]
-    feedback = rows([entry("a", 1, approved=False, to="Unsafe", frm="Public", name="x.pdf", notes="n", words=words)], FEEDBACK)
+    feedback = rows([entry("a", 1, approved=False, to="Unsafe", frm="Public", name="x.pdf", notes="n" * 200, words=words)], FEEDBACK)
     docs = rows([(1, "Public", 0.5, "y.pdf", "z" * 3000 + " ".join(words), [])], DOCS)
-    whole = LN.apply_override(docs, feedback, method=method).first()
+    whole = LN.apply_override(docs, feedback).first()
     assert whole["was_overridden"] and whole["learned_classification"] == "Unsafe"
-    assert not LN.apply_override(docs, feedback, method=method, preview_chars=2000).first()["was_overridden"]
+    assert whole["override_reason"].endswith(": " + "n" * 100)
+    assert LN.apply_override(docs, feedback, note_chars=None).first()["override_reason"].endswith(": " + "n" * 200)
+    assert not LN.apply_override(docs, feedback, preview_chars=2000).first()["was_overridden"]
+
+
+def test_no_rules(rows):
+    feedback, docs = random_case(random.Random(3), 0)
+    n = FB.normalize_feedback(rows(feedback, FEEDBACK))
+    got = LN.adjust_confidence(rows(docs, DOCS), P.accuracy_by_class(n), P.keyword_patterns(n), P.context_patterns(n)).collect()
+    assert len(got) == len(docs) and not any(r["learned_review"] for r in got)
+    got = LN.apply_override(rows(docs, DOCS), rows(feedback, FEEDBACK)).collect()
+    assert len(got) == len(docs) and not any(r["was_overridden"] for r in got)
+    assert LN.apply_override(rows([], DOCS), rows(random_case(random.Random(3), 9)[0], FEEDBACK)).collect() == []
+
+
+def test_documents_stay_where_they_are(rows):
+    """Neither way of learned scoring shuffles documents or makes a row per run of a text."""
+    feedback, docs = random_case(random.Random(5), 30)
+    n = FB.normalize_feedback(rows(feedback, FEEDBACK))
+    for df in (LN.match_keyword_rules(rows(docs, DOCS), P.keyword_patterns(n)),
+               LN.apply_override(rows(docs, DOCS), rows(feedback, FEEDBACK))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Generate" not in plan
 
 
 def test_same_source_class_keeps_the_last_warning(rows):

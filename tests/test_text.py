@@ -119,12 +119,14 @@ def test_segment_location(spark, rows):
     assert (c["start_char"], c["end_char"]) == (0, 250)
 
 
-def test_at_most_fifty_segments_and_page_hundred(spark, rows):
+def test_segments_and_pages_are_bounded_only_when_asked(spark, rows):
     full = "z" * 300_000 + "end"
     df = rows([(full, [("end", "Public", 0.5, None, None)] * 60)],
               "full string, raw array<struct<text:string,classification:string,confidence:double,"
               "keywords:array<string>,reasoning:string>>")
     got = df.select(T.locate_segments(F.col("full"), F.col("raw"))).first()[0]
+    assert len(got) == 60 and got[0]["page"] == 151
+    got = df.select(T.locate_segments(F.col("full"), F.col("raw"), limit=50, last_page=100)).first()[0]
     assert len(got) == 50 and got[0]["page"] == 100
 
 

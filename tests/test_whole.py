@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sealgrade.catalog import REGISTRY
+from sealgrade.session import stage
 from sealgrade.sources import adapters as A
 
 
@@ -21,7 +22,7 @@ def words(text):
 def test_evidence_of_every_page(spark, sf_dir, texts):
     assert max(len(t) for t in texts.values()) > 6000
     want = {(d, i // 2000 + 1) for d, t in texts.items() for i in range(0, len(t), 2000)}
-    got = REGISTRY["c10_evidence_by_page_whole"][0](spark, sf_dir).collect()
+    got = REGISTRY["c10_evidence_by_page"][0](spark, sf_dir).collect()
     assert {(r["document_id"], r["page"]) for r in got} == want
     for r in A.verdicts(spark, sf_dir).select("document_id", "evidence.quote", "all_keywords").collect():
         assert "".join(r["quote"]) == texts[r["document_id"]]
@@ -54,14 +55,14 @@ def test_overrides_by_whole_texts(spark, sf_dir, texts):
             if r["original_classification"] == d["classification"] and hits >= max(3, n / 2):
                 want[d["document_id"]] = (r["corrected_classification"], hits, n)
                 break
-    got = REGISTRY["l02_learned_override_whole"][0](spark, sf_dir).where("was_overridden").collect()
+    got = REGISTRY["l02_learned_override"][0](spark, sf_dir).where("was_overridden").collect()
     assert {r["document_id"]: r["learned_classification"] for r in got} == {k: v[0] for k, v in want.items()}
     assert all("Matched %d/%d" % want[r["document_id"]][1:] in r["override_reason"] for r in got) and got
 
 
 def test_features_of_whole_texts(spark, sf_dir, texts):
     from sealgrade.catalog.text import TEST_WORDS
-    got = REGISTRY["f03_f07_keyword_counts_whole"][0](spark, sf_dir).collect()
+    got = REGISTRY["f03_f07_keyword_counts"][0](spark, sf_dir).collect()
     assert any(r["document_id"] % 10 == 0 and r["technical_count"] for r in got)
     for r in got:
         low = texts[r["document_id"]].lower()
@@ -120,7 +121,7 @@ def test_unsafe_documents_keep_their_text(rows):
 def test_reviews_remember_everything(spark, sf_dir, texts):
     """Stored reviews hold all evidence, keywords and indicators of a long verdict."""
     from sealgrade.operators import feedback as FB
-    v = A.verdicts(spark, sf_dir).orderBy(F.length("full_text").desc()).limit(1).localCheckpoint()
+    v = stage(A.verdicts(spark, sf_dir).orderBy(F.length("full_text").desc()).limit(1))
     said = v.select("document_id", F.lit("Unsafe").alias("corrected_classification"), F.lit("").alias("notes"),
                     F.lit("t").alias("timestamp"))
     r = FB.intake(FB.rejection(said, "reviewer"), v).first()
