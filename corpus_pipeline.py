@@ -1,4 +1,8 @@
-"""Raw documents to token ids: each stage's rows are written and are the next one's documents."""
+"""Raw documents to token ids: each stage's rows are written and are the next one's documents.
+
+Every stage takes tables with null ids, null, empty and very long texts, repeated rows, further columns of any
+name, and without rows; what each does with them stands there. All but the last keep all columns.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,33 @@ from sealgrade.session import scratch_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the model learns from all labelled documents."""
+    """Documents whose language is recognised; the model learns from a bounded sample of the labelled ones.
+
+    Null texts and texts without letters go. Without labelled documents all go.
+    """
     return language_id.accepted_only(docs, language_id.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group linked by similar word shingles."""
+    """The document of the smallest id of each group linked by similar word shingles.
+
+    A null id comes last; of rows that repeat id and text one stays; null and blank texts link with nothing.
+    """
     return ngram_join.one_of_each_group(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item. Null and empty texts hold none."""
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind. A null text stays null."""
     return pii.without_personal_data(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, ids, n_tokens, ids_sha256, decoded_sha256`` of all documents."""
+    """``doc_id, ids, n_tokens, ids_sha256, decoded_sha256`` of all documents; a null text has no ids."""
     encoded = bpe.encode_documents(docs)
     return encoded.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
@@ -52,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
+    """All stages on ``documents``. An empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         path = scratch_dir(spark)

@@ -29,9 +29,10 @@ from sealgrade.llm.common import Scratch, small_batches, table
 
 WORD = re.compile(r"\w+")
 STRIDE = 64
-#: BM25 parameters, share of an item's own score to retrieve it, words of an overlap sequence, shares to verify.
+#: BM25 parameters, share of an item's own score to retrieve it, words of an overlap sequence, shares to verify
+#: (of question and answer, or of all of the item).
 K1, B = 1.2, 0.75
-THRESHOLD, GRAM, QUESTION, ANSWER = 0.5, 5, 0.5, 0.5
+THRESHOLD, GRAM, QUESTION, ANSWER, WHOLE = 0.5, 5, 0.5, 0.5, 0.8
 #: Entries of a block, and the share of entries beyond which a word is left to the bound.
 BLOCK, COMMON = 4, 0.05
 #: Share of an entry that words left out of the search may make up.
@@ -64,7 +65,7 @@ class Index:
     blocks: tuple[np.ndarray, np.ndarray, np.ndarray]  # by word: start, block, largest impact
     rare: dict[str, int]
     slack: np.ndarray  # by block: what the other words add to an item at most
-    parts: dict[int, tuple[set, set]] = field(default_factory=dict)
+    parts: dict[int, tuple[set, set, set]] = field(default_factory=dict)
 
 
 def _csr(term: np.ndarray, other: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +80,7 @@ def build_index(items: list[tuple[int | None, str]], frequency: dict[str, int] |
     entries = []
     for i, (_, text) in enumerate(items):
         w = words_of(text)
-        entries += [(i, w[at : at + STRIDE]) for at in range(0, len(w), STRIDE) if len(w) >= GRAM]
+        entries += [(i, w[at : at + STRIDE]) for at in range(0, len(w), STRIDE)]
     if frequency is None:
         frequency = {}
         for _, w in entries:
@@ -193,21 +194,30 @@ def search(index: Index, docs: list[list[str]], threshold: float = THRESHOLD) ->
     return [(d, i, s) for (d, i), s in sorted(best.items())]
 
 
-def overlaps(index: Index, item: int, words: list[str]) -> tuple[float, float | None]:
-    """Shares of the question's and the answer's word sequences in a document; null without an answer."""
+def item_parts(text: str | None) -> tuple[set, set, set]:
+    """Word sequences of an item's question, of its answer, and of all of it.
+
+    An answer shorter than a sequence is looked for together with the words before it. An item shorter than a
+    sequence is one sequence, and all of it a question.
+    """
+    q, a = map(words_of, question_and_answer(text or ""))
+    if len(q) < GRAM:
+        q, a = q + a, []
+    lead = q[-(GRAM - 1) :] if 0 < len(a) < GRAM else []
+    return sequences(q), sequences(lead + a) if a else set(), sequences(q + a)
+
+
+def overlaps(index: Index, item: int, words: list[str]) -> tuple[float, float | None, float]:
+    """Shares of the sequences of the question, the answer (null without one) and the whole item in a document."""
     if item not in index.parts:
-        q, a = question_and_answer(index.items[item][1])
-        qw, aw = words_of(q), words_of(a)
-        if len(qw) < GRAM:
-            qw, aw = qw + aw, []
-        index.parts[item] = sequences(qw), sequences(aw)
-    q, a = index.parts[item]
+        index.parts[item] = item_parts(index.items[item][1])
 
     def share(wanted: set) -> float:
         have = sequences(words, len(next(iter(wanted))))
         return sum(g in have for g in wanted) / len(wanted)
 
-    return (share(q) if q else 0.0), (share(a) if a else None)
+    q, a, whole = index.parts[item]
+    return (share(q) if q else 0.0), (share(a) if a else None), (share(whole) if whole else 0.0)
 
 
 def verified(index: Index, texts: list[str | None], threshold: float = THRESHOLD) -> list[tuple[int, int, float, float, float | None]]:
@@ -215,8 +225,8 @@ def verified(index: Index, texts: list[str | None], threshold: float = THRESHOLD
     docs = [words_of(t) for t in texts]
     out = []
     for d, item, score in search(index, docs, threshold):
-        q, a = overlaps(index, item, docs[d])
-        if q >= QUESTION and (a is None or a >= ANSWER):
+        q, a, whole = overlaps(index, item, docs[d])
+        if (q >= QUESTION and (a is None or a >= ANSWER)) or whole >= WHOLE:
             out.append((d, item, score, q, a))
     return out
 
@@ -237,7 +247,7 @@ def shards(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[Ind
             shard, word, length = [], [], []
             for s, text in zip(b.column("shard").to_pylist(), b.column("text").to_pylist(), strict=True):
                 w = words_of(text)
-                for at in range(0, len(w) if len(w) >= GRAM else 0, STRIDE):
+                for at in range(0, len(w), STRIDE):
                     part = set(w[at : at + STRIDE])
                     shard += [s] * (len(part) + 1)
                     word += [*part, None]
@@ -260,8 +270,8 @@ def shards(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[Ind
 def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap`` of each test item a document holds.
 
-    Words are runs of letters, digits and underscores in lower case. Null and empty texts of either table match nothing,
-    nor do items of fewer than five words, which are too little evidence. Rows that repeat a document are all
+    Words are runs of letters, digits and underscores in lower case. Null and empty texts of either table match nothing;
+    an item of fewer than five words must stand in the document word for word. Rows that repeat a document are all
     reported; rows that repeat an item count once. Null ids are returned as null. Other columns are not
     read; without documents or items there are no rows.
     """
@@ -288,7 +298,11 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The rows of ``documents``, all columns, that hold no test item; nothing is shuffled."""
+    """The rows of ``documents``, all columns, that hold no test item; nothing is shuffled.
+
+    Null and empty texts stay, repeated rows stay or go together, rows without an id are judged like others, and
+    columns of any name stay. Without items all rows stay; an empty table stays empty.
+    """
     spark = documents.sparkSession
     small_batches(spark)
     for index in shards(benchmark, shard_bytes):

@@ -260,7 +260,7 @@ def keyed(documents: DataFrame) -> DataFrame:
     """``doc_id, d, k, text``: ``d`` orders documents (a null id last), ``k`` names a row by id and text."""
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"),
-        F.xxhash64("doc_id", "text").alias("k"), F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("k"), F.col("text").cast("string").alias("text"),
     )
 
 
@@ -271,7 +271,8 @@ def similar_documents(
 
     ``class_id`` is the smallest id of the rows with the same shingle set, ``n_links`` the number of other rows
     of similarity ``threshold`` or more (copies counted), ``component_id`` the smallest id reachable over links,
-    ``kept`` whether the row has that id; rows that repeat id and text are kept or go together. Words are
+    ``kept`` whether the row has that id; rows that repeat id and text are kept or go together, and of a
+    group without ids the rows of one text are kept. Words are
     what ASCII white space separates, unchanged; a text of fewer words than a shingle is one shingle; null
     and blank texts link with nothing and are kept. A null id counts as larger than any. ``k`` is a hash of id
     and text. Other columns are not read; an empty table gives no rows.
@@ -285,9 +286,9 @@ def similar_documents(
     narrow = scanned.select("doc_id", "d", "k", "q1", "q2")
     classes = scratch.keep(
         scanned.where("q1 is not null").groupBy("q1", "q2").agg(
-            F.min("d").alias("cls"), F.count("*").alias("copies"), F.min("k").alias("k"),
+            F.min(F.struct("d", "k")).alias("first"), F.count("*").alias("copies"),
             F.max("n").alias("n"), F.any_value("sketch").alias("sketch"),
-        )
+        ).select("q1", "q2", F.col("first.d").alias("cls"), F.col("first.k").alias("k"), "copies", "n", "sketch")
     )
     found = scratch.keep(_buckets(scratch, scanned))
     met = found.join(classes.select("q1", "n", "sketch").hint("merge"), "q1")
@@ -314,28 +315,54 @@ def similar_documents(
     scratch.drop(sets, sizes, wanted)
     degree = scratch.keep(links.groupBy(F.col("u").alias("q1")).agg(F.sum("n_links").alias("linked")))
     groups = components(scratch, links.select("u", "v").where("u != v")).withColumnRenamed("node", "q1")
-    named = scratch.keep(classes.drop("sketch").join(groups, "q1").groupBy("component").agg(F.min("cls").alias("least")))
+    named = scratch.keep(classes.drop("sketch").join(groups, "q1").groupBy("component").agg(F.min(F.struct("cls", "k")).alias("least")))
     known = scratch.keep(
         classes.drop("sketch").join(degree, "q1", "left").join(groups, "q1", "left").join(named, "component", "left")
         .select("q1", "q2", "cls", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
-                F.coalesce("least", "cls").alias("least"))
+                F.coalesce("least", F.struct("cls", "k")).alias("least"))
     )
+
     def shown(name):  # the stand-in for a null id
         return F.when(F.col(name) != LAST, F.col(name)).alias(name)
     return (
         narrow.join(known, ["q1", "q2"], "left")
         .select(
             "doc_id", "k", F.coalesce("cls", "d").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-            F.coalesce("least", "d").alias("component_id"), (F.col("d") == F.coalesce("least", "d")).alias("kept"),
+            F.coalesce("least.cls", "d").alias("component_id"),
+            # without ids in a group, the row of the smallest key stands for it
+            F.coalesce((F.col("d") == F.col("least.cls")) & ((F.col("d") != LAST) | (F.col("k") == F.col("least.k"))), F.lit(True)).alias("kept"),
         ).withColumn("class_id", shown("class_id")).withColumn("component_id", shown("component_id"))
     )
 
 
 def one_of_each_group(documents: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents``, all columns, that ``similar_documents`` keeps."""
-    kept = similar_documents(documents, **options).where("kept").select(F.col("k").alias("_k")).distinct()
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    return documents.withColumn("_k", key).join(kept.hint("merge"), "_k", "left_semi").drop("_k").select(*documents.columns)
+    """One row of each group of ``similar_documents``, all columns; rows that link with nothing stay.
+
+    It is the row of the smallest id (a null one comes last); of rows that agree in id and text, any one of
+    which may stand for the others, one stays. So exact repetitions go even if their ids are null. Null and blank texts
+    link with nothing, but rows that agree in id and such a text are repetitions, too. Columns may have any name; an
+    empty table stays empty.
+    """
+    names = []
+    for name in ("k", "d", "times", "turn"):
+        while name in documents.columns or name in names:
+            name += "_"
+        names.append(name)
+    k, d, times, turn = names
+    kept = similar_documents(documents, **options).where("kept").select("k", F.coalesce("doc_id", F.lit(LAST)).alias("d"))
+    kept = Scratch(documents.sparkSession).keep(kept.groupBy("k", "d").agg(F.count("*").alias("times"))).toDF(k, d, times)
+    rows = documents.withColumns({
+        k: F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")),
+        d: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)),
+    })
+
+    def of(keys: DataFrame) -> DataFrame:
+        return rows.join(keys.select(k, d).hint("merge"), [k, d], "left_semi")
+
+    # repetitions are few or one row very often: those of a task go before the others meet
+    again = of(kept.where(F.col(times) > 1)).withColumn(turn, F.spark_partition_id())
+    again = again.dropDuplicates([k, d, turn]).dropDuplicates([k, d]).drop(turn)
+    return of(kept.where(F.col(times) == 1)).unionByName(again).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op6_ngram_jaccard_join(spark, sf_dir):

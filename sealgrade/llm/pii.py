@@ -24,7 +24,7 @@ KINDS = (*BASE, "url", "iban", "account", "street")
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP_RUN, IP = re.compile(r"[0-9.]+"), re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+IP_RUN = re.compile(r"[0-9.]+")
 CARD_RUN, CARD = re.compile(r"[0-9 -]+"), re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 GAP = re.compile(r"[ :#=.]{0,4}")
@@ -66,6 +66,25 @@ def iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ips(run: str, at: int) -> Iterator[tuple[int, int]]:
+    """Spans of the groups of four numbers in a run of digits and dots that starts at ``at``, from left to
+    right; those with a number above 255 count as met, but are no address."""
+    parts = run.split(".")
+    i = 0
+    while i < len(parts):
+        four = parts[i : i + 4]
+        if len(four) == 4 and all(four):
+            size = sum(map(len, four)) + 3
+            # compared as text first: int() refuses very long runs of digits
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                yield at, at + size
+            at += size + 1
+            i += 4
+        else:
+            at += len(parts[i]) + 1
+            i += 1
+
+
 def find(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     """Spans (start, end) of each kind in code points, in order."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -77,10 +96,7 @@ def find(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[in
                 # no match starts before a digit, and a run ends where its characters end
                 run = IP_RUN.match(text, at)
                 ip_end = run.end()
-                for m in IP.finditer(text, at, ip_end):
-                    # compared as text first: int() refuses very long runs of digits
-                    if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
-                        out["ip"].append(m.span())
+                out["ip"] += ips(run.group(), at)
             if at >= card_end:
                 run = CARD_RUN.match(text, at)
                 card_end = run.end()
@@ -101,8 +117,8 @@ def find(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[in
             if m and 9 <= sum(c.isdigit() for c in m.group()) <= 15:
                 out["phone"].append(m.span())
         elif kind == "url":
-            m = URL.match(text, last + 1)
-            if at >= url_end and m:
+            m = URL.match(text, last + 1) if at >= url_end else None
+            if m:
                 url_end = m.start() + len(m.group().rstrip(".,;:!?)]}"))
                 if url_end > last + 1:
                     out["url"].append((at, url_end))
@@ -172,7 +188,11 @@ def find_personal_data(documents: DataFrame, redacted: bool = True) -> DataFrame
 
 
 def without_personal_data(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents``, all columns, with redacted ``text`` and, if there, ``n_chars`` of that text."""
+    """The rows of ``documents``, all columns, with redacted ``text`` and, if there, ``n_chars`` of that text.
+
+    A null text stays null, an empty one empty; repeated rows and rows without an id are redacted alike, and other
+    columns, whatever their names, stay as they are. An empty table stays empty.
+    """
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,7 @@ TIMES, SHARES = (1, 2, 4), (0.005, 0.02)
 LEVELS = len(TIMES) + len(SHARES)
 #: Grades: 0 clean, 1 toxic, 2 toxic with more marked words than the median toxic text.
 GRADES = 3
+RIDGE = 1e-4
 MEMORY = 300_000
 WORD = re.compile(r"\w+")
 
@@ -79,32 +80,41 @@ class Extractor:
         return out
 
 
+def ordinal_loss(p: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int) -> tuple[float, np.ndarray]:
+    """Penalised negative log likelihood and its gradient.
+
+    ``p`` holds ``size`` feature weights, the first threshold, and the logarithms of the steps to the others;
+    ``row`` and ``col`` list the active features.
+    """
+    cuts, at = GRADES - 1, np.arange(len(y))
+    w = p[:size]
+    th = p[size] + np.r_[0, np.cumsum(np.exp(p[size + 1 :]))]
+    eta = np.bincount(row, w[col], len(y))
+    c = np.c_[np.zeros(len(y)), sigmoid(th[None, :] - eta[:, None]), np.ones(len(y))]
+    g = c * (1 - c)
+    like = np.maximum(c[at, y + 1] - c[at, y], 1e-9)
+    d_eta = weight * (g[at, y + 1] - g[at, y]) / like
+    d_th = np.zeros(cuts)
+    for j in range(cuts):
+        d_th[j] = -(weight * ((y == j) * 1.0 - (y == j + 1)) * g[:, j + 1] / like).sum()
+    grad = np.zeros_like(p)
+    grad[:size] = np.bincount(col, d_eta[row], size) + RIDGE * w
+    grad[size] = d_th.sum()
+    for j in range(1, cuts):
+        grad[size + j] = d_th[j:].sum() * np.exp(p[size + j])
+    return float(-(weight * np.log(like)).sum() + RIDGE / 2 * (w @ w)), grad
+
+
 def fit_ordinal(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, size: int, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by full-batch gradient steps (Adam) with a ridge penalty."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.array([c for r in rows for c in r], np.int64)
-    cuts = GRADES - 1
-    p = np.zeros(size + cuts)
+    p = np.zeros(size + GRADES - 1)
     p[size] = 1.0
     m, v = np.zeros_like(p), np.zeros_like(p)
     weight = weight / weight.sum()
-    at = np.arange(len(y))
     for t in range(1, steps + 1):
-        w = p[:size]
-        th = p[size] + np.r_[0, np.cumsum(np.exp(p[size + 1 :]))]
-        eta = np.bincount(row, w[col], len(rows))
-        c = np.c_[np.zeros(len(y)), sigmoid(th[None, :] - eta[:, None]), np.ones(len(y))]
-        g = c * (1 - c)
-        like = np.maximum(c[at, y + 1] - c[at, y], 1e-9)
-        d_eta = weight * (g[at, y + 1] - g[at, y]) / like
-        d_th = np.zeros(cuts)
-        for j in range(cuts):
-            d_th[j] = -(weight * ((y == j) * 1.0 - (y == j + 1)) * g[:, j + 1] / like).sum()
-        grad = np.zeros_like(p)
-        grad[:size] = np.bincount(col, d_eta[row], size) + 1e-4 * w
-        grad[size] = d_th.sum()
-        for j in range(1, cuts):
-            grad[size + j] = d_th[j:].sum() * np.exp(p[size + j])
+        _, grad = ordinal_loss(p, row, col, y, weight, size)
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         p = p - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
