@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sealgrade.catalog.common import LEARNING
-from sealgrade.session import scratch_dir
+from sealgrade.session import scratch_dir, stage
 from sealgrade.sources import adapters as A
 from sealgrade.sources.tables import SnapshotTable, export_json
-from sealgrade.streaming import progress as PR, reviews as RV
+from sealgrade.streaming import operations as OP, progress as PR, reviews as RV
 
 _MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -47,6 +47,47 @@ def _streamed(spark, sf) -> DataFrame:
     return PR.streamed_operations(spark, path)
 
 
+#: Time runs this much faster than in the given events, so that operations end within minutes; and its beginning.
+_FASTER, _ZERO = 200, 1_704_067_200_000_000
+
+
+def _event_time_stream(spark, sf) -> str:
+    """Events in three portions, some of them again in the next one and some far too late; the path written."""
+    events = A.progress_events(spark, sf).withColumn(
+        "event_ts", F.timestamp_micros(F.lit(_ZERO) + F.floor((F.unix_micros("event_ts") - _ZERO) / _FASTER).cast("long")))
+    events = stage(events)
+    low, high = events.select(F.unix_micros("event_ts").alias("t")).approxQuantile("t", [0.33, 0.66], 0.01)
+    us = F.unix_micros("event_ts")
+    first, second, third = events.where(us < low), events.where((us >= low) & (us < high)), events.where(us >= high)
+    again = first.where(us > low - 300_000_000)
+    late = first.where((us < low - 1_300_000_000) & (F.col("seq") % 3 == 0)).withColumns({
+        "seq": F.col("seq") + 1_000_000_000, "kind": F.lit("complete")})
+    source, path, mark = (scratch_dir(spark) for _ in range(3))
+    for portion in (first, second.unionByName(again).unionByName(again), third.unionByName(late)):
+        portion.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        OP.run_operations(stream, path, mark).awaitTermination()
+    return path
+
+
+def _closed(spark, sf) -> DataFrame:
+    return _text_times(OP.read_closed(spark, _event_time_stream(spark, sf)))
+
+
+def _latest(spark, sf) -> DataFrame:
+    return _text_times(OP.read_latest(spark, _event_time_stream(spark, sf)))
+
+
+def _quarantined(spark, sf) -> DataFrame:
+    """Verdict records as files, every seventh cut off: those the stream puts aside."""
+    source, out = scratch_dir(spark), scratch_dir(spark)
+    record = F.concat(F.lit('{"document_id":"'), F.col("document_id"), F.lit('","classification":"'), F.col("classification"), F.lit('"}'))
+    cut = F.when(F.col("document_id") % 7 == 0, F.substring(record, F.lit(1), F.length(record) - 5)).otherwise(record)
+    A.classifications(spark, sf).select(cut.alias("value")).write.text(source)
+    RV.quarantine_verdicts(spark, source, out, scratch_dir(spark), one_per_file=False, glob="*.txt").awaitTermination()
+    return spark.read.parquet(out).select("content")
+
+
 def _daily_stream(spark, sf) -> DataFrame:
     reviews = A.learning_feedback(spark, sf).select(
         "document_id", "original_classification", "approved",
@@ -133,7 +174,40 @@ R AS (SELECT document_id, CASE WHEN how = 'error' THEN 'error' WHEN how = 'compl
 _TIMES = """SELECT document_id, status, strftime(started_at, '%Y-%m-%d %H:%M:%S.%f') AS started_at,
   strftime(completed_at, '%Y-%m-%d %H:%M:%S.%f') AS completed_at, error, step_count FROM R"""
 
+_TIMED = f"""E AS (SELECT user_id AS document_id, {_ZERO} + (epoch_us(ts) - {_ZERO}) // {_FASTER} AS us, event_id AS seq,
+    event_type AS message, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'complete'
+    WHEN 'error' THEN 'error' ELSE 'progress' END AS kind FROM events),
+C AS (SELECT (max(us) // 1000 - 600000) * 1000 AS clock FROM E),
+N AS (SELECT E.*, sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id
+    ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS op,
+    row_number() OVER (PARTITION BY document_id ORDER BY us, seq) AS place FROM E, C WHERE us < clock),
+S AS (SELECT document_id, op, us AS started, lead(us) OVER (PARTITION BY document_id ORDER BY us, seq) AS next
+    FROM N WHERE kind = 'start'),
+T AS (SELECT N.*, S.started, S.next, min(CASE WHEN N.kind IN ('complete', 'error') THEN N.place END)
+    OVER (PARTITION BY N.document_id, N.op) AS last
+    FROM N JOIN S ON S.document_id = N.document_id AND S.op = N.op WHERE N.us <= S.started + 300000000),
+G AS (SELECT document_id, op, started, next, count(*) FILTER (WHERE kind = 'progress'
+      AND (last IS NULL OR place < last)) AS step_count,
+    max(us) FILTER (WHERE place = last) AS ended,
+    max(kind) FILTER (WHERE place = last) AS how,
+    max(message) FILTER (WHERE place = last) AS what FROM T GROUP BY document_id, op, started, next),
+R AS (SELECT document_id, CASE WHEN how = 'complete' THEN 'completed' ELSE 'error' END AS status,
+    make_timestamp(started) AS started_at, make_timestamp(coalesce(ended, started + 300000000)) AS completed_at,
+    CASE WHEN ended IS NULL THEN 'Operation interrupted (page refresh)' WHEN how = 'error' THEN what END AS error, step_count
+  FROM G, C WHERE ended IS NOT NULL OR coalesce(next, clock) > started + 300000000
+  QUALIFY row_number() OVER (PARTITION BY document_id, started ORDER BY op) = 1)"""
+
 QUERIES = {
+    "w01_w02_closed_operations_stream": (_closed, f"WITH {_TIMED} {_TIMES}"),
+    "w03_history_stream": (
+        _latest,
+        f"WITH {_TIMED}, R1 AS (SELECT * FROM R ORDER BY completed_at DESC, started_at DESC, document_id LIMIT 50) "
+        f"{_TIMES.replace('FROM R', 'FROM R1')}"),
+    "w05_quarantined_verdicts": (
+        _quarantined,
+        f"""WITH {LEARNING}, J AS (SELECT document_id, concat('{{"document_id":"', CAST(document_id AS VARCHAR),
+          '","classification":"', classification, '"}}') AS r FROM K)
+        SELECT substring(r, 1, length(r) - 5) AS content FROM J WHERE document_id % 7 = 0"""),
     "w01_w02_operations": (lambda s, sf: _text_times(_operations(s, sf)), f"WITH {_OPERATIONS} {_TIMES}"),
     "w01_w02_operations_stream": (
         lambda s, sf: _text_times(_streamed(s, sf)), f"WITH {_OPERATIONS} {_TIMES}"),

@@ -124,7 +124,7 @@ def step_tag(message: Column) -> Column:
 
 def stream_operations(
     events: DataFrame, path: str, checkpoint: str, expire_each_batch: bool = False,
-    minutes: int = V.STALE_MINUTES,
+    minutes: int = V.STALE_MINUTES, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keep operations up to date from an event stream.
 
@@ -168,7 +168,7 @@ def stream_operations(
 
     return (
         events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 

@@ -30,34 +30,41 @@ def daily_accuracy(
 
 def ingest_verdicts(
     spark: SparkSession, source: str, bronze: str, checkpoint: str, one_per_file: bool = True,
-    trigger: dict | None = None,
+    trigger: dict | None = None, glob: str = "*.json", once_within: str | None = None,
 ) -> StreamingQuery:
     """Append new verdict files below ``source`` to a bronze table, each once.
 
     Unreadable records are left to ``quarantine_verdicts``. ``trigger`` is that of the query, all that is
-    there now by default.
+    there now by default. With ``once_within`` a record that comes again in another file within that time of
+    the first one's file is left out.
     """
-    files = _verdict_stream(spark, source, one_per_file).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    files = _verdict_stream(spark, source, one_per_file, glob).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    if once_within:
+        same = F.sha2(F.to_json(F.struct(*[c for c in files.columns if c != "source_file"])), 256)
+        files = (
+            files.withColumns({"_at": F.col("_metadata.file_modification_time"), "_same": same})
+            .withWatermark("_at", once_within).dropDuplicatesWithinWatermark(["_same"]).drop("_at", "_same")
+        )
     return _append(files, bronze, checkpoint, trigger)
 
 
 def quarantine_verdicts(
     spark: SparkSession, source: str, path: str, checkpoint: str, one_per_file: bool = True,
-    trigger: dict | None = None,
+    trigger: dict | None = None, glob: str = "*.json",
 ) -> StreamingQuery:
     """Append the records that ``ingest_verdicts`` cannot read, as ``source_file, content``, each once."""
-    files = _verdict_stream(spark, source, one_per_file)
+    files = _verdict_stream(spark, source, one_per_file, glob)
     # Spark reads the broken text only together with another column
     is_broken = F.col(_CORRUPT).isNotNull() & (F.coalesce("document_id", F.lit("")) >= "")
     broken = files.where(is_broken).select("source_file", F.col(_CORRUPT).alias("content"))
     return _append(broken, path, checkpoint, trigger)
 
 
-def _verdict_stream(spark: SparkSession, source: str, one_per_file: bool) -> DataFrame:
+def _verdict_stream(spark: SparkSession, source: str, one_per_file: bool, glob: str) -> DataFrame:
     schema = StructType([*S.VERDICT.fields, StructField(_CORRUPT, StringType())])
     return (
         spark.readStream.schema(schema).option("multiLine", one_per_file).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT).option("pathGlobFilter", "*.json").json(source)
+        .option("columnNameOfCorruptRecord", _CORRUPT).option("pathGlobFilter", glob).json(source)
         .withColumn("source_file", F.col("_metadata.file_path"))
         .where(~F.col("source_file").endswith("/learning_database.json"))
     )
@@ -71,16 +78,12 @@ def _append(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None) -
     )
 
 
-def log_reviews(feedback: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def log_reviews(feedback: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Append incoming reviews to a log, each once. ``seq`` must increase over the
     whole stream. A micro-batch costs its own size, however large the verdict
     table is: reviews meet verdicts when read (``reviewed_verdicts``) and are
     folded into the tables now and then (``merge_reviews``)."""
-    return (
-        feedback.writeStream.format("parquet").option("path", path)
-        .option("checkpointLocation", checkpoint).outputMode("append")
-        .trigger(availableNow=True).start()
-    )
+    return _append(feedback, path, checkpoint, trigger)
 
 
 def _merged_through(verdicts: SnapshotTable) -> int:

@@ -172,3 +172,13 @@ def test_broken_records_go_to_quarantine(spark, tmp_path):
         start(spark, str(src), str(tmp_path / name), str(tmp_path / f"{name}-mark"), one_per_file=False).awaitTermination()
     assert [r["document_id"] for r in spark.read.parquet(str(tmp_path / "good")).collect()] == ["1"]
     assert [r["content"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ['{"document_id": "2", "classif']
+
+
+def test_a_record_that_comes_again_is_taken_once(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    for n, text in enumerate(['{"document_id": "1", "classification": "Public"}', '{"document_id": "1", "classification": "Public"}',
+                              '{"document_id": "1", "classification": "Unsafe"}']):
+        (src / f"{n}.json").write_text(text)
+        RV.ingest_verdicts(spark, str(src), str(tmp_path / "out"), str(tmp_path / "mark"), once_within="1 day").awaitTermination()
+    assert sorted(r["classification"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["Public", "Unsafe"]
