@@ -80,7 +80,16 @@ def _deleted(spark, sf):
 def _cleared(spark, sf):
     t = _new(spark)
     t.overwrite(_flat(spark, sf))
-    return t.clear().withColumn("left", F.lit(t.read().count()))
+    uploads = A.table(spark, sf, "documents").where(F.col("doc_id") % 2 == 0)
+    return t.clear(uploads, A.learning_feedback(spark, sf)).withColumn("left", F.lit(t.read().count()))
+
+
+def _counted(spark, sf):
+    """All verdicts' number beside their table, from its history."""
+    t = _new(spark)
+    t.overwrite(_flat(spark, sf))
+    t.delete(_flat(spark, sf).where("not is_safe"))
+    return t.read().agg(F.count("*").alias("rows"), F.min("document_id").alias("first")).withColumn("count", F.lit(t.count()))
 
 
 def _compacted(spark, sf):
@@ -91,7 +100,7 @@ def _compacted(spark, sf):
 
 
 def _changes(spark, sf):
-    t = _new(spark)
+    t = SnapshotTable(spark, scratch_dir(spark), buckets=16)
     v = _flat(spark, sf)
     doc = F.col("document_id")
     t.overwrite(v.where(doc % 5 != 0))
@@ -100,6 +109,16 @@ def _changes(spark, sf):
     return t.changes(0, 1)
 
 
+def _few_changes(spark, sf):
+    """Between a table and the same with some rows deleted and its small files joined."""
+    t = SnapshotTable(spark, scratch_dir(spark), buckets=64)
+    v = _flat(spark, sf)
+    t.overwrite(v)
+    t.delete(v.where(F.col("document_id") % 101 == 0))
+    t.compact()
+    return t.changes(0, 2)
+
+
 def _merged(spark, sf):
     """Two versions with different columns in one table."""
     t = _new(spark)
@@ -112,7 +131,8 @@ def _merged(spark, sf):
 def _report(spark, sf):
     return tables.load_report({
         "classifications": _flat(spark, sf), "learning": A.learning_feedback(spark, sf),
-    }).drop("sample")
+    }, by="document_id").select(
+        "table", "rows", F.get_json_object("sample", "$.document_id").alias("id"), F.get_json_object("sample", "$.filename").alias("name"))
 
 
 def _lakehouse(spark, sf) -> Lakehouse:
@@ -202,8 +222,9 @@ QUERIES = {
     "s05_s10_time_travel": (_time_travel, f"WITH {K} {_FLAT_SQL}"),
     "s07_load_report": (
         _report,
-        f"""WITH {LEARNING} SELECT 'classifications' AS "table", count(*) AS rows FROM K
-        UNION ALL SELECT 'learning', count(*) FROM L"""),
+        f"""WITH {LEARNING} SELECT 'classifications' AS "table", count(*) AS rows,
+        CAST(min(document_id) AS VARCHAR) AS id, arg_min(filename, document_id) AS name FROM K
+        UNION ALL SELECT 'learning', count(*), CAST(min(document_id) AS VARCHAR), arg_min(filename, document_id) FROM L"""),
     "s08_compacted": (_compacted, f"WITH {K} {_FLAT_SQL}"),
     "s09_history": (
         _history,
@@ -252,7 +273,13 @@ QUERIES = {
     "s19_all_verdicts": (_flat, f"WITH {K} {_FLAT_SQL}"),
     "s20_deleted": (_deleted, f"WITH {K} {_FLAT_SQL} WHERE is_safe"),
     "s21_cleared": (
-        _cleared, 'SELECT count(*) AS deleted_results, 0 AS "left" FROM documents'),
+        _cleared,
+        """SELECT count(*) AS deleted_results, count(*) FILTER (WHERE doc_id % 2 = 0) AS deleted_uploads,
+        (SELECT count(*) FROM labels l JOIN documents d ON l.doc_id = d.doc_id) AS feedback_preserved, 0 AS "left" FROM documents"""),
+    "s19_verdict_count": (
+        _counted,
+        f"""WITH {K} SELECT count(*) AS rows, min(document_id) AS first, count(*) AS count FROM K WHERE is_safe"""),
+    "c06_changes_after_deletes": (_few_changes, f"WITH {K} SELECT document_id, 'delete' AS change FROM K WHERE document_id % 101 = 0"),
     "c06_changes": (
         _changes,
         f"""WITH {K}, O AS (SELECT document_id, confidence FROM K WHERE document_id % 5 <> 0),
