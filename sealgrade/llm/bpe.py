@@ -25,7 +25,7 @@ from sealgrade.llm.common import small_batches, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Entries a worker remembers of chunks, words and fragments; then the memory is cleared.
-MEMORY = 400_000
+MEMORY = 300_000
 #: Symbols up to which a fragment's pairs are searched; no rank is as high as NONE.
 SHORT, NONE = 64, 1 << 60
 #: Fixed value: how the vocabulary's files split words.

@@ -29,6 +29,8 @@ from sealgrade.llm.common import (
 )
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
+#: Words a worker remembers the hashes of; fewer than elsewhere, as paths and sets need memory beside them.
+REMEMBERED = 250_000
 #: Levels of splitting, size up to which a bucket is not split, and the splitting rate.
 DEPTH, LIMIT, SPLIT = 3, 4_096, 0.65
 #: Bins of a sketch; rows and tokens of a block.
@@ -78,7 +80,7 @@ def _scan(k: int, runs: int):
     names = ["d", "k", "doc_id", "q1", "q2", "n", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Words()
+        seen = Words(REMEMBERED)
         for b in batches:
             q1, q2, size, sk = [], [], [], []
             levels: list[list[np.ndarray]] = [[] for _ in range(2 * DEPTH)]
@@ -187,7 +189,7 @@ def _candidates(threshold: float):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Words()
+        seen = Words(REMEMBERED)
         for b in batches:
             sets = [shingle_set(t, seen, k).view(np.int64) for t in b.column("text").to_pylist()]
             offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
