@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sealgrade import schemas as S
-from sealgrade.catalog.common import K, LEARNING, SEGMENTS
+from sealgrade.catalog.common import K, LEARNING, NORMALIZED, SEGMENTS
 from sealgrade.operators import verdicts as M
 from sealgrade.plans.medallion import Lakehouse
-from sealgrade.session import scratch_dir
+from sealgrade.session import scratch_dir, stage
 from sealgrade.sources import adapters as A, files, tables
 from sealgrade.sources.tables import SnapshotTable
 
@@ -142,14 +142,44 @@ def _lakehouse(spark, sf) -> Lakehouse:
 
 
 def _silver(spark, sf, table):
-    house = _lakehouse(spark, sf)
-    house.silver()
+    house = Lakehouse(spark, scratch_dir(spark))
+    house.bronze(A.verdicts(spark, sf).drop("full_text"))
+    house.silver([table])
     return house.table("silver", table).read()
 
 
+def _followed(spark, sf, table):
+    """A gold table brought up to date after documents came, went and were corrected."""
+    house = Lakehouse(spark, scratch_dir(spark), buckets=4)
+    doc = F.col("document_id")
+    if table == "learning_effectiveness":
+        l = stage(A.learning_feedback(spark, sf).select("document_id", "original_classification", "corrected_classification"))
+        for batch in (l.where(doc % 3 > 0), l, l.where(doc % 4 != 0)):
+            house.bronze(learning=batch)
+            house.refresh_gold([table])
+        return house.table("gold", table).read()
+    v = stage(A.classifications(spark, sf).select(
+        "document_id", "classification", "confidence", "requires_review", F.struct("is_safe").alias("safety_check")))
+    house.bronze(v.where(doc % 5 != 4))
+    house.refresh_gold([table])
+    house.table("bronze", "classifications").delete(v.where(doc % 13 == 0))
+    house.refresh_gold([table])
+    house.bronze(v.where(doc % 13 != 0).withColumns({
+        "classification": F.when(doc % 10 == 0, "Unsafe").otherwise(F.col("classification")),
+        "confidence": F.when(doc % 17 == 0, 0.985).when(doc % 19 == 0, F.lit(None)).otherwise(F.col("confidence"))}))
+    house.refresh_gold([table])
+    return house.table("gold", table).read()
+
+
+_FINAL = f"""{LEARNING}, V AS (SELECT document_id, requires_review, is_safe,
+    CASE WHEN document_id % 10 = 0 THEN 'Unsafe' ELSE classification END AS classification,
+    CASE WHEN document_id % 17 = 0 THEN 0.985 WHEN document_id % 19 = 0 THEN NULL ELSE confidence END AS confidence
+  FROM K WHERE document_id % 13 <> 0)"""
+
+
 def _gold(spark, sf, table):
     house = _lakehouse(spark, sf)
-    house.gold()
+    house.gold([table])
     return house.table("gold", table).read()
 
 
@@ -206,6 +236,17 @@ _EVIDENCE = f"""WITH {SEGMENTS} SELECT document_id, i AS pos, i + 1 AS page,
         CASE WHEN (document_id + i) % 3 = 0 THEN 'Confidential' ELSE 'Public' END AS sensitivity_level
         FROM SEG"""
 
+_LEVEL = """CASE WHEN confidence >= 0.98 THEN 'Very High' WHEN confidence >= 0.90 THEN 'High'
+        WHEN confidence >= 0.80 THEN 'Medium' ELSE 'Low' END"""
+
+_KPIS = """, O AS (SELECT CAST(count(*) AS DOUBLE) AS total_documents, avg(confidence) AS avg_confidence,
+    count(*) FILTER (WHERE confidence >= 0.98) / count(*) AS high_confidence_rate,
+    count(*) FILTER (WHERE requires_review) / count(*) AS review_rate FROM V)
+SELECT 'total_documents' AS metric, total_documents AS value FROM O
+UNION ALL SELECT 'avg_confidence', round(avg_confidence, 6) FROM O
+UNION ALL SELECT 'high_confidence_rate', round(high_confidence_rate, 6) FROM O
+UNION ALL SELECT 'review_rate', round(review_rate, 6) FROM O"""
+
 QUERIES = {
     "s01_verdict_files": (
         _json_round_trip,
@@ -246,6 +287,30 @@ QUERIES = {
         round(avg(confidence), 4) AS avg_confidence,
         count(*) FILTER (WHERE requires_review) AS review_needed,
         count(*) FILTER (WHERE NOT is_safe) AS unsafe_count FROM K GROUP BY classification"""),
+    "s13_gold_levels": (
+        lambda s, sf: _gold(s, sf, "confidence_analysis"),
+        f"""WITH {K} SELECT classification, {_LEVEL} AS confidence_level, count(*) AS count FROM K GROUP BY ALL"""),
+    "s13_gold_corrections": (
+        lambda s, sf: _gold(s, sf, "learning_effectiveness"),
+        f"""WITH {LEARNING} SELECT original_classification, corrected_classification, count(*) AS correction_count
+        FROM L GROUP BY ALL"""),
+    "s13_gold_kpis": (
+        lambda s, sf: _gold(s, sf, "kpis").select("metric", F.round("value", 6).alias("value")),
+        f"WITH {K}, V AS (SELECT * FROM K) {_KPIS}"),
+    "c08_gold_misclassifications": (
+        lambda s, sf: _gold(s, sf, "misclassifications").select("original_classification", "human_classification", "count"),
+        f"""WITH {NORMALIZED} SELECT original_classification, human_classification, count(*) AS count FROM X GROUP BY ALL"""),
+    "s13_gold_from_changes": (
+        lambda s, sf: _followed(s, sf, "classification_distribution"),
+        f"""WITH {_FINAL} SELECT classification, count(*) AS total_documents, round(avg(confidence), 4) AS avg_confidence,
+        count(*) FILTER (WHERE requires_review) AS review_needed,
+        count(*) FILTER (WHERE NOT is_safe) AS unsafe_count FROM V GROUP BY classification"""),
+    "a08_corrections_from_changes": (
+        lambda s, sf: _followed(s, sf, "learning_effectiveness"),
+        f"""WITH {_FINAL} SELECT original_classification, corrected_classification, count(*) AS correction_count
+        FROM L WHERE document_id % 4 <> 0 GROUP BY ALL"""),
+    "a12_kpis_from_changes": (
+        lambda s, sf: _followed(s, sf, "kpis").select("metric", F.round("value", 6).alias("value")), f"WITH {_FINAL} {_KPIS}"),
     "s14_sql_views": (
         _sql,
         f"""WITH {K} SELECT classification, count(*) AS total_docs,

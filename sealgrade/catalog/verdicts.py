@@ -225,14 +225,14 @@ _QUICK = f"""WITH {K} SELECT document_id, 'Unsafe' AS classification, 0.95::DOUB
   'Quick safety check flagged: ' || CASE WHEN document_id % 2 = 0 THEN 'hacking|crime' ELSE 'None' END AS review_reason,
   CASE WHEN document_id % 2 = 0 THEN 'Cyber Threat,Criminal Activity' ELSE 'Violence' END AS flags,
   'Quick preliminary scan detected ' || CASE WHEN document_id % 2 = 0 THEN 'hacking|crime' ELSE 'unsafe content' END
-    || '. line 1' AS details, least(length(full_text), 1000) AS kept FROM K WHERE NOT is_safe"""
+    || '. line 1' AS details, length(full_text) AS kept FROM K WHERE NOT is_safe"""
 
 
 def _parsed_children(spark, sf):
     """Segment, image, context and keyword answers built from each document."""
     c = A.classifications(spark, sf)
     doc, text = F.col("document_id"), F.col("full_text")
-    piece = F.regexp_replace(F.substring(text, 1, 40), r"[^A-Za-z ]", "")
+    piece = F.regexp_replace(text, r"[^A-Za-z ]", "")
     built = c.select(
         "document_id", "full_text",
         F.concat(

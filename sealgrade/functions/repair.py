@@ -325,17 +325,18 @@ def usable_segments(located: Column) -> Column:
     return F.when(valid, located).otherwise(F.array().cast(ArrayType(S.SEGMENT)))
 
 
-def parse_images(responses: Column, limit: int | None = None) -> Column:
-    """Image analyses from one response per image, of the first ``limit`` images if given.
+def parse_images(responses: Column, limit: int | None = None, numbered: bool = False) -> Column:
+    """Image analyses from one response per image, of the first ``limit`` images if given. Where responses are
+    ``numbered``, they are structs of ``item`` and ``response_text``, else an image's number is its place.
 
     A null response (call failed) or one without an object gives nothing; an
     unreadable object gives the fallback: Public, 0.5.
     """
 
     def read(response: Column, i: Column) -> Column:
-        json = json_object_text(response)
+        json = json_object_text(response["response_text"] if numbered else response)
         return F.struct(
-            i.alias("i"), json.isNotNull().alias("any"), parse_object(json, S.RAW_IMAGE).alias("raw")
+            (response["item"].cast("int") if numbered else i).alias("i"), json.isNotNull().alias("any"), parse_object(json, S.RAW_IMAGE).alias("raw")
         )
 
     def fill(item: Column) -> Column:

@@ -169,9 +169,9 @@ def combine_pages(pages: Column) -> Column:
 _BLOCK = "array<struct<type:string,text:string>>"
 
 
-def content_blocks(pages: Column, image_count: Column, max_images: int = V.MAX_IMAGES) -> Column:
-    """The block list handed to a scorer: one text block, at most ``max_images``
-    image blocks, and a note when more images exist. Image bytes stay where they
+def content_blocks(pages: Column, image_count: Column, max_images: int | None = None) -> Column:
+    """The block list handed to a scorer: one text block and a block for each image; with ``max_images``
+    at most so many, and a note when more images exist. Image bytes stay where they
     are; an image block carries its index as text."""
     text = F.when(
         F.size(pages) > 0,
@@ -180,7 +180,7 @@ def content_blocks(pages: Column, image_count: Column, max_images: int = V.MAX_I
             F.concat(F.lit(V.TEXT_BLOCK_HEAD), combine_pages(pages)).alias("text"),
         )),
     ).otherwise(F.array())
-    shown = F.least(image_count, F.lit(max_images))
+    shown = image_count if max_images is None else F.least(image_count, F.lit(max_images))
     images = F.when(
         shown > 0,
         F.transform(
@@ -188,6 +188,8 @@ def content_blocks(pages: Column, image_count: Column, max_images: int = V.MAX_I
             lambda i: F.struct(F.lit("image").alias("type"), i.cast("string").alias("text")),
         ),
     ).otherwise(F.array())
+    if max_images is None:
+        return F.concat(text.cast(_BLOCK), images.cast(_BLOCK))
     note = F.when(
         image_count > max_images,
         F.array(F.struct(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, StructType
 
 from sealgrade import schemas as S, vocab as V
 from sealgrade.functions import repair as R, text as T
@@ -22,10 +22,10 @@ ROLES = (
 
 
 def responses_by_role(responses: DataFrame, roles: Sequence[str] = ROLES, images: bool = True) -> DataFrame:
-    """One row per document with a column per role and an ``images`` array.
+    """One row per document with a column per role and ``images``, its image answers with their items.
 
     Plain conditional aggregation: one shuffle, combined before it. Only a document's own
-    image answers are gathered, in the order of their items; a missing one stays null in its place.
+    image answers are gathered, one an item, in the order of the items; a missing one takes no place.
     """
     columns = [F.max(F.when(F.col("role") == r, F.col("response_text"))).alias(r) for r in roles]
     if images:
@@ -34,11 +34,11 @@ def responses_by_role(responses: DataFrame, roles: Sequence[str] = ROLES, images
     out = responses.groupBy("document_id").agg(*columns)
     if not images:
         return out
-    answers = F.col("_images")
-    last = F.array_max(F.transform(answers, lambda x: x["item"]))
-    of = lambda i: F.array_max(F.transform(F.filter(answers, lambda x: x["item"] == i), lambda x: x["response_text"]))
-    slots = F.when(F.size(answers) > 0, F.transform(F.sequence(F.lit(0), last.cast("int")), of))
-    return out.withColumn("images", F.coalesce(slots, F.array().cast("array<string>"))).drop("_images")
+    # an item that was answered twice keeps the last of its texts
+    answers = out.withColumn("_images", F.array_sort("_images"))
+    later = F.col("_images")
+    last = F.filter(later, lambda x, i: (i + 1 == F.size(later)) | (F.get(later, i + 1)["item"] != x["item"]))
+    return answers.withColumn("images", last).drop("_images")
 
 
 def read_verdicts(
@@ -136,10 +136,10 @@ def with_quick_safety(df: DataFrame, response: str = "quick_safety") -> DataFram
 
 def quick_exit_verdict(
     df: DataFrame, quick: str = "quick", full_text: str = "full_text",
-    text_chars: int | None = 1000, quote_chars: int | None = 100,
+    text_chars: int | None = None, quote_chars: int | None = None,
 ) -> DataFrame:
     """Verdict columns of documents the pre-scan found unsafe. ``text_chars`` and
-    ``quote_chars`` bound the text and the quote; None keeps them whole."""
+    ``quote_chars`` bound the text and the quote where a caller wants that."""
     q = F.col(quick)
 
     def head(text, chars: int | None):
@@ -200,7 +200,10 @@ def with_segments(df: DataFrame, response: str = "segments", full_text: str = "f
 
 
 def with_images(df: DataFrame, responses: str = "images") -> DataFrame:
-    return df.withColumn("image_analyses", R.parse_images(F.col(responses)))
+    """Add ``image_analyses`` from texts in the order of the images, or from ``item, response_text`` as
+    ``responses_by_role`` gives them."""
+    numbered = isinstance(df.schema[responses].dataType.elementType, StructType)
+    return df.withColumn("image_analyses", R.parse_images(F.col(responses), numbered=numbered))
 
 
 def with_context(df: DataFrame, response: str = "context") -> DataFrame:

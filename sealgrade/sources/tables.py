@@ -81,6 +81,10 @@ class SnapshotTable:
         """The table as written by ``version``."""
         return self._rows(self._entry(version)).drop(_BUCKET)
 
+    def rows_of(self, version: int, buckets: Sequence[int] | None = None) -> DataFrame:
+        """Rows of a version, of some buckets only if these are given."""
+        return self._rows(self._entry(version), buckets).drop(_BUCKET)
+
     def all_versions(self) -> DataFrame:
         """All committed versions in one table with merged schemas and their version ``v``."""
         versions = [r["version"] for r in self._log().select("version").distinct().collect()]
@@ -249,7 +253,7 @@ class SnapshotTable:
     def changes(self, old: int, new: int, key: str | None = None) -> DataFrame:
         """Rows that differ between two versions: inserted, deleted or updated. Buckets that agree are not read."""
         some = self.differing(old, new)
-        before, after = (self._rows(self._entry(v), some).drop(_BUCKET) for v in (old, new))
+        before, after = (self.rows_of(v, some) for v in (old, new))
         return diff(before, after, key or self.key)
 
 

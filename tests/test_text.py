@@ -100,7 +100,9 @@ def test_line_pages(spark, rows):
 def test_combined_text_and_preview(spark, rows):
     df = rows([(1, ["a", "b"], 25)], "document_id int, pages array<string>, image_count int")
     assert P.combined_text(df).first()["combined_text"] == "Page 1:\na\n\n--- Page Break ---\n\nPage 2:\nb"
-    blocks = df.select(T.content_blocks(F.col("pages"), F.col("image_count")).alias("b")).first()["b"]
+    every = df.select(T.content_blocks(F.col("pages"), F.col("image_count")).alias("b")).first()["b"]
+    assert [b["type"] for b in every] == ["text"] + ["image"] * 25
+    blocks = df.select(T.content_blocks(F.col("pages"), F.col("image_count"), max_images=20).alias("b")).first()["b"]
     assert [b["type"] for b in blocks] == ["text"] + ["image"] * 20 + ["text"]
     assert "25 images, but only the first 20" in blocks[-1]["text"]
     assert P.with_preview(df).first()["preview"].startswith("Document Text Content:\n\nPage 1:\na")

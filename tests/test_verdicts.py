@@ -179,7 +179,7 @@ def test_quick_exit_and_children(rows):
               "document_id int, quick_safety string, full_text string")
     out = M.quick_exit_verdict(M.with_quick_safety(df)).collect()
     assert [r["document_id"] for r in out] == [1]
-    assert out[0]["safety_check"]["flags"] == ["Violence"] and len(out[0]["full_text"]) == 1000
+    assert out[0]["safety_check"]["flags"] == ["Violence"] and len(out[0]["full_text"]) == 2000
     assert out[0]["confidence"] == 0.95 and out[0]["requires_review"]
 
 
@@ -258,10 +258,19 @@ def test_no_segment_image_or_score_is_cut_off(rows):
 def test_images_keep_their_places(rows):
     data = [("d", "images", i, f"a{i}") for i in range(14) if i != 3] + [("d", "primary", None, "p"), ("e", "primary", None, "q")]
     got = {r.document_id: r for r in M.responses_by_role(rows(data, "document_id string, role string, item int, response_text string")).collect()}
-    assert got["d"].images == [f"a{i}" if i != 3 else None for i in range(14)] and got["d"].primary == "p"
+    assert [tuple(x) for x in got["d"].images] == [(i, f"a{i}") for i in range(14) if i != 3] and got["d"].primary == "p"
     assert got["e"].images == []
 
 
+def test_image_numbers_cost_nothing(rows):
+    """An answer's number may be anything; of two answers to one image the last text counts."""
+    answer = '{"classification": "Confidential", "confidence": 0.9}'
+    data = [("d", "images", 300_000_000, answer), ("d", "images", 7, "a"), ("d", "images", 7, answer), ("d", "images", -1, answer), ("d", "images", 2, None)]
+    wide = M.responses_by_role(rows(data, "document_id string, role string, item int, response_text string"))
+    got = M.with_images(wide).first().image_analyses
+    assert [(x.image_index, x.page, x.classification) for x in got] == [(7, 8, "Confidential"), (300_000_000, 300_000_001, "Confidential")]
+
+
 @pytest.mark.parametrize("change, status", [
     ({"classification": "Secret"}, "Invalid classification"), ({"confidence": None}, "Invalid confidence"),
     ({"confidence": 7.5}, "Invalid confidence"), ({"confidence": "high"}, "Invalid confidence"), ({"safety_assessment": None}, "Invalid safety assessment"),
