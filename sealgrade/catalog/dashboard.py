@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sealgrade.catalog.common import K, LEARNING, SEGMENTS
+from sealgrade.catalog.common import K, LEARNING, SEGMENTS, all_words
 from sealgrade.operators import dashboard as D, mining as M, verdicts as VD
 from sealgrade.session import stage
 from sealgrade.sources import adapters as A
@@ -202,19 +202,29 @@ QUERIES = {
         round(avg(CASE WHEN approved THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
         count(*) AS total_reviews FROM L GROUP BY ALL"""),
     "a32_count_features": (
-        lambda s, sf: M.count_features(A.verdicts(s, sf)).drop("keyword_count"),
-        f"""WITH {K} SELECT document_id, classification, confidence, segment_count, page_count FROM K"""),
+        lambda s, sf: M.count_features(A.verdicts(s, sf)),
+        f"""WITH {K} SELECT document_id, classification, confidence, len({all_words('full_text')}) AS keyword_count,
+        segment_count, page_count FROM K"""),
     "j01_misclassified_features": (
         lambda s, sf: M.join_corrections(
-            _first_pages(s, sf), M.corrected(A.learning_feedback(s, sf))).drop("feedback_notes"),
+            _features(s, sf), M.corrected(A.learning_feedback(s, sf))),
         f"""WITH {_A01.replace(K, LEARNING)} SELECT A01.*, L.original_classification,
-        L.corrected_classification FROM A01 JOIN L USING (document_id) WHERE NOT approved"""),
+        L.corrected_classification, coalesce(L.feedback_notes, 'No notes') AS feedback_notes FROM A01 JOIN L USING (document_id) WHERE NOT approved"""),
     "j01_all_features": (
         lambda s, sf: M.join_corrections(
-            _first_pages(s, sf), M.corrected(A.learning_feedback(s, sf)), only_corrected=False
-        ).drop("feedback_notes", "original_classification"),
-        f"""WITH {_A01.replace(K, LEARNING)} SELECT A01.*, x.corrected_classification
+            _features(s, sf), M.corrected(A.learning_feedback(s, sf)), only_corrected=False
+        ),
+        f"""WITH {_A01.replace(K, LEARNING)} SELECT A01.*, x.original_classification, x.corrected_classification,
+        x.feedback_notes
         FROM A01 LEFT JOIN (SELECT * FROM L WHERE NOT approved) x USING (document_id)"""),
+    "k01_k02_scaled_features": (
+        lambda s, sf: _rounded(M.scaled_features(M.with_review_flag(_features(s, sf))), *M.CLUSTER_COLUMNS),
+        f"""WITH {_A01}, F AS (SELECT document_id, confidence::DOUBLE AS confidence, segment_count::DOUBLE AS segment_count,
+          evidence_count::DOUBLE AS evidence_count, has_additional_labels::DOUBLE AS has_additional_labels,
+          is_unsafe::DOUBLE AS is_unsafe, CASE WHEN requires_review THEN 1.0 ELSE 0.0 END::DOUBLE AS requires_review_int FROM A01
+          WHERE confidence IS NOT NULL)
+        SELECT document_id, """ + ", ".join(
+            f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}" for c in M.CLUSTER_COLUMNS) + " FROM F"),
     "k01_cluster_assignments": (
         lambda s, sf: _clustered(s, sf).select(
             "document_id", "classification", "confidence", "segment_count", "cluster"), None),

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sealgrade import schemas as S
-from sealgrade.catalog.common import K, LEARNING, NORMALIZED, SEGMENTS
+from sealgrade.catalog.common import K, LEARNING, NORMALIZED, SEGMENTS, all_words
 from sealgrade.operators import verdicts as M
 from sealgrade.plans.medallion import Lakehouse
 from sealgrade.session import scratch_dir, stage
@@ -44,6 +44,29 @@ def _archive(spark, sf):
         "document_id", "reviewer_id", "approved", "corrected_classification", "timestamp")
 
 
+def _learning_lines(spark, sf):
+    path = scratch_dir(spark)
+    entries = A.learning_feedback(spark, sf).withColumn("document_id", F.col("document_id").cast("string"))
+    files.write_learning(entries.select("seq", *[c for c in S.FEEDBACK.names if c in entries.columns]), path)
+    return files.read_learning(spark, path, one_per_file=False).select(
+        "document_id", "seq", "approved", "corrected_classification", "feedback_notes", F.size("key_indicators").alias("n"))
+
+
+def _sampled(spark, sf):
+    """Verdicts of a source without any, with its stand-in."""
+    none = A.classifications(spark, sf).where("document_id < 0").select("document_id", "filename", "classification", "confidence")
+    none = none.withColumn("document_id", F.col("document_id").cast("string"))
+    return files.or_sample(none, enabled=True).select("document_id", "filename", "classification", "confidence")
+
+
+def _manifest(spark, sf):
+    """Documents of each source in files of a folder; the manifest's sizes by folder."""
+    path = scratch_dir(spark)
+    A.table(spark, sf, "documents").select("source", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source").text(path)
+    listed = files.upload_manifest(spark, path).withColumn("source", F.regexp_extract("path", "source=([^/]+)/", 1))
+    return listed.groupBy("source").agg(F.sum("file_size").alias("bytes"), F.max(F.col("filename").endswith(".txt")).alias("named"))
+
+
 def _valid(spark, sf):
     """Every third summary is blank and every seventh missing."""
     d = F.col("document_id")
@@ -252,6 +275,18 @@ QUERIES = {
         _json_round_trip,
         f"""WITH {K} SELECT CAST(document_id AS VARCHAR) AS document_id, classification, confidence,
         is_safe, segment_count AS segments, segment_count AS evidence FROM K"""),
+    "s02_learning_entries": (
+        _learning_lines,
+        f"""WITH {LEARNING} SELECT CAST(document_id AS VARCHAR) AS document_id, seq, approved, corrected_classification,
+        feedback_notes, len({all_words('feedback_notes')}) AS n FROM L"""),
+    "s06_sample_of_an_empty_source": (
+        _sampled,
+        """SELECT 'sample_001' AS document_id, 'sample_document.pdf' AS filename, 'Public' AS classification, 0.95::DOUBLE AS confidence
+        WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id < 0)"""),
+    "s15_upload_manifest": (
+        _manifest,
+        """SELECT source, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes, true AS named
+        FROM documents GROUP BY source"""),
     "s03_feedback_archive": (
         _archive,
         f"""WITH {LEARNING} SELECT CAST(document_id AS VARCHAR) AS document_id, reviewer_id, approved,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sealgrade import vocab as V
@@ -84,6 +85,14 @@ def cluster_pipeline(
     ])
 
 
+def scaled_features(features: DataFrame, columns: Sequence[str] = CLUSTER_COLUMNS) -> DataFrame:
+    """What k-means sees: rows without missing values, each column less its mean and over its deviation."""
+    steps = cluster_pipeline(columns).getStages()[:2]
+    scaled = Pipeline(stages=steps).fit(features).transform(features)
+    values = vector_to_array("features")
+    return scaled.select("document_id", *[values[i].alias(c) for i, c in enumerate(columns)])
+
+
 def cluster(
     features: DataFrame, columns: Sequence[str] = CLUSTER_COLUMNS, k: int = V.CLUSTERS, **options
 ) -> tuple[PipelineModel | None, DataFrame]:

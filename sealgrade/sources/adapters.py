@@ -9,24 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sealgrade import vocab as V
 from sealgrade.functions.detect import has_pii, pii_test
 
-# number of partitions to spread documents over when a file has fewer row groups
-# than there are cores; unset, rows stay where the scan puts them
-SPREAD = "sealgrade.input.partitions"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    n = spark.conf.get(SPREAD, None)
-    return d.repartition(int(n), "doc_id") if n else d
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``document_id, filename, text, lang, source, file_size, image_count``."""
-    d = _documents(spark, sf_dir)
+    d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("document_id"), _filename().alias("filename"), "text", "lang",
         "source", F.col("n_chars").alias("file_size"),
@@ -49,7 +39,7 @@ def distinct_words(text: Column) -> Column:
 def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flat verdict per document, by rules over its text and labels."""
     l = table(spark, sf_dir, "labels")
-    d = _documents(spark, sf_dir).join(l, "doc_id", "left")
+    d = table(spark, sf_dir, "documents").join(l, "doc_id", "left")
     text, doc = F.col("text"), F.col("doc_id")
     sensitive = has_pii(text, {n: V.PII_PATTERNS[n] for n in ("credit_card", "email")})
     score = (doc * 37) % 40

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sealgrade import schemas as S, vocab as V
 
@@ -80,14 +80,26 @@ def or_sample(df: DataFrame, enabled: bool = False) -> DataFrame:
     return df
 
 
-def read_learning(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a learning database with ``seq``, their place in it."""
+def read_learning(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Entries of a learning database with ``seq``, their place in it.
+
+    The database in one file is one record, read by one task; ``one_per_file=False`` reads a folder of JSON
+    lines, an entry each with its ``seq``, the form to keep many entries in (``write_learning``).
+    """
+    if not one_per_file:
+        schema = StructType([StructField("seq", LongType()), *S.FEEDBACK.fields])
+        return spark.read.schema(schema).json(path)
     df = spark.read.schema(S.LEARNING_DATABASE).option("multiLine", True).json(path)
     return df.select(F.posexplode("learning_entries").alias("seq", "e")).select(
         F.col("seq").cast("bigint").alias("seq"), "e.*"
     )
 
 
+def write_learning(entries: DataFrame, path: str) -> None:
+    """Entries as JSON lines; nulls stand there too, so that every entry has all its fields."""
+    entries.write.option("ignoreNullFields", False).json(path)
+
+
 def learning_info(spark: SparkSession, path: str) -> DataFrame:
     """The database's own fields, without its entries."""
     df = spark.read.schema(S.LEARNING_DATABASE).option("multiLine", True).json(path)
