@@ -2,13 +2,15 @@
 
 Documents are dealt to shards by ranges of their id and sorted, so shard after shard the ids are in
 order. A shard is a run of blocks; a block holds the ids of whole documents as little-endian
-unsigned 32-bit integers, their ends as an Elias-Fano sequence, and the place of its first id. The
-sequence takes about ``2 + log2(ids / documents)`` bits a document; a directory of every 64th one bit finds the
-i-th end without a table of offsets. Shards' first ids are sums over the shards before.
+unsigned 32-bit integers, their ends and the ascending document ids as Elias-Fano sequences, and the place
+of its first id. The ends take about ``2 + log2(ids / documents)`` bits a document; a directory of every 64th
+one bit finds the i-th end or document id (select) without a table of 64-bit numbers: that is how files are
+read. Shards' first ids are sums over the shards before.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 from collections.abc import Iterator
@@ -28,6 +30,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
 #: Ids after which a block is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 20
+#: Text bytes of a shard, unless their number is given.
+SHARD_BYTES = 32_000_000
 #: Chunks a worker remembers; the first that fit stay.
 MEMORY = 600_000
 #: New chunks that the library is given in one line.
@@ -153,8 +157,10 @@ def _encoder(path: str) -> ChunkEncoder:
 
 # ---- files --------------------------------------------------------------------------------
 
-FORMAT = ("shard int, block int, start_in_shard long, n_ids long, doc_ids array<long>, ids binary, "
-          "width int, low binary, high binary, directory binary")
+#: Null document ids come first in a block; the others are stored less the smallest of them.
+FORMAT = ("shard int, block int, start_in_shard long, n_ids long, n_docs long, ids binary, "
+          "width int, low binary, high binary, directory binary, n_nulls long, least long, "
+          "doc_width int, doc_low binary, doc_high binary, doc_directory binary")
 
 
 def _write(path: str, end: int, block_ids: int):
@@ -168,8 +174,14 @@ def _write(path: str, end: int, block_ids: int):
         def close() -> pa.RecordBatch:
             ends = np.cumsum([len(p) // 4 for p in parts])
             ef = EliasFano.encode(ends, int(ends[-1]))
-            row = [shard, block, start, int(ends[-1]), doc_ids, b"".join(parts), ef.width, ef.low, ef.high, ef.directory.tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), *[pa.binary()] * 3]
+            known = [i for i in doc_ids if i is not None]
+            least = known[0] if known else 0
+            # differences of 64-bit numbers may need all 64 bits
+            docs = EliasFano.encode(np.array([i - least for i in known], np.uint64), known[-1] - least if known else 0)
+            row = [shard, block, start, int(ends[-1]), len(doc_ids), b"".join(parts), ef.width, ef.low, ef.high, ef.directory.tobytes(),
+                   len(doc_ids) - len(known), least, docs.width, docs.low, docs.high, docs.directory.tobytes()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), *[pa.binary()] * 3,
+                     pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
 
         mark = np.asarray([end], "<u4").tobytes()
@@ -202,22 +214,44 @@ def write_token_files(
     spark = documents.sparkSession
     small_batches(spark, 200)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SHARD_BYTES) or 1
     (
         rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
         .mapInArrow(_write(vocabulary, end, block_ids), FORMAT).write.parquet(path)
     )
 
 
+class Block:
+    """A block as it lies in a file: any document's id, place and ids without reading the others."""
+
+    def __init__(self, row: dict):
+        self.n, self.nulls, self.least, self._ids = row["n_docs"], row["n_nulls"], row["least"], row["ids"]
+        self.ends = EliasFano(self.n, row["width"], row["low"], row["high"], row["directory"])
+        self.docs = EliasFano(self.n - self.nulls, row["doc_width"], row["doc_low"], row["doc_high"], row["doc_directory"])
+
+    def end(self, i: int) -> int:
+        return self.ends[i]
+
+    def start(self, i: int) -> int:
+        return self.ends[i - 1] if i else 0
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nulls else self.least + self.docs[i - self.nulls]
+
+    def ids(self, i: int) -> bytes:
+        """The document's ids as little-endian unsigned 32-bit integers."""
+        return self._ids[4 * self.start(i) : 4 * self.end(i)]
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for row in b.to_pylist():
-            ef = EliasFano(len(row["doc_ids"]), row["width"], row["low"], row["high"], row["directory"])
-            ends = ef.all()
+            block = Block(row)
+            ends = np.array([block.end(i) for i in range(block.n)], np.int64)
             starts = np.r_[0, ends[:-1]]
-            own = [row["ids"][4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+            own = [block.ids(i) for i in range(block.n)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["first_id"], pa.int64()),
+                [pa.array([block.doc_id(i) for i in range(block.n)], pa.int64()), pa.array(starts + row["first_id"], pa.int64()),
                  pa.array(ends - starts, pa.int64()), pa.array(own, pa.binary())],
                 names=["doc_id", "start", "n_tokens", "ids"],
             )
@@ -232,7 +266,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     blocks = files.join(F.broadcast(shards.select("shard", "before")), "shard")
     return blocks.select(
-        (F.col("before") + F.col("start_in_shard")).alias("first_id"), "doc_ids", "ids", "width", "low", "high", "directory"
+        (F.col("before") + F.col("start_in_shard")).alias("first_id"), "n_docs", "ids", "width", "low", "high", "directory",
+        "n_nulls", "least", "doc_width", "doc_low", "doc_high", "doc_directory",
     ).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
 
 
