@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealgrade.llm.common import small_batches, table
+from sealgrade.llm.common import small_batches, table, trimmed
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Entries a worker remembers of chunks, words and fragments; then the memory is cleared.
-MEMORY = 300_000
+MEMORY = 150_000
 #: Symbols up to which a fragment's pairs are searched; no rank is as high as NONE.
 SHORT, NONE = 64, 1 << 60
 #: Fixed value: how the vocabulary's files split words.
@@ -194,7 +194,7 @@ def encode_documents(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return rows.mapInArrow(trimmed(run), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

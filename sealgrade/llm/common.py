@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 from collections.abc import Callable, Iterator
@@ -28,6 +30,22 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trimmed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``fn`` for ``mapInArrow``, after which the worker gives memory it no longer uses back to the machine.
+
+    Workers live on from stage to stage; what one stage had would else count for the next ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        # only the GNU library has it
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Scratch:
     """Written intermediate tables in the shared folder, dropped when they are of no more use."""
 
@@ -171,7 +189,7 @@ def by_sorted_groups(
         if rest is not None and rest.num_rows:
             yield from fn(rest.combine_chunks(), np.zeros(1, np.int64))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), schema)
 
 
 def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealgrade.llm.common import Scratch, small_batches, table
+from sealgrade.llm.common import Scratch, small_batches, table, trimmed
 
 WORD = re.compile(r"\w+")
 STRIDE = 64
@@ -314,7 +314,7 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float =
                 keep[[f[0] for f in verified(shared.value, b.column("text").to_pylist(), threshold)]] = False
                 yield b.filter(pa.array(keep))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = documents.mapInArrow(trimmed(run), documents.schema)
     return documents
 
 

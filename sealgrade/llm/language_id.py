@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealgrade.llm.common import small_batches, table
+from sealgrade.llm.common import small_batches, table, trimmed
 
 BITS, DIMENSIONS, GRAMS = 15, 16, (2, 3, 4)
 #: Labelled rows used for each language and in all; the bound of the training sample.
@@ -197,9 +197,9 @@ def fit(documents: DataFrame, where: Column | None = None, rows_each: int = ROWS
         few.withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows_each).orderBy("n", "lang").limit(rows)
         .withColumn("held", F.col("k") % 5 == 0).select("text", "lang", "k", "held")
     )
-    examples = picked.mapInArrow(_examples, "idx array<int>, share array<float>, lang string, held boolean")
+    examples = picked.mapInArrow(trimmed(_examples), "idx array<int>, share array<float>, lang string, held boolean")
     # the sample is bounded: one task trains, and only the model comes back
-    got = examples.repartition(1).mapInArrow(_trained, "model binary").collect()
+    got = examples.repartition(1).mapInArrow(trimmed(_trained), "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else None
 
 
@@ -256,7 +256,7 @@ def accepted_only(documents: DataFrame, model: Model | None) -> DataFrame:
             out = m.predict(b.column("text").to_pylist()) if m else [(UNKNOWN, 0.0)] * b.num_rows
             yield b.filter(pa.array([p[0] != UNKNOWN and p[1] >= m.reject_below for p in out], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(trimmed(run), documents.schema)
 
 
 def remainder(doc_id: str = "doc_id") -> Column:

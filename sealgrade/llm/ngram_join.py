@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealgrade.llm.common import (
-    Scratch, Words, blocks, by_sorted_groups, components, local_components, mix, shingle_set, small_batches, table,
+    Scratch, Words, blocks, by_sorted_groups, components, local_components, mix, shingle_set, small_batches, table, trimmed,
 )
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -284,7 +284,7 @@ def similar_documents(
     scratch = Scratch(spark)
     docs = keyed(documents)
     run, schema = _scan(shingle, runs_for(threshold, recall))
-    scanned = scratch.keep(docs.select("d", "k", "doc_id", "text").mapInArrow(run, schema))
+    scanned = scratch.keep(docs.select("d", "k", "doc_id", "text").mapInArrow(trimmed(run), schema))
     narrow = scanned.select("doc_id", "d", "k", "q1", "q2")
     classes = scratch.keep(
         scanned.where("q1 is not null").groupBy("q1", "q2").agg(
@@ -305,7 +305,7 @@ def similar_documents(
     )
     texts = docs.select("k", "text").join(wanted.hint("merge"), "k")
     sets = scratch.keep(
-        texts.mapInArrow(_sets(shingle), "k long, q1 long, n long, copies long, component long, tokens array<long>")
+        texts.mapInArrow(trimmed(_sets(shingle)), "k long, q1 long, n long, copies long, component long, tokens array<long>")
         .dropDuplicates(["q1"])
     )
     sizes = scratch.keep(wanted.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("tokens_in")))

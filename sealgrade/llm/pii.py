@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealgrade.llm.common import small_batches, table
+from sealgrade.llm.common import small_batches, table, trimmed
 
 #: Kinds in the order of the digests; the first four are the base.
 BASE = ("email", "ip", "card", "phone")
@@ -206,7 +206,7 @@ def without_personal_data(documents: DataFrame) -> DataFrame:
                 out = out.set_column(b.schema.get_field_index("n_chars"), field, sizes.cast(field.type))
             yield out
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(trimmed(run), documents.schema)
 
 
 def op10_pii(spark, sf_dir):
