@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sealgrade.catalog import REGISTRY
+from sealgrade.operators import patterns as P
 
 BATCH = [n for n in REGISTRY if not n.startswith(("s", "w0", "a03", "a04", "a05", "k01", "r01", "c08"))]
 
@@ -25,11 +26,16 @@ def test_batch_plans(spark, sf_dir, name):
             assert not re.search(r"windowspecdefinition\((\w+#\d+ (ASC|DESC))", line), line
 
 
-@pytest.mark.parametrize("name", ["r02_learned_examples", "j02_union_feedback", "a26_common_words", "j04_apply_feedback"])
+@pytest.mark.parametrize("name", ["r02_learned_examples", "j02_union_feedback", "j04_apply_feedback"])
 def test_rankings_are_limited_before_the_shuffle(spark, sf_dir, name):
     assert "WindowGroupLimit" in plan_of(REGISTRY[name][0](spark, sf_dir))
 
 
+def test_a_bounded_ranking_of_words_is_limited_before_the_shuffle(rows):
+    n = rows([("Public", "Unsafe", 1, "word")], "original_classification string, human_classification string, seq bigint, reasoning string")
+    assert "WindowGroupLimit" in plan_of(P.common_words(n, top=10))
+
+
 def test_scans_read_only_what_is_used(spark, sf_dir):
     plan = plan_of(REGISTRY["a16_panel"][0](spark, sf_dir))
     scan = next(l for l in plan.splitlines() if "FileScan parquet" in l and "documents" in l)
