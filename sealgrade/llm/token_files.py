@@ -28,8 +28,9 @@ from sealgrade.session import scratch_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
-#: Ids after which a block is closed; a longer document is a block of its own.
-BLOCK_IDS = 1 << 20
+#: Ids after which a block is closed; a longer document is a block of its own. An Arrow batch of blocks, whatever number of
+#: rows the session allows it, stays small.
+BLOCK_IDS = 1 << 14
 #: Text bytes of a shard, unless their number is given.
 SHARD_BYTES = 32_000_000
 #: Chunks a worker remembers; the first that fit stay.
@@ -259,7 +260,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` (bytes) of each document in files under ``path``."""
-    small_batches(spark, 4)
+    small_batches(spark, 200)
     files = spark.read.schema(FORMAT).parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     # one row a shard
