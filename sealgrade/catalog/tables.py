@@ -132,6 +132,12 @@ def _changes(spark, sf):
     return t.changes(0, 1)
 
 
+def _found(spark, sf):
+    t = SnapshotTable(spark, scratch_dir(spark), buckets=16)
+    t.overwrite(_flat(spark, sf))
+    return t.find(7, 8, 123)
+
+
 def _few_changes(spark, sf):
     """Between a table and the same with some rows deleted and its small files joined."""
     t = SnapshotTable(spark, scratch_dir(spark), buckets=64)
@@ -369,6 +375,7 @@ QUERIES = {
           'image/png', 'image/png'][doc_id % 9 + 1] END AS mime FROM documents"""),
     "s18_fetch_verdict": (
         lambda s, sf: files.fetch(_flat(s, sf), 7), f"WITH {K} {_FLAT_SQL} WHERE document_id = 7"),
+    "s18_verdict_by_id": (_found, f"WITH {K} {_FLAT_SQL} WHERE document_id IN (7, 8, 123)"),
     "s19_all_verdicts": (_flat, f"WITH {K} {_FLAT_SQL}"),
     "s20_deleted": (_deleted, f"WITH {K} {_FLAT_SQL} WHERE is_safe"),
     "s21_cleared": (

@@ -85,6 +85,21 @@ class SnapshotTable:
         """Rows of a version, of some buckets only if these are given."""
         return self._rows(self._entry(version), buckets).drop(_BUCKET)
 
+    def find(self, *ids) -> DataFrame:
+        """Rows of the latest version whose key is one of ``ids``.
+
+        With buckets only their folders are read. There rows lie in the order of the key and files carry a Bloom filter
+        of it, so that row groups without the key are passed over.
+        """
+        version = self.latest()
+        if version is None:
+            raise ValueError(f"no version in {self.path}")
+        entry = self._entry(version)
+        rows = self._rows(entry)
+        if entry["buckets"] and _BUCKET in rows.columns:
+            rows = rows.where(F.col(_BUCKET).isin(*[self._bucket(F.lit(i), entry["buckets"]) for i in ids]))
+        return rows.where(F.col(self.key).isin(*ids)).drop(_BUCKET)
+
     def all_versions(self) -> DataFrame:
         """All committed versions in one table with merged schemas and their version ``v``."""
         versions = [r["version"] for r in self._log().select("version").distinct().collect()]
@@ -198,8 +213,11 @@ class SnapshotTable:
         count = Observation()
         if self.buckets:
             df = df.withColumn(_BUCKET, self._bucket(F.col(self.key), self.buckets)).hint("rebalance", _BUCKET)
+            df = df.sortWithinPartitions(_BUCKET, self.key)
             partition_by = [_BUCKET]
         writer = df.observe(count, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+        if self.buckets:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{self.key}", "true")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self._data(version))

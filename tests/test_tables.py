@@ -88,6 +88,23 @@ def test_changes_read_only_buckets_that_differ(spark, rows, tmp_path):
     assert [tuple(r) for r in t.changes(1, 3).collect()] == [(2, "delete")]
 
 
+@pytest.mark.parametrize("buckets", [None, 16])
+def test_a_look_up_reads_its_bucket(spark, rows, tmp_path, buckets):
+    t = SnapshotTable(spark, str(tmp_path / "t"), buckets=buckets)
+    t.overwrite(rows([*data(600), data(600)[7]], DDL).repartition(4))
+    assert [r["x"] for r in t.find(7).collect()] == [data(600)[7][1]] * 2
+    assert sorted(r["document_id"] for r in t.find(3, 500, 9999).collect()) == [3, 500]
+    t.delete(rows([(3,)], "document_id int"))
+    assert [r["document_id"] for r in t.find(3, 500).collect()] == [500]
+    if buckets:
+        plan = t.find(500)._jdf.queryExecution().executedPlan().toString()
+        scan = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+        assert "_bucket" in scan.split("PartitionFilters:")[1].split("]")[0] and "EqualTo(document_id,500)" in scan
+        for f in files(tmp_path / "t" / "data"):
+            ids = [r["document_id"] for r in spark.read.parquet(f).collect()]
+            assert ids == sorted(ids)
+
+
 def test_empty_versions_and_other_schemas(spark, rows, tmp_path):
     t = SnapshotTable(spark, str(tmp_path / "t"), buckets=4)
     assert t.count() == 0
