@@ -30,7 +30,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
 #: Ids after which a block is closed; a longer document is a block of its own. An Arrow batch of blocks, whatever number of
 #: rows the session allows it, stays small.
-BLOCK_IDS = 1 << 14
+BLOCK_IDS = 1 << 16
 #: Text bytes of a shard, unless their number is given.
 SHARD_BYTES = 32_000_000
 #: Chunks a worker remembers; the first that fit stay.
