@@ -388,9 +388,11 @@ QUERIES = {
         ELSE reviewer_id END AS reviewer_id, document_id % 2 = 0 OR approved AS approved FROM L
         WHERE document_id % 3 <> 0 OR document_id % 2 = 0"""),
     "j04_apply_feedback": (_apply, _APPLIED),
-    "j05_keyword_rules": (_keyword_hits, _HITS),
+    "j05_keyword_rules": (_adjust, _ADJUSTED),
+    "j05_keyword_factors": (_keyword_hits, _HITS),
     "l01_adjusted_confidence": (_adjust, _ADJUSTED),
-    "j06_correction_rules": (_rules, _RULES),
+    "j06_correction_rules": (_override, _OVERRIDDEN),
+    "j06_rule_indicators": (_rules, _RULES),
     "l02_learned_override": (_override, _OVERRIDDEN),
     "a21_correction_rate": (
         _normalized(lambda n: _rounded(P.correction_rate(n), "correction_rate")),

@@ -251,3 +251,17 @@ def test_same_source_class_keeps_the_last_warning(rows):
     got = LN.prompt_enhancements(frequent, patterns).orderBy("group", "position").collect()
     assert [r["key"] for r in got] == ["warning_Public", "warning_Unsafe", "rule_Public_to_Unsafe"]
     assert "'Unsafe' 4 times" in got[0]["text"]
+
+
+def test_whole_jobs_of_both_kinds_of_rules(spark, tmp_path):
+    """Every document is scored and overridden, not only counted or listed."""
+    from sealgrade.catalog import REGISTRY
+    text = "alphaone betatwos gammathree deltafour license"
+    spark.createDataFrame([(i, "web", "en", text, len(text)) for i in range(1, 9)], "doc_id long, source string, lang string, text string, n_chars long"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0 if i < 5 else 1, 0) for i in range(1, 7)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    scored = {r["document_id"]: r for r in REGISTRY["j05_keyword_rules"][0](spark, str(tmp_path)).collect()}
+    assert set(scored) == set(range(1, 9)) and all(r["adjusted_confidence"] < 0.6 and r["learned_review"] for r in scored.values())
+    changed = {r["document_id"]: r for r in REGISTRY["j06_correction_rules"][0](spark, str(tmp_path)).collect()}
+    assert set(changed) == set(range(1, 9))
+    assert all(r["was_overridden"] and r["learned_classification"] == "Highly Sensitive" for r in changed.values())
