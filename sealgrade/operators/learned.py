@@ -7,21 +7,21 @@ but its place in the index.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 from sealgrade import vocab as V
 from sealgrade.operators.patterns import PAIR
-from sealgrade.operators.substrings import ROUND_BYTES, NeedleIndex, expand, found_in, rounds, text_counts, with_found
+from sealgrade.operators.substrings import ROUND_BYTES, NeedleIndex, expand, found_in, in_rounds, needle_counts, with_counts, with_found
 
 _GAP = "\u0000"  # between file name and preview, so that no match spans both
 #: Indicators of candidate rules that are looked at together.
 _TOGETHER = 1 << 21
+#: Rare indicators that a text must hold of a rule before all are looked up.
+_RARE = 12
 
 
 def _haystack(filename: str, preview: str, chars: int | None = None) -> Column:
@@ -86,17 +86,18 @@ def adjust_confidence(
     )
     words = patterns.where(F.col(PAIR[0]).isNotNull()).select(
         F.explode("common_indicators").alias("w"), F.col(PAIR[0]).alias("c"),
-        F.struct(F.col("first_seq").alias("o"), F.coalesce(F.col(PAIR[1]), F.lit("None")).alias("t")).alias("p"),
+        F.col("first_seq").alias("o"), F.coalesce(F.col(PAIR[1]), F.lit("None")).alias("t"),
     )
     matched = _with_hits(docs, keyword_rules, filename, preview, round_bytes)
     body = matched.withColumn("_body", F.lower(F.coalesce(F.col(preview), F.lit(""))))
-    own = F.transform(F.filter("_words", lambda x: x["c"] == F.col("classification")), lambda x: x["p"])
+    pattern = lambda x: F.struct(x["o"].alias("o"), x["t"].alias("t"))
+    hits = lambda p: F.aggregate(
+        F.filter("_own", lambda x: pattern(x) == p), F.lit(0).cast("bigint"), lambda n, x: n + x["hits"])
     prepared = (
-        with_found(body, "_body", words, "w", "_words", round_bytes)
+        with_counts(body, "_body", words, ("o", "t"), ("classification", "c"), "w", "_own", round_bytes)
         .join(low, F.col("classification") == F.col("_low_class"), "left")
-        .withColumn("_own", own)
         .withColumn("_similar", F.array_sort(F.filter(
-            F.array_distinct("_own"), lambda p: F.size(F.filter("_own", lambda x: x == p)) >= 2)))
+            F.array_distinct(F.transform("_own", pattern)), lambda p: hits(p) >= 2)))
     )
     weak, similar = F.col("_weak"), F.col("_similar")
     weak_reason = F.when(weak.isNotNull(), F.format_string(
@@ -112,7 +113,7 @@ def adjust_confidence(
             F.lit(V.MIN_ADJUSTED), F.least(F.lit(V.MAX_ADJUSTED), raw)),
         "learned_reason": reason,
         "learned_review": reason.isNotNull(),
-    }).drop("_low_class", "_body", "_words", "_own", "_weak", "_similar", "_hit")
+    }).drop("_low_class", "_body", "_own", "_weak", "_similar", "_hit")
 
 
 # --- class override ---------------------------------------------------------
@@ -134,8 +135,9 @@ def override_rules(feedback: DataFrame) -> DataFrame:
 class RuleIndex:
     """Correction rules in order of ``seq``, each under those of its indicators that fewest rules have.
 
-    A rule that needs ``t`` of its ``n`` indicators has a hit among any ``n - t + 1`` of them, so
-    it is looked up by its rarest ones: indicators shared by most rules lead to no rule.
+    A rule that needs ``t`` of its ``n`` indicators has ``k`` hits among any ``n - t + k`` of them, so
+    it is looked up by its rarest ones: indicators shared by most rules lead to no rule, and a text that holds fewer than
+    ``k`` of the rare ones is not compared further.
     """
 
     def __init__(self, rules: pa.Table, counts: dict[int, int], words: list[bytes], ids: np.ndarray):
@@ -144,7 +146,8 @@ class RuleIndex:
         self.start, self.ids = np.cumsum(self.size) - self.size, ids
         self.needed = np.maximum(3, -(-self.size // 2))
         self.classes = pc.unique(rules.column("rule_from"))
-        self.of = pc.index_in(rules.column("rule_from"), value_set=self.classes).to_numpy()
+        of = pc.index_in(rules.column("rule_from"), value_set=self.classes).to_numpy().astype(np.int64)
+        self.rare = np.minimum(_RARE, self.needed)
         self.payload = pa.StructArray.from_arrays(
             [rules.column("seq").combine_chunks(), rules.column("rule_to").combine_chunks(), rules.column("notes").combine_chunks()],
             ["seq", "to", "notes"])
@@ -154,10 +157,13 @@ class RuleIndex:
         rarity = np.where(ids >= 0, share[np.maximum(ids, 0)], -1) if len(words) else np.full(len(ids), -1)
         order = np.lexsort((ids, rarity, rule))
         place = np.arange(len(ids)) - np.repeat(self.start, self.size)
-        entered = order[(place < np.repeat(self.size - self.needed + 1, self.size)) & (ids[order] >= 0)]
-        pairs = np.unique(ids[entered] * max(1, len(self.size)) + rule[entered])
-        word, self.rules = np.divmod(pairs, max(1, len(self.size)))
-        self.first = np.searchsorted(word, np.arange(len(words) + 1))
+        entered = order[(place < np.repeat(self.size - self.needed + self.rare, self.size)) & (ids[order] >= 0)]
+        # by class and word; an indicator that a rule has twice counts twice
+        under = of[rule[entered]] * max(1, len(words)) + ids[entered]
+        pairs, self.weight = np.unique(under * max(1, len(self.size)) + rule[entered], return_counts=True)
+        under, self.rules = np.divmod(pairs, max(1, len(self.size)))
+        self.under, first = np.unique(under, return_index=True)
+        self.first = np.r_[first, len(under)].astype(np.int64)
 
     def first_rules(self, texts: pa.Array, keywords: pa.ListArray, classes: pa.Array) -> pa.Array:
         """For each text its first matching rule with how many indicators it holds, or null."""
@@ -172,16 +178,22 @@ class RuleIndex:
         row, word = np.divmod(held, n)
         wanted = pc.fill_null(pc.index_in(classes, value_set=self.classes), -1).to_numpy()
         best, hits = np.full(rows, len(self.size)), np.zeros(rows, np.int64)
-        # as many (text, rule) pairs at once as have _TOGETHER indicators
-        lead = self.first[word + 1] - self.first[word]
-        done = 0
+        key = wanted[row].astype(np.int64) * n + word
+        at = np.minimum(np.searchsorted(self.under, key), max(0, len(self.under) - 1))
+        good = np.flatnonzero(self.under[at] == key) if len(self.under) else np.empty(0, np.int64)
+        row, at = row[good], at[good]
+        lead = self.first[at + 1] - self.first[at]
+        # whole texts, as many at once as have _TOGETHER entries or pairs with rules
+        done, size = 0, max(1, len(self.size))
         while done < len(row):
             last = max(done + 1, int(np.searchsorted(np.cumsum(lead[done:]), _TOGETHER)) + done)
-            of, at = expand(self.first[word[done:last]], lead[done:last])
-            rule, text = self.rules[at], row[done:last][of]
-            same = self.of[rule] == wanted[text]
-            pair = np.unique(text[same] * len(self.size) + rule[same]) if same.any() else np.empty(0, np.int64)
-            self._count(pair, held, n, best, hits)
+            end = min(row[last - 1] + 1, row[done] + max(1, _TOGETHER // size))
+            last = int(np.searchsorted(row, end))
+            of, entry = expand(self.first[at[done:last]], lead[done:last])
+            rare = np.bincount((row[done:last][of] - row[done]) * size + self.rules[entry], self.weight[entry])
+            pair = np.flatnonzero(rare)
+            pair = pair[rare[pair] >= self.rare[pair % size]]
+            self._count(pair + row[done] * size, held, n, best, hits)
             done = last
         some = best < len(self.size)
         payload = self.payload.take(pa.array(best, mask=~some))
@@ -211,28 +223,23 @@ class RuleIndex:
 def _first_rule(hay: DataFrame, rules: DataFrame, classification: str, round_bytes: int) -> DataFrame:
     """Add ``_rule``: the first rule whose indicators ``_hay`` and ``_kw`` hold often enough."""
     size = F.length("notes") + F.length(F.array_join("indicators", " ")) + 8 * F.size("indicators") + 64
-    for number, part in enumerate(rounds(rules, size, round_bytes)):
+
+    def index(texts: DataFrame, part: pa.Table) -> RuleIndex:
         part = part.sort_by("seq")
         listed = pc.list_flatten(part.column("indicators")).combine_chunks().cast(pa.binary())
         words = pc.unique(listed).drop_null()
         ids = pc.fill_null(pc.index_in(listed, value_set=words), -1).to_numpy().astype(np.int64)
         needles = words.to_pylist()
-        index = RuleIndex(part, text_counts(hay, "_hay", needles), needles, ids)
-        shared = hay.sparkSession.sparkContext.broadcast(index)  # about ROUND_BYTES of rules
-        into = "_rule" if number == 0 else "_next"
-        kind = StructType.fromDDL("seq long, to string, notes string, hits long, n long")
-        schema = StructType([*hay.schema.fields, StructField(into, kind)])
+        return RuleIndex(part, needle_counts(texts, "_hay", needles), needles, ids)
+
+    def find(index: RuleIndex, b: pa.RecordBatch) -> pa.Array:
+        return index.first_rules(b.column("_hay"), b.column("_kw"), b.column(classification))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, into=into) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rule = shared.value.first_rules(b.column("_hay"), b.column("_kw"), b.column(classification))
-                yield pa.RecordBatch.from_arrays([*b.columns, rule], names=[*b.schema.names, into])
+    def first(rule: Column) -> Column:
+        return F.min_by(rule, F.struct(rule["seq"].isNull(), rule["seq"], rule["to"], rule["notes"]))
 
-        hay = hay.mapInArrow(run, schema)
-        if number:
-            earlier = F.col("_rule").isNull() | (F.col("_next.seq") < F.col("_rule.seq"))
-            hay = hay.withColumn("_rule", F.when(F.col("_next").isNotNull() & earlier, F.col("_next")).otherwise(F.col("_rule"))).drop("_next")
-    return hay
+    kind = StructType.fromDDL("seq long, to string, notes string, hits long, n long")
+    return in_rounds(hay, ["_hay", "_kw", classification], rules, size, index, find, kind, "_rule", first, round_bytes)
 
 
 def apply_override(
@@ -253,7 +260,11 @@ def apply_override(
         "_kw": F.transform(
             F.coalesce(F.col(keywords), F.array().cast("array<string>")), lambda k: F.lower(k)),
     })
-    matched = _first_rule(hay, override_rules(feedback), "classification", round_bytes)
+    rules = override_rules(feedback)
+    if note_chars is not None:
+        # what is not quoted need not travel
+        rules = rules.withColumn("notes", F.substring("notes", 1, note_chars))
+    matched = _first_rule(hay, rules, "classification", round_bytes)
     rule = F.col("_rule")
     hit = rule.isNotNull()
     return matched.withColumns({
@@ -265,7 +276,7 @@ def apply_override(
         "override_reason": F.when(hit, F.format_string(
             "Learned rule applied: '%s' → '%s'. Matched %d/%d indicators. Human feedback: %s",
             F.col("classification"), F.coalesce(rule["to"], F.lit("None")), rule["hits"],
-            rule["n"], rule["notes"] if note_chars is None else F.substring(rule["notes"], 1, note_chars),
+            rule["n"], rule["notes"],
         )),
     }).drop("_hay", "_kw", "_rule")
 

@@ -1,25 +1,28 @@
 """Which of many needles a text contains, by an index of the needles' rarest runs.
 
 A text that contains a needle contains each of its runs of four bytes. How many texts hold each run is counted
-first; a needle is entered under the run that fewest texts hold. Looking a text up costs one pass over its
-bytes: the runs at all places are tested against a bit table of the entered ones, and the few places that pass are
-compared with the needle byte for byte, four at a time. Needles of one to three bytes are entered whole.
+first; a needle is entered under the eight bytes that hold the run that fewest texts have. Looking a text up costs one pass over its
+bytes: the eight at all places are tested against bit tables of the entered ones, and the few places that pass are
+compared with the needle byte for byte, four at a time. Needles of up to seven bytes are entered whole.
 
-The index goes to the texts, so texts are never shuffled, and nothing is made of a run that no needle is entered
+The index goes to the texts, so searching shuffles no text, and nothing is made of a run that no needle is entered
 under. Needles are taken in rounds of bounded size, each an index of its own: that is what is
-collected and broadcast, however many needles there are.
+collected and broadcast, however many needles there are. Rounds follow each other, and the next begins when the finds of the one before
+are written; only then are rows joined with all their finds.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, LongType, StructField, StructType
 
 from sealgrade.session import stage
 
@@ -27,7 +30,9 @@ from sealgrade.session import stage
 ROUND_BYTES = 8 << 20
 #: Bytes of text that are searched at once.
 BUFFER_BYTES = 4 << 20
-_RUN = 4
+#: Rows that are searched, and given back with what they hold, at once.
+ROWS = 500
+_RUN, _WINDOW = 4, 8
 
 
 def runs_at(buffer: np.ndarray) -> np.ndarray:
@@ -40,22 +45,29 @@ def runs_at(buffer: np.ndarray) -> np.ndarray:
     return out
 
 
-def _low(width: int) -> np.uint32:
-    """A mask of the first ``width`` bytes of a run."""
-    return np.uint32((1 << 8 * width) - 1)
+def windows_at(runs: np.ndarray) -> np.ndarray:
+    """The same with eight bytes, from the runs of four."""
+    out = runs.astype(np.uint64)
+    out[:-_RUN] |= runs[_RUN:].astype(np.uint64) << np.uint64(8 * _RUN)
+    return out
+
+
+def _low(width: int) -> np.uint64:
+    """A mask of the first ``width`` bytes of a window."""
+    return np.uint64((1 << 8 * width) - 1)
 
 
 class RunSet:
-    """Runs, sorted and different, and a bit table that few others pass."""
+    """Numbers, sorted and different, and a bit table that few others pass."""
 
     def __init__(self, runs: np.ndarray):
         self.runs = runs
-        self.shift = np.uint32(32 - min(24, max(10, int(16 * len(runs)).bit_length())))
-        self.bits = np.zeros(1 << (32 - int(self.shift)), bool)
+        self.shift = np.uint64(64 - min(24, max(10, int(16 * len(runs)).bit_length())))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
         self.bits[self._slot(runs)] = True
 
     def _slot(self, runs: np.ndarray) -> np.ndarray:
-        return (runs * np.uint32(0x9E3779B1)) >> self.shift
+        return (runs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
     def find(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places of ``runs`` that are in the set, and which they are."""
@@ -92,15 +104,18 @@ class NeedleIndex:
         order = np.lexsort((at, held, of))
         first = order[np.r_[True, np.diff(of[order]) > 0]] if len(order) else order
         self.offset[long] = at[first] - self.start[long]
-        self.entered = [(w, *self._enter(np.flatnonzero(self.size == w), w)) for w in range(1, _RUN)]
-        self.entered.append((_RUN, *self._enter(long, _RUN)))
-
-    def _enter(self, needles: np.ndarray, width: int) -> tuple[RunSet, np.ndarray, np.ndarray]:
-        """The runs of ``needles``, where the needles of each begin, and the needles in that order."""
-        runs = self.runs[self.start[needles] + self.offset[needles]] & _low(width)
-        order = np.argsort(runs, kind="stable")
-        keys, first = np.unique(runs[order], return_index=True)
-        return RunSet(keys), np.r_[first, len(runs)], needles[order]
+        #: How far into its needle the window lies under which it is entered: that of the run, or the whole of a short needle.
+        self.window = np.minimum(self.offset, np.maximum(0, self.size - _WINDOW))
+        windows = windows_at(self.runs)
+        self.entered = [(w, *self._enter(windows, np.flatnonzero(self.size == w), w)) for w in range(1, _WINDOW)]
+        self.entered.append((_WINDOW, *self._enter(windows, np.flatnonzero(self.size >= _WINDOW), _WINDOW)))
+
+    def _enter(self, windows: np.ndarray, needles: np.ndarray, width: int) -> tuple[RunSet, np.ndarray, np.ndarray]:
+        """The windows of ``needles``, where the needles of each begin, and the needles in that order."""
+        keys = windows[self.start[needles] + self.window[needles]] & _low(width)
+        order = np.argsort(keys, kind="stable")
+        keys, first = np.unique(keys[order], return_index=True)
+        return RunSet(keys), np.r_[first, len(needles)], needles[order]
 
     def find(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Different (text, needle) pairs, in order, of texts that lie one after another in ``buffer``."""
@@ -108,15 +123,18 @@ class NeedleIndex:
         every = np.arange(len(starts))
         pairs = [(every[:, None] * n + self.empty[None, :]).ravel()]
         runs = runs_at(buffer)
+        windows = windows_at(runs)
         for width, keys, first, needles in self.entered:
-            place, key = keys.find(runs & _low(width))
+            if not len(needles):
+                continue
+            place, key = keys.find(windows & _low(width))
             of, at = expand(first[key], first[key + 1] - first[key])
             needle = needles[at]
-            begin = place[of] - self.offset[needle]
+            begin = place[of] - self.window[needle]
             text = np.searchsorted(starts, place[of], side="right") - 1
             inside = (begin >= starts[text]) & (begin + self.size[needle] <= ends[text])
             begin, needle, text = begin[inside], needle[inside], text[inside]
-            if width == _RUN:
+            if width == _WINDOW:
                 kept = self._equal(runs, begin, needle)
                 needle, text = needle[kept], text[kept]
             pairs.append(text * n + needle)
@@ -179,14 +197,84 @@ def text_counts(texts: DataFrame, text: str, needles: Sequence[bytes]) -> dict[i
     return out
 
 
-def rounds(rules: DataFrame, size: Column, round_bytes: int = ROUND_BYTES) -> Iterator[pa.Table]:
-    """The rows of ``rules`` in parts of about ``round_bytes``, ``size`` being a row's bytes; at least one part."""
+def in_rounds(
+    docs: DataFrame, inputs: Sequence[str], rules: DataFrame, size: Column, index: Callable[[DataFrame, pa.Table], Any],
+    find: Callable[[Any, pa.RecordBatch], pa.Array], kind: DataType, out: str, merge: Callable[[Column], Column],
+    round_bytes: int = ROUND_BYTES,
+) -> DataFrame:
+    """Add ``out``: what ``find`` gives by the ``index`` of ``rules``, ``size`` being a rule's bytes.
+
+    Rules of up to ``round_bytes`` are looked up where ``docs`` are read. More are taken in parts, one after the other, over a
+    written copy of ``docs``: a part's finds are written by row, ``merge`` makes one of a row's finds, and they join the copy at the end. So
+    one index, in one Python process a task, is held at a time. ``find`` sees ``inputs`` of few rows at once; a null or
+    empty find need not be written.
+    """
     rules = stage(rules)
-    total = rules.agg(F.sum(size)).first()[0] or 0
-    n = max(1, math.ceil(total / round_bytes))
+    n = max(1, math.ceil((rules.agg(F.sum(size)).first()[0] or 0) / round_bytes))
+    share = docs.sparkSession.sparkContext.broadcast
+    if n == 1:
+        shared = share(index(docs, rules.toArrow()))  # about ROUND_BYTES of rules
+        into = _free(docs, out)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                yield pa.RecordBatch.from_arrays([*b.columns, find(shared.value, b)], names=[*b.schema.names, into])
+
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, kind)])).withColumnRenamed(into, out)
+    row = _free(docs, "_row")
+    kept = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts = kept.select(row, *inputs)
+    found = []
     for part in range(n):
-        own = rules.where(F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(n)) == part) if n > 1 else rules
-        yield own.toArrow()
+        own = rules.where(F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(n)) == part)
+        shared = share(index(texts, own.toArrow()))
+
+        def run_part(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                got = find(shared.value, b)
+                some = pc.greater(pc.list_value_length(got), 0) if pa.types.is_list(got.type) else pc.is_valid(got)
+                yield pa.RecordBatch.from_arrays([b.column(row).filter(some), got.filter(some)], names=[row, "found"])
+
+        found.append(stage(texts.mapInArrow(run_part, StructType([StructField(row, LongType()), StructField("found", kind)]))))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, found).groupBy(row).agg(merge(F.col("found")).alias(out))
+    return kept.join(every, row, "left").drop(row)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """``name`` as none of the columns is called."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, few at a time, so that what is found in them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
+def _payload(rows: pa.Table) -> pa.StructArray:
+    return pa.StructArray.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns], rows.column_names)
+
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), values)
+
+
+def _needle_bytes(needle: str) -> Column:
+    return F.coalesce(F.octet_length(needle), F.lit(0)) + 32
+
+
+def _index(texts: DataFrame, text: str, needles: pa.ChunkedArray) -> NeedleIndex:
+    words = [n.encode("utf-8") for n in needles.to_pylist()]
+    return NeedleIndex(words, needle_counts(texts, text, words))
+
+
+def needle_counts(texts: DataFrame, text: str, needles: Sequence[bytes]) -> dict[int, int]:
+    """``text_counts`` of the needles that may be entered in more than one place."""
+    return text_counts(texts, text, [n for n in needles if len(n) > _WINDOW])
 
 
 def with_found(
@@ -196,32 +284,65 @@ def with_found(
 
     Comparison is of bytes, so letters' cases count. An empty needle stands in every text that is not null, a null
     one in none; a null text contains nothing. Rows that repeat a needle are all found. The array's order is
-    not defined. ``docs`` is read once for each round, and its ``text`` once more for counting runs; no row of it is shuffled.
+    not defined. Needles of more than ``round_bytes`` are taken in parts (``in_rounds``).
     """
-    docs = docs.drop(out)
     kind = ArrayType(StructType([StructField(f.name, f.dataType) for f in needles.schema.fields]))
-    size = F.coalesce(F.octet_length(needle), F.lit(0)) + 32
-    for number, rows in enumerate(rounds(needles.where(F.col(needle).isNotNull()), size, round_bytes)):
-        words = [n.encode("utf-8") for n in rows.column(needle).to_pylist()]
-        index = NeedleIndex(words, text_counts(docs, text, words))
-        shared = docs.sparkSession.sparkContext.broadcast((index, rows.combine_chunks()))  # about ROUND_BYTES of needles
-        into = out
-        while into in docs.columns:
-            into += "_"
-        schema = StructType([*docs.schema.fields, StructField(into, kind)])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, into=into) -> Iterator[pa.RecordBatch]:
-            index, rows = shared.value
-            payload = pa.StructArray.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns], rows.column_names)
-            for b in batches:
-                sizes, which = found_in(index, b.column(text))
-                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), payload.take(pa.array(which)))
-                yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, into])
-
-        docs = docs.mapInArrow(run, schema)
-        if number:
-            docs = docs.withColumn(out, F.concat(out, into)).drop(into)
-    return docs
+
+    def find(shared: tuple[NeedleIndex, pa.Table], b: pa.RecordBatch) -> pa.Array:
+        sizes, which = found_in(shared[0], b.column(text))
+        return _lists(sizes, _payload(shared[1]).take(pa.array(which)))
+
+    added = in_rounds(
+        docs.drop(out), [text], needles.where(F.col(needle).isNotNull()), _needle_bytes(needle),
+        lambda texts, rows: (_index(texts, text, rows.column(needle)), rows.combine_chunks()),
+        find, kind, out, lambda found: F.flatten(F.collect_list(found)), round_bytes)
+    return added.withColumn(out, F.coalesce(out, F.array().cast(kind)))
+
+
+class Groups:
+    """Which of the different rows of some columns each row of ``rows`` has."""
+
+    def __init__(self, rows: pa.Table, columns: Sequence[str]):
+        numbers: dict[tuple, int] = {}
+        keys = zip(*[rows.column(c).to_pylist() for c in columns], strict=True)
+        self.of = np.array([numbers.setdefault(k, len(numbers)) for k in keys], np.int64)
+        _, first = np.unique(self.of, return_index=True)
+        self.rows = rows.select(columns).take(pa.array(first)).combine_chunks()
+
+
+def with_counts(
+    docs: DataFrame, text: str, needles: DataFrame, groups: Sequence[str], own: tuple[str, str],
+    needle: str = "needle", out: str = "found", round_bytes: int = ROUND_BYTES,
+) -> DataFrame:
+    """Add ``out``: how many rows of ``needles`` stand in ``text`` by their ``groups``, as an array of structs with ``hits``.
+
+    Only needles count that have in their second ``own`` column what the document has in the first; a null is equal to
+    nothing. With needles in parts a group may come once a part: its hits are to be added up.
+    """
+    kind = ArrayType(StructType([*[StructField(c, needles.schema[c].dataType) for c in groups], StructField("hits", LongType())]))
+
+    def index(texts: DataFrame, rows: pa.Table) -> tuple:
+        values = pc.unique(rows.column(own[1]))
+        of = pc.index_in(rows.column(own[1]), value_set=values).to_numpy()
+        return _index(texts, text, rows.column(needle)), Groups(rows, groups), values, of
+
+    def find(shared: tuple, b: pa.RecordBatch) -> pa.Array:
+        index, grouped, values, of = shared
+        sizes, which = found_in(index, b.column(text))
+        wanted = pc.fill_null(pc.index_in(b.column(own[0]), value_set=values), -1).to_numpy()
+        row, n = np.repeat(np.arange(b.num_rows), sizes), max(1, grouped.rows.num_rows)
+        same = of[which] == wanted[row]
+        key, hits = np.unique(row[same] * n + grouped.of[which[same]], return_counts=True)
+        row, group = np.divmod(key, n)
+        payload = _payload(grouped.rows.take(pa.array(group)).combine_chunks())
+        columns = [payload.field(i) for i in range(len(groups))]
+        return _lists(np.bincount(row, minlength=b.num_rows), pa.StructArray.from_arrays([*columns, pa.array(hits, pa.int64())], [*groups, "hits"]))
+
+    some = needles.where(F.col(needle).isNotNull() & F.col(own[1]).isNotNull())
+    added = in_rounds(
+        docs.drop(out), [text, own[0]], some, _needle_bytes(needle), index, find, kind, out,
+        lambda found: F.flatten(F.collect_list(found)), round_bytes)
+    return added.withColumn(out, F.coalesce(out, F.array().cast(kind)))
 
 
 def found_in(index: NeedleIndex, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

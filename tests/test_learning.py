@@ -253,6 +253,64 @@ def test_same_source_class_keeps_the_last_warning(rows):
     assert "'Unsafe' 4 times" in got[0]["text"]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_rules_follow_each_other(rows):
+    """However many parts the rules have, a task that reads the result runs no row of Python processes, one a part."""
+    feedback, docs = random_case(random.Random(6), 40)
+    n = FB.normalize_feedback(rows(feedback, FEEDBACK))
+    keywords, patterns = P.keyword_patterns(n), P.context_patterns(n)
+    for df in (LN.match_keyword_rules(rows(docs, DOCS), keywords, round_bytes=100),
+               LN.adjust_confidence(rows(docs, DOCS), P.accuracy_by_class(n), keywords, patterns, round_bytes=100),
+               LN.apply_override(rows(docs, DOCS), rows(feedback, FEEDBACK), round_bytes=3000)):
+        assert plan_of(df).count("MapInArrow") == 0
+        assert sorted(r["document_id"] for r in df.collect()) == sorted(d[0] for d in docs)
+
+
+def test_similar_words_are_counted_not_listed(rows):
+    """What a document holds of learned words leaves the search as one row a pattern."""
+    words = [f"word{i:04d}" for i in range(400)]
+    patterns = rows([("Public", "Unsafe", 2, words), ("Public", "Confidential", 1, words), ("Unsafe", None, 3, words)],
+                    "original_classification string, human_classification string, first_seq bigint, common_indicators array<string>")
+    needles = patterns.select(F.explode("common_indicators").alias("w"), F.col("original_classification").alias("c"),
+                              F.col("first_seq").alias("o"))
+    docs = rows([(1, "Public", " ".join(words)), (2, "Unsafe", "word0001 word0002"), (3, None, "word0001"), (4, "Public", None)],
+                "id int, kind string, body string")
+    from sealgrade.operators.substrings import with_counts
+    for size in (8 << 20, 4000):
+        got = {r["id"]: r["found"] for r in with_counts(docs, "body", needles, ["o"], ("kind", "c"), "w", round_bytes=size).collect()}
+        assert got[3] == got[4] == [] and {x["o"] for x in got[1]} == {1, 2} and [x["o"] for x in got[2]][0] == 3
+        assert {o: sum(x["hits"] for x in got[1] if x["o"] == o) for o in (1, 2)} == {1: 400, 2: 400}
+        assert size < 8 << 20 or len(got[1]) == 2
+
+
+@pytest.mark.parametrize("rare, together", [(1, 1 << 21), (2, 50), (12, 1 << 21), (99, 1)])
+def test_rules_by_rare_words_match_a_loop(monkeypatch, rare, together):
+    import numpy as np
+    import pyarrow as pa
+    monkeypatch.setattr(LN, "_RARE", rare)
+    monkeypatch.setattr(LN, "_TOGETHER", together)
+    rng = random.Random(rare)
+    vocabulary = [f"w{i:02d}" for i in range(40)]
+    rules = [(i, rng.choice("AB"), [rng.choice([*vocabulary, None]) for _ in range(rng.randint(3, 30))]) for i in range(80)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 30))) for _ in range(50)] + [None]
+    classes = [rng.choice("ABC") for _ in range(50)] + [None]
+    words = sorted({w for _, _, x in rules for w in x if w})
+    table = pa.table({"seq": [r[0] for r in rules], "rule_from": [r[1] for r in rules], "rule_to": ["x"] * 80,
+                      "notes": [""] * 80, "indicators": pa.array([r[2] for r in rules], pa.list_(pa.string()))})
+    index = LN.RuleIndex(table, {}, [w.encode() for w in words], np.array([words.index(w) if w else -1 for _, _, x in rules for w in x]))
+    got = index.first_rules(pa.array(texts, pa.string()), pa.array([[]] * 51, pa.list_(pa.string())), pa.array(classes, pa.string())).to_pylist()
+    found = 0
+    for text, kind, r in zip(texts, classes, got, strict=True):
+        hits = ((i, sum(w is not None and w in (text or "") for w in x), len(x)) for i, c, x in rules if c == kind)
+        want = next(((i, h, n) for i, h, n in hits if h >= max(3, n / 2)), None)
+        assert (r and (r["seq"], r["hits"], r["n"])) == want
+        found += want is not None
+    assert 5 < found < 50
+
+
 def test_whole_jobs_of_both_kinds_of_rules(spark, tmp_path):
     """Every document is scored and overridden, not only counted or listed."""
     from sealgrade.catalog import REGISTRY
