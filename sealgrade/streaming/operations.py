@@ -6,12 +6,15 @@ Events wait until the watermark has passed them and are taken in the order of th
 which they arrive does not matter. An operation still open ``minutes`` after its start is closed as
 interrupted at that moment, by a timer; what comes later finds no open operation.
 
-A key's state is its open operation and its waiting events. Closed operations leave the state at once.
+Documents are dealt to groups by hash. A group's state is the open operations and the waiting events of its documents, so a
+call of Python serves all that a micro-batch has of them. Closed operations leave the state at once.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -25,52 +28,65 @@ from sealgrade.streaming.progress import history
 
 #: How long events may be late, or come again.
 DELAY = "10 minutes"
+#: Groups of documents; a stream keeps the number that it began with.
+GROUPS = 2048
+_FIRST = -(1 << 63)
 _CLOSED = "document_id {key}, started_us long, status string, completed_us long, error string, step_count long, last_message string"
-_STATE = "started long, steps long, last string, at array<long>, seq array<long>, kind array<string>, message array<string>"
+_STATE = ("open array<{key}>, started array<long>, steps array<long>, last array<string>, "
+          "document_id array<{key}>, at array<long>, seq array<long>, kind array<string>, message array<string>")
+_EVENT = ("document_id", "at", "seq", "kind", "message")
 
 
 def _transition(limit: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         clock = state.getCurrentWatermarkMs()
-        started, steps, last, *waiting = state.get if state.exists else (None, 0, None, [], [], [], [])
+        now = clock * 1000
+        docs, starts, counts, lasts, *waiting = state.get if state.exists else [()] * 9
+        active = {d: [*op] for d, *op in zip(docs, starts, counts, lasts, strict=True)}
         events = list(zip(*waiting, strict=True))
         for f in frames:
-            events += zip(*(f[c].tolist() for c in ("at", "seq", "kind", "message")), strict=True)
-        events.sort(key=lambda e: e[:2])
-        closed, ended = [], None
+            events += zip(*(f[c].tolist() for c in _EVENT), strict=True)
+        events.sort(key=itemgetter(1, 2))
+        closed, ended = [], {}
 
-        def close(status: str, at: int, error: str | None) -> None:
-            nonlocal started, ended
+        def close(doc, status: str, at: int, error: str | None) -> None:
+            started, steps, last = active.pop(doc)
             # of operations with the same start, the first to close counts
-            if started != ended:
-                closed.append((key[0], started, status, at, error, steps, last))
-            started, ended = None, started
-
-        due = next((i for i, e in enumerate(events) if e[0] >= clock * 1000), len(events))
-        for at, _, kind, message in events[:due]:
-            if started is not None and at > started + limit:
-                close("error", started + limit, V.STALE_ERROR)
+            if ended.get(doc) != started:
+                closed.append((doc, started, status, at, error, steps, last))
+            ended[doc] = started
+
+        due = bisect_left(events, now, key=itemgetter(1))
+        for doc, at, _, kind, message in events[:due]:
+            op = active.get(doc)
+            if op is not None and at > op[0] + limit:
+                close(doc, "error", op[0] + limit, V.STALE_ERROR)
+                op = None
             if kind == "start":
-                started, steps, last = at, 0, None
-            elif started is not None and kind == "progress":
-                steps, last = steps + 1, message
-            elif started is not None:
-                close("completed" if kind == "complete" else "error", at, message if kind == "error" else None)
-        if started is not None and clock * 1000 > started + limit:
-            close("error", started + limit, V.STALE_ERROR)
+                active[doc] = [at, 0, None]
+            elif op is not None and kind == "progress":
+                op[1:] = op[1] + 1, message
+            elif op is not None:
+                close(doc, "completed" if kind == "complete" else "error", at, message if kind == "error" else None)
+        for doc, started in [(d, op[0]) for d, op in active.items() if now > op[0] + limit]:
+            close(doc, "error", started + limit, V.STALE_ERROR)
         rest = events[due:]
-        if started is None and not rest:
+        if not active and not rest:
             state.remove()
         else:
-            state.update((started, steps, last, *([e[i] for e in rest] for i in range(4))))
-            wake = [e[0] for e in rest[:1]] + ([started + limit] if started is not None else [])
+            opened = list(active.values())
+            state.update((list(active), *([op[i] for op in opened] for i in range(3)), *([e[i] for e in rest] for i in range(5))))
+            wake = [e[1] for e in rest[:1]] + [op[0] + limit for op in opened]
             state.setTimeoutTimestamp(max(min(wake) // 1000, clock, 1))
-        yield pd.DataFrame(closed, columns=["document_id", "started_us", "status", "completed_us", "error", "step_count", "last_message"])
+        if closed:
+            yield pd.DataFrame(closed, columns=["document_id", "started_us", "status", "completed_us", "error", "step_count", "last_message"])
 
     return step
 
 
-def closed_operations(events: DataFrame, delay: str = DELAY, minutes: int = V.STALE_MINUTES) -> DataFrame:
+def closed_operations(
+    events: DataFrame, delay: str = DELAY, minutes: int = V.STALE_MINUTES, groups: int = GROUPS,
+) -> DataFrame:
     """Operations as they close, from a stream of ``document_id, event_ts, seq, kind, message``.
 
     ``document_id`` and ``seq`` tell whether an event is the same one again. Events without a document or time are
@@ -81,10 +97,12 @@ def closed_operations(events: DataFrame, delay: str = DELAY, minutes: int = V.ST
         events.where("document_id is not null and event_ts is not null and kind in ('start', 'progress', 'complete', 'error')")
         .select("document_id", "event_ts", F.col("seq").cast("long").alias("seq"), "kind", F.col("message").cast("string").alias("message"))
         .withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["document_id", "seq"])
-        .withColumn("at", F.unix_micros("event_ts"))
+        .withColumns({
+            "at": F.unix_micros("event_ts"), "seq": F.coalesce("seq", F.lit(_FIRST)),
+            "part": F.pmod(F.xxhash64("document_id"), F.lit(groups)).cast("int")})
     )
-    closed = once.groupBy("document_id").applyInPandasWithState(
-        _transition(minutes * 60_000_000), _CLOSED.format(key=key), _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    closed = once.groupBy("part").applyInPandasWithState(
+        _transition(minutes * 60_000_000), _CLOSED.format(key=key), _STATE.format(key=key), "append", GroupStateTimeout.EventTimeTimeout)
     return closed.select(
         "document_id", F.timestamp_micros("started_us").alias("started_at"), "status",
         F.timestamp_micros("completed_us").alias("completed_at"), "error", "step_count", "last_message")
@@ -92,7 +110,7 @@ def closed_operations(events: DataFrame, delay: str = DELAY, minutes: int = V.ST
 
 def run_operations(
     events: DataFrame, path: str, checkpoint: str, delay: str = DELAY, minutes: int = V.STALE_MINUTES,
-    length: int = V.HISTORY_LENGTH, trigger: dict | None = None,
+    length: int = V.HISTORY_LENGTH, trigger: dict | None = None, groups: int = GROUPS,
 ) -> StreamingQuery:
     """Write closed operations to ``<path>/closed`` and keep the ``length`` latest in ``<path>/latest``.
 
@@ -114,7 +132,7 @@ def run_operations(
             remove_path(spark, f"{path}/latest/batch={n - 2}")
 
     return (
-        closed_operations(events, delay, minutes).writeStream.foreachBatch(fold).outputMode("append")
+        closed_operations(events, delay, minutes, groups).writeStream.foreachBatch(fold).outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 

@@ -106,3 +106,19 @@ def test_latest_are_folded_in_bounded_state(spark, rows, tmp_path):
     assert latest == [f"2-{i}" for i in range(39, -1, -1)] + [f"1-{i}" for i in range(39, 29, -1)]
     assert len(list((tmp_path / "out" / "latest").glob("batch=*"))) == 2
     assert OP.read_latest(spark, str(tmp_path / "none")) is None
+
+
+def test_a_group_of_documents_has_one_state(spark, rows, tmp_path):
+    """A call of Python, and a value of the state, serve many documents."""
+    r = random.Random(4)
+    events = [event(f"d{r.randrange(60)}", r.randint(0, 3000), i, r.choice(["start", "progress", "complete", "error"])) for i in range(600)]
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    schema = rows([], EVENT).schema
+    for lo, hi in ((0, 1500), (1500, 3001)):
+        rows([e for e in events if lo <= (e[1] - T0).total_seconds() < hi], EVENT).write.mode("append").parquet(src)
+        query = OP.run_operations(spark.readStream.schema(schema).parquet(src), out, mark, groups=3)
+        query.awaitTermination()
+        held = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"] if s["operatorName"] == "applyInPandasWithState"
+                or s["operatorName"] == "flatMapGroupsWithState"]
+        assert held and max(held) <= 3
+    assert as_dict(OP.read_closed(spark, out)) == machine(events)
