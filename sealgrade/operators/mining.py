@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sealgrade import vocab as V
 from sealgrade.functions.text import words
+from sealgrade.session import stage
 
 CLUSTER_COLUMNS = (
     "confidence", "segment_count", "evidence_count", "has_additional_labels", "is_unsafe",
@@ -86,7 +87,10 @@ def cluster_pipeline(
 
 
 def scaled_features(features: DataFrame, columns: Sequence[str] = CLUSTER_COLUMNS) -> DataFrame:
-    """What k-means sees: rows without missing values, each column less its mean and over its deviation."""
+    """What k-means sees: rows without missing values, each column less its mean and over its deviation.
+
+    The columns are written first: fitting and scaling both read them."""
+    features = stage(features.select("document_id", *columns))
     steps = cluster_pipeline(columns).getStages()[:2]
     scaled = Pipeline(stages=steps).fit(features).transform(features)
     values = vector_to_array("features")

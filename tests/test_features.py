@@ -73,3 +73,18 @@ def test_fixed_phone_pattern(spark, rows):
     df = rows([("call (999) 555-0010",)], "t string")
     fixed = D.pii_test(F.col("t"), "phone", V.PHONE_FIXED)
     assert df.select(fixed).first()[0]
+
+
+def test_scaled_features_are_computed_once(spark):
+    from sealgrade.operators import mining as M
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(i):
+        seen.add(1)
+        return float(i)
+
+    df = spark.range(20).select(F.col("id").alias("document_id"), *[costly(F.col("id") * (n + 1)).alias(c) for n, c in enumerate(M.CLUSTER_COLUMNS)])
+    got = M.scaled_features(df).collect()
+    assert seen.value == 20 * len(M.CLUSTER_COLUMNS)
+    assert all(abs(sum(r[c] for r in got)) < 1e-9 for c in M.CLUSTER_COLUMNS)
