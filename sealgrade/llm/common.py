@@ -38,14 +38,19 @@ def trimmed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
-        pa.default_memory_pool().release_unused()
-        # only the GNU library has it
-        with contextlib.suppress(AttributeError, OSError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Memory that this process no longer uses goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    # only the GNU library has it
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Scratch:
     """Written intermediate tables in the shared folder, dropped when they are of no more use."""
 

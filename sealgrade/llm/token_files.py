@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sealgrade.llm.common import Scratch, small_batches, table
+from sealgrade.llm.common import Scratch, give_back, small_batches, table, trimmed
 from sealgrade.session import scratch_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -218,7 +218,7 @@ def write_token_files(
     n = shards or math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SHARD_BYTES) or 1
     (
         rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-        .mapInArrow(_write(vocabulary, end, block_ids), FORMAT).write.parquet(path)
+        .mapInArrow(trimmed(_write(vocabulary, end, block_ids)), FORMAT).write.parquet(path)
     )
 
 
@@ -245,6 +245,10 @@ class Block:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # the worker may have written files before; what it remembers of chunks is of no use here
+    if _encoder.cache_info().currsize:
+        _encoder.cache_clear()
+        give_back()
     for b in batches:
         for row in b.to_pylist():
             block = Block(row)
@@ -269,7 +273,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select(
         (F.col("before") + F.col("start_in_shard")).alias("first_id"), "n_docs", "ids", "width", "low", "high", "directory",
         "n_nulls", "least", "doc_width", "doc_low", "doc_high", "doc_directory",
-    ).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+    ).mapInArrow(trimmed(_read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op9_token_files(spark, sf_dir):

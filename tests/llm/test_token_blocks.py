@@ -36,3 +36,20 @@ def test_documents_by_select(spark, rows, tmp_path, shards):
     got = tf.read_token_files(spark, path).orderBy("start").collect()
     assert [(r.doc_id, bytes(r.ids)) for r in got] == list(zip(ids, texts, strict=True))
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
+def test_reading_gives_up_what_writing_remembered():
+    from sealgrade.llm import token_files as T
+    assert T._encoder(T.VOCABULARY).encode(["some text of chunks"]) and T._encoder(T.VOCABULARY).seen
+    assert list(T._read(iter([]))) == []
+    assert not T._encoder.cache_info().currsize
+
+
+def test_remembered_words_stay_when_memory_is_full(monkeypatch):
+    """Frequent words come early: a full memory must not forget them, nor change ids."""
+    from sealgrade.llm import bpe
+    monkeypatch.setattr(bpe, "MEMORY", 3)
+    small, whole = bpe.ForcedBoundaryBpe(), bpe.ForcedBoundaryBpe()
+    text = " ".join(f"word{i}" for i in range(40))
+    assert small.encode("the of and " + text) == [i for c in ("the of and " + text).split() for i in whole._chunk(c)]
+    assert set(small.chunks) == {"the", "of", "and"}
