@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from sealgrade.llm.common import small_batches, table, trimmed
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Entries a worker remembers of chunks, words and fragments; then the memory is cleared.
-MEMORY = 150_000
+#: Entries a worker remembers of chunks, words and fragments each; the first that fit stay.
+MEMORY = 200_000
 #: Symbols up to which a fragment's pairs are searched; no rank is as high as NONE.
 SHORT, NONE = 64, 1 << 60
 #: Fixed value: how the vocabulary's files split words.
@@ -133,10 +133,8 @@ class ForcedBoundaryBpe:
 
     @staticmethod
     def _remember(memory: dict, key, value):
-        if len(memory) >= MEMORY:
-            memory.clear()
         # very long words are encoded, but not remembered
-        if len(key) <= 200:
+        if len(memory) < MEMORY and len(key) <= 200:
             memory[key] = value
         return value
 
