@@ -29,7 +29,7 @@ from sealgrade.llm.common import table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Chunks (and as many parts of chunks) that a worker remembers, and the longest of them.
-MEMORY, LONGEST = 400_000, 200
+MEMORY, LONGEST = 600_000, 200
 #: Rows that are worked on, and checked, at once.
 ROWS = 500
 MARK = "▁"
