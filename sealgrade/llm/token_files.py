@@ -15,10 +15,12 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,13 +30,14 @@ from sealgrade.session import scratch_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
-#: Ids after which a block is closed; a longer document is a block of its own. An Arrow batch of blocks, whatever number of
-#: rows the session allows it, stays small.
+#: Ids after which a block is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
+#: Bytes of blocks that are written, or handed to Python, at once: a row group of a file, an Arrow batch of a reading task.
+GROUP_BYTES, BATCH_BYTES = 8 << 20, 4 << 20
 #: Text bytes of a shard, unless their number is given.
 SHARD_BYTES = 32_000_000
 #: Chunks a worker remembers; the first that fit stay.
-MEMORY = 600_000
+MEMORY = 1_300_000
 #: New chunks that the library is given in one line.
 LINE = 1_000
 SAMPLE = 64
@@ -111,13 +114,33 @@ class ChunkEncoder:
         self.seen: dict[str, bytes] = {}
 
     @staticmethod
-    def chunks(text: str) -> tuple[str, list[str]]:
-        """What comes before the first safe cut, and the chunks after it without their leading space."""
-        if DOUBLE.search(text) or text[:1].isspace() or text[-1:].isspace():
-            head, *rest = APART.split(text)
-            return head, [c[1:] for c in rest]
-        head, *rest = text.split(" ")
-        return head, rest
+    def chunks(texts: list[str]) -> tuple[list[str], pa.Array, np.ndarray, np.ndarray]:
+        """What comes before each text's first safe cut, and all chunks after it without their leading space.
+
+        Text ``i`` has the chunks from the ``i``-th of the first numbers up to the ``i``-th of the second.
+        """
+        heads, tails, odd = [], [], {}
+        for i, text in enumerate(texts):
+            if DOUBLE.search(text) or text[:1].isspace() or text[-1:].isspace():
+                head, *rest = APART.split(text)
+                odd[i], tail = [c[1:] for c in rest], None
+            else:
+                head, space, tail = text.partition(" ")
+                tail = tail if space else None
+            heads.append(head)
+            tails.append(tail)
+        cut = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+        n = cut.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n[list(odd)] = 0
+        until = np.cumsum(n)
+        at, until[list(odd)] = until - n, 0
+        all_chunks = cut.flatten()
+        if odd:
+            sizes = np.array([len(x) for x in odd.values()], np.int64)
+            until[list(odd)] = len(all_chunks) + np.cumsum(sizes)
+            at[list(odd)] = until[list(odd)] - sizes
+            all_chunks = pa.concat_arrays([all_chunks, pa.array(list(chain.from_iterable(odd.values())), pa.large_string())])
+        return heads, all_chunks, at, until
 
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -130,26 +153,37 @@ class ChunkEncoder:
         raw, at = ids.tobytes(), (at * 4).tolist()
         return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        cut = [self.chunks(t or "") for t in texts]
-        new = set().union(*[rest for _, rest in cut]).difference(self.seen)
-        odd = [c for c in new if " " in c]
-        plain = list(new.difference(odd))
+    def _new(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks, each with the space before it."""
+        odd = [c for c in chunks if " " in c]
+        plain = [c for c in chunks if " " not in c] if odd else chunks
         lines = [plain[i : i + LINE] for i in range(0, len(plain), LINE)]
-        heads = [head for head, _ in cut]
-        every = self._batch([" " + " ".join(x) for x in lines] + [" " + c for c in odd] + heads)
+        every = self._batch([" " + " ".join(x) for x in lines] + [" " + c for c in odd])
+        out = dict(zip(odd, map(np.ndarray.tobytes, every[len(lines):]), strict=True))
         for line, ids in zip(lines, every, strict=False):
-            self.seen.update(zip(line, self._parts(line, ids), strict=True))
-        self.seen.update(zip(odd, map(np.ndarray.tobytes, every[len(lines):]), strict=False))
-        look = self.seen.__getitem__
-        first = every[len(lines) + len(odd):]
-        out = [f.tobytes() + b"".join(map(look, rest)) for f, (_, rest) in zip(first, cut, strict=True)]
-        if len(self.seen) > MEMORY:
-            for c in new:
-                del self.seen[c]
+            out.update(zip(line, self._parts(line, ids), strict=True))
+        if len(self.seen) + len(out) <= MEMORY:
+            self.seen.update(out)
         return out
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        heads, chunks, at, until = self.chunks([t or "" for t in texts])
+        first = list(dict.fromkeys(heads))
+        first = dict(zip(first, map(np.ndarray.tobytes, self._batch(first)), strict=True))
+        # Arrow numbers the batch's chunks, so each distinct one is looked up once, and copies their ids
+        numbered = chunks.dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = list(map(self.seen.get, distinct))
+        new = self._new([c for c, ids in zip(distinct, own, strict=True) if ids is None])
+        own = pa.array([new[c] if ids is None else ids for c, ids in zip(distinct, own, strict=True)], pa.large_binary())
+        ids = own.take(numbered.indices)
+        if not len(ids):
+            return [first[head] for head in heads]
+        _, ends, data = ids.buffers()
+        ends, data = np.frombuffer(ends, np.int64), memoryview(data)
+        return [first[head] + data[i:j] for head, i, j in zip(heads, ends[at].tolist(), ends[until].tolist(), strict=True)]
+
 
 @lru_cache(2)
 def _encoder(path: str) -> ChunkEncoder:
@@ -213,12 +247,15 @@ def write_token_files(
     table writes files without blocks.
     """
     spark = documents.sparkSession
-    small_batches(spark, 200)
+    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = shards or math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SHARD_BYTES) or 1
     (
         rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-        .mapInArrow(trimmed(_write(vocabulary, end, block_ids)), FORMAT).write.parquet(path)
+        .mapInArrow(trimmed(_write(vocabulary, end, block_ids)), FORMAT)
+        # rows are long: the size of a group is looked at every 8 of them, not after 100
+        .write.options(**{"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 8}).parquet(path)
     )
 
 
@@ -250,7 +287,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _encoder.cache_clear()
         give_back()
     for b in batches:
-        for row in b.to_pylist():
+        for at in range(b.num_rows):
+            row = b.slice(at, 1).to_pylist()[0]
             block = Block(row)
             ends = np.array([block.end(i) for i in range(block.n)], np.int64)
             starts = np.r_[0, ends[:-1]]
@@ -265,6 +303,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` (bytes) of each document in files under ``path``."""
     small_batches(spark, 200)
+    # 200 blocks are 50 MB, held several times over by a task and its worker
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     files = spark.read.schema(FORMAT).parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     # one row a shard

@@ -1,6 +1,8 @@
 """Documents of a token file by select alone: ids, places, odd ids."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,6 +40,25 @@ def test_documents_by_select(spark, rows, tmp_path, shards):
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
 
 
+def test_few_blocks_are_held_at_once(spark, rows, tmp_path):
+    """Row groups and Arrow batches are bounded by bytes, whatever number of blocks a shard has."""
+    data = [(i, " ".join(f"{i * j % 9973:x}" for j in range(20_000))) for i in range(120)]
+    path = str(tmp_path / "t")
+    tf.write_token_files(rows(data, DOCS), path, shards=1)
+    meta = [pq.ParquetFile(f).metadata for f in (tmp_path / "t").glob("*.parquet")]
+    sizes = [m.row_group(i).total_byte_size for m in meta for i in range(m.num_row_groups)]
+    assert sum(sizes) > 2 * tf.GROUP_BYTES and max(sizes) < 2 * tf.GROUP_BYTES
+    got = tf.read_token_files(spark, path).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == list(range(120))
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+    def count(batches):
+        yield from (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches)
+
+    batches = [r.n for r in spark.read.schema(tf.FORMAT).parquet(path).mapInArrow(count, "n long").collect()]
+    assert len(batches) > 2 and max(batches) < 2 * tf.BATCH_BYTES
+
+
 def test_reading_gives_up_what_writing_remembered():
     from sealgrade.llm import token_files as T
     assert T._encoder(T.VOCABULARY).encode(["some text of chunks"]) and T._encoder(T.VOCABULARY).seen
