@@ -7,6 +7,7 @@ import ctypes
 import gc
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,12 @@ class Scratch:
 
 # ---- words -----------------------------------------------------------------------------
 
+#: By byte: ASCII white space. By number of bytes: the bits of a little-endian number that they fill.
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Bytes of a word up to which it is hashed eight bytes at a time along with the others.
+LONG = 256
+
 
 class Words:
     """128-bit hashes of words, remembered within bounds: ``ids`` index ``lo`` and ``hi``."""
@@ -114,22 +121,69 @@ class Words:
         return self.lo[ids], self.hi[ids]
 
 
-def word_runs(texts: list[str | None], most: int = 1 << 17) -> Iterator[tuple[list[list[bytes]], np.ndarray]]:
-    """Words of consecutive texts, as many texts at once as have ``most`` words, and where each text starts.
+@dataclass
+class Run:
+    """Consecutive texts as one run of bytes, and where words and texts begin and end in it."""
+
+    first: int
+    data: np.ndarray
+    #: Where each text begins, and where the last ends.
+    cuts: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    #: The number of each text's first word, and that of all words.
+    at: np.ndarray
+    #: Whether a text is its words joined by one space.
+    joined: np.ndarray
+
+    def words(self, i: int) -> list[bytes]:
+        return self.data[self.cuts[i] : self.cuts[i + 1]].tobytes().split()
+
+    def text(self, i: int) -> bytes:
+        """The words of the ``i``-th text, joined by one space."""
+        return self.data[self.cuts[i] : self.cuts[i + 1]].tobytes() if self.joined[i] else b" ".join(self.words(i))
+
+    def hashes(self, high: bool) -> np.ndarray:
+        """64-bit hashes of all words; the ``high`` ones are of another function."""
+        size = self.ends - self.starts
+        eights = np.ndarray(len(self.data) + 1, "<u8", np.r_[self.data, np.zeros(8, np.uint8)].tobytes(), strides=(1,))
+        factor, seed = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)) if high else (np.uint64(1), np.uint64(0x27D4EB2F165667C5))
+        out = mix((eights[self.starts] & MASKS[np.minimum(size, 8)]) * factor + size.astype(np.uint64) * seed)
+        more, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(more):
+            out[more] = mix(out[more] + (eights[self.starts[more] + k] & MASKS[np.minimum(size[more] - k, 8)]) * factor)
+            k += 8
+            more = more[size[more] > k]
+        for i in np.flatnonzero(size > LONG):
+            raw = hashlib.blake2b(self.data[self.starts[i] : self.ends[i]].tobytes(), digest_size=16).digest()
+            out[i] = int.from_bytes(raw[8 * high :][:8], "little")
+        return out
+
+
+def word_runs(texts: pa.Array, most: int = 1 << 20) -> Iterator[Run]:
+    """Runs of as many consecutive texts as have ``most`` bytes; a longer text is a run of its own.
 
     Words are what ASCII white space separates, unchanged; null and blank texts have none.
     """
-    held: list[list[bytes]] = []
-    n = 0
-    for text in texts:
-        w = text.encode("utf-8", "surrogatepass").split() if text else []
-        if held and n + len(w) > most:
-            yield held, np.r_[0, np.cumsum([len(x) for x in held])]
-            held, n = [], 0
-        held.append(w)
-        n += len(w)
-    if held:
-        yield held, np.r_[0, np.cumsum([len(x) for x in held])]
+    texts = texts.fill_null("").cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    first = 0
+    while first < len(texts):
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
+        cuts = offsets[first : end + 1] - offsets[first]
+        own = data[offsets[first] : offsets[end]]
+        gap = SPACES[own]
+        # the first and the last byte of a text have nothing beside them
+        before, after = np.ones(len(own), bool), np.ones(len(own), bool)
+        before[1:], after[:-1] = gap[:-1], gap[1:]
+        before[cuts[cuts < len(own)]] = True
+        after[cuts[cuts > 0] - 1] = True
+        starts = np.flatnonzero(~gap & before)
+        odd = np.searchsorted(np.flatnonzero(gap & (before | after | (own != 32))), cuts)
+        yield Run(first, own, cuts, starts, np.flatnonzero(~gap & after) + 1, np.searchsorted(starts, cuts), odd[1:] == odd[:-1])
+        first = end
 
 
 def mix(x: np.ndarray) -> np.ndarray:

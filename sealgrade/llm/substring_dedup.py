@@ -19,14 +19,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealgrade.llm.common import Scratch, Words, grams, small_batches, table, word_runs
+from sealgrade.llm.common import Scratch, grams, small_batches, table, word_runs
 
 #: Words of a window, and of the grams whose smallest hash is a window's anchor.
 K, GRAM = 13, 7
@@ -59,17 +58,17 @@ def _scan(k: int):
                         ("sha", pa.string()), ("anchors", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Words()
         for b in batches:
             n, sha, anchors = [], [], []
-            for texts, at in word_runs(b.column("text").to_pylist()):
-                a = _anchors(seen.hashes(list(chain.from_iterable(texts)))[0], k)
+            for part in word_runs(b.column("text")):
+                a = _anchors(part.hashes(False), k)
                 new = np.r_[True, a[1:] != a[:-1]]
-                for w, start in zip(texts, at.tolist(), strict=False):
-                    n.append(len(w))
-                    sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
+                at = part.at.tolist()
+                for i, (start, stop) in enumerate(zip(at, at[1:], strict=False)):
+                    n.append(stop - start)
+                    sha.append(hashlib.sha256(part.text(i)).hexdigest())
                     # the windows that lie in this text
-                    end = max(start, start + len(w) - k + 1)
+                    end = max(start, stop - k + 1)
                     own = a[start:end][new[start:end]] if end > start + 1 else a[start:end]
                     if end > start + 1 and not new[start]:
                         own = np.append(own, a[start])
@@ -97,19 +96,18 @@ def _edges(k: int):
     """Positions and 128-bit hashes of the windows whose anchor is among ``found``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Words()
         for b in batches:
             pos, h1, h2 = [], [], []
             found = iter(b.column("found"))
-            for texts, at in word_runs(b.column("text").to_pylist()):
-                lo, hi = seen.hashes(list(chain.from_iterable(texts)))
-                a = _anchors(lo, k)
+            for part in word_runs(b.column("text")):
+                lo, hi = part.hashes(False), part.hashes(True)
+                a, at = _anchors(lo, k), part.at.tolist()
                 here = [
-                    _among(a[start : max(start, start + len(w) - k + 1)], next(found).values.to_numpy().view(np.uint64))
-                    for w, start in zip(texts, at.tolist(), strict=False)
+                    _among(a[start : max(start, stop - k + 1)], next(found).values.to_numpy().view(np.uint64))
+                    for start, stop in zip(at, at[1:], strict=False)
                 ]
                 pos += [x.astype(np.int32) for x in here]
-                picked = np.concatenate([x + start for x, start in zip(here, at.tolist(), strict=False)])
+                picked = np.concatenate([x + start for x, start in zip(here, at, strict=False)])
                 cuts = np.cumsum([len(x) for x in here])[:-1]
                 h1 += np.split(grams(lo, k, picked).view(np.int64), cuts)
                 h2 += np.split(grams(hi, k, picked).view(np.int64), cuts)
