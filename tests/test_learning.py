@@ -323,3 +323,39 @@ def test_whole_jobs_of_both_kinds_of_rules(spark, tmp_path):
     changed = {r["document_id"]: r for r in REGISTRY["j06_correction_rules"][0](spark, str(tmp_path)).collect()}
     assert set(changed) == set(range(1, 9))
     assert all(r["was_overridden"] and r["learned_classification"] == "Highly Sensitive" for r in changed.values())
+
+
+def test_rounds_of_rules_share_one_search_of_the_texts(rows, monkeypatch):
+    """However many rounds the rules take, texts are searched for their different words once, and a text that found its
+    rule is out of the rounds that follow."""
+    from sealgrade.operators import substrings as S
+    feedback, docs = random_case(random.Random(7), 120)
+    docs = [*docs, (60, None, 0.5, None, None, None), (61, "Public", 0.5, "", "", [None, "ALPHAONE"])]
+    searches, rounds = [], []
+    monkeypatch.setattr(LN, "NeedleIndex", lambda *a: searches.append(1) or S.NeedleIndex(*a))
+
+    def finds(texts, row, inputs, *rest):
+        if len(inputs) == 2:
+            rounds.append(texts.count())
+        return S.finds(texts, row, inputs, *rest)
+
+    monkeypatch.setattr(LN, "finds", finds)
+    whole = LN.apply_override(rows(docs, DOCS), rows(feedback, FEEDBACK))
+    parts = LN.apply_override(rows(docs, DOCS), rows(feedback, FEEDBACK), round_bytes=1000)
+    assert len(searches) == 2 and len(rounds) > 3 and rounds == sorted(rounds, reverse=True) and rounds[-1] < rounds[0]
+    order = lambda df: sorted(map(tuple, df.select("document_id", "learned_classification", "learned_confidence", "was_overridden", "override_reason").collect()))
+    assert order(whole) == order(parts) and any(r[3] for r in order(parts))
+
+
+@pytest.mark.parametrize("round_bytes", [8 << 20, 1])
+def test_rules_of_one_seq_and_of_none(rows, round_bytes):
+    """Rules that share their place in order, or have none, are taken alike in one round and in many; indicators that come
+    twice count twice, nulls never."""
+    words = ["alphaone", "gammasix", "omegaten"]
+    entries = [entry(str(i), seq, approved=False, to=to, frm="Public", name="x", notes=notes, words=own) for i, (seq, to, notes, own) in enumerate([
+        (None, "Unsafe", "none", words), (5, "Unsafe", "late", words), (5, "Confidential", "b", words), (5, "Confidential", "a", words),
+        (1, "Unsafe", "too few", [*words[:2], None, None]), (2, "Unsafe", "twice", ["deltaone", "deltaone", "deltatwo", None])])]
+    docs = [(1, "Public", 0.5, "n", " ".join(words), []), (2, "Public", 0.5, "n", "deltaone", ["DELTATWO"]), (3, "Unsafe", 0.5, "n", " ".join(words), [])]
+    got = {r["document_id"]: r["override_reason"] for r in LN.apply_override(rows(docs, DOCS), rows(entries, FEEDBACK), round_bytes=round_bytes).collect()}
+    assert got[1].endswith("→ 'Confidential'. Matched 3/3 indicators. Human feedback: a")
+    assert got[2].endswith("Matched 3/4 indicators. Human feedback: twice") and got[3] is None
