@@ -359,3 +359,18 @@ def test_rules_of_one_seq_and_of_none(rows, round_bytes):
     got = {r["document_id"]: r["override_reason"] for r in LN.apply_override(rows(docs, DOCS), rows(entries, FEEDBACK), round_bytes=round_bytes).collect()}
     assert got[1].endswith("→ 'Confidential'. Matched 3/3 indicators. Human feedback: a")
     assert got[2].endswith("Matched 3/4 indicators. Human feedback: twice") and got[3] is None
+
+
+def test_texts_of_other_classes_are_not_searched(rows, monkeypatch):
+    """A text whose class no rule is for cannot be overridden, nor have a similar pattern: it is not looked at."""
+    import pyarrow as pa
+    from sealgrade.operators import substrings as S
+    seen = []
+    for module in (LN, S):
+        monkeypatch.setattr(module, "found_in", lambda index, texts, f=S.found_in: seen.append(len(texts)) or f(index, texts))
+    rules = pa.table({"seq": [1], "rule_from": ["A"], "rule_to": ["x"], "notes": [""], "indicators": pa.array([["one", "two", "six"]], pa.list_(pa.string()))})
+    index = LN.RuleIndex(rules, None, [b"one", b"two", b"six"], LN.np.arange(3))
+    texts = pa.array(["one two six", "one two six", None, "one"])
+    got = index.first_rules(texts, pa.array([[], [], [], ["two", "six"]], pa.list_(pa.string())), pa.array(["B", "A", None, "A"])).to_pylist()
+    assert [r and r["hits"] for r in got] == [None, 3, None, 3]
+    assert seen[0] == 2
