@@ -103,7 +103,7 @@ def _rules_input(l: DataFrame) -> DataFrame:
 def _adjust(spark, sf):
     n = stage(FB.normalize_feedback(_rules_input(A.learning_feedback(spark, sf))))
     out = LN.adjust_confidence(
-        _docs(spark, sf), P.accuracy_by_class(n), P.keyword_patterns(n), P.context_patterns(n))
+        _docs(spark, sf).drop("all_keywords"), P.accuracy_by_class(n), P.keyword_patterns(n), P.context_patterns(n))
     # rounded as SQL does it, by the product: a decimal tie of a double is none in binary
     return out.withColumn("adjusted_confidence", F.rint(F.col("adjusted_confidence") * 1e6) / 1e6).select(
         "document_id", "classification", "adjusted_confidence", "learned_review", "learned_reason")
@@ -213,7 +213,7 @@ FROM DOCS d LEFT JOIN B b USING (document_id)"""
 def _keyword_hits(spark, sf):
     """How many keyword rules of each strength a document has, as their factor, and the last strong one."""
     n = stage(FB.normalize_feedback(_rules_input(A.learning_feedback(spark, sf))))
-    out = LN.match_keyword_rules(_docs(spark, sf), P.keyword_patterns(n))
+    out = LN.match_keyword_rules(_docs(spark, sf).drop("all_keywords"), P.keyword_patterns(n))
     return _rounded(out, "keyword_factor").select("document_id", "keyword_factor", "keyword_reason")
 
 

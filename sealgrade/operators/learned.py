@@ -20,8 +20,8 @@ from sealgrade import vocab as V
 from sealgrade.operators.patterns import PAIR
 from sealgrade.operators.running import running_sums
 from sealgrade.operators.substrings import (
-    ROUND_BYTES, WORD_ROUNDS, NeedleIndex, chosen_rows, expand, finds, found_in, parts_of, where_read, with_counts,
-    with_found, with_some,
+    ROUND_BYTES, WORD_ROUNDS, NeedleIndex, chosen_rows, expand, finds, found_in, in_rounds, parts_of, where_read,
+    with_counts, with_some,
 )
 from sealgrade.session import stage
 
@@ -47,27 +47,65 @@ def match_keyword_rules(
     """Add ``keyword_factor`` (product of the multipliers of all matching rules)
     and ``keyword_reason`` (of the last matching rule with multiplier under 0.8)."""
     return _with_hits(docs, rules, filename, preview, round_bytes).withColumns({
-        "keyword_factor": _weakened(F.lit(1.0)), "keyword_reason": _keyword_reason(_last_strong()),
+        "keyword_factor": _weakened(F.lit(1.0)), "keyword_reason": _keyword_reason(F.col("_hit.last")),
     }).drop("_hit")
 
 
+class KeywordIndex:
+    """Keyword rules, the strong ones known by their place in order."""
+
+    def __init__(self, rules: pa.Table):
+        # nulls come first, as they do where Spark compares structs
+        rules = rules.take(pc.sort_indices(
+            rules, sort_keys=[(c, "ascending") for c in ("seq", "pos", "k", "n")], null_placement="at_start"))
+        self.needles = NeedleIndex([k.encode("utf-8") for k in rules.column("k").to_pylist()])
+        n = pc.fill_null(rules.column("n"), 0).to_numpy()
+        #: Which of ``_COUNTS`` counts a rule, -1 for none.
+        self.counted = np.where(n >= 2, np.minimum(n, 5) - 2, -1).astype(np.int64)
+        self.rows = rules.combine_chunks()
+
+    def hits(self, texts: pa.Array) -> pa.Array:
+        """How many rules of each strength each text holds, and the last strong one."""
+        sizes, which = found_in(self.needles, texts)
+        row, wide = np.repeat(np.arange(len(texts)), sizes), len(_COUNTS)
+        counted = self.counted[which]
+        some = counted >= 0
+        counts = np.bincount(row[some] * wide + counted[some], minlength=len(texts) * wide).reshape(-1, wide)
+        last = np.full(len(texts), -1)
+        strong = counted >= 1
+        np.maximum.at(last, row[strong], which[strong])
+        rows = self.rows.take(pa.array(np.maximum(last, 0), mask=last < 0)).combine_chunks()
+        names = ["seq", "pos", "k", "n"]
+        rule = pa.StructArray.from_arrays(
+            [rows.column(c).combine_chunks() for c in names], names, mask=pa.array(last < 0))
+        return pa.StructArray.from_arrays(
+            [*[pa.array(counts[:, i]) for i in range(wide)], rule], [*_COUNTS, "last"], mask=pa.array(sizes == 0))
+
+
+#: How many rules of two, three, four and more corrections a text holds.
+_COUNTS = ("twos", "threes", "fours", "more")
+
+
 def _with_hits(docs: DataFrame, rules: DataFrame, filename: str, preview: str, round_bytes: int) -> DataFrame:
-    listed = rules.select(
-        F.struct("first_seq", "first_pos").alias("o"), F.col("keyword").alias("k"), F.col("correction_count").alias("n"),
-    )
-    return with_found(docs, _haystack(filename, preview), listed, "k", "_hit", round_bytes)
+    """Add ``_hit``: the ``_COUNTS`` and the ``last`` strong rule, null where no rule matches."""
+    listed = rules.where(F.col("keyword").isNotNull()).select(
+        F.col("first_seq").alias("seq"), F.col("first_pos").alias("pos"), F.col("keyword").alias("k"),
+        F.col("correction_count").alias("n"))
+    kind = StructType([*[StructField(c, LongType()) for c in _COUNTS], StructField("last", listed.schema)])
 
+    def merge(found: Column) -> Column:
+        return F.struct(*[F.sum(found[c]).alias(c) for c in _COUNTS], F.max(found["last"]).alias("last"))
 
-def _last_strong() -> Column:
-    return F.array_max(F.filter("_hit", lambda r: r["n"] >= 3))
+    return in_rounds(
+        docs, [_haystack(filename, preview)], listed, F.coalesce(F.octet_length("k"), F.lit(0)) + 32, KeywordIndex,
+        KeywordIndex.hits, kind, "_hit", merge, round_bytes)
 
 
 def _weakened(value: Column) -> Column:
     """``value`` times the multipliers of all matching rules. They only take the values 0.8, 0.7, 0.6 and 0.5,
     so their product is known from how many rules of each matched."""
-    for base, test in ((0.8, lambda r: r["n"] == 2), (0.7, lambda r: r["n"] == 3),
-                       (0.6, lambda r: r["n"] == 4), (0.5, lambda r: r["n"] >= 5)):
-        value = value * F.pow(F.lit(base), F.size(F.filter("_hit", test)))
+    for base, count in zip((0.8, 0.7, 0.6, 0.5), _COUNTS, strict=True):
+        value = value * F.pow(F.lit(base), F.coalesce(F.col(f"_hit.{count}"), F.lit(0)))
     return value
 
 
@@ -84,7 +122,7 @@ def adjust_confidence(
 ) -> DataFrame:
     """Add ``adjusted_confidence``, ``learned_review`` and ``learned_reason``.
 
-    Accuracy is joined by class: one row a class. A context pattern of the document's class applies if the text
+    Accuracy is joined by class: one row a class, which goes to the documents. A context pattern of the document's class applies if the text
     holds two of its words. The reason is that of the last rule that asked for review.
     """
     low = accuracy.where(F.col("classification").isNotNull() & (F.col("accuracy") < V.ACCURACY_FLOOR)).select(
@@ -102,7 +140,7 @@ def adjust_confidence(
         F.filter("_own", lambda x: pattern(x) == p), F.lit(0).cast("bigint"), lambda n, x: n + x["hits"])
     prepared = (
         with_counts(matched, body, words, ("o", "t"), ("classification", "c"), "w", "_own", round_bytes)
-        .join(low, F.col("classification") == F.col("_low_class"), "left")
+        .join(F.broadcast(low), F.col("classification") == F.col("_low_class"), "left")
         .withColumn("_similar", F.array_sort(F.filter(
             F.array_distinct(F.transform("_own", pattern)), lambda p: hits(p) >= 2)))
     )
@@ -114,7 +152,7 @@ def adjust_confidence(
         F.lit("Similar documents have been reclassified as "), last["t"]))
     known = F.col("confidence") * F.when(weak.isNotNull(), F.lit(V.LOW_ACCURACY_FACTOR)).otherwise(F.lit(1.0))
     raw = _weakened(known) * F.pow(F.lit(V.CONTEXT_FACTOR), F.size(similar))
-    reason = F.coalesce(similar_reason, _keyword_reason(_last_strong()), weak_reason)
+    reason = F.coalesce(similar_reason, _keyword_reason(F.col("_hit.last")), weak_reason)
     return prepared.withColumns({
         "adjusted_confidence": F.greatest(
             F.lit(V.MIN_ADJUSTED), F.least(F.lit(V.MAX_ADJUSTED), raw)),

@@ -374,3 +374,20 @@ def test_texts_of_other_classes_are_not_searched(rows, monkeypatch):
     got = index.first_rules(texts, pa.array([[], [], [], ["two", "six"]], pa.list_(pa.string())), pa.array(["B", "A", None, "A"])).to_pylist()
     assert [r and r["hits"] for r in got] == [None, 3, None, 3]
     assert seen[0] == 2
+
+
+def test_scoring_reads_texts_once_and_shuffles_none(rows, spark, monkeypatch):
+    """No pass over the texts is made to build an index, and documents do not meet the accuracy of their class in one task a class."""
+    from sealgrade.operators import substrings as S
+    read = []
+    monkeypatch.setattr(S, "text_counts", lambda *a: read.append(1) or {})
+    feedback, docs = random_case(random.Random(8), 30)
+    n = FB.normalize_feedback(rows(feedback, FEEDBACK))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = LN.adjust_confidence(rows(docs, DOCS), P.accuracy_by_class(n), P.keyword_patterns(n), P.context_patterns(n))
+        assert "SortMergeJoin" not in plan_of(df) and len(df.collect()) == len(docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not read
