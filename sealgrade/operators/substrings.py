@@ -228,9 +228,11 @@ def in_rounds(
 
 
 def with_some(docs: DataFrame, value: Column, rules: DataFrame, name: str) -> DataFrame:
-    """The documents whose ``value`` some rule has in the column ``name``; a null is equal to nothing."""
+    """The documents whose ``value`` some rule has in the column ``name``; a null is equal to nothing.
+
+    A value is a class, so there are few: they go to the documents, which would otherwise meet in one task a class."""
     known = rules.select(F.col(name).alias("_some")).distinct()
-    return docs.join(known, value == F.col("_some"), "left_semi")
+    return docs.join(F.broadcast(known), value == F.col("_some"), "left_semi")
 
 
 def parts_of(rules: DataFrame, size: Column, round_bytes: int) -> int:

@@ -347,6 +347,24 @@ def test_rounds_of_rules_share_one_search_of_the_texts(rows, monkeypatch):
     assert order(whole) == order(parts) and any(r[3] for r in order(parts))
 
 
+def test_texts_do_not_meet_by_class(rows, spark, monkeypatch):
+    """Texts of the rules' classes are chosen where they are, not in one task a class."""
+    from sealgrade.operators import substrings as S
+    feedback, docs = random_case(random.Random(9), 60)
+    n, plans, finds = FB.normalize_feedback(rows(feedback, FEEDBACK)), [], S.finds
+    for module in (LN, S):
+        monkeypatch.setattr(module, "finds", lambda texts, *rest: plans.append(plan_of(texts)) or finds(texts, *rest))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        LN.apply_override(rows(docs, DOCS), rows(feedback, FEEDBACK), round_bytes=1000)
+        LN.adjust_confidence(rows(docs, DOCS), P.accuracy_by_class(n), P.keyword_patterns(n), P.context_patterns(n), round_bytes=100)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    chosen = [x for x in plans if "LeftSemi" in x]
+    assert len(chosen) >= 2 and not any("SortMergeJoin" in x for x in chosen)
+
+
 @pytest.mark.parametrize("round_bytes", [8 << 20, 1])
 def test_rules_of_one_seq_and_of_none(rows, round_bytes):
     """Rules that share their place in order, or have none, are taken alike in one round and in many; indicators that come
