@@ -119,8 +119,19 @@ def enhanced(
         "classification": F.col("final_classification"), "confidence": F.col("final_confidence"),
     })
     df = M.with_all_keywords(df)
+    safe = F.col("safety_check.is_safe")
+    df = df.withColumn("review_reason", R.review_enhanced(
+        v["classification"], v["confidence"], safe, F.col("secondary_classification"),
+        F.col("consensus"), F.col("text_segments"), F.col("image_analyses"),
+    )).withColumn("requires_review", F.col("review_reason").isNotNull())
+    columns = [
+        *common, "text_segments", "image_analyses", "all_keywords", "secondary_classification",
+        "secondary_confidence", "consensus", "verification_notes", "document_context",
+        "keyword_relevances", "primary_status",
+    ]
     if learned is not None:
-        df = L.apply_override(df, learned.feedback, preview="full_text")
+        # rules of more than a round write the rows, so answers and pages that are not read again stay behind
+        df = L.apply_override(df.select(*columns), learned.feedback, preview="full_text")
         note = F.concat(F.lit("🎓 LEARNED RULE APPLIED: "), F.col("override_reason"))
         df = df.withColumns({
             "classification": F.col("learned_classification"),
@@ -129,11 +140,6 @@ def enhanced(
                 F.col("was_overridden"), F.concat_ws("\n\n", "verification_notes", note)
             ).otherwise(F.col("verification_notes")),
         })
-    safe = F.col("safety_check.is_safe")
-    df = df.withColumn("review_reason", R.review_enhanced(
-        v["classification"], v["confidence"], safe, F.col("secondary_classification"),
-        F.col("consensus"), F.col("text_segments"), F.col("image_analyses"),
-    )).withColumn("requires_review", F.col("review_reason").isNotNull())
     if unsafe_override:
         df = df.withColumn(
             "additional_labels",
@@ -142,9 +148,5 @@ def enhanced(
             "confidence",
             F.when(safe, F.col("confidence")).otherwise(F.col("safety_check.confidence")),
         ).withColumn("classification", F.when(safe, F.col("classification")).otherwise(F.lit("Unsafe")))
-    full = df.select(
-        *common, "text_segments", "image_analyses", "all_keywords", "secondary_classification",
-        "secondary_confidence", "consensus", "verification_notes", "document_context",
-        "keyword_relevances", "primary_status",
-    )
+    full = df.select(*columns)
     return full.unionByName(early, allowMissingColumns=True)

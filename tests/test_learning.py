@@ -409,3 +409,19 @@ def test_scoring_reads_texts_once_and_shuffles_none(rows, spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert not read
+
+
+def test_the_preset_gives_the_override_no_answers_or_pages(spark, tmp_path, monkeypatch):
+    """Rules of many rounds write the rows that they are given: texts that nothing reads again are not among them."""
+    from sealgrade.catalog import REGISTRY
+    from sealgrade.plans import presets
+    text = "alphaone betatwos gammathree deltafour license"
+    spark.createDataFrame([(i, "web", "en", text, len(text)) for i in range(1, 9)], "doc_id long, source string, lang string, text string, n_chars long"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0 if i < 5 else 1, 0) for i in range(1, 7)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = []
+    override = LN.apply_override
+    monkeypatch.setattr(presets.L, "apply_override", lambda df, *a, **k: seen.append(df.columns) or override(df, *a, **k))
+    rows = REGISTRY["preset_enhanced_learned"][0](spark, str(tmp_path)).collect()
+    assert len(rows) == 8 and any(r["classification"] == "Highly Sensitive" for r in rows)
+    assert len(seen) == 1 and not {"pages", "primary", "secondary", "verification", "primary_verdict", "secondary_verdict"} & set(seen[0])
